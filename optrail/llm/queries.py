@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import decode_ids, encode_texts
 from .common import read_table
 from .mix import mix_sources
 
@@ -13,7 +16,18 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op3_mix": op3_mix}
+def token_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the bytes they decode to."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    decoded = decode_ids(encode_texts(docs.select("doc_id", "text"), path, pattern), path, pattern)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_mix": op3_mix, "op6_bpe": op6_bpe}
 
 ORACLES: dict[str, str] = {}
 
