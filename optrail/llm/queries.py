@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import decode_ids, encode_texts
 from .common import read_table
 from .mix import mix_sources
+from .warc import round_trip
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_mix": op3_mix, "op6_bpe": op6_bpe}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = round_trip(read_table(spark, sf_dir, "pages"))
+    return back.select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", "digest_ok")
+
+
+QUERIES = {"op3_mix": op3_mix, "op6_bpe": op6_bpe, "op9_warc": op9_warc}
 
 ORACLES: dict[str, str] = {}
 
