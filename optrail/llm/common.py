@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +84,20 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
 
 def blocks_for(rows: int, per_block: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_block))
+
+
+def schema_of(df: DataFrame, *added: tuple[str, str]) -> str:
+    """The frame's schema with columns added, for functions over batches."""
+    return ", ".join(f"`{n.replace('`', '``')}` {t}" for n, t in [*df.dtypes, *added])
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def schema_text(fields: tuple[tuple[str, str], ...]) -> str:
+    return ", ".join(f"{n} {t}" for n, t in fields)
+
+
+def batch_of(rows: list[tuple], fields: tuple[tuple[str, str], ...]) -> pa.RecordBatch:
+    """A batch from rows, which may be none."""
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _ARROW[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import decode_ids, encode_texts
 from .common import read_table
 from .mix import mix_sources
+from .toxicity import Lexicon, learn_lexicon, score_toxicity
 from .warc import round_trip
 
 
@@ -24,6 +25,22 @@ def token_digests(docs: DataFrame) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def fold_of():
+    """crc32 of doc_id as text, modulo 5."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+
+
+def toxicity_lexicon(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Lexicon:
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold_of() != 0)
+    return learn_lexicon(docs, labels)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, toxicity_lexicon(spark, sf_dir, docs))
+    return scored.select("doc_id", F.coalesce(fold_of() == 0, F.lit(False)).alias("held_out"), "score", "predicted", "hits")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"))
 
@@ -33,7 +50,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", "digest_ok")
 
 
-QUERIES = {"op3_mix": op3_mix, "op6_bpe": op6_bpe, "op9_warc": op9_warc}
+QUERIES = {"op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op9_warc": op9_warc}
 
 ORACLES: dict[str, str] = {}
 
