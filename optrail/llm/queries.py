@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode_ids, encode_texts
 from .common import read_table
+from .html import extract_main_text
 from .mix import mix_sources
 from .toxicity import Lexicon, learn_lexicon, score_toxicity
 from .warc import round_trip
@@ -45,12 +46,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = round_trip(read_table(spark, sf_dir, "pages"))
     return back.select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", "digest_ok")
 
 
-QUERIES = {"op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op9_warc": op9_warc}
+QUERIES = {"op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op7_html": op7_html, "op9_warc": op9_warc}
 
 ORACLES: dict[str, str] = {}
 

@@ -37,7 +37,7 @@ def _as_letters(m: re.Match) -> str:
     text, a, b = m.string, m.start(), m.end()
     left, right = text[max(0, a - 2) : a], text[b : b + 2]
     inside = left[-1:].isalpha() and right[:1].isalpha()
-    first = not left[-1:].isalnum() and len(right) == 2 and right.isalpha()
+    first = not left[-1:].isalnum() and len(right) == 2 and right[0].isalpha() and right[1].isalnum()
     last = not right[:1].isalnum() and len(left) == 2 and left.isalpha() and m[0].isdigit()
     return m[0].translate(_LETTERS) if inside or first or last else m[0]
 
