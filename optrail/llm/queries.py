@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode_ids, encode_texts
+from .chunks import dedup_substrings
 from .common import read_table
 from .html import extract_main_text
 from .mix import mix_sources
@@ -14,6 +15,11 @@ from .toxicity import Lexicon, learn_lexicon, score_toxicity
 from .warc import round_trip
 
 
+def op2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = dedup_substrings(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_chunks", "removed_bytes", "spans", "copied_from", "text")
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -55,7 +61,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", "digest_ok")
 
 
-QUERIES = {"op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op7_html": op7_html, "op9_warc": op9_warc}
+QUERIES = {"op2_chunks": op2_chunks, "op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op7_html": op7_html, "op9_warc": op9_warc}
 
 ORACLES: dict[str, str] = {}
 
