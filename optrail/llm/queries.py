@@ -10,6 +10,7 @@ from .bpe import decode_ids, encode_texts
 from .chunks import dedup_substrings
 from .common import read_table
 from .html import extract_main_text
+from .jaccard import join_near
 from .mix import mix_sources
 from .toxicity import Lexicon, learn_lexicon, score_toxicity
 from .warc import round_trip
@@ -61,7 +62,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", "digest_ok")
 
 
-QUERIES = {"op2_chunks": op2_chunks, "op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op7_html": op7_html, "op9_warc": op9_warc}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_near(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {"op2_chunks": op2_chunks, "op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op7_html": op7_html, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
 
 ORACLES: dict[str, str] = {}
 
@@ -92,3 +97,28 @@ kept AS (
   SELECT doc_id, sum(size) AS taken FROM ordered WHERE earlier < (SELECT sum(target) FROM targets) GROUP BY doc_id)
 SELECT p.doc_id, p.size, p.source_size::BIGINT AS source_size, p.target, coalesce(k.taken, 0)::BIGINT AS taken FROM placed p LEFT JOIN kept k ON p.doc_id IS NOT DISTINCT FROM k.doc_id
 """
+
+ORACLES["op9_warc"] = """
+WITH sized AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+hashed AS (SELECT page_id, payload_bytes, sha1(body) AS hex FROM sized),
+coded AS (SELECT page_id, payload_bytes, hex, list_reduce(list_transform(range(0, 32), lambda i:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31)::BIGINT + 1, 1)), lambda a, b: a || b) AS payload_digest FROM hashed),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM coded)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first_id IS NULL OR page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first_id IS NULL OR page_id IS NOT DISTINCT FROM first_id THEN NULL ELSE first_id END AS refers_to,
+  CASE WHEN first_id IS NULL OR page_id IS NOT DISTINCT FROM first_id THEN true END AS digest_ok
+FROM firsts
+"""
+
+ORACLES["op10_jaccard"] = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents WHERE text IS NOT NULL),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM words WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * both_have >= 80 * (p.n + q.n - both_have)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.y, reach.other FROM reach JOIN links ON links.x = reach.doc_id)
+SELECT r.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(r.other) AS component_id FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""
