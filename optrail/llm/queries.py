@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode_ids, encode_texts
+from .caps import link_near
 from .chunks import dedup_substrings
 from .common import read_table
 from .html import extract_main_text
@@ -57,6 +58,10 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op8_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_near(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = round_trip(read_table(spark, sf_dir, "pages"))
     return back.select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", "digest_ok")
@@ -66,7 +71,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_near(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op2_chunks": op2_chunks, "op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op7_html": op7_html, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
+QUERIES = {"op2_chunks": op2_chunks, "op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_caps": op8_caps, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
 
 ORACLES: dict[str, str] = {}
 
@@ -122,3 +127,12 @@ links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.y, reach.other FROM reach JOIN links ON links.x = reach.doc_id)
 SELECT r.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(r.other) AS component_id FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
 """
+
+ORACLES["op8_caps"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT links.y, reach.other FROM reach JOIN links ON links.x = reach.vec_id),
+degrees AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT r.vec_id, coalesce(any_value(d.n), 0)::BIGINT AS n_links, min(r.other) AS component_id, r.vec_id = min(r.other) AS kept FROM reach r LEFT JOIN degrees d ON d.x = r.vec_id GROUP BY r.vec_id
+"""
