@@ -12,11 +12,16 @@ from .chunks import dedup_substrings
 from .common import read_table
 from .html import extract_main_text
 from .jaccard import join_near
+from .mih import search
 from .mix import mix_sources
 from .toxicity import Lexicon, learn_lexicon, score_toxicity
 from .warc import round_trip
 
 
+def op1_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = dedup_substrings(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_chunks", "removed_bytes", "spans", "copied_from", "text")
@@ -71,7 +76,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_near(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op2_chunks": op2_chunks, "op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_caps": op8_caps, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_mih": op1_mih, "op2_chunks": op2_chunks, "op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_caps": op8_caps, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
 
 ORACLES: dict[str, str] = {}
 
