@@ -1,21 +1,72 @@
-"""A training-data pipeline over `documents`; part of the optional subpackage `llm`."""
+"""A training-data pipeline over `documents`; part of the optional subpackage `llm`.
+
+Toxic documents go, one document of each group of near copies stays, repeated passages are cut, sources are mixed to
+target weights, and what the mix takes is encoded. Every stage works on all rows that the stage before kept.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from optrail.llm.chunks import dedup_substrings
+from optrail.llm.common import materialize
+from optrail.llm.jaccard import join_near
 from optrail.llm.mix import mix_sources
+from optrail.llm.queries import token_digests, toxicity_lexicon
+from optrail.llm.toxicity import score_toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5; the lexicon is learned from the table `labels`."""
+    scored = score_toxicity(docs, toxicity_lexicon(spark, sf_dir, docs))
+    return scored.where("predicted = 0").select(docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id in each component of near copies; equal rows of it count once.
+
+    Rows without a doc_id take no part and stay.
+    """
+    kept = join_near(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.col("source"))
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    return named.select(docs.columns).union(docs.where("doc_id is null"))
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that an earlier one holds; those of which nothing is left go."""
+    cut = dedup_substrings(docs).where("removed_bytes = 0 or trim(text) <> ''")
+    return cut.withColumn("n_chars", F.when(F.col("removed_bytes") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, as often as it takes them."""
+    taken = mix_sources(docs).where("taken > 0").select("doc_id", F.col("source").alias("_source"), (F.col("taken") / F.col("size")).cast("int").alias("_times")).dropDuplicates(["doc_id", "_source"])
+    same = docs["doc_id"].eqNullSafe(taken["doc_id"]) & docs["source"].eqNullSafe(taken["_source"])
+    return docs.join(taken, same).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_round")).drop("_round")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of what they decode to, for each row of the mix."""
+    return token_digests(docs)
+
 
-STAGES = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", keep_one_of_near_copies),
+    ("substring_dedup", cut_repeated_passages),
+    ("mix", mix_to_weights),
+    ("bpe", encode),
+]
 
-#: Not expressible as a whole in SQL; tests/llm/test_pipeline.py holds each stage against a brute-force version.
+#: Not expressible as a whole in SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over the whole of `documents`."""
+    """The stages one after the other over the whole of `documents`, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
