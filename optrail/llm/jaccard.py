@@ -20,10 +20,13 @@ COUNT_BITS = 19
 PARTS = 64
 #: Bits of the filter of documents that some candidate pair names.
 WANTED_BITS = 27
-#: Runs of one prefix shingle with at most so many sets are paired at once, longer ones by rounds.
-SMALL_RUN = 4
+#: Runs of one prefix shingle up to this length are searched for pairs that pass the filters.
+LONG_RUN = 2000
 #: Sets of a cluster that one block holds at most, roughly; a task joins two blocks.
-BLOCK_SETS = 10_000
+BLOCK_SETS = 4000
+#: Clusters of several blocks are first joined within blocks, dealt anew each time; the last round joins every
+#: two blocks of what is then still in different components.
+ROUNDS = 4
 GROUP_BYTES = 8 << 20
 
 FACTS = (("kind", "int"), ("k", "long"), ("n", "int"), ("set_id", "long"), ("check", "long"), ("part", "int"), ("counts", "binary"))
@@ -118,63 +121,81 @@ def shared_prefixes(docs: DataFrame, classes: Broadcast, width: int, percent: in
         same = token[1:] == token[:-1]
         fresh = np.concatenate([[True], ~(same & (owner[1:] == owner[:-1]))])  # a set found in two batches
         token, owner, size, place = token[fresh], owner[fresh], size[fresh], place[fresh]
-        same = np.concatenate([[False], token[1:] == token[:-1], [False]])
-        many = same[1:] | same[:-1]
+        many = with_partner(token, size.astype(np.int64), place.astype(np.int64), percent)
         return pa.table({"token": pa.array(token[many].view(np.int64)), "set_id": pa.array(owner[many]), "n": pa.array(size[many].astype(np.int32)), "place": pa.array(place[many].astype(np.int32))})
 
     return materialize(docs.mapInArrow(pack, ", ".join(f"{n} {t}" for n, t in PACKED)).groupBy("bucket").applyInArrow(unite, ", ".join(f"{n} {t}" for n, t in RUNS)), "runs")
 
 
-def passes(n: str, m: str, at: str, bt: str, percent: int) -> str:
-    """SQL of the length and positional filters for sets of ``n`` and ``m`` members that share those at ``at`` and ``bt``."""
-    return (
-        f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) "
-        f"and 1 + least({n} - {at} - 1, {m} - {bt} - 1) >= ceil({percent} * ({n} + {m}) / {100 + percent})"
-    )
-
-
-def small_pairs(runs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
-    """All pairs of short runs that pass the filters, and in longer ones each set with the run's first two."""
-    keep = F.col("size") <= SMALL_RUN
-    rows = runs.join(sized, "token")
-    short = rows.where(keep)
-    a, b = short.alias("a"), short.alias("b")
-    within = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.set_id") < F.col("b.set_id"))).where(passes("a.n", "b.n", "a.place", "b.place", percent))
-    long = rows.where(~keep)
-    star = long.withColumn("head", F.explode("heads")).where("set_id <> head.set_id").where(passes("n", "head.n", "place", "head.place", percent))
-    return within.select(F.col("a.set_id").alias("x"), F.col("b.set_id").alias("y")).union(star.select(F.least("set_id", "head.set_id"), F.greatest("set_id", "head.set_id"))).distinct()
-
-
-def unsettled(runs: DataFrame, sized: DataFrame, members: DataFrame) -> DataFrame:
-    """(set_id, c, cluster, block, blocks) of the sets in long runs that hold more than one component ``c``.
+def with_partner(token: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Rows, sorted by token, that pass the length and positional filters with another row of their run.
 
-    A group of near copies that is linked already leaves nothing here. Clusters are components joined by
-    such runs; a large cluster is dealt to blocks of bounded size, and every two blocks meet.
+    A linked pair passes at its first common shingle, so what is left still holds every linked pair. Runs too
+    long to be looked at pair by pair are kept whole.
     """
-    rows = runs.join(sized.where(F.col("size") > SMALL_RUN).select("token"), "token").join(members, "set_id", "left").select("token", "set_id", F.coalesce("component", "set_id").alias("c"))
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    lengths = np.diff(np.append(starts, len(token)))
+    good = np.zeros(len(token), bool)
+    for n in np.unique(lengths[(lengths > 1) & (lengths <= 8)]):
+        rows = starts[lengths == n][:, None] + np.arange(n)
+        for i in range(n):
+            for j in range(i):
+                ok = may_link(size[rows[:, i]], place[rows[:, i]], size[rows[:, j]], place[rows[:, j]], percent)
+                good[rows[ok, i]] = good[rows[ok, j]] = True
+    for s, n in zip(starts[lengths > 8], lengths[lengths > 8], strict=True):
+        own = slice(s, s + n)
+        if n > LONG_RUN:
+            good[own] = True
+            continue
+        ok = may_link(size[own][:, None], place[own][:, None], size[own][None], place[own][None], percent)
+        np.fill_diagonal(ok, False)
+        good[own] = ok.any(1)
+    return good
+
+
+def may_link(n, p, m, q, percent: int):
+    """Length filter, and positional filter for a common member at places ``p`` and ``q`` that is the first."""
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(n - p, m - q) >= needed(n, m, percent))
+
+
+def clustered(runs: DataFrame, members: DataFrame | None, seed: int) -> DataFrame:
+    """(set_id, c, cluster, block, blocks): sets of runs that hold more than one component ``c``.
+
+    What is linked already leaves nothing here. Clusters are components joined by such runs; a large one
+    is dealt at random to blocks of bounded size.
+    """
+    rows = runs.select("token", "set_id", F.col("set_id").alias("c")) if members is None else runs.join(members, "set_id", "left").select("token", "set_id", F.coalesce("component", "set_id").alias("c"))
     mixed = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token", "low")
-    left = materialize(rows.join(mixed, "token"), "unsettled")
+    left = materialize(rows.join(mixed, "token").select("set_id", "c", "low").distinct(), "unsettled")
     clusters = connected_components(left.where("c <> low").select("c", "low").distinct(), "c", "low")
     sets = left.select("set_id", "c").distinct().join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c")
     sizes = sets.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
-    return materialize(sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")), "clusters")
-
-
-def join_blocks(sets: DataFrame, texts: DataFrame, classes: Broadcast, width: int, percent: int) -> DataFrame:
-    """Links between components among clustered sets, each task joining two blocks in memory."""
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.withColumn("other", other).select("set_id", "c", "block", "cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).join(texts, "set_id")
+    return materialize(sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "set_id"), F.col("blocks")).cast("int")), "clusters")
+
+
+def join_blocks(sets: DataFrame, texts: DataFrame, classes: Broadcast, width: int, percent: int, every: bool) -> DataFrame:
+    """Links between components of clustered sets: each block in itself, or ``every`` two blocks of a cluster."""
+    groups = max(64, sets.count() // BLOCK_SETS)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if every else F.col("block")
+    dealt = (
+        sets.withColumn("other", other)
+        .select("set_id", "c", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "cluster")
+        .withColumn("meeting", F.xxhash64("cluster", "a", "b"))
+        .withColumn("task", F.pmod("meeting", F.lit(groups)))
+        .join(texts, "set_id")
+    )
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("set_id").to_numpy())
-        table = table.take(pa.array(order))
-        ids, root, block = (table.column(c).to_numpy().copy() for c in ("set_id", "c", "block"))
-        across = table.column("a")[0] != table.column("b")[0]
-        sets = shingle_sets([zlib.decompress(x.as_py()).decode() for x in table.column("packed")], width)
-        found = links_among(sets, root, block if across else None, np.frombuffer(classes.value, np.uint8), percent)
-        return pa.table({"x": pa.array([int(ids[i]) for i, _ in found], pa.int64()), "y": pa.array([int(ids[j]) for _, j in found], pa.int64())})
+        table = table.take(pa.array(np.lexsort((table.column("set_id").to_numpy(), table.column("meeting").to_numpy()))))
+        meeting, ids, root, block, a, b = (table.column(c).to_numpy().copy() for c in ("meeting", "set_id", "c", "block", "a", "b"))
+        borders = np.flatnonzero(np.concatenate([[True], meeting[1:] != meeting[:-1], [True]]))
+        found, order = [], np.frombuffer(classes.value, np.uint8)
+        for s, e in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            members = shingle_sets([zlib.decompress(x.as_py()).decode() for x in table.column("packed").slice(s, e - s)], width)
+            found += [(int(ids[s + i]), int(ids[s + j])) for i, j in links_among(members, root[s:e], block[s:e] if a[s] != b[s] else None, order, percent)]
+        return pa.Table.from_batches([batch_of(found, (("x", "long"), ("y", "long")))])
 
-    return dealt.groupBy("cluster", "a", "b").applyInArrow(run, "x long, y long")
+    return dealt.groupBy("task").applyInArrow(run, "x long, y long")
 
 
 def links_among(sets: list[np.ndarray], root: np.ndarray, block: np.ndarray | None, classes: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -219,31 +240,6 @@ def may_reach(a: np.ndarray, b: np.ndarray, least: int, depth: int = 3) -> bool:
     return bound(a, b, depth) >= least
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (x, y) that reach the likeness, each compared once on whole sets.
-
-    Texts of the sets that some pair names travel packed to the pairs; a set in many pairs is sent
-    with each, and Spark may split such a key.
-    """
-    left, right = texts.select(F.col("set_id").alias("x"), F.col("packed").alias("left")), texts.select(F.col("set_id").alias("y"), F.col("packed").alias("right"))
-    with_texts = pairs.join(left, "x").join(right, "y").select("x", "y", "left", "right")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray | None] = (None, None)
-        for batch in batches:
-            good = []
-            for i, (x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if last[0] != y:
-                    last = (y, shingle_sets([zlib.decompress(batch.column(3)[i].as_py()).decode()], width)[0])
-                a, b = shingle_sets([zlib.decompress(batch.column(2)[i].as_py()).decode()], width)[0], last[1]
-                least = needed(len(a), len(b), percent)
-                if may_reach(a, b, least) and len(np.intersect1d(a, b, assume_unique=True)) >= least:
-                    good.append((x, y))
-            yield batch_of(good, (("x", "long"), ("y", "long")))
-
-    return with_texts.mapInArrow(run, "x long, y long")
-
-
 def wanted_texts(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
     """(set_id, packed) of the sets in ``named`` (set_id, each once), found through a filter of fixed size."""
 
@@ -288,9 +284,9 @@ def join_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
 
     A text's words, A-Z in lower case, make the set of its distinct shingles of ``width`` words; fewer
     words make one shingle of all. Texts link if 100 * intersection >= ``percent`` * union. Equal sets are
-    one set; sets are joined on the rarest shingles of each that a linked pair must share, pairs pass the length
-    and positional filters, and each pair is compared once. In runs of a shingle that many sets share,
-    first each set is compared with two of them, then only sets that are still in different components.
+    one set; sets meet on the rarest shingles of each, of which a linked pair must share one where it passes the
+    length and positional filters. Sets that meet form clusters; a task joins a cluster, or two blocks of a large
+    one, over an index of prefixes, comparing a pair once and none within a component.
 
     Null and empty texts have no shingles, link with nothing and keep their own key as component; a null
     key takes no part and gets a null component; rows with one key are told apart by their sets, and the
@@ -304,15 +300,17 @@ def join_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
     expected = own.select(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     with_key = usable.where("k is not null and t is not null")
     runs = shared_prefixes(with_key, classes, width, percent, int(expected))
-    sized = runs.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("set_id", "n", "place")).alias("first"), F.max(F.struct("set_id", "n", "place")).alias("last")).select("token", "size", F.array("first", "last").alias("heads"))
-    pairs = materialize(small_pairs(runs, sized, percent), "pairs")
-    named = pairs.select(F.col("x").alias("set_id")).union(pairs.select("y")).distinct()
-    links = materialize(verify(pairs, wanted_texts(with_key, named, width), width, percent), "links")
-    members = connected_components(links, "x", "y").select(F.col("node").alias("set_id"), "component")
-    sets = unsettled(runs, sized, members)
-    if not sets.isEmpty():
-        new = materialize(join_blocks(sets, wanted_texts(with_key, sets, width), classes, width, percent), "links")
-        members = connected_components(links.union(new), "x", "y").select(F.col("node").alias("set_id"), "component")
+    members = links = None
+    for nth in range(ROUNDS):
+        last = nth == ROUNDS - 1
+        sets = clustered(runs, members, nth)
+        new = join_blocks(sets, wanted_texts(with_key, sets, width), classes, width, percent, every=last)
+        links = materialize(new if links is None else links.union(new), "links")
+        members = connected_components(links, "x", "y").select(F.col("node").alias("set_id"), "component")
+        large = sets.where("blocks > 1").select("set_id")
+        if last or large.isEmpty():
+            break
+        runs = materialize(runs.join(large, "set_id", "left_semi"), "runs")
     grouped = own.where("k is not null and n > 0").join(members, "set_id", "left").select("k", "n", "set_id", F.coalesce("component", "set_id").alias("c"))
     lowest = grouped.groupBy("c").agg(F.min("k").alias("component_id"))
     linked = grouped.join(lowest, "c").select("k", "n", "component_id")
