@@ -61,36 +61,31 @@ class SubstringIndex:
     """Codes of a block, bucketed by each substring."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self.tables = codes, []
-        for j in range(codes.shape[1]):
-            values, bucket = np.unique(codes[:, j], return_inverse=True)
-            self.tables.append((values, np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket))])))
+        self.codes, self.columns, self.tables = codes, np.ascontiguousarray(codes.T), []
+        for column in self.columns:
+            order = np.argsort(column, kind="stable")
+            self.tables.append((column[order], order))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code differs in at most ``radius`` bits, all of them: by the pigeonhole principle one
-        substring differs in at most radius // m bits, or in one less for those beyond radius % m."""
-        parts = len(code)
-        found = np.zeros(len(self.codes), bool)
+        substring differs in at most radius // m bits, or in one less for those beyond radius % m. Where there are
+        more buckets to probe than rows in the block, the rows' substrings are looked at instead."""
+        parts, size = len(code), len(self.codes)
+        found = np.zeros(size, bool)
         for j in range(parts):
             near = radius // parts - (j > radius % parts)
             if near < 0:
                 continue
-            values, rows, starts = self.tables[j]
-            if near >= PART_BITS or _WITHIN[near] > len(values):  # fewer buckets than probes: look at the buckets
-                hits = np.flatnonzero(_POPCOUNT[values ^ code[j]] <= near)
+            if near >= PART_BITS or _WITHIN[near] > size:
+                found |= _POPCOUNT[self.columns[j] ^ code[j]] <= near
             else:
+                values, rows = self.tables[j]
                 probes = (_BY_COUNT[: _WITHIN[near]] ^ code[j]).astype(np.uint16)
-                at = np.minimum(np.searchsorted(values, probes), len(values) - 1)
-                hits = at[values[at] == probes]
-            if len(hits) * 2 > len(values):
-                mark = np.zeros(len(values), bool)
-                mark[hits] = True
-                found[rows[np.repeat(mark, np.diff(starts))]] = True
-            else:
-                for h in hits:
-                    found[rows[starts[h] : starts[h + 1]]] = True
+                starts, stops = np.searchsorted(values, probes), np.searchsorted(values, probes, "right")
+                for a, b in zip(starts[stops > starts], stops[stops > starts], strict=True):
+                    found[rows[a:b]] = True
         rows = np.flatnonzero(found)
-        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1, dtype=np.int64) <= radius]
+        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1, dtype=np.uint16) <= radius]
 
 
 def radius_for(distance: float, norm: float, low: float, high: float, bits: int) -> int:
