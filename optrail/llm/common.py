@@ -62,7 +62,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
     links = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u is not null and v is not null")
     both = links.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo"))
     loops = materialize(both.distinct(), "links")
-    state, before = loops.where("hi <> lo"), None
+    state = loops.where("hi <> lo")
     for _ in range(rounds):
         around = state.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(state.select("lo", "hi"))
         least = around.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
@@ -70,10 +70,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
         lowest = large.groupBy("hi").agg(F.min("lo").alias("low"))
         small = large.join(lowest, "hi").where("lo <> low").select(F.col("lo").alias("hi"), F.col("low").alias("lo")).union(lowest).distinct()
         state = materialize(small, "stars")
-        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
+        ends = state.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hi").alias("heads")).first()
+        if ends.n == ends.heads and state.join(state.select(F.col("lo").alias("hi")).distinct(), "hi", "left_semi").isEmpty():
+            break  # every node points at one smallest node, which points nowhere
     else:
         raise RuntimeError("components did not settle")
     members = state.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component"))
