@@ -182,7 +182,7 @@ UNION ALL SELECT 'o_totalprice', nmi FROM (WITH {_ENTROPY.format(c='c2')} SELECT
 WITH c AS (SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ' -> ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS key FROM lineitem GROUP BY l_orderkey),
 j AS (SELECT key, o_totalprice::DOUBLE AS price, o_orderstatus AS status FROM c LEFT JOIN orders ON o_orderkey = l_orderkey),
 m AS (SELECT key, status FROM (SELECT key, status, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, status) AS r FROM j WHERE status IS NOT NULL GROUP BY key, status) WHERE r = 1)
-SELECT j.key, round(coalesce(avg(price), 0.0), 2) AS price, coalesce(any_value(m.status), '?') AS status FROM j LEFT JOIN m ON m.key = j.key GROUP BY j.key""",
+SELECT j.key, round(coalesce(avg(price), 0.0), 7) AS price, coalesce(any_value(m.status), '?') AS status FROM j LEFT JOIN m ON m.key = j.key GROUP BY j.key""",
 }
 
 

@@ -411,7 +411,7 @@ def attr_aggregate(spark, sf_dir):
     t = order_traces(spark, sf_dir)
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(V("o_orderkey").cast("string").alias("case_id"), V("o_totalprice").cast("double").alias("price"), V("o_orderstatus").alias("status"))
     found = aggregate_attributes(t.select("case_id", ab.variant_text(T).alias("key")), o, ["price"], ["status"])
-    return found.select("key", F.round("price", 2).alias("price"), "status")
+    return found.select("key", F.round("price", 7).alias("price"), "status")
 
 
 @query
