@@ -24,7 +24,7 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
     k = max(1, min(k, n))
     if k < 2:
         return data.select("trace_id", F.lit("0").alias("group_id"))
-    models = [KMeans(featuresCol="v", predictionCol="p", k=k, seed=seed + i, maxIter=50, initMode="random").fit(data) for i in range(STARTS)]
+    models = [KMeans(featuresCol="v", predictionCol="p", k=k, seed=seed + i, maxIter=50, initMode="random", solver="row").fit(data) for i in range(STARTS)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(data).select("trace_id", F.col("p").cast("string").alias("group_id"))
 

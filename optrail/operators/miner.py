@@ -142,7 +142,7 @@ def find_cut(g: Graph) -> tuple[str, list[list[str]]] | None:
     together = groups_of(g.nodes, lambda a, b: (b in far[a]) == (a in far[b]))
     if len(together) > 1:
         # between two groups reachability goes one way; the earlier reaches more
-        return "seq", sorted(together, key=lambda grp: (-sum(b in far[grp[0]] for b in g.nodes), grp))
+        return "seq", sorted(together, key=lambda grp: (-len(far[grp[0]] - set(grp)), grp))
     parts = groups_of(g.nodes, lambda a, b: not (edge(a, b) and edge(b, a)))
     if len(parts) > 1 and all(set(p) & set(g.starts) and set(p) & set(g.ends) for p in parts):
         return "and", parts
