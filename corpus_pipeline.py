@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from optrail.llm.chunks import dedup_substrings
-from optrail.llm.common import materialize
+from optrail.llm.common import bound_batches, materialize
 from optrail.llm.jaccard import join_near
 from optrail.llm.mix import mix_sources
 from optrail.llm.queries import token_digests, toxicity_lexicon
@@ -19,6 +19,7 @@ from optrail.llm.toxicity import score_toxicity
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the lexicon is learned from the table `labels`."""
+    bound_batches(spark)
     scored = score_toxicity(docs, toxicity_lexicon(spark, sf_dir, docs))
     return scored.where("predicted = 0").select(docs.columns)
 
@@ -28,6 +29,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Rows without a doc_id take no part and stay.
     """
+    bound_batches(spark)
     kept = join_near(docs).where("doc_id = component_id").select("doc_id").distinct()
     first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.col("source"))
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
@@ -36,12 +38,14 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier one holds; those of which nothing is left go."""
+    bound_batches(spark)
     cut = dedup_substrings(docs).where("removed_bytes = 0 or trim(text) <> ''")
     return cut.withColumn("n_chars", F.when(F.col("removed_bytes") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it takes them."""
+    bound_batches(spark)
     taken = mix_sources(docs).where("taken > 0").select("doc_id", F.col("source").alias("_source"), (F.col("taken") / F.col("size")).cast("int").alias("_times")).dropDuplicates(["doc_id", "_source"])
     same = docs["doc_id"].eqNullSafe(taken["doc_id"]) & docs["source"].eqNullSafe(taken["_source"])
     return docs.join(taken, same).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_round")).drop("_round")
@@ -49,6 +53,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of what they decode to, for each row of the mix."""
+    bound_batches(spark)
     return token_digests(docs)
 
 

@@ -12,7 +12,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import schema_of
+from .common import lean, schema_of
 
 #: Characters that a leaf of the tree holds at most.
 LEAF_CHARS = 4096
@@ -149,7 +149,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", l
                 columns = [part.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select(*keep, text).mapInArrow(run, schema_of(docs.select(*keep), ("n_tokens", "bigint"), ("ids", "binary")))
+    return docs.select(*keep, text).mapInArrow(lean(run), schema_of(docs.select(*keep), ("n_tokens", "bigint"), ("ids", "binary")))
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -164,4 +164,4 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 texts = [None if not x.is_valid else bpe.decode(np.frombuffer(x.as_py(), "<u4").tolist()) for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.binary())], names=[*keep, "decoded"])
 
-    return encoded.select(*keep).mapInArrow(run, schema_of(encoded.select(*keep), ("decoded", "binary")))
+    return encoded.select(*keep).mapInArrow(lean(run), schema_of(encoded.select(*keep), ("decoded", "binary")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, connected_components, materialize
+from .common import batch_of, connected_components, lean, lean_group, materialize
 
 #: Code words in each half of the product code: a filter is a pair of them, so there are CODES**2 filters.
 CODES = 128
@@ -94,7 +94,7 @@ def vectors(df: DataFrame, key: str, vector: str, group: str) -> DataFrame:
                 rows.append((i, g, x.itemsize * len(x), x.tobytes() if takes_part else None))
             yield batch_of(rows, (("id", "long"), ("g", "string"), ("size", "int"), ("raw", "binary")))
 
-    return kept.mapInArrow(run, "id long, g string, size int, raw binary")
+    return kept.mapInArrow(lean(run), "id long, g string, size int, raw binary")
 
 
 def unit(raws: list[bytes], dtype: type) -> np.ndarray:
@@ -161,7 +161,7 @@ def link_near(df: DataFrame, key: str = "vec_id", vector: str = "embedding", gro
                     columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
                     yield pa.RecordBatch.from_arrays([pa.array(filters.astype(np.int32)), *columns, pa.array([lists[r] for r in rows], pa.binary())], names=["filter", "g", "size", "id", "weight", "raw", "lists"])
 
-    listed = reps.select("g", "size", "id", "weight", "raw").mapInArrow(deal, "filter int, g string, size int, id long, weight long, raw binary, lists binary")
+    listed = reps.select("g", "size", "id", "weight", "raw").mapInArrow(lean(deal), "filter int, g string, size int, id long, weight long, raw binary, lists binary")
     counts = materialize(listed.groupBy("filter", "g", "size").agg(F.count(F.lit(1)).alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / BLOCK_VECTORS).cast("int")), "filters")
     groups = max(64, (counts.agg(F.sum(F.col("members") * F.col("blocks"))).first()[0] or 0) // GROUP_VECTORS)
     dealt = (
@@ -186,7 +186,7 @@ def link_near(df: DataFrame, key: str = "vec_id", vector: str = "embedding", gro
                 rows += meet(ids[s:e], weight[s:e], unit(raws[s:e].tolist(), dtype), [np.frombuffer(v, np.int32) for v in lists[s:e]], int(own[s]), block[s:e], int(a[s]), int(b[s]), least)
         return pa.Table.from_batches([batch_of(rows, FOUND)])
 
-    found = materialize(dealt.groupBy("task").applyInArrow(compare, "id long, other long, n long"), "found")
+    found = materialize(dealt.groupBy("task").applyInArrow(lean_group(compare), "id long, other long, n long"), "found")
     linked = found.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     members = connected_components(found.where("other is not null").select("id", "other"), "id", "other")
     facts = reps.join(linked, "id", "left").join(members.withColumnRenamed("node", "id"), "id", "left").select("g", "size", "raw", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("c"))

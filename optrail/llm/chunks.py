@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize, schema_of
+from .common import batch_of, lean, lean_group, materialize, schema_of
 from .hashing import PART, SpanHash, parts
 
 _GEAR = np.random.default_rng(977).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -110,8 +110,8 @@ def repeated_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
         d, o, p, more = _first_of(join("digests", np.uint64), join("docs", np.int64), join("places", np.uint32), join("again", bool))
         return pa.table({"digest": _signed(d[more]), "first_doc": pa.array(o[more]), "first_place": pa.array(p[more].astype(np.int32))})
 
-    packed = docs.select(F.col(key), F.col(text)).mapInArrow(pack, ", ".join(f"{n} {t}" for n, t in PACKED))
-    return materialize(packed.groupBy("bucket").applyInArrow(unite, "digest long, first_doc long, first_place int"), "chunks")
+    packed = docs.select(F.col(key), F.col(text)).mapInArrow(lean(pack), ", ".join(f"{n} {t}" for n, t in PACKED))
+    return materialize(packed.groupBy("bucket").applyInArrow(lean_group(unite), "digest long, first_doc long, first_place int"), "chunks")
 
 
 def digest_filter(digests: DataFrame, bits: int = FILTER_BITS) -> bytes:
@@ -131,7 +131,7 @@ def digest_filter(digests: DataFrame, bits: int = FILTER_BITS) -> bytes:
         return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([merged.tobytes()])})
 
     size = (1 << slice_bits) >> 3
-    got = {r.part: bytes(r.bits) for r in digests.select("digest").mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(both, "part int, bits binary").collect()}
+    got = {r.part: bytes(r.bits) for r in digests.select("digest").mapInArrow(lean(mark), "part int, bits binary").groupBy("part").applyInArrow(lean_group(both), "part int, bits binary").collect()}
     return b"".join(got.get(k, bytes(size)) for k in range(64))
 
 
@@ -167,7 +167,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
 
     mark = F.xxhash64("t")
     found = usable.select("k", mark.alias("mark"), "t")
-    held = found.mapInArrow(suspects, "digest long, k long, mark long, place int").join(repeated, "digest").where("first_doc <> k or first_place <> place")
+    held = found.mapInArrow(lean(suspects), "digest long, k long, mark long, place int").join(repeated, "digest").where("first_doc <> k or first_place <> place")
     copies = held.groupBy("k", "mark").agg(F.collect_set(F.struct("place", "first_doc")).alias("copies"))
     marked = base.withColumn("_k", F.col(key).cast("long")).withColumn("_mark", F.xxhash64(F.col(text)))
     joined = marked.join(copies.select(F.col("k").alias("_k"), F.col("mark").alias("_mark"), F.col("copies").alias("_copies")), ["_k", "_mark"], "left").select(*keep, "_copies")
@@ -188,7 +188,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
                 columns = [part.column(c) if c != text else pa.array(texts, pa.string()) for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_chunks, pa.int32()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(sources, pa.list_(pa.int64()))], names=[*keep, *(n for n, _ in added)])
 
-    return joined.mapInArrow(cut, schema_of(base, *added))
+    return joined.mapInArrow(lean(cut), schema_of(base, *added))
 
 
 def removable(raw: bytes, ends: np.ndarray, copies: list[dict], least: int) -> tuple[list[tuple[int, int]], list[int]]:

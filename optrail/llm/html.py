@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import schema_of
+from .common import lean, schema_of
 
 # Elements by what they do to the text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -358,4 +358,4 @@ def extract_main_text(pages: DataFrame, crf: Crf | None = None, html: str = "htm
                 texts = [main_text(x.as_py(), own) for x in part.column(html)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return pages.select(*keep, html).mapInArrow(run, schema_of(pages.select(*keep), ("text", "string"), ("n_chars", "bigint")))
+    return pages.select(*keep, html).mapInArrow(lean(run), schema_of(pages.select(*keep), ("text", "string"), ("n_chars", "bigint")))

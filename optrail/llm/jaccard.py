@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, connected_components, materialize
+from .common import batch_of, connected_components, lean, lean_group, materialize
 from .hashing import mix, shingle_sets
 
 #: Shingles are counted in 2**COUNT_BITS classes by hash: the order by class count puts frequent ones last.
@@ -66,7 +66,7 @@ def facts(docs: DataFrame, width: int) -> DataFrame:
                 yield batch_of(rows, FACTS)
         yield batch_of([(1, None, None, None, None, i, x.tobytes()) for i, x in enumerate(np.split(counts, PARTS)) if x.any()], FACTS)
 
-    return materialize(docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in FACTS)), "facts")
+    return materialize(docs.mapInArrow(lean(run), ", ".join(f"`{n}` {t}" for n, t in FACTS)), "facts")
 
 
 def frequency_classes(facts_table: DataFrame) -> np.ndarray:
@@ -76,7 +76,7 @@ def frequency_classes(facts_table: DataFrame) -> np.ndarray:
         counts = np.add.reduce([np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) for x in table.column("counts")])
         return pa.table({"part": table.column("part").slice(0, 1), "classes": pa.array([np.round(8 * np.log2(counts + 1.0)).clip(0, 255).astype(np.uint8).tobytes()])})
 
-    got = {r.part: bytes(r.classes) for r in facts_table.where("kind = 1").select("part", "counts").groupBy("part").applyInArrow(total, "part int, classes binary").collect()}
+    got = {r.part: bytes(r.classes) for r in facts_table.where("kind = 1").select("part", "counts").groupBy("part").applyInArrow(lean_group(total), "part int, classes binary").collect()}
     return np.frombuffer(b"".join(got.get(i, bytes((1 << COUNT_BITS) // PARTS)) for i in range(PARTS)), np.uint8)
 
 
@@ -124,7 +124,7 @@ def shared_prefixes(docs: DataFrame, classes: Broadcast, width: int, percent: in
         many = with_partner(token, size.astype(np.int64), place.astype(np.int64), percent)
         return pa.table({"token": pa.array(token[many].view(np.int64)), "set_id": pa.array(owner[many]), "n": pa.array(size[many].astype(np.int32)), "place": pa.array(place[many].astype(np.int32))})
 
-    return materialize(docs.mapInArrow(pack, ", ".join(f"{n} {t}" for n, t in PACKED)).groupBy("bucket").applyInArrow(unite, ", ".join(f"{n} {t}" for n, t in RUNS)), "runs")
+    return materialize(docs.mapInArrow(lean(pack), ", ".join(f"{n} {t}" for n, t in PACKED)).groupBy("bucket").applyInArrow(lean_group(unite), ", ".join(f"{n} {t}" for n, t in RUNS)), "runs")
 
 
 def with_partner(token: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
@@ -195,7 +195,7 @@ def join_blocks(sets: DataFrame, texts: DataFrame, classes: Broadcast, width: in
             found += [(int(ids[s + i]), int(ids[s + j])) for i, j in links_among(members, root[s:e], block[s:e] if a[s] != b[s] else None, order, percent)]
         return pa.Table.from_batches([batch_of(found, (("x", "long"), ("y", "long")))])
 
-    return dealt.groupBy("task").applyInArrow(run, "x long, y long")
+    return dealt.groupBy("task").applyInArrow(lean_group(run), "x long, y long")
 
 
 def links_among(sets: list[np.ndarray], root: np.ndarray, block: np.ndarray | None, classes: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -257,7 +257,7 @@ def wanted_texts(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
         return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([zlib.compress(merged.tobytes(), 1)])})
 
     size = (1 << WANTED_BITS >> 3) // PARTS
-    got = {r.part: zlib.decompress(bytes(r.bits)) for r in named.select("set_id").mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(both, "part int, bits binary").collect()}
+    got = {r.part: zlib.decompress(bytes(r.bits)) for r in named.select("set_id").mapInArrow(lean(mark), "part int, bits binary").groupBy("part").applyInArrow(lean_group(both), "part int, bits binary").collect()}
     bitmap = docs.sparkSession.sparkContext.broadcast(b"".join(got.get(i, bytes(size)) for i in range(PARTS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +275,7 @@ def wanted_texts(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
                         rows.append((i, zlib.compress(t.encode(), 4)))
                 yield batch_of(rows, (("set_id", "long"), ("packed", "binary")))
 
-    found = docs.mapInArrow(run, "set_id long, packed binary").join(named, "set_id", "left_semi")
+    found = docs.mapInArrow(lean(run), "set_id long, packed binary").join(named, "set_id", "left_semi")
     return materialize(found.groupBy("set_id").agg(F.first("packed").alias("packed")), "texts")
 
 

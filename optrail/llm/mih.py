@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .caps import usable
-from .common import batch_of, materialize
+from .common import batch_of, lean, lean_group, materialize
 
 #: Rows that the rotations and radii are fitted on at most: those of smallest hash of the key.
 SAMPLE = 4096
@@ -114,7 +114,7 @@ def vectors(df: DataFrame, key: str, vector: str, is_query: Column) -> DataFrame
                     rows.append((i, x.itemsize * len(x), float(np.linalg.norm(x.astype(np.float64))), x.tobytes(), q))
             yield batch_of(rows, VECTORS)
 
-    return kept.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in VECTORS))
+    return kept.mapInArrow(lean(run), ", ".join(f"{n} {t}" for n, t in VECTORS))
 
 
 def unpack(raws: list[bytes], dtype: type) -> np.ndarray:
@@ -170,7 +170,7 @@ def search_length(rows: DataFrame, fact: dict, dtype: type, k: int, block: int)
                 out.append(float(near[min(len(near), REACH * k) - 1]) if len(near) else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=["id", "raw", "reach"])
 
-    asked = rows.where("query").select("id", "raw").mapInArrow(reaches, "id long, raw binary, reach double")
+    asked = rows.where("query").select("id", "raw").mapInArrow(lean(reaches), "id long, raw binary, reach double")
     asked = asked.select(F.lit(True).alias("asks"), "id", "raw", "reach", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), deal(query_blocks, "query").alias("q"))
 
     def run(table: pa.Table) -> pa.Table:
@@ -192,4 +192,4 @@ def search_length(rows: DataFrame, fact: dict, dtype: type, k: int, block: int)
                 found += [(q, int(own[at[j]]), float(score[j])) for j in best]
         return pa.Table.from_batches([batch_of(found, NEAR)])
 
-    return index.union(asked.select(index.columns)).groupBy("b", "q").applyInArrow(run, ", ".join(f"{n} {t}" for n, t in NEAR))
+    return index.union(asked.select(index.columns)).groupBy("b", "q").applyInArrow(lean_group(run), ", ".join(f"{n} {t}" for n, t in NEAR))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, schema_of, schema_text
+from .common import batch_of, lean, schema_of, schema_text
 
 # Letters that look like Latin ones, and digits or signs that stand for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһкмтвнαορεικνυτχвзгпԛԝ", "aeopcyxijsdhkmtbhaopeiknytxbegnqw", strict=True))
@@ -142,7 +142,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, most: int = 200_000, suppo
                     yield flush()
         yield flush()
 
-    tally = chosen.select("text", "mark").mapInArrow(counts, schema_text(COUNTS)).groupBy("word").agg(*marked(), F.bit_count(F.bit_or("spread")).alias("spread"))
+    tally = chosen.select("text", "mark").mapInArrow(lean(counts), schema_text(COUNTS)).groupBy("word").agg(*marked(), F.bit_count(F.bit_or("spread")).alias("spread"))
     kept = tally.where((F.col("word") == "") | (F.col("bad") >= support) & (F.col("spread") >= support)).collect()
     all_bad, all_good = next(((r.bad, r.good) for r in kept if r.word == ""), (0, 0))
     odds = {r.word: math.log((r.bad + 0.5) / (all_bad + 1)) - math.log((r.good + 0.5) / (all_good + 1)) for r in kept if r.word}
@@ -170,7 +170,7 @@ def fit_form(chosen: DataFrame, terms: dict[str, float], all_bad: int, all_good:
                     pairs[pair, mark] = (n + 1, bits | bit)
         yield batch_of([(p, mark, n, bits) for (p, mark), (n, bits) in pairs.items()], COUNTS)
 
-    pairs = chosen.select("text", "mark").mapInArrow(around, schema_text(COUNTS)).groupBy("word").agg(*marked(), F.bit_count(F.bit_or("spread")).alias("spread"))
+    pairs = chosen.select("text", "mark").mapInArrow(lean(around), schema_text(COUNTS)).groupBy("word").agg(*marked(), F.bit_count(F.bit_or("spread")).alias("spread"))
     exceptions = tuple(sorted(r.word for r in pairs.where("good >= 3 and bad = 0 and spread >= 3").collect()))
     bare = Lexicon(terms, exceptions)
 
@@ -184,7 +184,7 @@ def fit_form(chosen: DataFrame, terms: dict[str, float], all_bad: int, all_good:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.float64(), pa.int64(), pa.int32()), strict=True)], names=["total", "words", "mark"])
 
-    got = chosen.select("text", "mark").mapInArrow(features, "total double, words long, mark int").groupBy("total", "words", "mark").count().collect()
+    got = chosen.select("text", "mark").mapInArrow(lean(features), "total double, words long, mark int").groupBy("total", "words", "mark").count().collect()
     total, words, mark, weight = (np.array([r[i] for r in got], float) for i in range(4))
     best = min((fit_logistic(total / (1 + words) ** power, mark, weight) + (power,) for power in (0.0, 0.25, 0.5, 0.75, 1.0)), key=lambda x: x[2])
     return Lexicon(terms, exceptions, slope=best[0], offset=best[1], power=best[3])
@@ -228,4 +228,4 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Dat
             predicted = [int(s >= 0.5) for s in scores]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array(hits, pa.int32())], names=[*keep, "score", "predicted", "hits"])
 
-    return docs.select(*keep).mapInArrow(run, schema_of(docs.select(*keep), ("score", "double"), ("predicted", "int"), ("hits", "int")))
+    return docs.select(*keep).mapInArrow(lean(run), schema_of(docs.select(*keep), ("score", "double"), ("predicted", "int"), ("hits", "int")))

@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import fresh_path, lean, materialize
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n"
 INDEX = "record_key long, url string, record_type string, digest string, file string, offset long, length long"
@@ -105,7 +105,7 @@ def write_archives(pages: DataFrame, root: str, key: str = "page_id", url: str =
             if out is not None:
                 out.close()
 
-    return materialize(planned.select("k", "u", "p", "_refers").mapInArrow(run, INDEX), "warc-index")
+    return materialize(planned.select("k", "u", "p", "_refers").mapInArrow(lean(run), INDEX), "warc-index")
 
 
 def coalesce_ranges(index: DataFrame, gap: int = 4096, most: int = 4 << 20) -> DataFrame:
@@ -140,7 +140,7 @@ def read_archives(index: DataFrame, root: str, payloads: bool = True) -> DataFra
                     rows.append((r["key"], r["type"], r["digest"], r["refers_to"], r["bytes"], own, r["payload"] if payloads else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return coalesce_ranges(index).select("file", "start", "stop", "members").mapInArrow(run, "key long, record_type string, digest string, refers_to long, payload_bytes long, digest_ok boolean, payload binary")
+    return coalesce_ranges(index).select("file", "start", "stop", "members").mapInArrow(lean(run), "key long, record_type string, digest string, refers_to long, payload_bytes long, digest_ok boolean, payload binary")
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
