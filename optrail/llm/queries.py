@@ -14,6 +14,7 @@ from .html import extract_main_text
 from .jaccard import join_near
 from .mih import search
 from .mix import mix_sources
+from .mixing import score_texts
 from .toxicity import Lexicon, learn_lexicon, score_toxicity
 from .warc import round_trip
 
@@ -32,6 +33,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"), fold_of() == 1)
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the bytes they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -76,7 +81,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_near(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op1_mih": op1_mih, "op2_chunks": op2_chunks, "op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_caps": op8_caps, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_mih": op1_mih, "op2_chunks": op2_chunks, "op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_caps": op8_caps, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
 
 ORACLES: dict[str, str] = {}
 
