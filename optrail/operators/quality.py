@@ -148,7 +148,7 @@ def model_quality(variants: DataFrame, net: PetriNet) -> DataFrame:
             yield pd.DataFrame([(k, key, *v) for (k, key), v in rows.items()], columns=["kind", "key", "a", "b"])
 
     facts = variants.select("trace", "n_cases").mapInPandas(run, FACTS)
-    summed = facts.groupBy("kind", "key").agg(F.sum("a").alias("a"), F.when(F.col("kind") == "visit", F.max("b")).otherwise(F.sum("b")).alias("b"))
+    summed = facts.groupBy("kind", "key").agg(F.sum("a").alias("a"), F.when(F.col("kind") == "visit", F.max("b")).otherwise(F.sum("b")).alias("b")).cache()
     prefix = F.split("key", "\t")[0]
     total = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
     went = summed.where("kind = 'went'").groupBy(prefix.alias("key")).agg(F.count(F.lit(1)).alias("went"))
@@ -177,7 +177,7 @@ def global_vs_views(assigned: DataFrame, global_net: PetriNet, view_nets: dict[s
     by cases, a missing value counting as 0."""
     rows = None
     for label, net in view_nets.items():
-        own = assigned.where(F.col("label") == label)
+        own = assigned.where(F.col("label") == label).cache()
         size = own.agg(F.sum("n_cases").alias("n_cases"))
         for model, used in (("global", global_net), ("view", net)):
             one = model_quality(own, used).crossJoin(size).select(F.lit(label).alias("scope"), F.lit(model).alias("model"), "*")

@@ -1 +1,5 @@
+"""Registered queries, their oracles and the experiments."""
 
+from . import experiments, registry
+
+__all__ = ["experiments", "registry"]
