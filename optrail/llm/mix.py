@@ -33,10 +33,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
         .withColumn("full_before", F.coalesce(F.sum(full).over(before), F.lit(0.0)))
         .withColumn("weight_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("own_level", (F.col("budget") - F.col("full_before")) / F.col("weight_left"))
-        # the first source, in this order, that is not full sets the level of all after it
-        .withColumn("cut", F.min(F.when(F.col("level") > F.col("own_level"), F.struct("level", "own_level"))).over(everything))
+        # the first source, in this order, that is not full sets the level of all after it; of equals it has the highest
+        .withColumn("cut", F.min(F.when(F.col("level") > F.col("own_level"), F.struct("level", (-F.col("own_level")).alias("below")))).over(everything))
     )
-    target = F.when(F.col("cut").isNull() | (F.col("level") < F.col("cut.level")), full).otherwise(F.least(full, F.col("weight") * F.col("cut.own_level")))
+    target = F.when(F.col("cut").isNull() | (F.col("level") < F.col("cut.level")), full).otherwise(F.least(full, F.col("weight") * -F.col("cut.below")))
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
