@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from optrail.llm.chunks import dedup_substrings
 from optrail.llm.common import bound_batches, materialize
 from optrail.llm.jaccard import join_near
-from optrail.llm.mix import mix_sources
+from optrail.llm.mix import in_mix_order, mix_sources
 from optrail.llm.queries import token_digests, toxicity_lexicon
 from optrail.llm.toxicity import score_toxicity
 
@@ -44,11 +44,9 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them."""
+    """The documents that the mix takes, as often as it takes them, in its order."""
     bound_batches(spark)
-    taken = mix_sources(docs).where("taken > 0").select("doc_id", F.col("source").alias("_source"), (F.col("taken") / F.col("size")).cast("int").alias("_times")).dropDuplicates(["doc_id", "_source"])
-    same = docs["doc_id"].eqNullSafe(taken["doc_id"]) & docs["source"].eqNullSafe(taken["_source"])
-    return docs.join(taken, same).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_round")).drop("_round")
+    return in_mix_order(docs, mix_sources(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

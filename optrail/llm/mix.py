@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize, words_count
 
-#: Slices of a unit of virtual time; a source's shuffled order has as many, by the leading 12 of 60 bits.
-FINISH_SLICES = 1 << 12
-
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size, weight, target) from one row (source, source_size) per source.
@@ -44,11 +41,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     """One row per document with the words that the mix takes from it.
 
     Every source's documents are shuffled by a seeded digest, once for ``most`` rounds. An entry's virtual
-    finish time is its source's running size divided by the source's target; entries are range-sorted by
-    finish time over all sources and taken, whole, while the running total before them is under the budget
-    (the sum of all targets). Both running sums are sums of earlier slices, of fixed number, plus a window
-    inside one slice, so neither a source nor the whole order meets in one task; only the slice in
-    which the budget ends is sorted row by row.
+    finish time is its source's running size divided by the source's target, taken at the entry's middle, for
+    documents are taken whole and by their ends every source would fall short by half a document. In that
+    order all sources together have served virtual time times the sum of all targets, so the total budget is
+    used up at time 1: entries before it are taken, and each source ends within half a document of its target.
+    ``in_mix_order`` range-sorts what is taken over all sources. A running size is the sum of earlier slices
+    of its source, of fixed number, plus a window inside one slice: no source meets in one task.
 
     Null text has size 0 and is never taken; null sources form one source; repeated rows with one doc_id
     are separate documents that share a place in the order; an empty table gives no rows. Columns of
@@ -69,24 +67,23 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
         .join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.slice") == F.col("p.slice")))
         .select("d.doc_id", "d.source", "d.size", "d.draw", "p.source_size", "p.weight", "p.target", (F.col("p.earlier") + F.col("d.within")).alias("reached"))
     )
-    placed = materialize(placed, "placed")
 
     def finish(nth: int):
-        return F.when(F.col("target") > 0, (F.col("reached") + F.lit(nth) * F.col("source_size")).cast("double") / F.col("target"))
-
-    entries = placed.where("size > 0 and target > 0").withColumn("finish", F.explode(F.array(*(finish(i) for i in range(most))))).withColumn("range", F.floor(F.least("finish", F.lit(2.0)) * FINISH_SLICES))
-    by_range = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    budget = targets.agg(F.sum("target").alias("budget"))
-    ranges = entries.groupBy("range").agg(F.sum("size").alias("here")).withColumn("earlier", F.coalesce(F.sum("here").over(by_range), F.lit(0))).crossJoin(budget)
-    last_range = ranges.where("earlier < budget").agg(F.max(F.struct("range", "earlier", "budget")).alias("last")).select("last.*")
-    in_order = Window.partitionBy("range").orderBy("finish", "draw", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    key = lambda at: F.struct(at.alias("finish"), F.col("draw").alias("draw"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
-    end = (
-        entries.join(F.broadcast(last_range), "range")
-        .withColumn("before", F.col("earlier") + F.coalesce(F.sum("size").over(in_order), F.lit(0)))
-        .where("before < budget")
-        .agg(F.max(key(F.col("finish"))).alias("end"))
-    )
-    taken = sum((F.when(key(finish(i)) <= F.col("end"), F.col("size")).otherwise(0) for i in range(most)), F.lit(0))
+        return F.when(F.col("target") > 0, (F.col("reached") + F.lit(nth) * F.col("source_size") - F.col("size") / 2) / F.col("target"))
+
+    taken = sum((F.when(finish(i) < 1.0, F.col("size")).otherwise(0) for i in range(most)), F.lit(0))
     taken = F.coalesce(F.when((F.col("size") > 0) & (F.col("target") > 0), taken), F.lit(0)).cast("long")
-    return placed.crossJoin(F.broadcast(end)).select("doc_id", "source", "size", "source_size", "weight", "target", finish(0).alias("finish"), taken.alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "weight", "target", finish(0).alias("finish"), taken.alias("taken"))
+
+
+def in_mix_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, as often as it takes them, range-sorted by virtual finish time.
+
+    Rows are told apart by doc_id and source; of several with the same, all go as the first one goes.
+    """
+    times = (F.col("taken") / F.col("size")).cast("int")
+    taken = mixed.where("taken > 0").groupBy("doc_id", F.col("source").alias("_source")).agg(F.min(F.struct("finish", times.alias("times"), (F.col("source_size") / F.col("target")).alias("step"))).alias("_t"))
+    same = docs["doc_id"].eqNullSafe(taken["doc_id"]) & docs["source"].eqNullSafe(taken["_source"])
+    rounds = F.transform(F.sequence(F.lit(0), F.col("_t.times") - 1), lambda r: F.col("_t.finish") + r * F.col("_t.step"))
+    rows = docs.join(taken, same).select(*(docs[c] for c in docs.columns), F.explode(rounds).alias("_finish"))
+    return rows.repartitionByRange("_finish").sortWithinPartitions("_finish").drop("_finish")

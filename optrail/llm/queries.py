@@ -97,7 +97,7 @@ levels AS (SELECT *, source_size * 2.0::DOUBLE AS full_size, source_size * 2.0::
 filled AS (
   SELECT *, (budget - coalesce(sum(full_size) OVER w, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0.0)) AS own_level FROM levels
   WINDOW w AS (ORDER BY level, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-cut AS (SELECT min(level) AS cut_level, arg_min(own_level, level) AS own FROM filled WHERE level > own_level),
+cut AS (SELECT min(level) AS cut_level, arg_min(own_level, {{'level': level, 'below': -own_level}}) AS own FROM filled WHERE level > own_level),
 targets AS (
   SELECT f.source, source_size, weight, CASE WHEN cut_level IS NULL OR level < cut_level THEN full_size ELSE least(full_size, weight * own) END AS target
   FROM filled f CROSS JOIN cut),
@@ -105,11 +105,9 @@ placed AS (
   SELECT d.doc_id, d.size, d.draw, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS reached
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 entries AS (
-  SELECT *, (reached + nth * source_size)::DOUBLE / target AS finish FROM placed, (VALUES (0), (1)) r(nth) WHERE size > 0 AND target > 0),
-ordered AS (
-  SELECT *, coalesce(sum(size) OVER (ORDER BY finish, draw, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM entries),
+  SELECT *, (reached + nth * source_size - size / 2.0::DOUBLE) / target AS finish FROM placed, (VALUES (0), (1)) r(nth) WHERE size > 0 AND target > 0),
 kept AS (
-  SELECT doc_id, sum(size) AS taken FROM ordered WHERE earlier < (SELECT sum(target) FROM targets) GROUP BY doc_id)
+  SELECT doc_id, sum(size) AS taken FROM entries WHERE finish < 1 GROUP BY doc_id)
 SELECT p.doc_id, p.size, p.source_size::BIGINT AS source_size, p.target, coalesce(k.taken, 0)::BIGINT AS taken FROM placed p LEFT JOIN kept k ON p.doc_id IS NOT DISTINCT FROM k.doc_id
 """
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from optrail.llm.common import connected_components
-from optrail.llm.mix import mix_sources, source_targets
+from optrail.llm.mix import in_mix_order, mix_sources, source_targets
 
 SCHEMA = "doc_id long, text string, source string, size int"
 
@@ -50,19 +50,28 @@ def test_mix(spark, rows):
     for r in rows:
         total[r[2]] = total.get(r[2], 0) + size[r[0]]
     target = targets_of(total)
-    # one queue of all entries by finish time; whole documents are taken while the total before is under the budget
-    entries = sorted((finish, -1 if r.doc_id is None else r.doc_id, r.size) for r in got for finish in ([r.finish, r.finish + r.source_size / r.target] if r.target and r.size else []))
-    before, want = 0, {}
-    for _, k, n in entries:
-        if before < sum(target.values()):
-            want[k] = want.get(k, 0) + n
-        before += n
+    want = {}
+    for s in total:  # one queue for each source, in the order of the shuffle: whole documents whose middle is before the target
+        own, reached = sorted((r.finish, -1 if r.doc_id is None else r.doc_id, r.size) for r in got if r.source == s and r.target and r.size), 0
+        for _, k, n in own * 2:
+            if reached + n / 2 < target[s]:
+                want[k] = want.get(k, 0) + n
+            reached += n
     for r in got:
         assert r.size == size[r.doc_id] and r.source_size == total[r.source] and abs(r.target - target[r.source]) < 1e-6 * max(1, r.target)
         assert r.taken in (0, r.size, 2 * r.size) and r.taken == want.get(-1 if r.doc_id is None else r.doc_id, 0)
     for s in total:
         largest = max(size[r[0]] for r in rows if r[2] == s)
-        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= 2 * largest
+        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= largest / 2 + 1e-6
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = in_mix_order(df, mix_sources(df)).collect()
+    times = {}
+    for r in out:
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert times == {r.doc_id: r.taken // r.size for r in got if r.taken}
+    place = {r.doc_id: r.finish for r in got}
+    first = list(dict.fromkeys(r.doc_id for r in out))
+    assert [place[k] for k in first] == sorted(place[k] for k in first)
     again = mix_sources(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert sorted((r.doc_id or -1, r.taken) for r in again) == sorted((r.doc_id or -1, r.taken) for r in got)
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
