@@ -22,7 +22,7 @@ from ..sources import synth as sy
 from ..sources.logs import derived_traces
 from .registry import query, user_label
 
-T = F.col("trace")
+T = "trace"
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -109,7 +109,7 @@ ORACLES: dict[str, str] = {
         "SELECT trace, count(*)::BIGINT AS n_cases, min(case_id) AS first_ord FROM pt GROUP BY trace",
     ),
     "split_enabled_parse": "SELECT event_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(concat_ws(' | ', event_type, ' ', CASE WHEN event_id % 2 = 0 THEN 'view ' END, event_type, ''), '|'), lambda x: trim(x)), lambda x: x <> ''))), ',') AS en FROM events",
-    "event_records": _log("SELECT case_id, a, strftime(TIMESTAMP '2000-01-01' + to_minutes(pos - 1), '%Y-%m-%d %H:%M:%S') AS at, array_to_string(en, ', ') AS en FROM ev"),
+    "event_records": _log("SELECT case_id, a, strftime(TIMESTAMP '2000-01-01' + to_minutes(pos - 1), '%Y-%m-%d %H:%M:%S') AS stamp, array_to_string(en, ', ') AS en FROM ev"),
     "successor_enabled": _log("SELECT a, array_to_string(en, ',') AS en, array_to_string(nx, ',') AS nx, sum(n_cases)::BIGINT AS n_cases FROM rep GROUP BY ALL"),
     "local_choice": _log("SELECT array_to_string(c, ',') AS choice, array_to_string(k, ',') AS kept, sum(n_cases)::BIGINT AS n_cases FROM rep GROUP BY ALL"),
     "local_block": _log("SELECT CASE WHEN len(c) = 1 THEN c[1] ELSE 'xor(' || array_to_string(c, ', ') || ')' END AS block, sum(n_cases)::BIGINT AS n_cases FROM rep GROUP BY 1"),

@@ -16,7 +16,7 @@ from ..operators import relations as rel
 from ..operators import views as vw
 from ..sources.logs import derived_traces, order_traces, top_groups
 
-T, V = F.col("trace"), F.col
+T, V = "trace", F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -103,7 +103,7 @@ def event_records(spark, sf_dir):
     from ..sources.logs import event_records as records
 
     r = records(derived_traces(spark, sf_dir))
-    return r.select(V("`case:concept:name`").alias("case_id"), V("`concept:name`").alias("a"), F.date_format("`time:timestamp`", "yyyy-MM-dd HH:mm:ss").alias("at"), V("enabled_activities").alias("en"))
+    return r.select(V("`case:concept:name`").alias("case_id"), V("`concept:name`").alias("a"), F.date_format("`time:timestamp`", "yyyy-MM-dd HH:mm:ss").alias("stamp"), V("enabled_activities").alias("en"))
 
 
 @query
