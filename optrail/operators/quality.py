@@ -194,3 +194,21 @@ def view_minus_global(rows: DataFrame) -> DataFrame:
     metrics = [c for c in rows.columns if c not in ("scope", "model", "n_cases")]
     long = total.select("model", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in metrics))).alias("x")).select("model", "x.*")
     return long.groupBy("metric").agg(F.round(F.sum(F.when(F.col("model") == "view", F.col("value")).otherwise(-F.col("value"))), 6).alias("difference"))
+
+
+def weighted_model_quality(grouped: DataFrame, nets: dict[str, PetriNet]) -> DataFrame:
+    """One row over (group_id, trace, n_cases): metrics of each group's own model weighted by its share of all cases.
+
+    A group without a model counts in the total but adds nothing; f1 is that of the weighted fitness and precision.
+    """
+    total = grouped.agg(F.sum("n_cases").alias("total"))
+    rows = None
+    for group, net in nets.items():
+        own = grouped.where(F.col("group_id") == group).cache()
+        one = model_quality(own, net).crossJoin(own.agg(F.sum("n_cases").alias("n_cases")))
+        rows = one if rows is None else rows.union(one)
+    metrics = [c for c in rows.columns if c not in ("f1", "n_cases")]
+    share = lambda c: F.sum(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) * F.col("n_cases"))
+    mean = rows.agg(*(share(c).alias(c) for c in metrics)).crossJoin(total).select(*(F.round(F.col(c) / F.col("total"), 6).alias(c) for c in metrics))
+    f1 = F.when((F.col("fitness") <= 0) | (F.col("precision") <= 0), 0.0).otherwise(2 * F.col("fitness") * F.col("precision") / (F.col("fitness") + F.col("precision")))
+    return mean.withColumn("f1", F.round(f1, 6))

@@ -301,3 +301,26 @@ def test_stream_of_closed_cases(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.case_id, r.kappa) for r in spark.table("closed").collect()} == {("c1", "seq(a, xor(b, c))"), ("c2", "a")}
+
+
+def test_sql_surface_and_weighted_quality(spark, example):
+    from optrail.plans.sql import register
+
+    register(sy.running_example(spark), "ex_")
+    assert spark.sql("SELECT count(DISTINCT kappa) AS n FROM ex_variants").first().n == 3
+    assert spark.sql("SELECT sum(w) AS n FROM ex_edges WHERE kind = 'start'").first().n == 6
+    views = vw.induce_views(example)
+    grouped = vw.assign_views(example, views).select(F.col("label").alias("group_id"), "trace", "n_cases")
+    nets = {r.label: model.net_of(miner.view_tree(r.kappa, example)) for r in views.where("label <> 'C3'").collect()}
+    q = quality.weighted_model_quality(grouped, nets).first()
+    assert q.fitness == 0.666667 and 0 < q.precision <= q.fitness
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from optrail.__main__ import main
+
+    logs.export_csv(sy.running_example(spark).coalesce(1), str(tmp_path / "log.csv"))
+    monkeypatch.setattr("sys.argv", ["optrail", str(tmp_path / "log.csv"), str(tmp_path / "out")])
+    main()
+    assert capsys.readouterr().out.count("seq(") == 3
+    assert lg.traces_of(logs.load_xes(spark, str(tmp_path / "out" / "C1"))).count() == 2
