@@ -40,6 +40,16 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int, most: int, salt: str) -> DataFrame:
+    """At most ``most`` of the ``rows`` rows of ``df``, those of smallest hash of the key. Rows beyond twice the
+    share that is wanted are dropped where they are read, so partitions send no more than their part."""
+    draw = F.xxhash64(F.lit(salt), key)
+    if rows > 2 * most:
+        df = df.where(F.pmod(draw, F.lit(1 << 30)) < int(2 * most / rows * (1 << 30)))
+        draw = F.pmod(draw, F.lit(1 << 30))
+    return df.orderBy(draw, key).limit(most)
+
+
 #: Rows that Spark hands to a Python worker at a time, at most: texts can be long.
 BATCH_ROWS = 1000
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .caps import usable
-from .common import batch_of, lean, lean_group, materialize
+from .common import batch_of, bounded_sample, lean, lean_group, materialize
 
 #: Rows that the rotations and radii are fitted on at most: those of smallest hash of the key.
 SAMPLE = 4096
@@ -153,7 +153,7 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
 def search_length(rows: DataFrame, fact: dict, dtype: type, k: int, block: int) -> DataFrame:
     """Up to ``k`` rows found for each query and block."""
     spark = rows.sparkSession
-    sample = rows.select("id", "raw").orderBy(F.xxhash64(F.lit("fit"), "id"), "id").limit(SAMPLE).collect()
+    sample = bounded_sample(rows.select("id", "raw"), "id", fact["n"], SAMPLE, "fit").collect()
     base, base_ids = unpack([bytes(r.raw) for r in sample], dtype), np.array([r.id for r in sample])
     shared = spark.sparkContext.broadcast((fit_rotations(base), base, base_ids))
     low, high = fact["low"], fact["high"]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, lean, schema_of, schema_text
+from .common import batch_of, bounded_sample, lean, schema_of, schema_text
 
 # Letters that look like Latin ones, and digits or signs that stand for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһкмтвнαορεικνυτχвзгпԛԝ", "aeopcyxijsdhkmtbhaopeiknytxbegnqw", strict=True))
@@ -105,7 +105,7 @@ def labelled_sample(labels: DataFrame, most: int, mark: str = "toxic") -> DataFr
     """At most ``most`` (doc_id, mark) rows, one per document, those of smallest digest of the id: the bound
     of what is learned from and of what is broadcast. Nulls and ids with two marks are left out."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col(mark).isin(0, 1)).groupBy("doc_id").agg(F.min(mark).alias("mark"), F.max(mark).alias("_most")).where("mark = _most")
-    return one.select("doc_id", "mark").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(most)
+    return bounded_sample(one.select("doc_id", "mark"), "doc_id", labels.count(), most, "sample")
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, most: int = 200_000, support: int = 3, margin: float = 2.5) -> Lexicon:
