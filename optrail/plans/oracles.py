@@ -2,14 +2,14 @@
 
 #: The derived log: ev(case_id, pos, a, en), st adds the following set nx, the choice set c and what is kept k.
 EV = """
-ev0 AS (SELECT user_id::VARCHAR || '-' || strftime(ts, '%Y%m%d') AS case_id, ts, event_id, event_type AS a FROM events),
+ev0 AS (SELECT user_id::VARCHAR || '-' || strftime(ts, '%Y%m%d') AS case_id, user_id * 100000000 + strftime(ts, '%Y%m%d')::BIGINT AS ord, ts, event_id, event_type AS a FROM events),
 ev1 AS (SELECT *, lead(a) OVER w AS nxt, row_number() OVER w AS pos FROM ev0 WINDOW w AS (PARTITION BY case_id ORDER BY ts, event_id)),
-ev AS (SELECT case_id, pos::INT AS pos, a, list_sort(list_distinct(list_filter([a, nxt, CASE WHEN event_id % 3 = 0 THEN (['click', 'error', 'purchase', 'signup', 'view'])[(event_id % 5)::INT + 1] END], lambda x: x IS NOT NULL))) AS en FROM ev1),
+ev AS (SELECT case_id, ord, pos::INT AS pos, a, list_sort(list_distinct(list_filter([a, nxt, CASE WHEN event_id % 3 = 0 THEN (['click', 'error', 'purchase', 'signup', 'view'])[(event_id % 5)::INT + 1] END], lambda x: x IS NOT NULL))) AS en FROM ev1),
 st0 AS (SELECT *, coalesce(lead(en) OVER (PARTITION BY case_id ORDER BY pos), []::VARCHAR[]) AS nx, lead(a) OVER (PARTITION BY case_id ORDER BY pos) AS next_a, count(*) OVER (PARTITION BY case_id) AS len FROM ev),
 st AS (SELECT *, list_sort(list_distinct(list_concat([a], list_filter(en, lambda x: NOT list_contains(nx, x))))) AS c, list_filter(en, lambda x: list_contains(nx, x)) AS k FROM st0),
-tr AS (SELECT case_id, string_agg(a || '{' || array_to_string(en, ',') || '}', ' ' ORDER BY pos) AS trace, string_agg(a, ' -> ' ORDER BY pos) AS variant, max(pos) AS len FROM ev GROUP BY case_id),
-va AS (SELECT trace, any_value(variant) AS variant, any_value(len) AS len, count(*)::BIGINT AS n_cases, min(case_id) AS first_ord FROM tr GROUP BY trace),
-rep AS (SELECT va.*, st.pos, st.a, st.en, st.nx, st.next_a, st.c, st.k FROM va JOIN st ON st.case_id = va.first_ord),
+tr AS (SELECT case_id, any_value(ord) AS ord, string_agg(a || '{' || array_to_string(en, ',') || '}', ' ' ORDER BY pos) AS trace, string_agg(a, ' -> ' ORDER BY pos) AS variant, max(pos) AS len FROM ev GROUP BY case_id),
+va AS (SELECT trace, any_value(variant) AS variant, any_value(len) AS len, count(*)::BIGINT AS n_cases, min(ord)::BIGINT AS first_ord, arg_min(case_id, ord) AS rep_case FROM tr GROUP BY trace),
+rep AS (SELECT va.*, st.pos, st.a, st.en, st.nx, st.next_a, st.c, st.k FROM va JOIN st ON st.case_id = va.rep_case),
 """
 
 
@@ -105,8 +105,8 @@ ORACLES: dict[str, str] = {
     "executed_activities": _log("SELECT DISTINCT a FROM ev"),
     "sublog_top_views": _kappa("SELECT trace, vk.n_cases FROM vk JOIN vw ON vw.kappa = vk.kappa WHERE label IN ('C1', 'C2', 'C3')"),
     "project_log": _more(
-        "pe AS (SELECT case_id, pos, a, list_filter(en, lambda x: x IN ('click', 'purchase', 'view')) AS en FROM ev WHERE a IN ('click', 'purchase', 'view')), pt AS (SELECT tr.case_id, coalesce(string_agg(pe.a || '{' || array_to_string(pe.en, ',') || '}', ' ' ORDER BY pe.pos), '') AS trace FROM tr LEFT JOIN pe ON pe.case_id = tr.case_id GROUP BY tr.case_id)",
-        "SELECT trace, count(*)::BIGINT AS n_cases, min(case_id) AS first_ord FROM pt GROUP BY trace",
+        "pe AS (SELECT case_id, pos, a, list_filter(en, lambda x: x IN ('click', 'purchase', 'view')) AS en FROM ev WHERE a IN ('click', 'purchase', 'view')), pt AS (SELECT tr.ord, coalesce(string_agg(pe.a || '{' || array_to_string(pe.en, ',') || '}', ' ' ORDER BY pe.pos), '') AS trace FROM tr LEFT JOIN pe ON pe.case_id = tr.case_id GROUP BY tr.ord)",
+        "SELECT trace, count(*)::BIGINT AS n_cases, min(ord)::BIGINT AS first_ord FROM pt GROUP BY trace",
     ),
     "split_enabled_parse": "SELECT event_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(concat_ws(' | ', event_type, ' ', CASE WHEN event_id % 2 = 0 THEN 'view ' END, event_type, ''), '|'), lambda x: trim(x)), lambda x: x <> ''))), ',') AS en FROM events",
     "event_records": _log("SELECT case_id, a, strftime(TIMESTAMP '2000-01-01' + to_minutes(pos - 1), '%Y-%m-%d %H:%M:%S') AS stamp, array_to_string(en, ', ') AS en FROM ev"),

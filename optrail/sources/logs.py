@@ -105,9 +105,12 @@ def sequences_of(cases: DataFrame) -> DataFrame:
 
 def derived_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log derived from table `events`: a case is a user's day, ordered by time; enabled are the activity, the next one of
-    the case, and for every third event a decoy. One shuffle, no window: the case is an array before sets are made."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("case_id"), "ts", "event_id", "event_type")
-    cases = raw.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
+    the case, and for every third event a decoy. One shuffle, no window: the case is an array before sets are made. Cases are
+    keyed and ordered by one number, user and day, so later minima stay in hash aggregates."""
+    day = F.year("ts") * 10000 + F.month("ts") * 100 + F.dayofmonth("ts")
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") * 100_000_000 + day).cast("long").alias("case_ord"), "ts", "event_id", "event_type")
+    cases = raw.groupBy("case_ord").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
+    case_id = F.concat(F.floor(F.col("case_ord") / 100_000_000).cast("string"), F.lit("-"), (F.col("case_ord") % 100_000_000).cast("string"))
     decoys = F.array(*(F.lit(x) for x in EVENT_TYPES))
 
     def event(e, i):
@@ -115,7 +118,7 @@ def derived_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         decoy = F.when(e["event_id"] % 3 == 0, F.element_at(decoys, (e["event_id"] % len(EVENT_TYPES)).cast("int") + 1))
         return F.struct(e["event_type"].alias("a"), F.array_sort(F.array_distinct(F.array_compact(F.array(e["event_type"], following, decoy)))).alias("en"))
 
-    return cases.select("case_id", F.col("case_id").alias("case_ord"), F.transform("e", event).alias("trace"))
+    return cases.select(case_id.alias("case_id"), "case_ord", F.transform("e", event).alias("trace"))
 
 
 def order_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
