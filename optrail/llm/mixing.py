@@ -3,7 +3,8 @@
 A text is its words, bytes ended by a space each, and one end token. A byte is coded in binary decisions: five bits for the 31 most
 frequent bytes, an escape and eight bits for others. Each decision is predicted by six counted contexts (class and place,
 one to four bytes before, and the word so far), whose log-odds are mixed by weights that a gate selects and refined by
-a table over the mixed value. A token's probability mixes this coder with its share of the training tokens and, adaptively,
+a table over the mixed value. Weights and table are fitted on all training tokens, each taken out of its own counts, by
+Newton's steps over sums of gradients and curvatures. A token's probability mixes this coder with its share of the training tokens and, adaptively,
 of the text's own earlier tokens. Counts are of all training text. A text's class, such as its language, is not known to the coder:
 its probability is the mixture over classes, which weighs them by the words before, token by token. As contexts end
 at a word's border, a word's bits are computed once for each class, not once for each occurrence.
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 from .common import batch_of, bounded_sample, lean, lean_group, materialize
 from .hashing import mix
 
-#: Latent classes of texts, fitted on so many training texts at most.
-CLASSES, CLASS_SAMPLE = 4, 2000
+#: Latent classes of texts; so many training texts give the centres from which CLASS_ROUNDS rounds over all training texts start.
+CLASSES, CLASS_START, CLASS_ROUNDS = 4, 2000, 3
 #: Hashed contexts of each predictor: 2**TABLE_BITS counter pairs, of fixed size.
 TABLE_BITS, ORDERS = 18, 5
-#: Tokens, drawn by their frequency, on which the mixing weights are trained online.
-WEIGHT_SAMPLE = 20_000
+#: Passes over all training tokens that fit the mixing weights; one more fits the refining table.
+WEIGHT_PASSES = 3
 #: Depth in bytes up to which words share exact counts of the word so far; from PREFIX_FROM on they share a bucket.
 PREFIX_FROM, PREFIX_TO = 4, 32
 #: Texts whose words are indexed together.
@@ -45,6 +46,7 @@ END = b"\n"
 
 FACTS = (("kind", "int"), ("g", "long"), ("k", "long"), ("held", "boolean"), ("cls", "int"), ("size", "long"), ("bucket", "int"), ("words", "binary"), ("numbers", "binary"), ("places", "binary"))
 VOCABULARY = (("bucket", "int"), ("words", "binary"), ("counts", "binary"), ("tokens", "binary"), ("once", "binary"), ("known", "long"), ("bytes", "binary"))
+SUMS, SUMS_DDL = (("part", "int"), ("sums", "binary")), "part int, sums binary"
 SCORES = (("bucket", "int"), ("words", "binary"), ("counts", "binary"), ("logs", "binary"))
 REPLIES = (("g", "long"), ("places", "binary"), ("counts", "binary"), ("logs", "binary"))
 
@@ -77,6 +79,34 @@ def fit_classes(texts: list[str]) -> np.ndarray:
     return c
 
 
+def refit_classes(texts: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """Centres after CLASS_ROUNDS rounds of means over all ``texts`` (t)."""
+    for _ in range(CLASS_ROUNDS):
+
+        def run(batches: Iterator[pa.RecordBatch], c: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(c.shape)
+            for batch in batches:
+                for text in batch.column(0):
+                    x = profile(text.as_py())
+                    total[int(np.argmax(c @ x))] += x
+            yield batch_of([(k, row.tobytes()) for k, row in enumerate(total) if row.any()], SUMS)
+
+        for r in summed(texts.mapInArrow(lean(run), SUMS_DDL)):
+            mean = np.frombuffer(bytes(r.sums))
+            centres[r.part] = mean / max(float(np.linalg.norm(mean)), 1e-9)
+    return centres
+
+
+def summed(parts: DataFrame) -> list:
+    """(part, sums) with the vectors of doubles of each part added up: as many rows as there are parts."""
+
+    def both(table: pa.Table) -> pa.Table:
+        vectors = sorted(x.as_py() for x in table.column("sums"))
+        return pa.table({"part": table.column("part").slice(0, 1), "sums": pa.array([np.sum([np.frombuffer(x) for x in vectors], 0).tobytes()])})
+
+    return parts.groupBy("part").applyInArrow(lean_group(both), SUMS_DDL).collect()
+
+
 def index_texts(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFrame:
     """Kind 0: a row for each text with its class if it trains and its words by number; kind 1: numbered words of a group
     of texts, dealt to buckets by their first bytes, with training counts by class."""
@@ -302,7 +332,7 @@ def count_contexts(vocabulary: DataFrame, coder: Coder) -> np.ndarray:
 
 
 class Mixer:
-    """Weights by gate, trained online bit by bit in small steps, and a table that refines the mixed log-odds."""
+    """Weights by gate, and a table that refines the mixed log-odds."""
 
     STEPS = 24
 
@@ -325,64 +355,87 @@ class Mixer:
         table = self.refined[gate, low] * (1 - part) + self.refined[gate, low + 1] * part
         return (z + table) / 2
 
-    def train(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray, rounds: int = 3, seed: int = 2) -> None:
-        rng = np.random.default_rng(seed)
-        for r in range(rounds):
-            for at in np.array_split(rng.permutation(len(bit)), max(1, len(bit) // 512)):
-                z = self.mixed(x[:, at], gate[at])
-                error = (bit[at] - 1 / (1 + np.exp(-z))) * weight[at]
-                step = np.zeros_like(self.weights)
-                np.add.at(step, gate[at], (error * x[:, at]).T)
-                self.weights += 0.02 / (1 + r) * step / np.sqrt(1 + np.bincount(gate[at], weight[at] ** 2, GATES))[:, None]
-                low = (z + 12).astype(np.int64)
-                part = z + 12 - low
-                g, w = gate[at], weight[at]
-                table = self.refined[g, low] * (1 - part) + self.refined[g, low + 1] * part
-                left = (bit[at] - 1 / (1 + np.exp(-table))) * w
-                move, seen = np.zeros_like(self.refined), np.full_like(self.refined, 1e-3)
-                for side, share in ((0, 1 - part), (1, part)):
-                    np.add.at(move, (g, low + side), left * share)
-                    np.add.at(seen, (g, low + side), w * share)
-                self.refined = np.clip(self.refined + 0.2 / (1 + r) * move / np.maximum(seen, w.mean()), -12, 12)
-
-
-def weight_sample(vocabulary: DataFrame, tables, coder: Coder, tokens: int) -> tuple[np.ndarray, ...]:
-    """Inputs, gates, bits and weights of the decisions of about WEIGHT_SAMPLE tokens, each taken out of its own counts."""
-    rate = WEIGHT_SAMPLE / max(tokens, 1)
+    def sums(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """For each gate, over weighted decisions: loss, gradient and curvature of the weights, then gradient, curvature
+        and curvature with the next knot of the table."""
+        n, knots = ORDERS + 2, self.STEPS + 1
+        out = np.zeros((GATES, 1 + n + n * n + 3 * knots))
+        z = self.mixed(x, gate)
+        low = (z + 12).astype(np.int64)
+        part = z + 12 - low
+        guess = 1 / (1 + np.exp(-z))
+        error, curve = (bit - guess) * weight, guess * (1 - guess) * weight
+        out[:, 0] = np.bincount(gate, np.log1p(np.exp(np.where(bit == 1, -z, z))) * weight, GATES)
+        order = np.argsort(gate, kind="stable")
+        cuts = np.searchsorted(gate[order], np.arange(GATES + 1))
+        for g in np.flatnonzero(np.diff(cuts)):
+            own = order[cuts[g] : cuts[g + 1]]
+            v = x[:, own].astype(float)
+            out[g, 1 : 1 + n] = v @ error[own]
+            out[g, 1 + n : 1 + n + n * n] = ((v * curve[own]) @ v.T).ravel()
+        at = gate * knots + low
+        grid = lambda side, values: np.bincount(at + side, values, GATES * knots).reshape(GATES, knots)
+        out[:, -3 * knots : -2 * knots] = grid(0, error * (1 - part)) + grid(1, error * part)
+        out[:, -2 * knots : -knots] = grid(0, curve * (1 - part) ** 2) + grid(1, curve * part**2)
+        out[:, -knots:] = grid(0, curve * part * (1 - part))
+        return out
+
+    def fit(self, sums_of) -> None:
+        """WEIGHT_PASSES steps of Newton's method for each gate's weights and one for its table; ``sums_of`` gives ``sums``
+        over all decisions. Where a step made the loss larger, half of it is taken back."""
+        n, knots = ORDERS + 2, self.STEPS + 1
+        best, least = self.weights.copy(), np.full(GATES, np.inf)
+        for left in range(WEIGHT_PASSES, -1, -1):
+            got = sums_of(self)
+            worse = got[:, 0] > least
+            least, tried = np.minimum(least, got[:, 0]), self.weights.copy()
+            best[~worse] = tried[~worse]
+            if left:
+                step = np.linalg.solve(got[:, 1 + n : 1 + n + n * n].reshape(GATES, n, n) + np.eye(n), got[:, 1 : 1 + n, None])[:, :, 0]
+                self.weights = np.where(worse[:, None], (best + tried) / 2, best + np.clip(step, -1, 1)).astype(np.float32)
+        self.weights = best
+        move, curve, beside = (got[:, got.shape[1] - i * knots : got.shape[1] - (i - 1) * knots or None] for i in (3, 2, 1))
+        for g in np.flatnonzero(~worse):
+            bands = np.diag(curve[g] + 0.25) + np.diag(beside[g, :-1], 1) + np.diag(beside[g, :-1], -1)
+            self.refined[g] = np.clip(self.refined[g] + np.clip(np.linalg.solve(bands, move[g]), -2, 2), -12, 12)
+
+
+def training_decisions(words: list[bytes], count: np.ndarray, tables: np.ndarray, coder: Coder) -> Iterator[tuple[np.ndarray, ...]]:
+    """Inputs, gates, bits and weights of the decisions of all training tokens of the words: equal tokens of a class are
+    one weighted decision, each taken out of its own counts."""
+    data, starts, place = flat(words)
+    weight = np.repeat(count, np.diff(np.append(starts, len(data))), axis=0).astype(float)
+    held = [contexts(data, place, k) for k in range(CLASSES)]
+    for rows, node, bit, ones, seen in Prefixes(data, starts, place).levels(coder.decisions(data), weight):
+        for k in range(CLASSES):
+            own = np.flatnonzero(weight[rows, k])
+            if len(own):
+                r, n = rows[own], seen[k, own]
+                x = inputs(tables, held[k], r, node[own], bit[own], ones[k, own], n, 1.0)
+                yield x, gate_of(np.where(n >= 0, n - 1, 0), place[r]), bit[own], weight[r, k]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tables.value
-        for batch in batches:
-            for words, counts in zip(batch.column("words"), batch.column("counts"), strict=True):
-                names = words.as_py().split(b" ")
-                count = np.frombuffer(counts.as_py(), np.int64).reshape(-1, CLASSES)
-                total = count.sum(1)
-                draw = np.array([crc32(w, 7) / 2**32 for w in names])
-                picked = np.flatnonzero((draw < total * rate) & (total > 0))
-                if not len(picked):
-                    continue
-                data, starts, place = flat(names)
-                length = np.diff(np.append(starts, len(data)))
-                cls = np.array([int(np.searchsorted(np.cumsum(count[i]), crc32(names[i], 9) % total[i], "right")) for i in picked])
-                chosen = np.full(len(names), -1)
-                chosen[picked] = cls
-                at_class = np.repeat(chosen, length)
-                worth = np.repeat(np.maximum(1.0, total * rate), length)
-                out = []
-                held = contexts(data, place, np.maximum(at_class, 0))
-                for rows, node, bit, ones, seen in Prefixes(data, starts, place).levels(coder.decisions(data), np.repeat(count, length, axis=0).astype(float)):
-                    own = np.flatnonzero(at_class[rows] >= 0)
-                    k, r = at_class[rows[own]], rows[own]
-                    n1, n = ones[k, own], seen[k, own]
-                    x = inputs(table, held, r, node[own], bit[own], n1, n, 1.0)
-                    out.append((x, gate_of(np.where(n >= 0, n - 1, 0), place[r]), bit[own], worth[r]))
-                yield batch_of([(np.concatenate([o[0] for o in out], 1).astype("<f4").tobytes(), *(np.concatenate([o[i] for o in out]).astype("<f4").tobytes() for i in (1, 2, 3)))], (("x", "binary"), ("gate", "binary"), ("bit", "binary"), ("weight", "binary")))
-
-    got = vocabulary.select("words", "counts").mapInArrow(lean(run), "x binary, gate binary, bit binary, weight binary").collect()
-    read = lambda c: [np.frombuffer(bytes(r[c]), "<f4") for r in got]
-    if not got:
-        return np.zeros((ORDERS + 2, 0), np.float32), np.zeros(0, int), np.zeros(0), np.zeros(0)
-    return np.concatenate([x.reshape(ORDERS + 2, -1) for x in read("x")], 1), np.concatenate(read("gate")).astype(int), np.concatenate(read("bit")), np.concatenate(read("weight"))
+
+def fit_mixer(vocabulary: DataFrame, tables, coder: Coder) -> Mixer:
+    """The mixer fitted on all training tokens; what reaches the driver has the fixed size of ``Mixer.sums``."""
+
+    def sums_of(mixer: Mixer) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, table = 0.0, tables.value
+            for batch in batches:
+                for words, counts in zip(batch.column("words"), batch.column("counts"), strict=True):
+                    count = np.frombuffer(counts.as_py(), np.int64).reshape(-1, CLASSES)
+                    for decisions in training_decisions(words.as_py().split(b" "), count, table, coder):
+                        total = total + mixer.sums(*decisions)
+            yield batch_of([(g, row.tobytes()) for g, row in enumerate(total) if row.any()] if np.ndim(total) else [], SUMS)
+
+        out = np.zeros((GATES, 1 + (ORDERS + 2) * (ORDERS + 3) + 3 * (Mixer.STEPS + 1)))
+        for r in summed(vocabulary.select("words", "counts").mapInArrow(lean(run), SUMS_DDL)):
+            out[r.part] = np.frombuffer(bytes(r.sums))
+        return out
+
+    mixer = Mixer()
+    mixer.fit(sums_of)
+    return mixer
 
 
 def score_words(vocabulary: DataFrame, tables, mixer, coder: Coder, size: np.ndarray, fresh: np.ndarray) -> DataFrame:
@@ -446,8 +499,8 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     names = f"{key} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     if not facts_of.n:
         return spark.createDataFrame([], names)
-    sample = [r.t for r in bounded_sample(rows.where("not held and t is not null").select("k", "t"), "k", facts_of.n, CLASS_SAMPLE, "classes").collect()]
-    classes = fit_classes(sample)
+    sample = [r.t for r in bounded_sample(rows.where("not held and t is not null").select("k", "t"), "k", facts_of.n, CLASS_START, "classes").collect()]
+    classes = refit_classes(rows.where("not held and t is not null").select("t"), fit_classes(sample))
     buckets = max(BUCKETS, (facts_of.size or 0) // (16 << 20))
     facts = index_texts(rows, classes, buckets)
     vocabulary = unite_words(facts)
@@ -459,8 +512,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     priors = {r.cls: r["count"] for r in facts.where("kind = 0 and cls >= 0").groupBy("cls").count().collect()}
     prior = np.log(np.array([priors.get(k, 0) + 1 for k in range(CLASSES)]) / (sum(priors.values()) + CLASSES))
     tables = spark.sparkContext.broadcast(count_contexts(vocabulary, coder))
-    trained = Mixer()
-    trained.train(*weight_sample(vocabulary, tables, coder, tokens))
+    trained = fit_mixer(vocabulary, tables, coder)
     scores = score_words(vocabulary, tables, spark.sparkContext.broadcast(trained), coder, size, fresh)
     replies = answer(facts, scores)
     least = tokens + 0.5 * (distinct + 1)

@@ -119,3 +119,33 @@ def test_prefix_counts_by_brute_force():
 
 def test_earlier_in_text():
     assert earlier_in_text(np.array([3, 1, 3, 3, 1, 2])).tolist() == [0, 0, 1, 2, 1, 0]
+
+
+def test_mixer_is_fitted_on_all_training_tokens():
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))).encode() for _ in range(400)})
+    count = np.random.default_rng(4).integers(0, 80, (len(words), mixing.CLASSES))
+    coder, tables = Coder([97, 98, 99, 100, 101, 102, 103, 104, 32]), np.ones((mixing.ORDERS, 2, 1 << mixing.TABLE_BITS), np.float32)
+    decisions = list(mixing.training_decisions(words, count, tables, coder))
+    data, starts, _ = flat(words)
+    assert sum(w.sum() for _, _, _, w in decisions[: mixing.CLASSES]) == (count.sum(1) * np.diff(np.append(starts, len(data)))).sum() > 20_000
+    sums_of = lambda m: sum(m.sums(*d) for d in decisions)
+    fitted = mixing.Mixer()
+    before = sums_of(fitted)
+    fitted.fit(sums_of)
+    after = sums_of(fitted)
+    n = mixing.ORDERS + 2
+    assert after[:, 0].sum() < before[:, 0].sum()
+    assert np.abs(after[:, 1 : 1 + n]).sum() < 0.05 * np.abs(before[:, 1 : 1 + n]).sum()
+
+
+def test_classes_are_means_of_all_texts(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(("abcd", "efgh", "ijkl", "mnop")[i % 4]) for _ in range(40)) for i in range(2600)]
+    start = mixing.fit_classes(texts[:8])
+    got = mixing.refit_classes(spark.createDataFrame([(t,) for t in texts], "t string"), start.copy())
+    x = np.stack([mixing.profile(t) for t in texts])
+    for _ in range(mixing.CLASS_ROUNDS):
+        own = np.argmax(x @ start.T, 1)
+        start = np.stack([x[own == k].sum(0) / np.linalg.norm(x[own == k].sum(0)) for k in range(mixing.CLASSES)])
+    assert np.allclose(got, start, atol=1e-4)
