@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .features import context_vectors, control_flow_tokens, enabled_tokens, standardised
 
-#: Traces that Ward's method and the exact silhouette take at most: both need all distances.
-WARD_MOST = 5000
+#: Distinct traces that the exact silhouette takes at most: it needs all distances.
+SILHOUETTE_MOST = 5000
 #: Restarts of k-means; the best by cost is kept.
 STARTS = 10
 
@@ -30,19 +30,25 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 
 def _bounded(vectors: DataFrame) -> tuple[list, np.ndarray]:
-    rows = vectors.select("trace_id", "features").orderBy("trace_id").limit(WARD_MOST + 1).collect()
-    if len(rows) > WARD_MOST:
-        raise ValueError(f"more than {WARD_MOST} distinct traces; use k-means")
+    rows = vectors.select("trace_id", "features").orderBy("trace_id").limit(SILHOUETTE_MOST + 1).collect()
+    if len(rows) > SILHOUETTE_MOST:
+        raise ValueError(f"more than {SILHOUETTE_MOST} distinct traces; give k")
     return [r.trace_id for r in rows], np.array([r.features for r in rows], float)
 
 
 def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
-    """Ward's agglomeration by nearest-neighbour chains over squared distances of centroids."""
-    n = len(x)
-    if n == 0:
+    """Ward's agglomeration by nearest-neighbour chains over squared distances of centroids; no table of distances is held.
+
+    Equal vectors merge at no cost, so where at least k differ each is one weighted point.
+    """
+    if len(x) == 0:
         return np.zeros(0, int)
+    points, own, times = np.unique(x, axis=0, return_inverse=True, return_counts=True)
+    if len(points) < k:
+        points, own, times = x, np.arange(len(x)), np.ones(len(x))
+    n = len(points)
     k = max(1, min(k, n))
-    center, size, alive = x.copy(), np.ones(n), np.ones(n, bool)
+    center, size, alive = points.astype(float), times.astype(float), np.ones(n, bool)
     merges, chain = [], []
     while alive.sum() > 1:
         if not chain:
@@ -66,11 +72,12 @@ def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
     root = np.arange(n)
     for _, a, b in sorted(merges, key=lambda m: m[0])[: n - k]:
         root[root == root[b]] = root[a]
-    return np.unique(root, return_inverse=True)[1]
+    return np.unique(root[own], return_inverse=True)[1]
 
 
 def ward(vectors: DataFrame, k: int) -> DataFrame:
-    ids, x = _bounded(vectors)
+    rows = vectors.select("trace_id", "features").orderBy("trace_id").collect()
+    ids, x = [r.trace_id for r in rows], np.array([r.features for r in rows], float)
     labels = ward_labels(x, k)
     return vectors.sparkSession.createDataFrame([(i, str(int(g))) for i, g in zip(ids, labels, strict=True)], "trace_id long, group_id string")
 

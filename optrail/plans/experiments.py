@@ -144,10 +144,6 @@ def coverage_curve(spark, sf_dir):
     return learning_curve(lg.variants_of(derived_traces(spark, sf_dir)))
 
 
-def _long_variants(spark, sf_dir, least: int):
-    return lg.variants_of(derived_traces(spark, sf_dir)).where(F.col("n_cases") >= least)
-
-
 @query
 def kmeans_cf(spark, sf_dir):
     return cl.cluster(lg.variants_of(derived_traces(spark, sf_dir)), "cf", 4)
@@ -155,7 +151,7 @@ def kmeans_cf(spark, sf_dir):
 
 @query
 def ward_cf(spark, sf_dir):
-    return cl.cluster(_long_variants(spark, sf_dir, 2), "cf", 4, "ward")
+    return cl.cluster(lg.variants_of(derived_traces(spark, sf_dir)), "cf", 4, "ward")
 
 
 @query
@@ -165,8 +161,8 @@ def word2vec_traces(spark, sf_dir):
 
 @query
 def discover_trees(spark, sf_dir):
-    """The model of the log's repeated variants for every miner variant, with and without a noise threshold."""
-    v, rows = _long_variants(spark, sf_dir, 2), []
+    """The model of the log for every miner variant, with and without a noise threshold."""
+    v, rows = lg.variants_of(derived_traces(spark, sf_dir)).cache(), []
     for variant in miner.VARIANTS:
         for noise in (0.0, 0.4):
             rows.append((variant, noise, str(miner.discover_tree(v, variant, noise))))
@@ -175,13 +171,13 @@ def discover_trees(spark, sf_dir):
 
 @query
 def discover_group_trees(spark, sf_dir):
-    grouped = derived_traces(spark, sf_dir).groupBy(user_label().alias("group_id"), "trace").agg(F.count(F.lit(1)).alias("n_cases")).where("n_cases > 1")
+    grouped = derived_traces(spark, sf_dir).groupBy(user_label().alias("group_id"), "trace").agg(F.count(F.lit(1)).alias("n_cases"))
     return miner.mine_groups(grouped)
 
 
 def _group_nets(spark, sf_dir):
     plain = derived_traces(spark, sf_dir).select(user_label().alias("group_id"), F.transform("trace", lambda e: F.struct(e["a"].alias("a"), F.array(e["a"]).alias("en"))).alias("trace"))
-    counted = plain.groupBy("group_id", "trace").agg(F.count(F.lit(1)).alias("n_cases")).where("n_cases > 1")
+    counted = plain.groupBy("group_id", "trace").agg(F.count(F.lit(1)).alias("n_cases"))
     nets = {g: model.net_of(miner.discover_tree(counted.where(F.col("group_id") == g), "im", 0.4)) for g in ("u0", "u1", "u2", "u3")}
     return counted.select("group_id", ab.executed(T).alias("acts"), "n_cases"), nets
 

@@ -324,3 +324,13 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     main()
     assert capsys.readouterr().out.count("seq(") == 3
     assert lg.traces_of(logs.load_xes(spark, str(tmp_path / "out" / "C1"))).count() == 2
+
+
+def test_registered_clusterings_and_replay_take_traces_that_occur_once(spark):
+    from optrail.plans import experiments as ex
+    from optrail.sources.logs import derived_traces
+
+    sf = "/root/testdata/sf0.001"
+    traces = derived_traces(spark, sf)
+    assert ex.ward_cf(spark, sf).count() == traces.select("trace").distinct().count()
+    assert sum(r.cases_in for r in ex.replay_report(spark, sf).collect()) == traces.count()
