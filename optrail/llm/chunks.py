@@ -44,8 +44,8 @@ def chunk_ends(text: bytes) -> np.ndarray:
     return ends
 
 
-def chunks_of(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(place of the text, chunk ends, chunk digests) for each text that is not empty."""
+def _cut(texts: list[bytes]) -> Iterator[tuple]:
+    """(first text, ends of each text's chunks, starts and stops of all chunks in the joined bytes, number of each text's first chunk, hash of the bytes)."""
     for a, b in parts(texts, PART):
         data = np.frombuffer(b"".join(texts[a:b]), np.uint8)
         ends = [chunk_ends(t) for t in texts[a:b]]
@@ -53,11 +53,35 @@ def chunks_of(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         if not len(data):
             continue
         stops = np.concatenate([e + o for e, o in zip(ends, base, strict=False)])
-        digests = SpanHash(data).spans(np.concatenate([[0], stops[:-1]]), stops)
-        at = np.cumsum([0] + [len(e) for e in ends])
-        for i in range(b - a):
-            if len(ends[i]):
-                yield a + i, ends[i], digests[at[i] : at[i + 1]]
+        yield a, ends, np.concatenate([[0], stops[:-1]]), stops, np.cumsum([0] + [len(e) for e in ends]), SpanHash(data)
+
+
+def chunks_of(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the text, chunk ends, chunk digests) for each text that is not empty."""
+    for a, ends, starts, stops, at, hashed in _cut(texts):
+        digests = hashed.spans(starts, stops)
+        for i, own in enumerate(ends):
+            if len(own):
+                yield a + i, own, digests[at[i] : at[i + 1]]
+
+
+def units_of(texts: list[bytes], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the text, places of units, digests) for each text with units: chunks with the one after them, of
+    place 2 * p, so that a run of repeated units holds chunks that followed each other before; and chunks that reach ``least`` bytes
+    alone, of place 2 * p + 1."""
+    for a, ends, starts, stops, at, hashed in _cut(texts):
+        last = np.zeros(len(stops), bool)
+        last[at[1:][np.diff(at) > 0] - 1] = True
+        pair, long = np.flatnonzero(~last), np.flatnonzero(stops - starts >= least)
+        digests = np.concatenate([hashed.spans(starts[pair], stops[pair + 1]), hashed.spans(starts[long], stops[long])])
+        chunk = np.concatenate([pair, long])
+        order = np.argsort(chunk, kind="stable")
+        owner = np.searchsorted(at, chunk, "right") - 1
+        place = (2 * (chunk - at[owner]) + (np.arange(len(chunk)) >= len(pair))).astype(np.uint32)[order]
+        cuts, digests = np.searchsorted(chunk[order], at), digests[order]
+        for i in range(len(ends)):
+            if cuts[i] < cuts[i + 1]:
+                yield a + i, place[cuts[i] : cuts[i + 1]], digests[cuts[i] : cuts[i + 1]]
 
 
 PACKED = (("bucket", "int"), ("digests", "binary"), ("docs", "binary"), ("places", "binary"), ("again", "binary"))
@@ -79,8 +103,8 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def repeated_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(digest, first_doc, first_place) of every chunk digest that stands at more than one place."""
+def repeated_units(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """(digest, first_doc, first_place) of every unit's digest that stands at more than one place."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(64, int(total / 32 * 21 / GROUP_BYTES))
 
@@ -88,12 +112,12 @@ def repeated_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             texts = [x.as_py().encode() for x in batch.column(1)]
-            found = list(chunks_of(texts))
+            found = list(units_of(texts, least))
             if not found:
                 continue
             digests = np.concatenate([d for _, _, d in found])
             owner = np.repeat(keys[[i for i, _, _ in found]], [len(d) for _, _, d in found]).astype(np.int64)
-            places = np.concatenate([np.arange(len(d), dtype=np.uint32) for _, _, d in found])
+            places = np.concatenate([p for _, p, _ in found])
             digests, owner, places, again = _first_of(digests, owner, places, np.zeros(len(digests), bool))
             bucket = (digests >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -138,9 +162,9 @@ def digest_filter(digests: DataFrame, bits: int = FILTER_BITS) -> bytes:
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 120) -> DataFrame:
     """``docs`` with later copies of repeated passages cut from ``text``; adds n_chunks, removed_bytes, spans and copied_from.
 
-    Texts are cut into chunks whose borders follow the content. Of equal chunks, the one in the smallest
-    (key, place) stays; others go where neighbouring copies make up at least ``least`` bytes, cut back to whole
-    words. ``spans`` are the removed byte ranges of the text in UTF-8; ``copied_from`` are the keys of the
+    Texts are cut into chunks whose borders follow the content. Of equal pairs of neighbouring chunks, the one in the
+    smallest (key, place) stays; others go where copied pairs that share their chunks make up at least ``least`` bytes, cut back to
+    whole words. ``spans`` are the removed byte ranges of the text in UTF-8; ``copied_from`` are the keys of the
     documents that keep what was removed. A document of which nothing is removed keeps its text as it is.
 
     Texts are compared by 64-bit digests; a passage goes only if several digests in a row agree. A null key or
@@ -152,18 +176,18 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     keep = [c for c in docs.columns if c not in {n for n, _ in added}]
     base = docs.select(*keep)
     usable = base.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null and t <> ''")
-    repeated = repeated_chunks(usable, "k", "t")
+    repeated = repeated_units(usable, "k", "t", least)
     bitmap = base.sparkSession.sparkContext.broadcast(digest_filter(repeated))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             keys, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for i, _, d in chunks_of([x.as_py().encode() for x in batch.column(2)]):
+            for i, p, d in units_of([x.as_py().encode() for x in batch.column(2)], least):
                 at = d >> np.uint64(64 - FILTER_BITS)
                 hit = np.flatnonzero(seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
                 if len(hit):
-                    yield pa.RecordBatch.from_arrays([_signed(d[hit]), pa.array(np.full(len(hit), keys[i])), pa.array(np.full(len(hit), marks[i])), pa.array(hit.astype(np.int32))], names=["digest", "k", "mark", "place"])
+                    yield pa.RecordBatch.from_arrays([_signed(d[hit]), pa.array(np.full(len(hit), keys[i])), pa.array(np.full(len(hit), marks[i])), pa.array(p[hit].astype(np.int32))], names=["digest", "k", "mark", "place"])
 
     mark = F.xxhash64("t")
     found = usable.select("k", mark.alias("mark"), "t")
@@ -196,8 +220,8 @@ def removable(raw: bytes, ends: np.ndarray, copies: list[dict], least: int) -> t
     if not copies:
         return [], []
     first = {c["place"]: c["first_doc"] for c in sorted(copies, key=lambda c: (c["place"], -c["first_doc"]))}
-    places = np.array(sorted(first))
-    breaks = np.flatnonzero(np.diff(places) > 1) + 1
+    places = np.array(sorted({p // 2 + i for p in first for i in range(2 - p % 2)}))
+    breaks = np.array([i for i, p in enumerate(places[:-1].tolist(), 1) if 2 * p not in first], int)
     gone, origin = [], set()
     for run in np.split(places, breaks):
         a, b = int(ends[run[0] - 1]) if run[0] else 0, int(ends[run[-1]])
@@ -209,7 +233,8 @@ def removable(raw: bytes, ends: np.ndarray, copies: list[dict], least: int) -> t
             b -= 1
         if b > a:
             gone.append((a, b))
-            origin.update(first[p] for p in run.tolist())
+            units = [2 * p for p in run[:-1].tolist()] or [2 * int(run[0]) + 1]
+            origin.update(first[u] for u in units)
     return gone, sorted(origin)
 
 

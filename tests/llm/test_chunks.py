@@ -77,3 +77,18 @@ def test_repeats_go_and_clean_texts_stay(spark):
     assert [r.text for r in got if r.doc_id is None] == [rows[5][1]]
     assert [r.text for r in got if r.doc_id == 7] == [rows[7][1]] * 2
     assert dedup_substrings(df.limit(0)).count() == 0
+
+
+def test_common_chunks_of_different_documents_are_no_passage(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    pool = [words(400).encode() for _ in range(60)]
+    pieces = []
+    for t in pool:
+        ends = chunk_ends(t)
+        pieces.append(next(t[a:b] for a, b in zip(ends[3:], ends[4:], strict=False) if 16 < b - a < 100))
+    joined = b"".join(pieces)
+    rows = [(i, t.decode()) for i, t in enumerate(pool)] + [(100, joined.decode()), (101, joined.decode())]
+    by = {r.doc_id: r for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert by[100].removed_bytes == 0
+    assert by[101].removed_bytes > 0.9 * len(joined) and by[101].copied_from == [100]
