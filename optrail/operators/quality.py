@@ -94,6 +94,7 @@ def trace_facts(net: PetriNet, replayer: Replayer, trace: list[tuple[str, frozen
         return out
     cost, moves = plain
     out.append(("fit", "", n * round(cost), n * (len(trace) + least)))
+    out.append(("aligned", "", float(n), 0.0))
     prefix: tuple[str, ...] = ()
     for kind, name, marking, i in moves:
         if name is not None:
@@ -130,7 +131,7 @@ def simplicity(net: PetriNet) -> float:
 def model_quality(variants: DataFrame, net: PetriNet) -> DataFrame:
     """One row: fitness, precision, generalization, simplicity, f1, translucent_fitness, translucent_precision.
 
-    fitness = 1 - cost / worst cost; precision = 1 - escaping / allowed over visited prefixes, by visits; generalization
+    fitness = 1 - cost / worst cost of aligned traces and the share of fitting ones of replayed traces, weighed by cases; precision = 1 - escaping / allowed over visited prefixes, by visits; generalization
     = 1 - mean over transitions of 1 / sqrt(executions); translucent precision unites logged sets per state of the model.
     """
     least = shortest_run(net)
@@ -161,12 +162,14 @@ def model_quality(variants: DataFrame, net: PetriNet) -> DataFrame:
     base = summed.agg(
         (1 - total("fit", F.col("a")) / total("fit", F.col("b"))).alias("aligned"),
         (total("replayed", F.col("a")) / total("replayed", F.col("b"))).alias("replayed"),
+        F.coalesce(total("aligned", F.col("a")), F.lit(0.0)).alias("n_aligned"),
+        F.coalesce(total("replayed", F.col("b")), F.lit(0.0)).alias("n_replayed"),
         (1 - total("fit_sets", F.col("a")) / total("fit_sets", F.col("b"))).alias("translucent_fitness"),
         F.coalesce(total("fired", 1 / F.sqrt("a")), F.lit(0.0)).alias("spread"),
         F.coalesce(total("fired", F.lit(1)), F.lit(0)).alias("used"),
     )
     n_transitions = len(net.transitions)
-    one = base.crossJoin(etc).crossJoin(trans).withColumn("fitness", F.coalesce("aligned", "replayed")).withColumn("generalization", 1 - (F.col("spread") + (F.lit(n_transitions) - F.col("used"))) / F.lit(max(1, n_transitions)))
+    one = base.crossJoin(etc).crossJoin(trans).withColumn("fitness", F.when(F.col("n_replayed") == 0, F.col("aligned")).when(F.col("n_aligned") == 0, F.col("replayed")).otherwise((F.col("aligned") * F.col("n_aligned") + F.col("replayed") * F.col("n_replayed")) / (F.col("n_aligned") + F.col("n_replayed")))).withColumn("generalization", 1 - (F.col("spread") + (F.lit(n_transitions) - F.col("used"))) / F.lit(max(1, n_transitions)))
     f1 = F.when((F.col("fitness") <= 0) | (F.col("precision") <= 0), 0.0).otherwise(2 * F.col("fitness") * F.col("precision") / (F.col("fitness") + F.col("precision")))
     names = ("fitness", "precision", "generalization", "translucent_fitness", "translucent_precision")
     return one.select(*(F.round(c, 6).alias(c) for c in names), F.lit(round(simplicity(net), 6)).alias("simplicity"), F.round(f1, 6).alias("f1"))

@@ -334,3 +334,12 @@ def test_registered_clusterings_and_replay_take_traces_that_occur_once(spark):
     traces = derived_traces(spark, sf)
     assert ex.ward_cf(spark, sf).count() == traces.select("trace").distinct().count()
     assert sum(r.cases_in for r in ex.replay_report(spark, sf).collect()) == traces.count()
+
+
+def test_fitness_weighs_in_traces_beyond_the_bound_on_states(spark):
+    acts = list("abcdefghijklm")
+    wide = model.net_of(model.parse_identifier(f"and({', '.join(acts)})"))
+    rows = [([{"a": a, "en": [a]} for a in acts], 3), ([{"a": "z", "en": ["z"]}] * 6, 1)]
+    v = spark.createDataFrame(rows, "trace array<struct<a:string,en:array<string>>>, n_cases long")
+    assert quality.align(wide, [("z", frozenset("z"))] * 6, en.Replayer(wide)) is None
+    assert quality.model_quality(v, wide).first().fitness == 0.75
