@@ -1,8 +1,17 @@
-"""Byte-level BPE by monoid tree reduction: encode halves, join neighbours through growing boundary windows."""
+"""Byte-level BPE by monoid tree reduction: encode halves, join neighbours through growing boundary windows.
+
+Two trees are reduced. A text is halved down to leaves of a few characters, whose nodes hold the pre-token matches with
+their ids; a join scans a window around the border anew until a match ends where one of the right side ends. A match is
+halved down to leaves of a few bytes; a join encodes a window of tokens around the border anew until the tokens beside the
+window stay. The ids of a match depend on the match alone, so frequent matches are remembered, within a bound.
+"""
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,108 +21,201 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import lean, schema_of
+from .common import ARROW, bound_batches, lean, others, schema_of, slices
 
-#: Characters that a leaf of the tree holds at most.
-LEAF_CHARS = 4096
+#: Characters of a text, and bytes of a match, that a leaf holds at most.
+LEAF_CHARS, LEAF_BYTES = 64, 8
 #: Characters behind a match's start that decide it even where it does not reach them.
 LOOK = 3
+#: Results that are remembered of each kind (matches, leaves, neighbouring tokens), and as many again of older ones.
+KNOWN = 1 << 17
+NO_RANK = 1 << 40
+
+#: What ``encode_texts`` can add.
+OUTPUTS = {"n_tokens": "bigint", "ids": "binary", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+class _Known(dict):
+    """Results of ``work`` by key, worked out when first asked for. Beyond KNOWN the older ones are kept apart for as long again, and
+    those of them that are asked for come back."""
+
+    def __init__(self, work):
+        self.work, self.old = work, {}
+
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.work(key)
+        if len(self) >= KNOWN:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
 
 
 class Node:
-    """Tokens of text[start:end] as if it stood alone, with the ends of its pre-token matches."""
+    """The matches of a stretch of text as if it stood alone, and each match's packed ids."""
+
+    __slots__ = ("ids", "pieces")
+
+    def __init__(self, pieces: list[str], ids: list[bytes]):
+        self.pieces, self.ids = pieces, ids
 
-    __slots__ = ("cuts", "end", "ids", "start")
 
-    def __init__(self, start: int, end: int, ids: list[int], cuts: list[int]):
-        self.start, self.end, self.ids, self.cuts = start, end, ids, cuts
+@lru_cache(maxsize=1)
+def odd_characters() -> tuple[regex.Pattern, dict[int, str]]:
+    """Characters whose class differs between the pattern engine here and that of the tiktoken library, whose Unicode
+    tables are of another year; and for each a character of the class that the library gives it."""
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    stand_in, odd = {}, set()
+    for kind, common in ((r"\p{L}", "\u4e00"), (r"\p{N}", "\u0663"), (r"\s", "\u2003")):
+        bare = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        theirs, ours = set(bare.decode(bare.encode_ordinary(everything))), set(regex.findall(kind, everything))
+        odd |= theirs ^ ours
+        stand_in |= {ord(c): common for c in theirs - ours}
+    stand_in = {ord(c): stand_in.get(ord(c), "\u00a7") for c in odd}
+    return regex.compile(f"[{''.join(sorted(odd))}]" if odd else r"(?!)"), stand_in
 
 
 class TreeBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS):
-        self.base = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.piece = self.base._core_bpe.encode_single_piece
-        self.pattern, self.leaf_chars = regex.compile(pattern), leaf_chars
-        self.bytes_of = {i: b for b, i in ranks.items()}
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
+        self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
+        self.pattern, self.leaf_chars, self.leaf_bytes = regex.compile(pattern), leaf_chars, leaf_bytes
+        self.packed, self.leaf, self.pair = _Known(self.pack_piece), _Known(self.merge), _Known(self.merge_pair)
+        self.odd, self.stand_in = odd_characters()
+        self.joins = 0
+
+    def matches(self, text: str, seen: str, start: int, stop: int) -> list[str]:
+        if seen is text and not self.pattern.groups:
+            return self.pattern.findall(text, start, stop)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(seen, start, stop)]
 
     def encode(self, text: str) -> list[int]:
-        """The ids of a whole text: leaves are encoded alone, then neighbours are joined level by level."""
-        if len(text) <= self.leaf_chars:
-            return self.base.encode_ordinary(text)
-        nodes = []
-        for i in range(0, len(text), self.leaf_chars):
-            end = min(len(text), i + self.leaf_chars)
-            nodes.append(Node(i, end, self.base.encode_ordinary(text[i:end]), [m.end() for m in self.pattern.finditer(text, i, end)]))
+        return np.frombuffer(self.encode_packed(text), "<u4").tolist()
+
+    def encode_packed(self, text: str) -> bytes:
+        """The ids of a whole text as little-endian 32-bit integers: leaves alone, then neighbours level by level."""
+        if not text:
+            return b""
+        step, nodes = self.leaf_chars, []
+        seen = text if text.isascii() or not self.odd.search(text) else text.translate(self.stand_in)
+        for i in range(0, len(text), step):
+            pieces = self.matches(text, seen, i, i + step)
+            nodes.append((i, Node(pieces, list(map(self.packed.__getitem__, pieces)))))
         while len(nodes) > 1:
-            joined = [self.join(text, a, b) for a, b in zip(nodes[::2], nodes[1::2], strict=False)]
+            ends = [a for a, _ in nodes[2::2]] + [len(text)]
+            joined = [(a, self.join(text, seen, left, right, border, end)) for (a, left), (border, right), end in zip(nodes[::2], nodes[1::2], ends, strict=False)]
             nodes = joined + nodes[2 * len(joined) :]
-        return nodes[0].ids
-
-    def pieces(self, text: str, start: int, ends: list[int]) -> list[list[int]]:
-        out = []
-        for end in ends:
-            out.append(self.piece(text[start:end].encode()))
-            start = end
-        return out
+        return b"".join(nodes[0][1].ids)
 
-    def join(self, text: str, left: Node, right: Node) -> Node:
-        """The node of both texts together.
+    def join(self, text: str, seen: str, left: Node, right: Node, border: int, end: int) -> Node:
+        """The node of both stretches together; ``right`` stands at border to end. ``left`` is built upon. ``seen`` is what
+        the pattern is to see for ``text``.
 
         A left match is final if it ends before the border and starts LOOK characters before it; the scan
         goes on from the first other match, over a window that grows until a match ends where a match
         of the right side ends: from there on the scan of the right side alone holds.
         """
-        border = right.start
-        keep = len(left.cuts)
-        while keep and (left.cuts[keep - 1] >= border or (left.cuts[keep - 2] if keep > 1 else left.start) > border - LOOK):
-            keep -= 1
-        start = left.cuts[keep - 1] if keep else left.start
-        old_left = left.cuts[keep:]
-        right_at = {border: 0} | {c: i + 1 for i, c in enumerate(right.cuts[:64])}
-        seen, window, new, used = 64, 256, [], None
+        self.joins += 1
+        start, keep = border, len(left.pieces)
+        while keep:
+            begin = start - len(left.pieces[keep - 1])
+            if start < border and begin <= border - LOOK:
+                break
+            keep, start = keep - 1, begin
+        window, used = 32, None
         while used is None:
-            stop = min(right.end, border + window)
-            while seen < len(right.cuts) and right.cuts[seen - 1] < stop:
-                right_at |= {c: seen + i + 1 for i, c in enumerate(right.cuts[seen : 2 * seen])}
-                seen *= 2
-            new, begin = [], start
-            for m in self.pattern.finditer(text, start, stop):
-                if stop < right.end and (m.end() >= stop or begin > stop - LOOK):
+            stop, new, at, j, begin = min(end, border + window), [], border, 0, start
+            for m in self.pattern.finditer(seen, start, stop):
+                if stop < end and (m.end() >= stop or begin > stop - LOOK):
                     break
-                new.append(m.end())
+                new.append(text[begin : m.end()])
                 begin = m.end()
-                if begin >= border and begin in right_at:
-                    used = right_at[begin]
+                while at < begin:
+                    at += len(right.pieces[j])
+                    j += 1
+                if at == begin:
+                    used = j
                     break
-            window *= 2
-        old_right = right.cuts[:used]
-        gone_left, gone_right = self.pieces(text, start, old_left), self.pieces(text, border, old_right)
-        if len(new) == len(gone_left) == len(gone_right) == 1:
-            middle = self.join_piece(gone_left[0], gone_right[0])
-        else:
-            middle = [i for ids in self.pieces(text, start, new) for i in ids]
-        lost_left, lost_right = sum(map(len, gone_left)), sum(map(len, gone_right))
-        ids = left.ids[: len(left.ids) - lost_left] + middle + right.ids[lost_right:]
-        return Node(left.start, right.end, ids, left.cuts[:keep] + new + right.cuts[used:])
+            window *= 4
+        left.ids[keep:] = map(self.packed.__getitem__, new)
+        left.pieces[keep:] = new
+        left.ids += right.ids[used:]
+        left.pieces += right.pieces[used:]
+        return left
+
+    def pack_piece(self, piece: str) -> bytes:
+        return array("I", self.encode_piece(piece.encode())).tobytes()
+
+    def encode_piece(self, raw: bytes) -> list[int]:
+        """Ids of one match: a token as it is, else halves, joined."""
+        whole = self.ranks.get(raw)
+        return self.halves(raw) if whole is None else [whole]
+
+    def halves(self, raw: bytes) -> list[int]:
+        if len(raw) <= self.leaf_bytes:
+            return self.leaf[raw]
+        half = len(raw) // 2
+        return self.join_piece(self.halves(raw[:half]), self.halves(raw[half:]))
 
     def join_piece(self, left: list[int], right: list[int]) -> list[int]:
         """Tokens of one match from the tokens of its two parts.
 
-        Tokens are a text's encoding exactly if every two neighbours are the encoding of their bytes, so a
+        Tokens are a match's encoding exactly if every two neighbours are the encoding of their bytes, so a
         window of tokens around the border is final once both its edges fit what stands outside.
         """
-        window = 4
+        self.joins += 1
+        window, pair = 1, self.pair
+        middle = pair[left[-1] << 32 | right[0]]
         while True:
-            a, b = min(window, len(left)), min(window, len(right))
-            middle = self.piece(self.decode(left[len(left) - a :] + right[:b]))
-            fits_left = a == len(left) or self.neighbours(left[-a - 1], middle[0])
-            fits_right = b == len(right) or self.neighbours(middle[-1], right[b])
-            if fits_left and fits_right:
-                return left[: len(left) - a] + middle + right[b:]
+            a, b = len(left) - window, min(window, len(right))
+            fits_left = a <= 0 or pair[left[a - 1] << 32 | middle[0]] == [left[a - 1], middle[0]]
+            if fits_left and (b == len(right) or pair[middle[-1] << 32 | right[b]] == [middle[-1], right[b]]):
+                return left[: max(0, a)] + middle + right[b:]
             window *= 2
+            middle = self.merge(b"".join(map(self.bytes_of.__getitem__, left[-window:] + right[:window])))
+
+    def merge_pair(self, key: int) -> list[int]:
+        return self.merge(self.bytes_of[key >> 32] + self.bytes_of[key & 0xFFFFFFFF])
 
-    def neighbours(self, a: int, b: int) -> bool:
-        return self.piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+    def merge(self, raw: bytes) -> list[int]:
+        """Tokens of a window: of all neighbours those of least rank merge first, the leftmost of equals."""
+        n, get = len(raw), self.ranks.get
+        if n > 64:
+            return self.merge_long([raw[i : i + 1] for i in range(n)])
+        at = list(range(n + 1))
+        found = [get(raw[i : i + 2], NO_RANK) for i in range(n - 1)]
+        while found:
+            least = min(found)
+            if least == NO_RANK:
+                break
+            i = found.index(least)
+            del at[i + 1], found[i]
+            if i < len(found):
+                found[i] = get(raw[at[i] : at[i + 2]], NO_RANK)
+            if i:
+                found[i - 1] = get(raw[at[i - 1] : at[i + 1]], NO_RANK)
+        return [get(raw[x:y]) for x, y in zip(at, at[1:], strict=False)]
+
+    def merge_long(self, parts: list[bytes]) -> list[int]:
+        """``merge`` with a heap, for windows that have grown."""
+        ranks, n = self.ranks, len(parts)
+        after, before, held = list(range(1, n + 1)), list(range(-1, n - 1)), list(parts)
+        heap = [(r, i, x, y) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if (r := ranks.get(x + y)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, x, y = heapq.heappop(heap)
+            j = after[i]
+            if held[i] != x or j >= n or held[j] != y:
+                continue  # one of the two has merged since
+            held[i], held[j] = x + y, b""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (r := ranks.get(held[a] + held[b])) is not None:
+                    heapq.heappush(heap, (r, a, held[a], held[b]))
+        return [ranks[x] for x in held if x]
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of ids: halves are decoded and concatenated up the tree."""
@@ -122,46 +224,60 @@ class TreeBpe:
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
+    def decode_packed(self, packed: bytes) -> bytes:
+        return self.decode(np.frombuffer(packed, "<u4").tolist())
 
-@lru_cache(maxsize=4)
-def load(path: str, pattern: str, leaf_chars: int = LEAF_CHARS) -> TreeBpe:
+
+@lru_cache(maxsize=1)
+def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return TreeBpe(ranks, pattern, leaf_chars)
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@lru_cache(maxsize=1)
+def load(path: str, pattern: str, leaf_chars: int = LEAF_CHARS) -> TreeBpe:
+    """The encoder of a vocabulary; a worker holds one."""
+    return TreeBpe(ranks_of(path), pattern, leaf_chars)
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """Replace column ``text`` by n_tokens long and ids binary (little-endian unsigned 32-bit integers).
+def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """Replace column ``text`` by ``outputs``: n_tokens long, ids binary (little-endian unsigned 32-bit integers), decoded
+    binary (what the ids decode to), or lower-case hexadecimal SHA-256 of either. One pass does all of them.
 
-    Null text counts as empty: no ids. Every other column is passed through (columns named n_tokens
-    or ids give way); repeated rows are encoded alike; an empty table gives none. A text of any length
+    Null text counts as empty: no ids. Every other column is passed through (columns named like an output,
+    in any case, give way); repeated rows are encoded alike; an empty table gives none. A text of any length
     is encoded whole; memory is that of one text and a slice of its batch.
     """
-    keep = [c for c in docs.columns if c not in (text, "n_tokens", "ids")]
-    names = [*keep, "n_tokens", "ids"]
+    bound_batches(docs.sparkSession)
+    keep = others(docs, text, *outputs)
+    both = "decoded" in outputs or "decoded_sha256" in outputs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern, leaf_chars)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                packed = [np.asarray(bpe.encode(x.as_py() or ""), dtype="<u4").tobytes() for x in part.column(text)]
-                columns = [part.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())], names=names)
+        for part in slices(batches):
+            found: dict[str, list] = {n: [] for n in OUTPUTS}
+            for x in part.column(part.num_columns - 1):
+                packed = bpe.encode_packed(x.as_py() or "")
+                decoded = bpe.decode_packed(packed) if both else None
+                for n in outputs:
+                    found[n].append(len(packed) // 4 if n == "n_tokens" else packed if n == "ids" else decoded if n == "decoded" else hashlib.sha256(packed if n == "ids_sha256" else decoded).hexdigest())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(found[n], ARROW[OUTPUTS[n]]) for n in outputs)], names=[*part.schema.names[:-1], *outputs])
 
-    return docs.select(*keep, text).mapInArrow(lean(run), schema_of(docs.select(*keep), ("n_tokens", "bigint"), ("ids", "binary")))
+    rows = docs.select(*keep)
+    return docs.select(*keep, docs[text]).mapInArrow(lean(run), schema_of(rows, *((n, OUTPUTS[n]) for n in outputs)))
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Add decoded binary, the bytes of the packed ids; null ids give null. Other columns are passed through."""
-    keep = [c for c in encoded.columns if c != "decoded"]
+    """Add decoded binary, the bytes of the packed ids; null ids give null. Other columns are passed through (one named
+    decoded, in any case, gives way); an empty table gives none."""
+    bound_batches(encoded.sparkSession)
+    keep = others(encoded, "decoded", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                texts = [None if not x.is_valid else bpe.decode(np.frombuffer(x.as_py(), "<u4").tolist()) for x in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.binary())], names=[*keep, "decoded"])
+        for part in slices(batches):
+            texts = [None if not x.is_valid else bpe.decode_packed(x.as_py()) for x in part.column(part.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
-    return encoded.select(*keep).mapInArrow(lean(run), schema_of(encoded.select(*keep), ("decoded", "binary")))
+    rows = encoded.select(*keep, encoded["ids"])
+    return rows.mapInArrow(lean(run), schema_of(rows, ("decoded", "binary")))

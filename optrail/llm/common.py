@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import math
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,14 +18,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir("file:///tmp/checkpoints")
-    return context.getCheckpointDir().rstrip("/")
+    """The folder that the driver and all executors share: spark.checkpoint.dir, else the context's checkpoint folder. Where
+    neither is set, one is made on a local master; a cluster must name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -50,15 +53,26 @@ def bounded_sample(df: DataFrame, key: str, rows: int, most: int, salt: str) ->
     return df.orderBy(draw, key).limit(most)
 
 
-#: Rows that Spark hands to a Python worker at a time, at most: texts can be long.
-BATCH_ROWS = 1000
+#: Rows and bytes that Spark hands to a Python worker at a time, at most (one longer row comes alone), and that a worker hands back.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's rows per Arrow batch to BATCH_ROWS: buffers on both sides grow with a batch's texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lower the session's rows and bytes per Arrow batch to BATCH_ROWS and BATCH_BYTES: buffers on both sides grow with a batch's texts."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(re.sub(r"\D", "", spark.conf.get(name)) or 0) <= most or not spark.conf.get(name).isdigit():
+            spark.conf.set(name, str(most))
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes; memory is given back after each batch."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(most, batch.nbytes))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+        del batch
+        give_back()
 
 
 def give_back() -> None:
@@ -140,12 +154,30 @@ def blocks_for(rows: int, per_block: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_block))
 
 
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def others(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of ``df`` with other names than ``names``; names that differ in case are one for Spark."""
+    taken = {n.lower() for n in names}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in taken]
+
+
+def private(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def schema_of(df: DataFrame, *added: tuple[str, str]) -> str:
     """The frame's schema with columns added, for functions over batches."""
-    return ", ".join(f"`{n.replace('`', '``')}` {t}" for n, t in [*df.dtypes, *added])
+    return ", ".join(f"{quoted(n)} {t}" for n, t in [*df.dtypes, *added])
 
 
-_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_()}
+ARROW = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
 def schema_text(fields: tuple[tuple[str, str], ...]) -> str:
@@ -154,4 +186,4 @@ def schema_text(fields: tuple[tuple[str, str], ...]) -> str:
 
 def batch_of(rows: list[tuple], fields: tuple[tuple[str, str], ...]) -> pa.RecordBatch:
     """A batch from rows, which may be none."""
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _ARROW[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], ARROW[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import decode_ids, encode_texts
+from .bpe import encode_texts
 from .caps import link_near
 from .chunks import dedup_substrings
 from .common import read_table
@@ -40,8 +40,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the bytes they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = decode_ids(encode_texts(docs.select("doc_id", "text"), path, pattern), path, pattern)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode_texts(docs.select("doc_id", "text"), path, pattern, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def fold_of():
