@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, lean, lean_group, materialize, schema_of
-from .hashing import PART, SpanHash, parts
+from .common import batch_of, lean, lean_group, materialize, others, private, schema_of, slices
+from .hashing import PART, SECOND, SpanHash, parts
 
 _GEAR = np.random.default_rng(977).integers(0, 1 << 16, 256, dtype=np.uint16)
 #: Bits of the rolling hash that must be zero at a cut: bit b depends on the last b + 1 bytes, so cuts
@@ -45,7 +45,7 @@ def chunk_ends(text: bytes) -> np.ndarray:
 
 
 def _cut(texts: list[bytes]) -> Iterator[tuple]:
-    """(first text, ends of each text's chunks, starts and stops of all chunks in the joined bytes, number of each text's first chunk, hash of the bytes)."""
+    """(first text, ends of each text's chunks, starts and stops of all chunks in the joined bytes, number of each text's first chunk, the joined bytes)."""
     for a, b in parts(texts, PART):
         data = np.frombuffer(b"".join(texts[a:b]), np.uint8)
         ends = [chunk_ends(t) for t in texts[a:b]]
@@ -53,50 +53,52 @@ def _cut(texts: list[bytes]) -> Iterator[tuple]:
         if not len(data):
             continue
         stops = np.concatenate([e + o for e, o in zip(ends, base, strict=False)])
-        yield a, ends, np.concatenate([[0], stops[:-1]]), stops, np.cumsum([0] + [len(e) for e in ends]), SpanHash(data)
+        yield a, ends, np.concatenate([[0], stops[:-1]]), stops, np.cumsum([0] + [len(e) for e in ends]), data
 
 
 def chunks_of(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(place of the text, chunk ends, chunk digests) for each text that is not empty."""
-    for a, ends, starts, stops, at, hashed in _cut(texts):
-        digests = hashed.spans(starts, stops)
+    for a, ends, starts, stops, at, data in _cut(texts):
+        digests = SpanHash(data).spans(starts, stops)
         for i, own in enumerate(ends):
             if len(own):
                 yield a + i, own, digests[at[i] : at[i + 1]]
 
 
-def units_of(texts: list[bytes], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(place of the text, places of units, digests) for each text with units: chunks with the one after them, of
+def units_of(texts: list[bytes], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place of the text, places of units, and the two halves of their 128-bit digests) for each text with units: chunks with the one after them, of
     place 2 * p, so that a run of repeated units holds chunks that followed each other before; and chunks that reach ``least`` bytes
     alone, of place 2 * p + 1."""
-    for a, ends, starts, stops, at, hashed in _cut(texts):
+    for a, ends, starts, stops, at, data in _cut(texts):
         last = np.zeros(len(stops), bool)
         last[at[1:][np.diff(at) > 0] - 1] = True
         pair, long = np.flatnonzero(~last), np.flatnonzero(stops - starts >= least)
-        digests = np.concatenate([hashed.spans(starts[pair], stops[pair + 1]), hashed.spans(starts[long], stops[long])])
+        begin, end = np.concatenate([starts[pair], starts[long]]), np.concatenate([stops[pair + 1], stops[long]])
+        digests, checks = SpanHash(data).spans(begin, end), SpanHash(data, SECOND).spans(begin, end)
         chunk = np.concatenate([pair, long])
         order = np.argsort(chunk, kind="stable")
         owner = np.searchsorted(at, chunk, "right") - 1
         place = (2 * (chunk - at[owner]) + (np.arange(len(chunk)) >= len(pair))).astype(np.uint32)[order]
-        cuts, digests = np.searchsorted(chunk[order], at), digests[order]
+        cuts, digests, checks = np.searchsorted(chunk[order], at), digests[order], checks[order]
         for i in range(len(ends)):
+            own = slice(cuts[i], cuts[i + 1])
             if cuts[i] < cuts[i + 1]:
-                yield a + i, place[cuts[i] : cuts[i + 1]], digests[cuts[i] : cuts[i + 1]]
+                yield a + i, place[own], digests[own], checks[own]
 
 
-PACKED = (("bucket", "int"), ("digests", "binary"), ("docs", "binary"), ("places", "binary"), ("again", "binary"))
+PACKED = (("bucket", "int"), ("digests", "binary"), ("checks", "binary"), ("docs", "binary"), ("places", "binary"), ("again", "binary"))
 
 
-def _first_of(digests: np.ndarray, docs: np.ndarray, places: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, ...]:
+def _first_of(digests: np.ndarray, checks: np.ndarray, docs: np.ndarray, places: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, ...]:
     """Each digest once, with its smallest (doc, place) and whether it stands at more than one."""
-    order = np.lexsort((places, docs, digests))
-    d, o, p = digests[order], docs[order], places[order]
-    new = np.concatenate([[True], d[1:] != d[:-1]]) if len(d) else np.zeros(0, bool)
+    order = np.lexsort((places, docs, checks, digests))
+    d, c, o, p = digests[order], checks[order], docs[order], places[order]
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])]) if len(d) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     other = np.zeros(len(d), bool)
     other[1:] = ~new[1:] & ((o[1:] != o[:-1]) | (p[1:] != p[:-1]))
     more = np.add.reduceat(other | again[order], at) > 0 if len(at) else np.zeros(0, bool)
-    return d[at], o[at], p[at], more
+    return d[at], c[at], o[at], p[at], more
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -104,9 +106,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def repeated_units(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(digest, first_doc, first_place) of every unit's digest that stands at more than one place."""
+    """(digest, check, first_doc, first_place) of every unit's digest that stands at more than one place."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(64, int(total / 32 * 21 / GROUP_BYTES))
+    buckets = max(64, int(total / 32 * 29 / GROUP_BYTES))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,10 +117,10 @@ def repeated_units(docs: DataFrame, key: str, text: str, least: int) -> DataFram
             found = list(units_of(texts, least))
             if not found:
                 continue
-            digests = np.concatenate([d for _, _, d in found])
-            owner = np.repeat(keys[[i for i, _, _ in found]], [len(d) for _, _, d in found]).astype(np.int64)
-            places = np.concatenate([p for _, p, _ in found])
-            digests, owner, places, again = _first_of(digests, owner, places, np.zeros(len(digests), bool))
+            digests, checks = np.concatenate([d for _, _, d, _ in found]), np.concatenate([c for *_, c in found])
+            owner = np.repeat(keys[[f[0] for f in found]], [len(f[1]) for f in found]).astype(np.int64)
+            places = np.concatenate([f[1] for f in found])
+            digests, checks, owner, places, again = _first_of(digests, checks, owner, places, np.zeros(len(digests), bool))
             bucket = (digests >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
@@ -126,16 +128,16 @@ def repeated_units(docs: DataFrame, key: str, text: str, least: int) -> DataFram
             for k in range(buckets):
                 own = order[cuts[k] : cuts[k + 1]]
                 if len(own):
-                    rows.append((k, digests[own].tobytes(), owner[own].tobytes(), places[own].tobytes(), again[own].tobytes()))
+                    rows.append((k, digests[own].tobytes(), checks[own].tobytes(), owner[own].tobytes(), places[own].tobytes(), again[own].tobytes()))
             yield batch_of(rows, PACKED)
 
     def unite(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
-        d, o, p, more = _first_of(join("digests", np.uint64), join("docs", np.int64), join("places", np.uint32), join("again", bool))
-        return pa.table({"digest": _signed(d[more]), "first_doc": pa.array(o[more]), "first_place": pa.array(p[more].astype(np.int32))})
+        d, c, o, p, more = _first_of(join("digests", np.uint64), join("checks", np.uint64), join("docs", np.int64), join("places", np.uint32), join("again", bool))
+        return pa.table({"digest": _signed(d[more]), "check": _signed(c[more]), "first_doc": pa.array(o[more]), "first_place": pa.array(p[more].astype(np.int32))})
 
     packed = docs.select(F.col(key), F.col(text)).mapInArrow(lean(pack), ", ".join(f"{n} {t}" for n, t in PACKED))
-    return materialize(packed.groupBy("bucket").applyInArrow(lean_group(unite), "digest long, first_doc long, first_place int"), "chunks")
+    return materialize(packed.groupBy("bucket").applyInArrow(lean_group(unite), "digest long, check long, first_doc long, first_place int"), "chunks")
 
 
 def digest_filter(digests: DataFrame, bits: int = FILTER_BITS) -> bytes:
@@ -167,14 +169,15 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     whole words. ``spans`` are the removed byte ranges of the text in UTF-8; ``copied_from`` are the keys of the
     documents that keep what was removed. A document of which nothing is removed keeps its text as it is.
 
-    Texts are compared by 64-bit digests; a passage goes only if several digests in a row agree. A null key or
+    Pairs are compared by 128-bit digests; a chunk of ``least`` bytes or more also counts alone. A null key or
     text takes no part and passes through; rows with equal key and text are one document and are all treated alike;
     rows with one key and different texts are compared with each other; an empty table gives none. Columns named
-    like the added ones give way, others pass through.
+    like the added ones, in any case, give way, others pass through.
     """
     added = (("n_chunks", "int"), ("removed_bytes", "long"), ("spans", "array<struct<start:long,stop:long>>"), ("copied_from", "array<long>"))
-    keep = [c for c in docs.columns if c not in {n for n, _ in added}]
-    base = docs.select(*keep)
+    base = docs.select(*others(docs, *(n for n, _ in added)))
+    keep = base.columns
+    own_key, own_mark, own_copies = (private(base, n) for n in ("_k", "_mark", "_copies"))
     usable = base.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null and t <> ''")
     repeated = repeated_units(usable, "k", "t", least)
     bitmap = base.sparkSession.sparkContext.broadcast(digest_filter(repeated))
@@ -183,24 +186,24 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
         seen = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             keys, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for i, p, d in units_of([x.as_py().encode() for x in batch.column(2)], least):
+            for i, p, d, c in units_of([x.as_py().encode() for x in batch.column(2)], least):
                 at = d >> np.uint64(64 - FILTER_BITS)
                 hit = np.flatnonzero(seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
                 if len(hit):
-                    yield pa.RecordBatch.from_arrays([_signed(d[hit]), pa.array(np.full(len(hit), keys[i])), pa.array(np.full(len(hit), marks[i])), pa.array(p[hit].astype(np.int32))], names=["digest", "k", "mark", "place"])
+                    yield pa.RecordBatch.from_arrays([_signed(d[hit]), _signed(c[hit]), pa.array(np.full(len(hit), keys[i])), pa.array(np.full(len(hit), marks[i])), pa.array(p[hit].astype(np.int32))], names=["digest", "check", "k", "mark", "place"])
 
     mark = F.xxhash64("t")
     found = usable.select("k", mark.alias("mark"), "t")
-    held = found.mapInArrow(lean(suspects), "digest long, k long, mark long, place int").join(repeated, "digest").where("first_doc <> k or first_place <> place")
+    held = found.mapInArrow(lean(suspects), "digest long, check long, k long, mark long, place int").join(repeated, ["digest", "check"]).where("first_doc <> k or first_place <> place")
     copies = held.groupBy("k", "mark").agg(F.collect_set(F.struct("place", "first_doc")).alias("copies"))
-    marked = base.withColumn("_k", F.col(key).cast("long")).withColumn("_mark", F.xxhash64(F.col(text)))
-    joined = marked.join(copies.select(F.col("k").alias("_k"), F.col("mark").alias("_mark"), F.col("copies").alias("_copies")), ["_k", "_mark"], "left").select(*keep, "_copies")
+    marked = base.withColumn(own_key, F.col(key).cast("long")).withColumn(own_mark, F.xxhash64(F.col(text)))
+    joined = marked.join(copies.toDF(own_key, own_mark, own_copies), [own_key, own_mark], "left").select(*others(base), own_copies)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for part in slices([batch]):
                 texts, n_chunks, removed, spans, sources = [], [], [], [], []
-                for value, copies in zip(part.column(text).to_pylist(), part.column("_copies").to_pylist(), strict=True):
+                for value, copies in zip(part.column(text).to_pylist(), part.column(own_copies).to_pylist(), strict=True):
                     raw = (value or "").encode()
                     ends = chunk_ends(raw)
                     gone, origin = removable(raw, ends, copies or [], least)

@@ -66,13 +66,23 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about ``most`` bytes; memory is given back after each batch."""
+    """The batches in slices of about ``most`` bytes."""
     for batch in batches:
         step = max(1, batch.num_rows * most // max(most, batch.nbytes))
         for i in range(0, batch.num_rows, step):
             yield batch.slice(i, step)
+
+
+def giving_back(batches: Iterator[pa.RecordBatch], every: int = 4 * BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches; memory is given back after about ``every`` bytes."""
+    seen = 0
+    for batch in batches:
+        seen += batch.nbytes
+        yield batch
         del batch
-        give_back()
+        if seen >= every:
+            seen = 0
+            give_back()
 
 
 def give_back() -> None:
@@ -85,10 +95,10 @@ def give_back() -> None:
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, giving memory back at the end of each task."""
+    """``run``, giving memory back between batches and at the end of each task."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(giving_back(batches))
         give_back()
 
     return whole

@@ -8,6 +8,8 @@ import numpy as np
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: For a second hash of the same spans.
+SECOND = np.random.default_rng(19770523).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 #: Bytes of text that are hashed together; one longer text is hashed alone.
 PART = 1 << 20
 
@@ -34,10 +36,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class SpanHash:
     """Hashes of any spans of a byte array in constant time each, from prefix sums of a polynomial."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, table: np.ndarray = _TABLE):
         up, self.down = powers(len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum(table[data] * up[: len(data)], out=self.sums[1:])
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, bounded_sample, lean, schema_of, schema_text
+from .common import batch_of, bounded_sample, lean, others, schema_of, schema_text
 
 # Letters that look like Latin ones, and digits or signs that stand for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһкмтвнαορεικνυτχвзгпԛԝ", "aeopcyxijsdhkmtbhaopeiknytxbegnqw", strict=True))
@@ -65,6 +65,19 @@ class Lexicon:
     offset: float = -2.0
 
 
+def uncovered(found: list[tuple[int, int, float]], voided: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    """Those of ``found`` that lie in none of ``voided``: one sweep by start, with the farthest end so far."""
+    out, i, reach = [], 0, -1
+    voided.sort()
+    for a, b, w in sorted(found):
+        while i < len(voided) and voided[i][0] <= a:
+            reach = max(reach, voided[i][1])
+            i += 1
+        if b > reach:
+            out.append((a, b, w))
+    return out
+
+
 class Matcher:
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.automaton = lexicon, ahocorasick.Automaton()
@@ -81,9 +94,12 @@ class Matcher:
             return 0.0, 0
         found, voided = [], []
         for end, (weight, size) in self.automaton.iter(folded):
-            (voided if weight is None else found).append((end - size + 1, end, weight))
+            if weight is None:
+                voided.append((end - size + 1, end))
+            else:
+                found.append((end - size + 1, end, weight))
         if voided:
-            found = [(a, b, w) for a, b, w in found if not any(x <= a and b <= y for x, y, _ in voided)]
+            found = uncovered(found, voided)
         return math.fsum(w for _, _, w in found), len(found)
 
     def score(self, text: str | None) -> tuple[float, int]:
@@ -115,6 +131,10 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, most: int = 200_000, suppo
     documents hold it, after as many different words (else copies of one document would make terms of
     all its words), and its log-odds are above ``margin``; an exception is a pair of words around a term that
     only unmarked documents hold, again in different surroundings. Only what passes reaches the driver.
+
+    Labels that are null or neither 0 nor 1, ids that are null or have two marks, and documents without a label are not
+    learned from; null and empty texts count as documents without words; repeated rows of a document count each;
+    extra columns are ignored; without labels or documents the lexicon has no terms.
     """
     sample = labelled_sample(labels, most)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
@@ -213,9 +233,10 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Dat
     """Add score double (0 to 1), predicted int (score >= 0.5) and hits int.
 
     Null and empty texts have no hits and get the score of an empty text. Other columns are passed through
-    (columns named like the added ones give way); repeated rows score alike; an empty table gives none.
+    (columns named like the added ones, in any case, give way); repeated rows score alike; an empty table gives none.
     """
-    keep = [c for c in docs.columns if c not in ("score", "predicted", "hits")]
+    base = docs.select(*others(docs, "score", "predicted", "hits"))
+    keep = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
@@ -228,4 +249,4 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Dat
             predicted = [int(s >= 0.5) for s in scores]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array(hits, pa.int32())], names=[*keep, "score", "predicted", "hits"])
 
-    return docs.select(*keep).mapInArrow(lean(run), schema_of(docs.select(*keep), ("score", "double"), ("predicted", "int"), ("hits", "int")))
+    return base.mapInArrow(lean(run), schema_of(base, ("score", "double"), ("predicted", "int"), ("hits", "int")))
