@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from array import array
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from .common import ARROW, bound_batches, lean, others, schema_of, slices
 
 #: Characters of a text, and bytes of a match, that a leaf holds at most.
-LEAF_CHARS, LEAF_BYTES = 64, 8
+LEAF_CHARS, LEAF_BYTES = 512, 4
 #: Characters behind a match's start that decide it even where it does not reach them.
 LOOK = 3
 #: Results that are remembered of each kind (matches, leaves, neighbouring tokens), and as many again of older ones.
-KNOWN = 1 << 17
+KNOWN = 1 << 18
 NO_RANK = 1 << 40
 
 #: What ``encode_texts`` can add.
@@ -63,7 +63,7 @@ class Node:
 
 
 @lru_cache(maxsize=1)
-def odd_characters() -> tuple[regex.Pattern, dict[int, str]]:
+def odd_characters() -> tuple[re.Pattern, dict[int, str]]:
     """Characters whose class differs between the pattern engine here and that of the tiktoken library, whose Unicode
     tables are of another year; and for each a character of the class that the library gives it."""
     everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
@@ -74,14 +74,36 @@ def odd_characters() -> tuple[regex.Pattern, dict[int, str]]:
         odd |= theirs ^ ours
         stand_in |= {ord(c): common for c in theirs - ours}
     stand_in = {ord(c): stand_in.get(ord(c), "\u00a7") for c in odd}
-    return regex.compile(f"[{''.join(sorted(odd))}]" if odd else r"(?!)"), stand_in
+    return re.compile(f"[{ranges(odd)}]" if odd else r"(?!)"), stand_in
+
+
+def is_plain(text: str) -> bool:
+    """Whether a text's characters are all below 256, where all Unicode tables agree."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def ranges(characters: set[str]) -> str:
+    """The inside of a class of ``characters``."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
 class TreeBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
-        self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
+        self.ranks, self.bytes_of = ranks, [b""] * (1 + max(ranks.values()))
+        for b, i in ranks.items():
+            self.bytes_of[i] = b
         self.pattern, self.leaf_chars, self.leaf_bytes = regex.compile(pattern), leaf_chars, leaf_bytes
-        self.packed, self.leaf, self.pair = _Known(self.pack_piece), _Known(self.merge), _Known(self.merge_pair)
+        self.packed, self.small, self.leaf, self.pair = (_Known(f) for f in (self.pack_piece, self.join_leaves, self.merge, self.merge_pair))
         self.odd, self.stand_in = odd_characters()
         self.joins = 0
 
@@ -98,7 +120,7 @@ class TreeBpe:
         if not text:
             return b""
         step, nodes = self.leaf_chars, []
-        seen = text if text.isascii() or not self.odd.search(text) else text.translate(self.stand_in)
+        seen = text if is_plain(text) or not self.odd.search(text) else text.translate(self.stand_in)
         for i in range(0, len(text), step):
             pieces = self.matches(text, seen, i, i + step)
             nodes.append((i, Node(pieces, list(map(self.packed.__getitem__, pieces)))))
@@ -145,18 +167,26 @@ class TreeBpe:
         return left
 
     def pack_piece(self, piece: str) -> bytes:
-        return array("I", self.encode_piece(piece.encode())).tobytes()
-
-    def encode_piece(self, raw: bytes) -> list[int]:
-        """Ids of one match: a token as it is, else halves, joined."""
+        """Packed ids of one match: a token as it is, else halves, joined."""
+        raw = piece.encode()
         whole = self.ranks.get(raw)
-        return self.halves(raw) if whole is None else [whole]
+        if whole is not None:
+            return whole.to_bytes(4, "little")
+        return np.array(self.halves(raw), "<u4").tobytes() if len(raw) > 1024 else b"".join([i.to_bytes(4, "little") for i in self.halves(raw)])
 
     def halves(self, raw: bytes) -> list[int]:
+        size = len(raw)
+        if size <= 2 * self.leaf_bytes:
+            return self.small[raw]
+        half = size // 2
+        return self.join_piece(self.halves(raw[:half]), self.halves(raw[half:]))
+
+    def join_leaves(self, raw: bytes) -> list[int]:
+        """A leaf, or two leaves joined."""
         if len(raw) <= self.leaf_bytes:
             return self.leaf[raw]
         half = len(raw) // 2
-        return self.join_piece(self.halves(raw[:half]), self.halves(raw[half:]))
+        return self.join_piece(self.leaf[raw[:half]], self.leaf[raw[half:]])
 
     def join_piece(self, left: list[int], right: list[int]) -> list[int]:
         """Tokens of one match from the tokens of its two parts.
@@ -167,13 +197,16 @@ class TreeBpe:
         self.joins += 1
         window, pair = 1, self.pair
         middle = pair[left[-1] << 32 | right[0]]
+        if len(left) == len(right) == 1:
+            return middle
         while True:
             a, b = len(left) - window, min(window, len(right))
             fits_left = a <= 0 or pair[left[a - 1] << 32 | middle[0]] == [left[a - 1], middle[0]]
             if fits_left and (b == len(right) or pair[middle[-1] << 32 | right[b]] == [middle[-1], right[b]]):
                 return left[: max(0, a)] + middle + right[b:]
             window *= 2
-            middle = self.merge(b"".join(map(self.bytes_of.__getitem__, left[-window:] + right[:window])))
+            raw = b"".join(map(self.bytes_of.__getitem__, left[-window:] + right[:window]))
+            middle = self.leaf[raw] if len(raw) <= 2 * self.leaf_bytes else self.merge(raw)
 
     def merge_pair(self, key: int) -> list[int]:
         return self.merge(self.bytes_of[key >> 32] + self.bytes_of[key & 0xFFFFFFFF])
