@@ -105,8 +105,9 @@ placed AS (
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 entries AS (
   SELECT *, (reached + nth * source_size - size / 2.0::DOUBLE) / target AS finish FROM placed, (VALUES (0), (1)) r(nth) WHERE size > 0 AND target > 0),
+queue AS (SELECT *, sum(size) OVER (ORDER BY finish, draw, doc_id NULLS FIRST, size, nth ROWS UNBOUNDED PRECEDING) AS served FROM entries),
 kept AS (
-  SELECT doc_id, sum(size) AS taken FROM entries WHERE finish < 1 GROUP BY doc_id)
+  SELECT doc_id, sum(size) AS taken FROM queue WHERE served - size / 2.0::DOUBLE < (SELECT sum(target) FROM targets) GROUP BY doc_id)
 SELECT p.doc_id, p.size, p.source_size::BIGINT AS source_size, p.target, coalesce(k.taken, 0)::BIGINT AS taken FROM placed p LEFT JOIN kept k ON p.doc_id IS NOT DISTINCT FROM k.doc_id
 """
 

@@ -50,19 +50,20 @@ def test_mix(spark, rows):
     for r in rows:
         total[r[2]] = total.get(r[2], 0) + size[r[0]]
     target = targets_of(total)
-    want = {}
-    for s in total:  # one queue for each source, in the order of the shuffle: whole documents whose middle is before the target
-        own, reached = sorted((r.finish, -1 if r.doc_id is None else r.doc_id, r.size) for r in got if r.source == s and r.target and r.size), 0
-        for _, k, n in own * 2:
-            if reached + n / 2 < target[s]:
-                want[k] = want.get(k, 0) + n
-            reached += n
+    want, served, budget = {}, 0, sum(target.values())  # one queue of all sources, in the order of finish times, cut at the budget
+    queue = [(r.finish + nth * r.source_size / r.target, -1 if r.doc_id is None else r.doc_id, r.size) for r in got if r.target and r.size for nth in (0, 1)]
+    for _, k, n in sorted(queue):
+        if served + n / 2 < budget:
+            want[k] = want.get(k, 0) + n
+        served += n
     for r in got:
         assert r.size == size[r.doc_id] and r.source_size == total[r.source] and abs(r.target - target[r.source]) < 1e-6 * max(1, r.target)
         assert r.taken in (0, r.size, 2 * r.size) and r.taken == want.get(-1 if r.doc_id is None else r.doc_id, 0)
+    largest = {s: max(size[r[0]] for r in rows if r[2] == s) for s in total}
+    short = sum(largest.values()) / 2 / sum(target[s] for s in total if target[s] < 2 * total[s])  # others make up for what whole documents leave
     for s in total:
-        largest = max(size[r[0]] for r in rows if r[2] == s)
-        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= largest / 2 + 1e-6
+        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= largest[s] / 2 + short * target[s] + 1e-6
+    assert abs(sum(r.taken for r in got) - budget) <= max(size.values()) / 2 + 1e-6
     df = spark.createDataFrame(rows, SCHEMA)
     out = in_mix_order(df, mix_sources(df)).collect()
     times = {}
