@@ -1,17 +1,22 @@
 """Language-model scoring by logistic context mixing: hashed-context bit predictors combined by gated weights.
 
-A text is its words, bytes ended by a space each, and one end token. A byte is coded in binary decisions: five bits for the 31 most
-frequent bytes, an escape and eight bits for others. Each decision is predicted by six counted contexts (class and place,
-one to four bytes before, and the word so far), whose log-odds are mixed by weights that a gate selects and refined by
-a table over the mixed value. Weights and table are fitted on all training tokens, each taken out of its own counts, by
-Newton's steps over sums of gradients and curvatures. A token's probability mixes this coder with its share of the training tokens and, adaptively,
-of the text's own earlier tokens. Counts are of all training text. A text's class, such as its language, is not known to the coder:
-its probability is the mixture over classes, which weighs them by the words before, token by token. As contexts end
-at a word's border, a word's bits are computed once for each class, not once for each occurrence.
+A text is its words, bytes ended by a space each, and one end token. A byte is coded in binary decisions along a Huffman code
+of all bytes. Every decision is predicted by counted contexts, whose log-odds are mixed by weights that a gate
+selects, and refined by a table over the mixed value; weights and table are learned online, batch by batch, over all training tokens.
+
+The first byte of a token is predicted across the border: from the text's class, the last two and five bytes before, the word
+before and the two words before. Its tables and its mixer learn in one pass: each batch of tokens is predicted by what the
+task has counted so far, moves the weights, and is then counted. The bytes after it are predicted from one to six bytes before, as far as
+the word reaches, and from the word so far, whose counts are kept for every word of the corpus; so they are worked out once
+for a word of a class, and each training token is predicted from the counts of all others. Tasks' weights are united by their curvature.
+
+A text's class, such as its language, is coded first, then its tokens. Within a text the model also adapts: its probability is the
+mixture of coders that give a text's own earlier tokens more or less weight, and each token moves that mixture.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from zlib import compress, crc32, decompress
@@ -23,49 +28,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, bounded_sample, lean, lean_group, materialize
-from .hashing import mix
-
-#: Latent classes of texts; so many training texts give the centres from which CLASS_ROUNDS rounds over all training texts start.
-CLASSES, CLASS_START, CLASS_ROUNDS = 4, 2000, 3
-#: Hashed contexts of each predictor: 2**TABLE_BITS counter pairs, of fixed size.
-TABLE_BITS, ORDERS = 18, 5
-#: Passes over all training tokens that fit the mixing weights; one more fits the refining table.
-WEIGHT_PASSES = 3
-#: Depth in bytes up to which words share exact counts of the word so far; from PREFIX_FROM on they share a bucket.
-PREFIX_FROM, PREFIX_TO = 4, 32
-#: Texts whose words are indexed together.
-GROUP_TEXTS = 4000
+from .hashing import SpanHash, mix
+
+#: Latent classes of texts; so many training texts give the centres from which a round over all training texts starts.
+CLASSES, CLASS_START = 4, 2000
+#: Hashed contexts of each predictor: 2**TABLE_BITS counter pairs, of fixed size; the word so far has tables that grow with the vocabulary.
+TABLE_BITS = 18
+#: Contexts of a word's first byte, and of the bytes after it; the latter have the word so far besides.
+HEADS, ORDERS = 5, 6
+#: Words share counts of the word so far from this depth in bytes on, and are dealt to buckets by so many bytes.
+PREFIX = 4
+#: Bytes of texts whose words are indexed together, and tokens that are predicted before they are counted.
+GROUP_BYTES, HEAD_BATCH = 8 << 20, 1 << 15
 #: Buckets of words at least; a bucket's words are worked on at once.
 BUCKETS = 256
 PARTS = 32
-#: Weight of a text's own earlier tokens in predicting the next.
-REPEAT = 0.1
+#: Weights of a text's own earlier tokens, among which the text's mixture moves.
+REPEAT = np.array([0.001, 0.1, 0.4])
 CONFIDENCE = np.array([0.5, 1.5, 3.5, 10.0, 100.0])
-GATES = (len(CONFIDENCE) + 1) * (PREFIX_FROM + 1)
+LEVELS = len(CONFIDENCE) + 1
 END = b"\n"
 
 FACTS = (("kind", "int"), ("g", "long"), ("k", "long"), ("held", "boolean"), ("cls", "int"), ("size", "long"), ("bucket", "int"), ("words", "binary"), ("numbers", "binary"), ("places", "binary"))
-VOCABULARY = (("bucket", "int"), ("words", "binary"), ("counts", "binary"), ("tokens", "binary"), ("once", "binary"), ("known", "long"), ("bytes", "binary"))
+VOCABULARY = (("bucket", "int"), ("words", "binary"), ("counts", "binary"), ("asked", "binary"), ("tokens", "long"), ("known", "long"))
 SUMS, SUMS_DDL = (("part", "int"), ("sums", "binary")), "part int, sums binary"
 SCORES = (("bucket", "int"), ("words", "binary"), ("counts", "binary"), ("logs", "binary"))
-REPLIES = (("g", "long"), ("places", "binary"), ("counts", "binary"), ("logs", "binary"))
+REPLIES = (("g", "long"), ("places", "binary"), ("words", "binary"), ("counts", "binary"), ("logs", "binary"))
+
+
+def ddl(fields: tuple[tuple[str, str], ...]) -> str:
+    return ", ".join(f"{n} {t}" for n, t in fields)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def profile(text: str | None) -> np.ndarray:
+def profile(raw: bytes) -> np.ndarray:
     """Normalised histogram of hashed byte pairs."""
-    raw = np.frombuffer((text or "").encode().lower(), np.uint8).astype(np.uint32)
-    pairs = (raw[:-1] * 257 + raw[1:]) * np.uint32(2654435761) >> np.uint32(23) if len(raw) > 1 else np.zeros(0, np.uint32)
+    data = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    pairs = (data[:-1] * np.uint32(257) + data[1:]) * np.uint32(2654435761) >> np.uint32(23)
     h = np.bincount(pairs, minlength=512).astype(np.float32)
     return h / max(float(np.linalg.norm(h)), 1e-9)
 
 
 def fit_classes(texts: list[str]) -> np.ndarray:
     """Centres of CLASSES groups of profiles: farthest-first start, then means on the sphere."""
-    x = np.stack([profile(t) for t in texts]) if texts else np.zeros((1, 512), np.float32)
+    x = np.stack([profile(t.encode().lower()) for t in texts]) if texts else np.zeros((1, 512), np.float32)
     centre = [x[0]]
     while len(centre) < CLASSES:
         centre.append(x[int(np.argmin(np.max([x @ c for c in centre], 0)))])
@@ -79,22 +88,27 @@ def fit_classes(texts: list[str]) -> np.ndarray:
     return c
 
 
-def refit_classes(texts: DataFrame, centres: np.ndarray) -> np.ndarray:
-    """Centres after CLASS_ROUNDS rounds of means over all ``texts`` (t)."""
-    for _ in range(CLASS_ROUNDS):
+def refit_classes(texts: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres after a round of means over all ``texts`` (t), and how often each byte occurs in them."""
 
-        def run(batches: Iterator[pa.RecordBatch], c: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(c.shape)
-            for batch in batches:
-                for text in batch.column(0):
-                    x = profile(text.as_py())
-                    total[int(np.argmax(c @ x))] += x
-            yield batch_of([(k, row.tobytes()) for k, row in enumerate(total) if row.any()], SUMS)
-
-        for r in summed(texts.mapInArrow(lean(run), SUMS_DDL)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(centres.shape), np.zeros(256)
+        for batch in batches:
+            for text in batch.column(0):
+                raw = text.as_py().encode().lower()
+                x = profile(raw)
+                total[int(np.argmax(centres @ x))] += x
+                seen += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+        yield batch_of([(k, row.tobytes()) for k, row in enumerate([*total, seen]) if row.any()], SUMS)
+
+    out, seen = centres.copy(), np.zeros(256)
+    for r in summed(texts.mapInArrow(lean(run), SUMS_DDL)):
+        if r.part == CLASSES:
+            seen = np.frombuffer(bytes(r.sums))
+        else:
             mean = np.frombuffer(bytes(r.sums))
-            centres[r.part] = mean / max(float(np.linalg.norm(mean)), 1e-9)
-    return centres
+            out[r.part] = mean / max(float(np.linalg.norm(mean)), 1e-9)
+    return out, seen
 
 
 def summed(parts: DataFrame) -> list:
@@ -107,74 +121,34 @@ def summed(parts: DataFrame) -> list:
     return parts.groupBy("part").applyInArrow(lean_group(both), SUMS_DDL).collect()
 
 
-def index_texts(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFrame:
-    """Kind 0: a row for each text with its class if it trains and its words by number; kind 1: numbered words of a group
-    of texts, dealt to buckets by their first bytes, with training counts by class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = TaskContext.get().partitionId() << 24
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            number: dict[bytes, int] = {}
-            lists, rows = [], []
-            for _, _, text, _ in held:
-                lists.append(np.array([number.setdefault(w, len(number)) for w in tokens_of(text)], np.int64))
-            counts = np.zeros((len(number), CLASSES), np.int64)
-            for c in range(CLASSES):
-                own = [x for x, h in zip(lists, held, strict=True) if h[3] == c]
-                if own:
-                    counts[:, c] = np.bincount(np.concatenate(own), minlength=len(number))
-            # frequent words first, so that high bytes of the numbers are mostly zero
-            order = np.argsort(-np.bincount(np.concatenate(lists), minlength=len(number)), kind="stable")
-            rank = np.empty(len(number), np.int64)
-            rank[order] = np.arange(len(number))
-            for (k, h, text, c), x in zip(held, lists, strict=True):
-                planes = rank[x].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-                rows.append((0, group, k, h, c, len(" ".join((text or "").split()).encode()) + 1, None, None, compress(planes, 1), None))
-            words = list(number)
-            bucket = np.array([crc32(w[:PREFIX_FROM]) % buckets for w in words])
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for b in range(buckets):
-                own = by[cuts[b] : cuts[b + 1]]
-                if len(own):
-                    rows.append((1, group, None, None, None, None, b, b" ".join([words[i] for i in own]), compress(counts[own].astype("<u4").tobytes(), 1), rank[own].astype("<u4").tobytes()))
-            held.clear()
-            return batch_of(rows, FACTS)
-
-        for batch in batches:
-            for k, h, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.append((k, h, text, -1 if h else int(np.argmax(classes @ profile(text)))))
-            if len(held) >= GROUP_TEXTS:
-                yield flush()
-                group += 1
-        if held:
-            yield flush()
-
-    return materialize(docs.mapInArrow(lean(run), ", ".join(f"{n} {t}" for n, t in FACTS)), "lm-facts")
-
-
-def unite_words(facts: DataFrame) -> DataFrame:
-    """One row for each bucket: its words, their training counts by class, and sums over them."""
-
-    def run(table: pa.Table) -> pa.Table:
-        number: dict[bytes, int] = {}
-        seen = []
-        for words, counts in zip(table.column("words"), table.column("numbers"), strict=True):
-            at = np.array([number.setdefault(w, len(number)) for w in words.as_py().split(b" ")])
-            seen.append((at, np.frombuffer(decompress(counts.as_py()), "<u4").reshape(-1, CLASSES)))
-        total = np.zeros((len(number), CLASSES), np.int64)
-        for at, counts in seen:
-            total[at] += counts
-        words = list(number)
-        data, starts, _ = flat(words)
-        length = np.diff(np.append(starts, len(data)))
-        histogram = np.bincount(data, weights=np.repeat(total.sum(1), length), minlength=256)
-        return pa.Table.from_batches([batch_of([(table.column("bucket")[0].as_py(), b" ".join(words), total.tobytes(), total.sum(0).tobytes(), (total == 1).sum(0).tobytes(), int((total.sum(1) > 0).sum()), histogram.tobytes())], VOCABULARY)])
+class Coder:
+    """The binary decisions of bytes: a Huffman code of their frequencies, in which every byte has a place."""
+
+    def __init__(self, seen: np.ndarray):
+        heap = [(float(n) + 0.01, i, (i,)) for i, n in enumerate(seen)]
+        heapq.heapify(heap)
+        path: list[list[tuple[int, int]]] = [[] for _ in range(256)]
+        for node in range(255):
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            for bit, side in enumerate((a, b)):
+                for i in side[2]:
+                    path[i].append((node, bit))
+            heapq.heappush(heap, (a[0] + b[0], 256 + node, a[2] + b[2]))
+        self.size = np.array([len(p) for p in path])
+        self.node, self.bit = np.zeros((2, int(self.size.max()), 256), np.uint64)
+        for i, p in enumerate(path):
+            for t, (node, bit) in enumerate(reversed(p)):
+                self.node[t, i], self.bit[t, i] = node + 1, bit
 
-    rows = facts.where("kind = 1").select("bucket", "words", "numbers")
-    return materialize(rows.groupBy("bucket").applyInArrow(lean_group(run), ", ".join(f"{n} {t}" for n, t in VOCABULARY)), "lm-vocabulary")
+    def decisions(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, node, bit) level by level: every byte's decisions in coding order."""
+        rows, size = np.arange(len(data)), self.size[data]
+        for node, bit in zip(self.node, self.bit, strict=True):
+            yield rows, node[data[rows]], bit[data[rows]]
+            rows = rows[size[rows] > 1]
+            size = size - 1
+            if not len(rows):
+                return
 
 
 def flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,294 +159,396 @@ def flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, starts, np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
 
 
-class Coder:
-    """The binary decisions of bytes: ``order`` has the 31 most frequent bytes."""
-
-    def __init__(self, order: list[int]):
-        self.rank = np.full(256, 31, np.int64)
-        self.rank[order[:31]] = np.arange(len(order[:31]))
-
-    def decisions(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows, node, bit) level by level: every byte's decisions in coding order."""
-        code = self.rank[data]
-        everywhere = np.arange(len(data))
-        for t in range(5):
-            yield everywhere, (1 << t) | (code >> (5 - t)), (code >> (4 - t)) & 1
-        rare = np.flatnonzero(code == 31)
-        if len(rare):
-            raw = data[rare].astype(np.int64)
-            for t in range(8):
-                yield rare, 32 + ((1 << t) | (raw >> (8 - t))), (raw >> (7 - t)) & 1
-
-
-def contexts(data: np.ndarray, place: np.ndarray, cls: np.ndarray | int) -> list[np.ndarray]:
-    """64-bit hashes of each byte's contexts; what stands before a word's start is a space."""
-    before = []
-    for back in (1, 2, 3, 4):
-        b = np.full(len(data), 32, np.uint64)
-        b[back:] = data[:-back]
-        b[place < back] = 32
-        before.append(b)
-    own = np.uint64(1) + np.asarray(cls, np.uint64)
-    key, out = np.minimum(place, 3).astype(np.uint64), []
-    out.append(mix(key + own * np.uint64(1 << 40)))
-    key = np.zeros(len(data), np.uint64)
-    for n, b in enumerate(before, 1):
-        key = (key << np.uint64(8)) | b
-        out.append(mix(key + np.uint64(n << 36) + (own * np.uint64(1 << 40) if n < 4 else np.uint64(0))))
-    return out
-
+def slot(context: np.ndarray, node: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
+    return (((context ^ (node * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
 
-def slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return ((context ^ (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - TABLE_BITS)
-
-
-class Prefixes:
-    """Exact counts of what follows the word so far, over the words of a bucket."""
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray, place: np.ndarray):
-        self.group = np.full(len(data), -1, np.int64)
-        length = np.diff(np.append(starts, len(data)))
-        key, fresh = np.zeros(len(starts), np.int64), 0
-        active = np.arange(len(starts))
-        for j in range(PREFIX_TO):
-            active = active[length[active] > j]
-            if not len(active):
-                break
-            if j >= PREFIX_FROM:
-                _, dense = np.unique(key[active], return_inverse=True)
-                self.group[starts[active] + j] = fresh + dense
-                key[active] = dense
-                fresh += int(dense.max()) + 1
-            key[active] = key[active] * 256 + data[starts[active] + j]
-        self.rows = np.flatnonzero(self.group >= 0)
-
-    def levels(self, decisions, weight: np.ndarray) -> Iterator[tuple]:
-        """(rows, node, bit, ones, total): counts of the word so far at each decision, by column of ``weight``; -1 where there are none."""
-        current = self.group.copy()
-        for rows, node, bit in decisions:
-            ones, total = np.full((weight.shape[1], len(rows)), -1.0), np.full((weight.shape[1], len(rows)), -1.0)
-            own = np.flatnonzero(current[rows] >= 0)
-            if len(own):
-                _, g = np.unique(current[rows[own]], return_inverse=True)
-                for k in range(weight.shape[1]):
-                    w = weight[rows[own], k]
-                    ones[k, own], total[k, own] = np.bincount(g, w * bit[own])[g], np.bincount(g, w)[g]
-                current[rows[own]] = 2 * g + bit[own]
-            yield rows, node, bit, ones, total
-
-
-def stretch(ones: np.ndarray, zeros: np.ndarray, start: float) -> np.ndarray:
-    return np.log((ones + start) / (zeros + start))
-
-
-def gate_of(total: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return np.searchsorted(CONFIDENCE, total, "right") * (PREFIX_FROM + 1) + np.minimum(place, PREFIX_FROM)
-
-
-def ready_inputs(ready: np.ndarray, held: list[np.ndarray], rows, node, ones, total) -> np.ndarray:
-    """``inputs`` with nothing taken out of the counts, from log-odds that were worked out once for each slot."""
-    x = np.empty((ORDERS + 2, len(rows)), np.float32)
-    whole = len(rows) == len(held[0])
-    for o in range(ORDERS):
-        x[o] = ready[o, slot(held[o] if whole else held[o][rows], node)]
-    known = total >= 0
-    x[ORDERS] = 0
-    n1 = ones[known]
-    x[ORDERS, known] = stretch(n1, total[known] - n1, 0.2)
-    x[ORDERS + 1] = 0.3
-    return x
-
-
-def inputs(tables: np.ndarray, held: list[np.ndarray], rows, node, bit, ones, total, own: np.ndarray | float) -> np.ndarray:
-    """Log-odds of the six predictors, and a constant; ``own`` occurrences of the coded token are taken out of every count."""
-    x = np.empty((ORDERS + 2, len(rows)), np.float32)
-    for o in range(ORDERS):
-        at = slot(held[o][rows], node)
-        n0, n1 = tables[o, 0, at], tables[o, 1, at]
-        x[o] = stretch(np.maximum(n1 - own * bit, 0), np.maximum(n0 - own * (1 - bit), 0), 0.4)
-    known = total >= 0
-    n1, n0 = np.where(known, np.maximum(ones - own * bit, 0), 0), np.where(known, np.maximum(total - ones - own * (1 - bit), 0), 0)
-    x[ORDERS] = stretch(n1, n0, 0.2)
-    x[ORDERS + 1] = 0.3
-    return x
-
-
-def count_contexts(vocabulary: DataFrame, coder: Coder) -> np.ndarray:
-    """Counter pairs of all hashed contexts over all training tokens: (order, bit, slot). The tables have a fixed size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((ORDERS, 2, 1 << TABLE_BITS), np.float32)
-        for batch in batches:
-            for words, counts in zip(batch.column("words"), batch.column("counts"), strict=True):
-                data, starts, place = flat(words.as_py().split(b" "))
-                weight = np.frombuffer(counts.as_py(), np.int64).reshape(-1, CLASSES)
-                spread = np.repeat(weight, np.diff(np.append(starts, len(data))), axis=0)
-                for k in range(CLASSES):
-                    use = np.flatnonzero(spread[:, k])
-                    held = [c[use] for c in contexts(data, place, k)]
-                    for rows, node, bit in coder.decisions(data[use]):
-                        w = spread[use[rows], k]
-                        for o in range(ORDERS):
-                            at = slot(held[o][rows], node)
-                            tables[o] += np.bincount(at + (bit.astype(np.uint64) << np.uint64(TABLE_BITS)), w, 2 << TABLE_BITS).reshape(2, -1)
-        cuts = np.split(tables, PARTS, axis=2)
-        yield batch_of([(i, compress(np.ascontiguousarray(x).tobytes(), 1)) for i, x in enumerate(cuts) if x.any()], (("part", "int"), ("counts", "binary")))
+def stretch(n1: np.ndarray, n0: np.ndarray, start: float) -> np.ndarray:
+    return np.log((n1 + np.float32(start)) / (n0 + np.float32(start)))
 
-    def both(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(decompress(x.as_py()), np.float32) for x in table.column("counts")], axis=0, dtype=np.float32)
-        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.tobytes()])})
 
-    got = vocabulary.select("words", "counts").mapInArrow(lean(run), "part int, counts binary").groupBy("part").applyInArrow(lean_group(both), "part int, counts binary").collect()
-    width = (1 << TABLE_BITS) // PARTS
-    tables = np.zeros((ORDERS, 2, 1 << TABLE_BITS), np.float32)
-    for r in got:
-        tables[:, :, r.part * width : (r.part + 1) * width] = np.frombuffer(bytes(r.counts), np.float32).reshape(ORDERS, 2, width)
-    return tables
+def level_of(total: np.ndarray) -> np.ndarray:
+    """How much a context has been seen, in LEVELS steps."""
+    out = np.zeros(len(total), np.int64)
+    for c in CONFIDENCE:
+        out += total >= c
+    return out
 
 
 class Mixer:
-    """Weights by gate, and a table that refines the mixed log-odds."""
+    """Weights by gate, and a table that refines the mixed log-odds; both learn by online Newton steps."""
 
     STEPS = 24
 
-    def __init__(self):
-        self.weights = np.full((GATES, ORDERS + 2), 1.0 / (ORDERS + 1), np.float32)
+    def __init__(self, gates: int, inputs: int):
+        self.gates, self.n = gates, inputs
+        self.weights = np.full((gates, inputs), 1.0 / (inputs - 1))
         self.weights[:, -1] = 0
-        self.refined = np.tile(np.linspace(-12, 12, self.STEPS + 1, dtype=np.float32), (GATES, 1))
+        self.curve = np.tile(np.eye(inputs), (gates, 1, 1))
+        self.refined = np.tile(np.linspace(-12, 12, self.STEPS + 1), (gates, 1))
+        self.seen = np.ones((gates, self.STEPS + 1))
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         out = np.zeros(len(gate), np.float32)
-        for i, w in enumerate(np.ascontiguousarray(self.weights.T)):
-            out += w[gate] * x[i]
+        for w, v in zip(np.ascontiguousarray(self.weights.T, np.float32), x, strict=True):
+            out += w[gate] * v
         return np.clip(out, -11.99, 11.99)
 
+    def knots(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = (z + 12).astype(np.int64)
+        return low, z + 12 - low
+
     def log_odds(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         z = self.mixed(x, gate)
-        at = z + 12
-        low = at.astype(np.int64)
-        part = at - low
-        table = self.refined[gate, low] * (1 - part) + self.refined[gate, low + 1] * part
-        return (z + table) / 2
-
-    def sums(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """For each gate, over weighted decisions: loss, gradient and curvature of the weights, then gradient, curvature
-        and curvature with the next knot of the table."""
-        n, knots = ORDERS + 2, self.STEPS + 1
-        out = np.zeros((GATES, 1 + n + n * n + 3 * knots))
+        low, part = self.knots(z)
+        table, at = self.refined.ravel(), gate * (self.STEPS + 1) + low
+        return (z + table[at] * (1 - part) + table[at + 1] * part) / 2
+
+    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray | None = None) -> None:
+        """Move the weights, then the table, by what these decisions (with weights) would have wanted."""
+        weight = np.ones(len(gate)) if weight is None else weight
         z = self.mixed(x, gate)
-        low = (z + 12).astype(np.int64)
-        part = z + 12 - low
         guess = 1 / (1 + np.exp(-z))
         error, curve = (bit - guess) * weight, guess * (1 - guess) * weight
-        out[:, 0] = np.bincount(gate, np.log1p(np.exp(np.where(bit == 1, -z, z))) * weight, GATES)
-        order = np.argsort(gate, kind="stable")
-        cuts = np.searchsorted(gate[order], np.arange(GATES + 1))
+        order = np.argsort(gate.astype(np.int16), kind="stable")
+        cuts = np.searchsorted(gate[order], np.arange(self.gates + 1))
         for g in np.flatnonzero(np.diff(cuts)):
             own = order[cuts[g] : cuts[g + 1]]
             v = x[:, own].astype(float)
-            out[g, 1 : 1 + n] = v @ error[own]
-            out[g, 1 + n : 1 + n + n * n] = ((v * curve[own]) @ v.T).ravel()
-        at = gate * knots + low
-        grid = lambda side, values: np.bincount(at + side, values, GATES * knots).reshape(GATES, knots)
-        out[:, -3 * knots : -2 * knots] = grid(0, error * (1 - part)) + grid(1, error * part)
-        out[:, -2 * knots : -knots] = grid(0, curve * (1 - part) ** 2) + grid(1, curve * part**2)
-        out[:, -knots:] = grid(0, curve * part * (1 - part))
-        return out
-
-    def fit(self, sums_of) -> None:
-        """WEIGHT_PASSES steps of Newton's method for each gate's weights and one for its table; ``sums_of`` gives ``sums``
-        over all decisions. Where a step made the loss larger, half of it is taken back."""
-        n, knots = ORDERS + 2, self.STEPS + 1
-        best, least = self.weights.copy(), np.full(GATES, np.inf)
-        for left in range(WEIGHT_PASSES, -1, -1):
-            got = sums_of(self)
-            worse = got[:, 0] > least
-            least, tried = np.minimum(least, got[:, 0]), self.weights.copy()
-            best[~worse] = tried[~worse]
-            if left:
-                step = np.linalg.solve(got[:, 1 + n : 1 + n + n * n].reshape(GATES, n, n) + np.eye(n), got[:, 1 : 1 + n, None])[:, :, 0]
-                self.weights = np.where(worse[:, None], (best + tried) / 2, best + np.clip(step, -1, 1)).astype(np.float32)
-        self.weights = best
-        move, curve, beside = (got[:, got.shape[1] - i * knots : got.shape[1] - (i - 1) * knots or None] for i in (3, 2, 1))
-        for g in np.flatnonzero(~worse):
-            bands = np.diag(curve[g] + 0.25) + np.diag(beside[g, :-1], 1) + np.diag(beside[g, :-1], -1)
-            self.refined[g] = np.clip(self.refined[g] + np.clip(np.linalg.solve(bands, move[g]), -2, 2), -12, 12)
-
-
-def training_decisions(words: list[bytes], count: np.ndarray, tables: np.ndarray, coder: Coder) -> Iterator[tuple[np.ndarray, ...]]:
-    """Inputs, gates, bits and weights of the decisions of all training tokens of the words: equal tokens of a class are
-    one weighted decision, each taken out of its own counts."""
-    data, starts, place = flat(words)
-    weight = np.repeat(count, np.diff(np.append(starts, len(data))), axis=0).astype(float)
-    held = [contexts(data, place, k) for k in range(CLASSES)]
-    for rows, node, bit, ones, seen in Prefixes(data, starts, place).levels(coder.decisions(data), weight):
-        for k in range(CLASSES):
-            own = np.flatnonzero(weight[rows, k])
-            if len(own):
-                r, n = rows[own], seen[k, own]
-                x = inputs(tables, held[k], r, node[own], bit[own], ones[k, own], n, 1.0)
-                yield x, gate_of(np.where(n >= 0, n - 1, 0), place[r]), bit[own], weight[r, k]
-
-
-def fit_mixer(vocabulary: DataFrame, tables, coder: Coder) -> Mixer:
-    """The mixer fitted on all training tokens; what reaches the driver has the fixed size of ``Mixer.sums``."""
-
-    def sums_of(mixer: Mixer) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, table = 0.0, tables.value
-            for batch in batches:
-                for words, counts in zip(batch.column("words"), batch.column("counts"), strict=True):
-                    count = np.frombuffer(counts.as_py(), np.int64).reshape(-1, CLASSES)
-                    for decisions in training_decisions(words.as_py().split(b" "), count, table, coder):
-                        total = total + mixer.sums(*decisions)
-            yield batch_of([(g, row.tobytes()) for g, row in enumerate(total) if row.any()] if np.ndim(total) else [], SUMS)
-
-        out = np.zeros((GATES, 1 + (ORDERS + 2) * (ORDERS + 3) + 3 * (Mixer.STEPS + 1)))
-        for r in summed(vocabulary.select("words", "counts").mapInArrow(lean(run), SUMS_DDL)):
-            out[r.part] = np.frombuffer(bytes(r.sums))
-        return out
-
-    mixer = Mixer()
-    mixer.fit(sums_of)
-    return mixer
+            self.curve[g] += (v * curve[own]) @ v.T
+            self.weights[g] += np.clip(np.linalg.solve(self.curve[g], v @ error[own]), -0.5, 0.5)
+        low, part = self.knots(z)
+        knots = self.STEPS + 1
+        table, at = self.refined.ravel(), gate * knots + low
+        left = (bit - 1 / (1 + np.exp(-(table[at] * (1 - part) + table[at + 1] * part)))) * weight
+        grid = lambda a, b: np.bincount(at, a, self.gates * knots) + np.bincount(at + 1, b, self.gates * knots)
+        self.seen += grid(curve * (1 - part), curve * part).reshape(self.seen.shape)
+        self.refined = np.clip(self.refined + np.clip(grid(left * (1 - part), left * part).reshape(self.seen.shape) / (self.seen + 4), -0.5, 0.5), -12, 12)
+
+    def state(self) -> np.ndarray:
+        """What tasks add up: curvature, curvature times weights, the table's curvature and that times the table."""
+        pulled = np.einsum("gij,gj->gi", self.curve, self.weights)
+        return np.concatenate([x.ravel() for x in (self.curve, pulled, self.seen, self.seen * self.refined)])
+
+    def unite(self, total: np.ndarray) -> None:
+        """Take the mean of tasks, weighed by curvature, from the sum of their states."""
+        g, n, knots = self.gates, self.n, self.STEPS + 1
+        curve, pulled, seen, table = np.split(total, np.cumsum([g * n * n, g * n, g * knots]))
+        self.curve = curve.reshape(g, n, n)
+        self.weights = np.linalg.solve(self.curve, pulled.reshape(g, n, 1))[:, :, 0]
+        self.seen = seen.reshape(g, knots)
+        self.refined = table.reshape(g, knots) / self.seen
+
+
+def log_loss(z: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, np.where(bit == 1, -z, z))
+
+
+class Words:
+    """What the first byte of the token after each word is predicted from; the last row stands for a text's start."""
+
+    def __init__(self, words: list[bytes]):
+        data, starts, _ = flat(words)
+        ends = np.append(starts[1:], len(data)) - 1
+        self.first, self.length = data[starts], ends - starts
+        self.whole = np.append(SpanHash(data).spans(starts, ends), np.uint64(0))
+        tail = np.zeros(len(starts) + 1, np.uint64)
+        for back in range(1, 6):
+            tail[:-1] |= np.where(self.length >= back, data[np.maximum(ends - back, 0)], 0).astype(np.uint64) << np.uint64(8 * (back - 1))
+        self.two, self.five = mix(tail & np.uint64(0xFFFF)), mix(tail + np.uint64(1 << 41))
+
+    def contexts(self, at: np.ndarray, begins: np.ndarray, cls: int) -> list[np.ndarray]:
+        """Context hashes of the tokens ``at`` (word numbers); ``begins`` says where texts begin."""
+        none = len(self.whole) - 1
+        before = np.concatenate([[none], at[:-1]])
+        before[begins] = none
+        two_before = np.concatenate([[none], before[:-1]])
+        two_before[begins] = none
+        own = np.uint64((cls + 1) << 50)
+        whole = self.whole[before]
+        return [np.full(len(at), mix(np.array([own]))[0]), self.two[before] ^ own, self.five[before], whole, mix(whole + (self.whole[two_before] << np.uint64(1)) + np.uint64(7))]
+
+
+def head_inputs(tables: np.ndarray, held: list[np.ndarray], rows: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Log-odds of the predictors of first bytes and a constant, gates, and the counters' places."""
+    x, places, whole = np.empty((HEADS + 1, len(rows)), np.float32), [], len(rows) == len(held[0])
+    gate = np.zeros(len(rows), np.int64)
+    for o in range(HEADS):
+        at = slot(held[o] if whole else held[o][rows], node)
+        n0, n1 = tables[o, 0][at], tables[o, 1][at]
+        x[o] = stretch(n1, n0, 0.4)
+        if o >= HEADS - 2:
+            gate = gate * LEVELS + level_of(n0 + n1)
+        places.append(at)
+    x[HEADS] = 0.3
+    return x, gate, places
+
+
+def learn_heads(tables: np.ndarray, mixer: Mixer, coder: Coder, words: Words, at: np.ndarray, begins: np.ndarray, cls: int) -> None:
+    """Predict the first bytes of the tokens, batch by batch; move the weights; count the batch."""
+    held, first = words.contexts(at, begins, cls), words.first[at]
+    for a in range(0, len(at), HEAD_BATCH):
+        own = [c[a : a + HEAD_BATCH] for c in held]
+        for rows, node, bit in coder.decisions(first[a : a + HEAD_BATCH]):
+            x, gate, places = head_inputs(tables, own, rows, node)
+            mixer.learn(x, gate, bit.astype(np.int64))
+            for o, p in enumerate(places):
+                np.add.at(tables[o].reshape(-1), p + (bit.astype(np.int64) << TABLE_BITS), np.float32(1))
+
+
+def head_logs(ready: np.ndarray, mixer: Mixer, coder: Coder, words: Words, at: np.ndarray, begins: np.ndarray, cls: int) -> np.ndarray:
+    """Natural logarithms of the probability of each token's first byte; ``ready`` has the log-odds and the level of every slot."""
+    held, first, out = words.contexts(at, begins, cls), words.first[at], np.zeros(len(at))
+    odds, level = ready
+    for a in range(0, len(at), HEAD_BATCH):
+        own, done = [c[a : a + HEAD_BATCH] for c in held], out[a : a + HEAD_BATCH]
+        for rows, node, bit in coder.decisions(first[a : a + HEAD_BATCH]):
+            x, gate, whole = np.empty((HEADS + 1, len(rows)), np.float32), np.zeros(len(rows), np.int64), len(rows) == len(done)
+            for o in range(HEADS):
+                p = slot(own[o] if whole else own[o][rows], node)
+                x[o] = odds[o][p]
+                if o >= HEADS - 2:
+                    gate = gate * LEVELS + level[o - HEADS + 2][p]
+            x[HEADS] = 0.3
+            done[rows] -= log_loss(mixer.log_odds(x, gate), bit)
+    return out
+
+
+def head_ready(tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ``head_logs``: what ``head_inputs`` gives for every slot."""
+    return stretch(tables[:, 1], tables[:, 0], 0.4), np.stack([level_of(t.sum(0)).astype(np.int8) for t in tables[HEADS - 2 :]])
+
+
+def head_mixer() -> Mixer:
+    return Mixer(LEVELS * LEVELS, HEADS + 1)
+
+
+def tail_mixer() -> Mixer:
+    return Mixer(LEVELS * (PREFIX + 1), ORDERS + 2)
+
+
+def cut_table(kind: int, tables: np.ndarray) -> list[tuple]:
+    """Rows (kind, part, counts) of a table of counters, in PARTS parts of its slots; empty ones are left out."""
+    return [(kind * PARTS + i, compress(np.ascontiguousarray(x).tobytes(), 1)) for i, x in enumerate(np.split(tables, PARTS, axis=2)) if x.any()]
+
+
+def united_table(parts: DataFrame, contexts: int) -> np.ndarray:
+    """Counter pairs (context, bit, slot) from the parts (part, counts) of all tasks. The table has a fixed size."""
 
+    def both(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(decompress(x.as_py()), np.float32) for x in table.column("counts")], axis=0, dtype=np.float32)
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([compress(total.tobytes(), 1)])})
 
-def score_words(vocabulary: DataFrame, tables, mixer, coder: Coder, size: np.ndarray, fresh: np.ndarray) -> DataFrame:
-    """(SCORES): natural logarithms of every word's probability in each class."""
+    width = (1 << TABLE_BITS) // PARTS
+    tables = np.zeros((contexts, 2, 1 << TABLE_BITS), np.float32)
+    for r in parts.groupBy("part").applyInArrow(lean_group(both), "part int, counts binary").collect():
+        i = r.part % PARTS
+        tables[:, :, i * width : (i + 1) * width] = np.frombuffer(decompress(bytes(r.counts)), np.float32).reshape(contexts, 2, width)
+    return tables
+
+
+def index_texts(docs: DataFrame, classes: np.ndarray, coder: Coder, buckets: int) -> DataFrame:
+    """Kind 0: a row for each text with its class and its words by number; kind 1: numbered words of a group of texts of a
+    class, dealt to buckets by their first bytes, with training counts; kinds 2 and 3: counters and mixer of first bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, own_mixer = stretch(tables.value[:, 1], tables.value[:, 0], np.float32(0.4)), mixer.value
+        group = TaskContext.get().partitionId() << 24
+        held: list[list[tuple]] = [[] for _ in range(CLASSES)]
+        size = [0] * CLASSES
+        tables, mixer = np.zeros((HEADS, 2, 1 << TABLE_BITS), np.float32), head_mixer()
+
+        def flush(c: int) -> pa.RecordBatch:
+            nonlocal group
+            number: dict[bytes, int] = {}
+            lists = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for _, _, words in held[c]]
+            used = [not h for _, h, _ in held[c]]
+            words = list(number)
+            training = [x for x, u in zip(lists, used, strict=True) if u]
+            counts = np.bincount(np.concatenate(training), minlength=len(words)) if training else np.zeros(len(words), np.int64)
+            facts_of = Words(words)
+            if training:
+                learn_heads(tables, mixer, coder, facts_of, np.concatenate(training), np.cumsum([0] + [len(x) for x in training[:-1]]), c)
+            # frequent words first, so that high bytes of the numbers are mostly zero
+            order = np.argsort(-np.bincount(np.concatenate(lists), minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            rows = []
+            for (k, h, _), x in zip(held[c], lists, strict=True):
+                planes = rank[x].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+                rows.append((0, group, k, h, c, int((facts_of.length[x] + 1).sum()) - 1, None, None, compress(planes, 1), None))
+            bucket = np.array([crc32(w[:PREFIX]) % buckets for w in words])
+            by = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            for b in range(buckets):
+                own = by[cuts[b] : cuts[b + 1]]
+                if len(own):
+                    rows.append((1, group, None, None, c, None, b, b" ".join([words[i] for i in own]), compress(counts[own].astype("<u4").tobytes(), 1), rank[own].astype("<u4").tobytes()))
+            held[c], size[c] = [], 0
+            group += 1
+            return batch_of(rows, FACTS)
+
         for batch in batches:
-            for b, words, counts in zip(batch.column("bucket"), batch.column("words"), batch.column("counts"), strict=True):
-                count = np.frombuffer(counts.as_py(), np.int64).reshape(-1, CLASSES)
-                logs = with_whole_words(word_logs(words.as_py().split(b" "), count, table, own_mixer, coder), count, size, fresh)
-                yield batch_of([(b.as_py(), words.as_py(), count.sum(1).tobytes(), logs.astype("<f4").tobytes())], SCORES)
+            for k, h, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+                raw = (text.as_py() or "").encode().lower()
+                c = int(np.argmax(classes @ profile(raw)))
+                held[c].append((k.as_py(), h.as_py(), [*raw.split(), END]))
+                size[c] += len(raw)
+                if size[c] >= GROUP_BYTES or len(held[c]) >= 1 << 16:
+                    yield flush(c)
+        for c in range(CLASSES):
+            if held[c]:
+                yield flush(c)
+        yield batch_of([*((2, None, None, None, None, None, part, None, counts, None) for part, counts in cut_table(0, tables)), (3, None, None, None, None, None, 0, None, mixer.state().tobytes(), None)], FACTS)
+
+    return materialize(docs.mapInArrow(lean(run), ddl(FACTS)), "lm-facts")
+
+
+def unite_words(facts: DataFrame) -> DataFrame:
+    """One row for each bucket: its words, their training counts by class, the classes that ask for them, and sums over them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        number: dict[bytes, int] = {}
+        seen = []
+        for c, words, counts in zip(table.column("cls"), table.column("words"), table.column("numbers"), strict=True):
+            at = np.array([number.setdefault(w, len(number)) for w in words.as_py().split(b" ")])
+            seen.append((c.as_py(), at, np.frombuffer(decompress(counts.as_py()), "<u4")))
+        total, asked = np.zeros((len(number), CLASSES), np.int64), np.zeros((len(number), CLASSES), bool)
+        for c, at, counts in seen:
+            total[at, c] += counts
+            asked[at, c] = True
+        return pa.Table.from_batches([batch_of([(table.column("bucket")[0].as_py(), b" ".join(number), total.tobytes(), asked.tobytes(), int(total.sum()), int((total.sum(1) > 0).sum()))], VOCABULARY)])
+
+    rows = facts.where("kind = 1").select("bucket", "cls", "words", "numbers")
+    return materialize(rows.groupBy("bucket").applyInArrow(lean_group(run), ddl(VOCABULARY)), "lm-vocabulary")
+
+
+class Tails:
+    """The bytes after the first of the words of a bucket that a class holds, their contexts, and counts of the word so far."""
+
+    def __init__(self, words: list[bytes], count: np.ndarray, cls: int, coder: Coder):
+        data, self.starts, place = flat(words)
+        spread = np.repeat(count, np.diff(np.append(self.starts, len(data)))).astype(np.float32)
+        self.rows = np.flatnonzero(place > 0)
+        self.place, self.weight, self.total = np.minimum(place, PREFIX)[self.rows], spread[self.rows], len(data)
+        self.data, self.coder, own = data[self.rows], coder, np.uint64((cls + 1) << 40)
+        self.held, key = [], np.zeros(len(data), np.uint64)
+        for n in range(1, ORDERS + 1):
+            before = np.full(len(data), 32, np.uint64)
+            before[n:] = data[:-n]
+            key = (key << np.uint64(8)) | np.where(place >= n, before, 32)
+            self.held.append((mix(key + np.uint64(n << 56)) ^ (own if n < 4 else np.uint64(0)))[self.rows])
+        at = self.rows
+        so_far = SpanHash(data).spans(at - place[at], at)
+        deep = place[at] >= PREFIX
+        self.so_far, self.deep = so_far, deep
+        self.bits = max(10, int(4 * 5 * max(1, int(deep.sum()))).bit_length())
+        self.local = np.zeros((2, 1 << self.bits), np.float32)
+        for r, node, bit in coder.decisions(self.data):
+            use = deep[r]
+            np.add.at(self.local.reshape(-1), slot(so_far[r[use]], node[use], self.bits) + (bit[use].astype(np.int64) << self.bits), self.weight[r[use]])
+
+    def deep_inputs(self, rows, node, bit, own: float) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds that the word so far gives, 0 where it is short, and gates; ``own`` occurrences are taken out."""
+        use = self.deep[rows]
+        x, total = np.zeros(len(rows), np.float32), np.zeros(len(rows), np.float32)
+        at = slot(self.so_far[rows[use]], node[use], self.bits)
+        n0, n1 = self.local[0][at], self.local[1][at]
+        if own:
+            n1, n0 = np.maximum(n1 - bit[use], 0), np.maximum(n0 - (1 - bit[use].astype(np.int64)), 0)
+        x[use], total[use] = stretch(n1, n0, 0.2), n0 + n1
+        return x, level_of(total) * (PREFIX + 1) + self.place[rows]
+
+    def add_to(self, tables: np.ndarray) -> None:
+        for rows, node, bit in self.coder.decisions(self.data):
+            for o in range(ORDERS):
+                np.add.at(tables[o].reshape(-1), slot(self.held[o][rows], node) + (bit.astype(np.int64) << TABLE_BITS), self.weight[rows])
+
+    def learn(self, tables: np.ndarray, mixer: Mixer) -> None:
+        """Every training token is predicted from the counts of all others; equal tokens are one weighted decision."""
+        for rows, node, bit in self.coder.decisions(self.data):
+            keep = self.weight[rows] > 0
+            rows, node, bit = rows[keep], node[keep], bit[keep]
+            if not len(rows):
+                continue
+            x, sign = np.empty((ORDERS + 2, len(rows)), np.float32), bit.astype(np.float32)
+            for o in range(ORDERS):
+                at = slot(self.held[o][rows], node)
+                x[o] = stretch(np.maximum(tables[o, 1][at] - sign, 0), np.maximum(tables[o, 0][at] - (1 - sign), 0), 0.4)
+            x[ORDERS], gate = self.deep_inputs(rows, node, bit, 1.0)
+            x[ORDERS + 1] = 0.3
+            mixer.learn(x, gate, bit.astype(np.int64), self.weight[rows])
+
+    def logs(self, odds: np.ndarray, mixer: Mixer) -> np.ndarray:
+        """Natural logarithms of each word's probability after its first byte; ``odds`` has those of every slot."""
+        out = np.zeros(self.total)
+        for rows, node, bit in self.coder.decisions(self.data):
+            x, whole = np.empty((ORDERS + 2, len(rows)), np.float32), len(rows) == len(self.data)
+            for o in range(ORDERS):
+                x[o] = odds[o][slot(self.held[o] if whole else self.held[o][rows], node)]
+            x[ORDERS], gate = self.deep_inputs(rows, node, bit, 0.0)
+            x[ORDERS + 1] = 0.3
+            out[self.rows[rows]] -= log_loss(mixer.log_odds(x, gate), bit)
+        return np.add.reduceat(out, self.starts)
+
+
+def by_class(words: bytes, counts: bytes, asked: bytes, coder: Coder, only_counted: bool) -> Iterator[tuple[int, np.ndarray, Tails]]:
+    """(class, numbers of its words, their tails) of a bucket."""
+    every, count = words.split(b" "), np.frombuffer(counts, np.int64).reshape(-1, CLASSES)
+    mask = np.frombuffer(asked, bool).reshape(-1, CLASSES)
+    for k in range(CLASSES):
+        own = np.flatnonzero(count[:, k] > 0 if only_counted else mask[:, k])
+        if len(own):
+            yield k, own, Tails([every[i] for i in own], count[own, k], k, coder)
+
+
+def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(batch.column(c)[i].as_py() for c in range(batch.num_columns))
+
+
+def count_tails(vocabulary: DataFrame, coder: Coder) -> np.ndarray:
+    """Counter pairs of the contexts of bytes after the first, over all training tokens."""
 
-    return materialize(vocabulary.select("bucket", "words", "counts").mapInArrow(lean(run), ", ".join(f"{n} {t}" for n, t in SCORES)), "lm-scores")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.zeros((ORDERS, 2, 1 << TABLE_BITS), np.float32)
+        for words, counts, asked in bucket_rows(batches):
+            for _, _, tails in by_class(words, counts, asked, coder, True):
+                tails.add_to(tables)
+        yield batch_of(cut_table(0, tables), (("part", "int"), ("counts", "binary")))
 
+    return united_table(vocabulary.select("words", "counts", "asked").mapInArrow(lean(run), "part int, counts binary"), ORDERS)
 
-def word_logs(words: list[bytes], count: np.ndarray, ready: np.ndarray, mixer: Mixer, coder: Coder) -> np.ndarray:
-    """Natural logarithms of the coder's probability of each word in each class; ``ready`` has the log-odds of every slot."""
-    data, starts, place = flat(words)
-    held = [contexts(data, place, k) for k in range(CLASSES)]
-    bits = np.zeros((CLASSES, len(data)))
-    weight = np.repeat(count, np.diff(np.append(starts, len(data))), axis=0).astype(float)
-    for rows, node, bit, ones, total in Prefixes(data, starts, place).levels(coder.decisions(data), weight):
-        for k in range(CLASSES):
-            x = ready_inputs(ready, held[k], rows, node, ones[k], total[k])
-            z = mixer.log_odds(x, gate_of(np.maximum(total[k], 0), place[rows]))
-            bits[k, rows] -= np.log1p(np.exp(np.where(bit == 1, -z, z)))
-    return np.add.reduceat(bits, starts, axis=1).T
 
+def fit_tails(vocabulary: DataFrame, tables, coder: Coder) -> Mixer:
+    """The mixer of bytes after the first, learned online over all training tokens; what reaches the driver has the size of one state."""
 
-def with_whole_words(logs: np.ndarray, count: np.ndarray, size: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-    """Mix the coder's probability of a word with its share of the class's and of all training tokens.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer = tail_mixer()
+        for words, counts, asked in bucket_rows(batches):
+            for _, _, tails in by_class(words, counts, asked, coder, True):
+                tails.learn(tables.value, mixer)
+        yield batch_of([(0, mixer.state().tobytes())], SUMS)
+
+    mixer = tail_mixer()
+    for r in summed(vocabulary.select("words", "counts", "asked").mapInArrow(lean(run), SUMS_DDL)):
+        mixer.unite(np.frombuffer(bytes(r.sums)))
+    return mixer
 
-    The coder's weight is the class's share of words seen once, which estimates how often a token is new.
-    """
-    share = 0.95 * count / np.maximum(size, 1) + 0.05 * (count.sum(1) / max(1, size.sum()))[:, None]
-    return np.log((1 - fresh) * share + fresh * np.exp(logs))
+
+def score_words(vocabulary: DataFrame, tables, mixer, coder: Coder) -> DataFrame:
+    """(SCORES): natural logarithms of every word's probability after its first byte, in the classes that ask for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odds, trained = stretch(tables.value[:, 1], tables.value[:, 0], 0.4), mixer.value
+        for b, words, counts, asked in bucket_rows(batches):
+            count = np.frombuffer(counts, np.int64).reshape(-1, CLASSES)
+            logs = np.zeros(count.shape, "<f4")
+            for k, own, tails in by_class(words, counts, asked, coder, False):
+                logs[own, k] = tails.logs(odds, trained)
+            yield batch_of([(b, words, count.sum(1).tobytes(), logs.tobytes())], SCORES)
+
+    return materialize(vocabulary.select("bucket", "words", "counts", "asked").mapInArrow(lean(run), ddl(SCORES)), "lm-scores")
 
 
 def earlier_in_text(at: np.ndarray) -> np.ndarray:
@@ -485,13 +561,21 @@ def earlier_in_text(at: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_log(log: np.ndarray, at: np.ndarray) -> float:
+    """Natural logarithm of a text's probability from those of its tokens: a mixture of coders that also give a text's earlier tokens a
+    share, each of a weight in REPEAT. Every token moves the mixture towards the coders that foresaw it."""
+    repeats = earlier_in_text(at) / np.maximum(np.arange(len(at)), 1)
+    each = np.log(np.exp(log) * (1 - REPEAT[:, None]) + REPEAT[:, None] * repeats).sum(1)
+    return float(np.logaddexp.reduce(each)) - math.log(len(REPEAT))
+
+
 def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
     The model learns from rows where ``held_out`` is false (null counts as false). base_score is the sum of
     log10((c + 0.5) / (N + 0.5 * (V + 1))) over tokens; score is the mixed model's log10 probability of the text.
     Null text is empty and has the end token alone; rows with a null or a repeated key are scored like others;
-    extra columns are ignored; an empty table gives none.
+    extra columns are ignored; an empty table gives none. A text is held whole in one task, with about GROUP_BYTES of others.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("t"))
@@ -499,43 +583,50 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     names = f"{key} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     if not facts_of.n:
         return spark.createDataFrame([], names)
-    sample = [r.t for r in bounded_sample(rows.where("not held and t is not null").select("k", "t"), "k", facts_of.n, CLASS_START, "classes").collect()]
-    classes = refit_classes(rows.where("not held and t is not null").select("t"), fit_classes(sample))
+    training = rows.where("not held and t is not null")
+    sample = [r.t for r in bounded_sample(training.select("k", "t"), "k", facts_of.n, CLASS_START, "classes").collect()]
+    classes, seen = refit_classes(training.select("t"), fit_classes(sample))
+    seen = seen.copy()
+    seen[[32, 10]] += facts_of.n
+    coder = Coder(seen)
     buckets = max(BUCKETS, (facts_of.size or 0) // (16 << 20))
-    facts = index_texts(rows, classes, buckets)
+    facts = index_texts(rows, classes, coder, buckets)
     vocabulary = unite_words(facts)
-    sums = vocabulary.select("tokens", "once", "known", "bytes").collect()
-    size, once = (np.sum([np.frombuffer(bytes(r[c]), np.int64) for r in sums], 0) for c in ("tokens", "once"))
-    tokens, fresh = int(size.sum()), np.clip(once / np.maximum(size, 1), 0.001, 0.5)
-    distinct = sum(r.known for r in sums)
-    coder = Coder(np.argsort(-np.sum([np.frombuffer(bytes(r.bytes)) for r in sums], 0), kind="stable")[:31].tolist())
-    priors = {r.cls: r["count"] for r in facts.where("kind = 0 and cls >= 0").groupBy("cls").count().collect()}
+    sums = vocabulary.agg(F.sum("tokens").alias("tokens"), F.sum("known").alias("known")).first()
+    tokens, distinct = sums.tokens, sums.known
+    priors = {r.cls: r["count"] for r in facts.where("kind = 0 and not held").groupBy("cls").count().collect()}
     prior = np.log(np.array([priors.get(k, 0) + 1 for k in range(CLASSES)]) / (sum(priors.values()) + CLASSES))
-    tables = spark.sparkContext.broadcast(count_contexts(vocabulary, coder))
-    trained = fit_mixer(vocabulary, tables, coder)
-    scores = score_words(vocabulary, tables, spark.sparkContext.broadcast(trained), coder, size, fresh)
+    heads = head_mixer()
+    for r in summed(facts.where("kind = 3").select(F.lit(0).alias("part"), F.col("numbers").alias("sums"))):
+        heads.unite(np.frombuffer(bytes(r.sums)))
+    first = spark.sparkContext.broadcast((united_table(facts.where("kind = 2").select(F.col("bucket").alias("part"), F.col("numbers").alias("counts")), HEADS), heads))
+    tables = spark.sparkContext.broadcast(count_tails(vocabulary, coder))
+    scores = score_words(vocabulary, tables, spark.sparkContext.broadcast(fit_tails(vocabulary, tables, coder)), coder)
     replies = answer(facts, scores)
     least = tokens + 0.5 * (distinct + 1)
+    ready: list = []
 
     def finish(texts: pa.Table, found: pa.Table) -> pa.Table:
+        if not ready:
+            ready.append(head_ready(first.value[0]))
         join = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in found.column(c)), kind)
-        place, count, logs = join("places", "<u4"), join("counts", np.int64), join("logs", "<f4").reshape(-1, CLASSES)
-        c, log = np.zeros(len(place), np.int64), np.zeros((len(place), CLASSES))
+        place, count, logs = join("places", "<u4"), join("counts", np.int64), join("logs", "<f4")
+        words, c, log = np.empty(len(place), object), np.zeros(len(place), np.int64), np.zeros(len(place))
+        words[place] = b" ".join(x.as_py() for x in found.column("words")).split(b" ")
         c[place], log[place] = count, logs
-        base, word = np.log10((c + 0.5) / least), np.exp(log)
+        base, facts_of, cls = np.log10((c + 0.5) / least), Words(words.tolist()), texts.column("cls")[0].as_py()
+        lists = [np.ascontiguousarray(np.frombuffer(decompress(x.as_py()), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64) for x in texts.column("numbers")]
+        begins = np.cumsum([0] + [len(x) for x in lists])
+        every = np.concatenate(lists)
+        each = head_logs(ready[0], first.value[1], coder, facts_of, every, begins[:-1], cls) + log[every]
         out = []
-        for k, h, size, numbers in zip(*(texts.column(x) for x in ("k", "held", "size", "numbers")), strict=True):
-            planes = np.frombuffer(decompress(numbers.as_py()), np.uint8).reshape(4, -1)
-            at = np.ascontiguousarray(planes.T).view("<u4").ravel()
-            repeats = earlier_in_text(at) / np.maximum(np.arange(len(at)), 1)
-            each = prior + np.log((1 - REPEAT) * word[at] + REPEAT * repeats[:, None]).sum(0)
-            top = each.max()
-            score = (top + math.log(float(np.exp(each - top).sum()))) / math.log(10)
+        for i, (k, h, size) in enumerate(zip(*(texts.column(x) for x in ("k", "held", "size")), strict=True)):
+            at = lists[i]
+            score = (float(prior[cls]) + text_log(each[begins[i] : begins[i + 1]], at)) / math.log(10)
             out.append((k.as_py(), h.as_py(), len(at), int((c[at] > 0).sum()), tokens, float(base[at].sum()), score, -score * math.log2(10) / max(1, size.as_py())))
-        fields = tuple((n.split()[0], n.split()[1]) for n in names.split(", "))
-        return pa.Table.from_batches([batch_of(out, fields)])
+        return pa.Table.from_batches([batch_of(out, tuple((n.split()[0], n.split()[1]) for n in names.split(", ")))])
 
-    texts = facts.where("kind = 0").select("g", "k", "held", "size", "numbers")
+    texts = facts.where("kind = 0").select("g", "k", "held", "cls", "size", "numbers")
     return texts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(lambda a, b: finish(a, b), names)
 
 
@@ -546,10 +637,10 @@ def answer(facts: DataFrame, scores: DataFrame) -> DataFrame:
         number = {w: i for i, w in enumerate(known.column("words")[0].as_py().split(b" "))}
         counts, logs = np.frombuffer(known.column("counts")[0].as_py(), np.int64), np.frombuffer(known.column("logs")[0].as_py(), "<f4").reshape(-1, CLASSES)
         out = []
-        for g, words, places in zip(asked.column("g"), asked.column("words"), asked.column("places"), strict=True):
+        for g, c, words, places in zip(*(asked.column(x) for x in ("g", "cls", "words", "places")), strict=True):
             at = np.array([number[w] for w in words.as_py().split(b" ")])
-            out.append((g.as_py(), places.as_py(), counts[at].tobytes(), logs[at].tobytes()))
+            out.append((g.as_py(), places.as_py(), words.as_py(), counts[at].tobytes(), logs[at, c.as_py()].tobytes()))
         return pa.Table.from_batches([batch_of(out, REPLIES)])
 
-    asked = facts.where("kind = 1").select("bucket", "g", "words", "places")
-    return asked.groupBy("bucket").cogroup(scores.groupBy("bucket")).applyInArrow(lambda a, b: run(a, b), ", ".join(f"{n} {t}" for n, t in REPLIES))
+    asked = facts.where("kind = 1").select("bucket", "g", "cls", "words", "places")
+    return asked.groupBy("bucket").cogroup(scores.groupBy("bucket")).applyInArrow(lambda a, b: run(a, b), ddl(REPLIES))
