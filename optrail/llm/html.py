@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -13,30 +14,63 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import lean, schema_of
+from .common import bound_batches, lean, others, schema_of, slices
 
 # Elements by what they do to the text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes xmp svg math object canvas textarea select title".split())
-CLOSED_BY_BLOCK = frozenset(["p"])
 BLOCKS = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 CLUES = ("nav menu breadcrumb pagination pager header masthead topbar footer copyright foot sidebar aside widget related recommend popular comment reply discussion disqus notice cookie consent banner "
          "alert gdpr ad ads advert sponsor promo form search login subscribe newsletter share social article content post entry body main story text byline author meta tag caption").split()
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)|</[^a-zA-Z][^>]*(?:>|$)", re.S)
+#: A tag ends at the first > outside of quotes; where a quote is never closed, at the first > there is.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?:(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?P<stop>>|\Z)|(?P<broken>[^>]*+)(?P<halt>>|\Z))"
+    r"|</[^a-zA-Z][^>]*(?:>|\Z)",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
+#: Clues and elements of an article's surroundings and of what is none; comments and the like may stand inside an article.
+MAIN_TAGS, MAIN_CLUES = frozenset("article main".split()), frozenset("article content post entry body main story".split())
+APART_TAGS, APART_CLUES = frozenset("nav header footer aside form dialog".split()), frozenset(CLUES) - MAIN_CLUES - frozenset("text byline author meta tag caption".split())
+
+
+class Place:
+    """Elements around a block. Places share what they have in common, so deep nesting takes no more memory than its depth."""
+
+    __slots__ = ("clues", "depth", "slots", "tag", "tags", "two")
+
+    def __init__(self, tag: str, above: Place | None = None, clues: frozenset[str] = frozenset()):
+        known = tag if tag in BLOCKS or tag in ("html", "body", "td", "tr", "th", "option") else "other"
+        self.tag, self.two = known, f"{above.tag}/{known}" if above else known
+        self.depth = 1 + above.depth if above else 0
+        self.tags = frozenset([known]) if above is None else above.tags if known in above.tags else above.tags | {known}
+        self.clues = clues if above is None else above.clues if clues <= above.clues else above.clues | clues
+        self.slots: list[int] | None = None
+
+    def is_main(self) -> bool:
+        return not self.tags.isdisjoint(MAIN_TAGS) or not self.clues.isdisjoint(MAIN_CLUES)
+
+    def is_apart(self) -> bool:
+        return not self.tags.isdisjoint(APART_TAGS) or not self.clues.isdisjoint(APART_CLUES)
+
+    def names(self) -> list[str]:
+        return [f"tag={self.tag}", f"two={self.two}", f"depth={min(8, self.depth)}", *(f"in={t}" for t in sorted(self.tags)), *(f"clue={c}" for c in sorted(self.clues))]
+
+
 class Block:
-    """Text between two block borders, with the elements around it, outermost first."""
+    """Text between two block borders, with its place and the characters of it that are links."""
 
-    __slots__ = ("clues", "links", "path", "text")
+    __slots__ = ("links", "place", "text")
 
-    def __init__(self, text: str, path: tuple[str, ...], clues: frozenset[str], links: int):
-        self.text, self.path, self.clues, self.links = text, path, clues, links
+    def __init__(self, text: str, place: Place, links: int):
+        self.text, self.place, self.links = text, place, links
 
 
 @lru_cache(maxsize=1 << 14)
@@ -59,7 +93,9 @@ def blocks_of(page: str | None) -> list[Block]:
     paragraph ends where a block begins; an end tag closes its element and all inside; an unfinished
     tag at the page's end is dropped. Character references are decoded once."""
     page, out = page or "", []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Place] = [Place("")]
+    names: list[str] = [""]
+    still_open: Counter[str] = Counter()
     parts: list[str] = []
     linked = in_link = 0
 
@@ -68,10 +104,18 @@ def blocks_of(page: str | None) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, tuple(t for t, _ in stack if t not in INLINE), frozenset().union(*(c for _, c in stack)), linked))
+                out.append(Block(text, stack[-1], linked))
         parts.clear()
         linked = 0
 
+    def close(tag: str) -> None:
+        while True:
+            stack.pop()
+            gone = names.pop()
+            still_open[gone] -= 1
+            if gone == tag:
+                return
+
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -83,23 +127,23 @@ def blocks_of(page: str | None) -> list[Block]:
         if not m:
             break
         at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag or not m[4]:
+        tag = (m["name"] or "").lower()
+        if not tag or not (m["stop"] or m["halt"]):
             continue
-        if m[1]:
+        rest = m["rest"] if m["stop"] else m["broken"]
+        if m["end"]:
             if tag in INLINE:
                 if tag == "a" and in_link:
                     in_link = 0
                 continue
-            if any(t == tag for t, _ in stack):
+            if still_open[tag] > 0:
                 flush()
-                while stack.pop()[0] != tag:
-                    pass
+                close(tag)
                 in_link = 0
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if not m[3].endswith("/") or tag not in ("svg", "math"):
+            if not rest.endswith("/") or tag not in ("svg", "math"):
                 at = end.end() if end else size
             if tag not in INLINE:
                 parts.append(" ")
@@ -111,13 +155,14 @@ def blocks_of(page: str | None) -> list[Block]:
                 in_link = 1
             continue
         flush()
-        if tag in BLOCKS and any(t == "p" for t, _ in stack):
-            while stack.pop()[0] != "p":
-                pass
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
+        if tag in BLOCKS and still_open["p"] > 0:
+            close("p")
+        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and names[-1] == tag:
+            close(tag)
         if tag not in VOID:
-            stack.append((tag, clues_of(m[3]) if m[3] else frozenset()))
+            stack.append(Place(tag, stack[-1], clues_of(rest) if rest else frozenset()))
+            names.append(tag)
+            still_open[tag] += 1
     flush()
     return out
 
@@ -127,15 +172,19 @@ SLOTS = 1 << 12
 
 
 def features(blocks: list[Block]) -> list[list[int]]:
-    """Active slots of each block: tags and clues of its ancestors, length, links, punctuation, place."""
+    """Active slots of each block: tags and clues of its ancestors, whether the page marks its article and the block lies in it,
+    length, links, punctuation, place."""
     out, n = [], len(blocks)
+    marked = any(b.place.is_main() and not b.place.is_apart() for b in blocks)
+    plain = [not b.place.is_apart() and (not b.links or 2 * b.links < len(b.text)) for b in blocks]
     for i, b in enumerate(blocks):
         words, size = b.text.count(" ") + 1, len(b.text)
-        tags = b.path
-        names = [f"tag={tags[-1] if tags else ''}", f"two={'/'.join(tags[-2:])}", f"words={min(9, words.bit_length())}", f"links={int(10 * min(1, b.links / size)) if size else 0}", f"stop={b.text[-1] in '.!?…。'}", f"commas={min(3, b.text.count(','))}", f"first={i == 0}", f"last={i == n - 1}", f"sign={b.text[0] in '©®' or '©' in b.text}"]
-        names += [f"in={t}" for t in set(tags)] + [f"clue={c}" for c in b.clues]
-        names += [f"depth={min(8, len(tags))}", "bias"]
-        out.append([_slot(x) for x in names])
+        state = f"{b.place.is_main()},{b.place.is_apart()},{marked}"
+        names = [f"words={min(9, words.bit_length())}", f"links={int(10 * min(1, b.links / size)) if size else 0}", f"stop={b.text[-1] in '.!?…。'}", f"commas={min(3, b.text.count(','))}", f"first={i == 0}", f"last={i == n - 1}", f"sign={b.text[0] in '©®' or '©' in b.text}"]
+        names += [f"state={state}", f"state={state},{plain[i]}", f"around={i > 0 and plain[i - 1]},{plain[i]},{i + 1 < n and plain[i + 1]},{marked}", "bias"]
+        if b.place.slots is None:
+            b.place.slots = [_slot(x) for x in b.place.names()]
+        out.append([*b.place.slots, *(_slot(x) for x in names)])
     return out
 
 
@@ -220,13 +269,16 @@ def train(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 8, rate:
 
 _SYLLABLES = "ba be bi bo da de di do fa fe ga go ha he ka ki la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se si so ta te ti to va ve wa wo".split()
 
+_DULL = "c1 c2 x7 box row col-8 wrap u-12 a1 left container".split()
 
-def labelled_pages(count: int = 600, seed: int = 7) -> list[tuple[str, dict[str, int]]]:
+
+def labelled_pages(count: int = 900, seed: int = 7) -> list[tuple[str, dict[str, int]]]:
     """Pages of many layouts with the label of each block's text: the labelled set that the field is trained on.
 
     Every layout puts an article among menus, headers, footers, sidebars, notices, adverts, forms and reader
     comments, under varied tags and class names; lengths and punctuation overlap between the two labels, so
-    that what surrounds a block and its neighbours decide more than its wording.
+    that what surrounds a block and its neighbours decide more than its wording. A third of the pages has no telling class
+    names: their articles stand in plain elements, in table cells or in no element at all, with few things or nothing around.
     """
     rng, out = random.Random(seed), []
 
@@ -310,7 +362,21 @@ def labelled_pages(count: int = 600, seed: int = 7) -> list[tuple[str, dict[str,
             inner += (share() if rng.random() < 0.15 else "") + (comments() if rng.random() < 0.12 else "") + (footer() if rng.random() < 0.06 and a.startswith("<article") else "") + (form() if rng.random() < 0.05 else "")
             return a + inner + b
 
+        def plain_page() -> str:
+            dull = lambda name: f"<{name}{rng.choice(['', '', f' class={rng.choice(_DULL)}', f' id=x{rng.randint(1, 99)}'])}>"
+            links = lambda: "".join(f'<li><a href="/x">{text(0, 1, 3, False)}</a></li>' for _ in range(rng.randint(2, 6)))
+            k = rng.random()
+            if k < 0.1:  # text without any element, or a paragraph or two
+                return rng.choice([text(1, 2, 60), "".join(f"<p>{text(1, 1, 60)}</p>" for _ in range(rng.randint(1, 3)))])
+            inner = rng.choice([f"<h1>{text(1, 1, 10, False)}</h1>", f"<h2>{text(1, 1, 10, False)}</h2>", ""]) + "".join(body_block() for _ in range(rng.randint(1, 8)))
+            a, b = rng.choice([(dull("div"), "</div>"), (dull("div") + dull("div"), "</div></div>"), ("<table><tr><td>", "</td></tr></table>"), (dull("section"), "</section>"), ("", ""), ("<center>", "</center>")])
+            above = some(0.4, lambda: f"{dull('nav')}<ul>{links()}</ul></nav>") + some(0.3, lambda: f"<header><p>{text(0, 1, 6)}</p></header>") + some(0.25, lambda: f"{dull('div')}<ul>{links()}</ul></div>")
+            below = some(0.2, lambda: f"<aside><p>{text(0, 2, 30)}</p></aside>") + some(0.2, lambda: f"<form><label>{text(0, 1, 5, False)}</label> <input name=q></form>") + some(0.4, lambda: f"<footer>{rng.choice(['&copy; ', ''])}{text(0, 2, 12)}</footer>")
+            return rng.choice(["<html><body>{}</body></html>", "<!DOCTYPE html><body>{}", "{}"]).format((above + a + inner + b + below).replace("{", "").replace("}", ""))
+
         some = lambda p, f: f() if rng.random() < p else ""
+        if rng.random() < 0.33:
+            return plain_page(), labels
         before = [some(0.5, header), some(0.75, menu), some(0.35, notice), some(0.5, advert), some(0.2, form), some(0.15, aside)]
         after = [some(0.3, aside), some(0.25, advert), some(0.15, share), some(0.35, comments), some(0.2, form), some(0.1, menu)]
         rng.shuffle(after)
@@ -326,7 +392,7 @@ def labelled_pages(count: int = 600, seed: int = 7) -> list[tuple[str, dict[str,
 
 
 @lru_cache(maxsize=2)
-def trained(count: int = 600, seed: int = 7) -> Crf:
+def trained(count: int = 900, seed: int = 7) -> Crf:
     """The field trained on ``count`` labelled pages (the bound of what it learns from)."""
     pages = []
     for page, labels in labelled_pages(count, seed):
@@ -344,18 +410,17 @@ def extract_main_text(pages: DataFrame, crf: Crf | None = None, html: str = "htm
     """Replace column ``html`` by text string (empty if nothing is found) and n_chars long, its code points.
 
     Null html counts as empty. Pages are read whole, whatever their length. Other columns are passed through
-    (text and n_chars give way); repeated rows give equal texts; an empty table gives none.
+    (text and n_chars, in any case, give way); repeated rows give equal texts; an empty table gives none.
     """
     crf = crf or trained()
     unary, pair = crf.unary, crf.pair
-    keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
+    bound_batches(pages.sparkSession)
+    base = pages.select(*others(pages, html, "text", "n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Crf(unary, pair)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                texts = [main_text(x.as_py(), own) for x in part.column(html)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*keep, "text", "n_chars"])
+        for part in slices(batches):
+            texts = [main_text(x.as_py(), own) for x in part.column(part.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*part.schema.names[:-1], "text", "n_chars"])
 
-    return pages.select(*keep, html).mapInArrow(lean(run), schema_of(pages.select(*keep), ("text", "string"), ("n_chars", "bigint")))
+    return pages.select(*others(pages, html, "text", "n_chars"), pages[html]).mapInArrow(lean(run), schema_of(base, ("text", "string"), ("n_chars", "bigint")))

@@ -1,5 +1,7 @@
 """Block splitting on small pages, and the field's accuracy on labelled pages it has not seen."""
 
+import time
+
 import pytest
 
 from optrail.llm.html import blocks_of, extract_main_text, features, labelled_pages, main_text, trained
@@ -15,6 +17,30 @@ def test_main_text():
     assert main_text(PAGE, trained()) == "A & B\nFirst line goes on <here>.\nSecond &ersand.\none\ntwo\nLast."
 
 
+#: Written by hand, not by the generator of the training pages.
+PLAIN = {
+    '<div class="c1"><h1>Title here</h1><p>One paragraph of text, with a comma.</p><p>And two.</p></div>': "Title here\nOne paragraph of text, with a comma.\nAnd two.",
+    "<p>Just a paragraph.</p>": "Just a paragraph.",
+    "Plain text only, no tags.": "Plain text only, no tags.",
+    '<p class="x>Hello</p><p>World</p>': "Hello\nWorld",
+    "<table><tr><td><a href=/>Home</a></td></tr><tr><td><p>Body text of the article goes here.</p><p>More of it.</p></td></tr></table>": "Body text of the article goes here.\nMore of it.",
+    "<body><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul><h1>Big story</h1><p>First paragraph of the story.</p><p>Second one.</p><footer>&copy; me</footer></body>": "Big story\nFirst paragraph of the story.\nSecond one.",
+    "<html><body><nav><a href=/>Start</a> <a href=/b>Blog</a></nav><div><div><h2>On rivers</h2><p>Rivers run to the sea.</p><blockquote>So it is said.</blockquote></div></div><form><input> Search</form></body></html>": "On rivers\nRivers run to the sea.\nSo it is said.",
+}
+
+
+@pytest.mark.parametrize("page", sorted(PLAIN))
+def test_pages_without_telling_markup(page):
+    assert main_text(page, trained()) == PLAIN[page]
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "".join(f"<x{i}>y" for i in range(50_000)), "<p class='" * 50_000, "<div>" * 100_000 + "a" + "</div>" * 100_000])
+def test_deep_and_broken_pages_take_linear_time(page):
+    begin = time.perf_counter()
+    main_text(page, trained())
+    assert time.perf_counter() - begin < 20
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "</", "<!--", "<script>x", "<a href='", "&#xD800;&#0;", "<div>" * 5000])
 def test_odd_pages(page):
     assert isinstance(main_text(page, trained()), str)
@@ -46,7 +72,7 @@ def test_viterbi_is_the_best_of_all_labelings():
 
 
 def test_frame(spark):
-    df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (None, "u", "", 5), (1, "u", PAGE, 5)], "page_id long, url string, html string, n_chars int")
+    df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (None, "u", "", 5), (1, "u", PAGE, 5)], "page_id long, url string, html string, N_Chars int")
     got = extract_main_text(df).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, len(main_text(PAGE, trained()))), (1, len(main_text(PAGE, trained()))), (2, 0)]
     assert extract_main_text(df.limit(0)).count() == 0
