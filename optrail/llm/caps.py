@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, connected_components, lean, lean_group, materialize
 
-#: Code words in each half of the product code: a filter is a pair of them, so there are CODES**2 filters.
-CODES = 128
+#: Vectors that a filter is to hold, about: the number of filters follows from it and grows with the vectors, so that a vector meets as
+#: many others whatever their number. A filter is a pair of code words, one of each half of the product code.
+MEMBERS = 64
+#: Code words in each half at least.
+CODES = 16
 #: Filters that a vector is expected to exceed, and lists at least; at a cosine of 0.93 two vectors then share about half as many.
 LISTED = 32.0
 #: Vectors of one filter that one block holds at most, roughly; every two blocks of a filter meet in a task.
@@ -37,13 +41,21 @@ def product_code(size: int, codes: int = CODES, seed: int = 11) -> tuple[np.ndar
 @lru_cache(maxsize=4)
 def threshold(size: int, codes: int = CODES, listed: float = LISTED, seed: int = 5) -> float:
     """The sum of both halves' products that a random unit vector exceeds at ``listed`` filters on average."""
-    rng = np.random.default_rng(seed)
-    x = rng.normal(size=(2000, size))
+    x = np.random.default_rng(seed).normal(size=(300, size))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rotation, first, second = product_code(size, codes)
     a, b = halves(x @ rotation, first, second)
-    sums = np.concatenate([(a[i, :, None] + b[i, None, :]).ravel()[i % 7 :: 7] for i in range(len(x))])
-    return float(np.quantile(sums, 1 - listed / codes**2))
+    b, low, high = np.sort(b, axis=1), -2.0, 2.0
+    for _ in range(40):
+        t = (low + high) / 2
+        exceeded = sum(float((codes - np.searchsorted(b[i], t - a[i])).sum()) for i in range(len(x))) / len(x)
+        low, high = (t, high) if exceeded > listed else (low, t)
+    return high
+
+
+def codes_for(vectors: int) -> int:
+    """Code words in each half for so many vectors that are compared with each other."""
+    return max(CODES, math.ceil(math.sqrt(vectors * LISTED / MEMBERS)))
 
 
 def halves(x: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +70,10 @@ def list_decode(x: np.ndarray, codes: int = CODES) -> tuple[np.ndarray, np.ndarr
     the best of the second stays below the threshold ends the list, so work follows the list's length. A
     vector far from all filters would share none with its own copies: it lists its best LISTED instead.
     """
+    step = max(8, (1 << 20) // (codes * 16))
+    if len(x) > step:
+        parts = [list_decode(x[i : i + step], codes) for i in range(0, len(x), step)]
+        return np.concatenate([r + i * step for i, (r, _) in enumerate(parts)]), np.concatenate([f for _, f in parts])
     rotation, first, second = product_code(x.shape[1], codes)
     a, b = halves(x @ rotation, first, second)
     t = threshold(x.shape[1], codes)
@@ -145,6 +161,8 @@ def link_near(df: DataFrame, key: str = "vec_id", vector: str = "embedding", gro
     taking = everything.where("raw is not null")
     reps = materialize(taking.groupBy("g", "size", "raw").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "representatives")
 
+    codes = codes_for(reps.groupBy("g", "size").count().agg(F.max("count")).first()[0] or 0)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -154,7 +172,7 @@ def link_near(df: DataFrame, key: str = "vec_id", vector: str = "embedding", gro
                 for s in range(0, part.num_rows, 500):
                     piece = part.slice(s, 500).combine_chunks()
                     x = unit(piece.column("raw").to_pylist(), dtype)
-                    rows, filters = list_decode(x)
+                    rows, filters = list_decode(x, codes)
                     lists = [f.astype(np.int32).tobytes() for f in np.split(filters, np.cumsum(np.bincount(rows, minlength=len(x)))[:-1])]
                     picked = piece.take(pa.array(rows))
                     columns = [picked.column(c).combine_chunks() for c in ("g", "size", "id", "weight", "raw")]
@@ -162,10 +180,12 @@ def link_near(df: DataFrame, key: str = "vec_id", vector: str = "embedding", gro
                     yield pa.RecordBatch.from_arrays([pa.array(filters.astype(np.int32)), *columns, pa.array([lists[r] for r in rows], pa.binary())], names=["filter", "g", "size", "id", "weight", "raw", "lists"])
 
     listed = reps.select("g", "size", "id", "weight", "raw").mapInArrow(lean(deal), "filter int, g string, size int, id long, weight long, raw binary, lists binary")
-    counts = materialize(listed.groupBy("filter", "g", "size").agg(F.count(F.lit(1)).alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / BLOCK_VECTORS).cast("int")), "filters")
+    counts = materialize(listed.groupBy("filter", "g", "size").agg(F.count(F.lit(1)).alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK_VECTORS).cast("int")), "filters")
     groups = max(64, (counts.agg(F.sum(F.col("members") * F.col("blocks"))).first()[0] or 0) // GROUP_VECTORS)
+    large = counts.where("blocks > 1").select("filter", "g", "size", "blocks")
     dealt = (
-        listed.join(counts.select("filter", "g", "size", "blocks"), ["filter", "g", "size"])
+        listed.join(large, ["filter", "g", "size"], "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("a", F.least("block", "with"))
