@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import fresh_path, lean, materialize
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n"
+#: Bytes of archives that one task reads, about.
+READ_BYTES = 4 << 20
 INDEX = "record_key long, url string, record_type string, digest string, file string, offset long, length long"
 
 
@@ -109,7 +111,9 @@ def write_archives(pages: DataFrame, root: str, key: str = "page_id", url: str =
 
 
 def coalesce_ranges(index: DataFrame, gap: int = 4096, most: int = 4 << 20) -> DataFrame:
-    """(file, start, stop, members) of sorted neighbouring records no more than ``gap`` bytes apart, about ``most`` bytes each."""
+    """(file, start, stop, members) of sorted neighbouring records no more than ``gap`` bytes apart, about ``most`` bytes each.
+
+    Repeated index rows count once; an empty index gives none; other columns than file, offset and length are ignored."""
     order = Window.partitionBy("file").orderBy("offset")
     before = F.lag(F.col("offset") + F.col("length")).over(order)
     cut = before.isNull() | (F.col("offset") - before > gap) | (F.floor(F.col("offset") / most) != F.floor(F.lag("offset").over(order) / most))
@@ -121,7 +125,8 @@ def read_archives(index: DataFrame, root: str, payloads: bool = True) -> DataFra
     """Records that ``index`` selects, read back from the archives below ``root``: one read for each coalesced range.
 
     Returns key, record_type, digest, refers_to, payload_bytes, digest_ok (the payload's own digest,
-    null for revisits) and payload binary (null for revisits, or for all if ``payloads`` is false).
+    null for revisits) and payload binary (null for revisits, or for all if ``payloads`` is false). Ranges are dealt to tasks by the bytes
+    that there are to read. Index rows that repeat a record are read once; an empty index gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +145,9 @@ def read_archives(index: DataFrame, root: str, payloads: bool = True) -> DataFra
                     rows.append((r["key"], r["type"], r["digest"], r["refers_to"], r["bytes"], own, r["payload"] if payloads else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return coalesce_ranges(index).select("file", "start", "stop", "members").mapInArrow(lean(run), "key long, record_type string, digest string, refers_to long, payload_bytes long, digest_ok boolean, payload binary")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    spans = coalesce_ranges(index).select("file", "start", "stop", "members").repartition(1 + total // READ_BYTES, "file", "start")
+    return spans.mapInArrow(lean(run), "key long, record_type string, digest string, refers_to long, payload_bytes long, digest_ok boolean, payload binary")
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
