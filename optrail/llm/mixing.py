@@ -441,7 +441,7 @@ class Tails:
         so_far = SpanHash(data).spans(at - place[at], at)
         deep = place[at] >= PREFIX
         self.so_far, self.deep = so_far, deep
-        self.bits = max(10, int(4 * 5 * max(1, int(deep.sum()))).bit_length())
+        self.bits = max(16, (32 * int(deep.sum())).bit_length())  # few of some five decisions a byte share a slot
         self.local = np.zeros((2, 1 << self.bits), np.float32)
         for r, node, bit in coder.decisions(self.data):
             use = deep[r]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from optrail.llm import mixing
-from optrail.llm.mixing import Coder, Prefixes, earlier_in_text, flat, score_texts, tokens_of, word_logs
+from optrail.llm.mixing import Coder, Mixer, Tails, Words, earlier_in_text, head_inputs, head_logs, head_ready, learn_heads, score_texts, text_log, tokens_of
 
 
 def held(doc_id):
@@ -62,90 +62,155 @@ def test_reruns_agree_and_empty(spark, rows, scored):
     assert score_texts(df.limit(0), F.lit(False)).count() == 0
 
 
-def test_decisions_spell_bytes_and_add_up_to_one():
-    """Over all bytes that may come next, probabilities sum to one with those of the escapes that frequent bytes never use."""
-    rng = np.random.default_rng(1)
-    plain = Coder(list(range(97, 123)) + [32, 10, 46, 44, 45])
-    tables = rng.integers(0, 50, (mixing.ORDERS, 2, 1 << mixing.TABLE_BITS)).astype(np.float32)
-    trained = mixing.Mixer()
-    trained.weights += rng.normal(0, 0.1, trained.weights.shape).astype(np.float32)
-    base = [b"abcdefgh", b"abcdexyz"]
+@pytest.fixture(scope="module")
+def coder():
+    seen = np.zeros(256)
+    seen[list(b"abcdefgh \n")] = [9, 8, 7, 6, 5, 4, 3, 2, 30, 5]
+    return Coder(seen)
+
+
+def test_decisions_spell_bytes(coder):
+    """Every byte has a path of its own, and no path begins another."""
+    paths = {}
+    for b in range(256):
+        paths[b] = tuple((int(n[0]), int(bit[0])) for _, n, bit in coder.decisions(np.array([b], np.uint8)))
+    assert len(set(paths.values())) == 256
+    assert abs(sum(2.0 ** -len(p) for p in paths.values()) - 1) < 1e-12
+    assert len(paths[32]) < len(paths[200])
+
+
+def trained_on(words, count, coder):
+    tables, mixer = np.zeros((mixing.ORDERS, 2, 1 << mixing.TABLE_BITS), np.float32), mixing.tail_mixer()
+    tails = Tails(words, count, 1, coder)
+    tails.add_to(tables)
+    tails.learn(tables, mixer)
+    return tables, mixer
+
+
+def test_probabilities_of_the_next_byte_add_up_to_one(coder):
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))).encode() for _ in range(300)})
+    count = np.random.default_rng(3).integers(1, 40, len(words))
+    tables, mixer = trained_on(words, count, coder)
+    odds = mixing.stretch(tables[:, 1], tables[:, 0], 0.4)
+    # after "abcdef": the word's own counts are those of the words, and each probability is exp(log of longer - log of shorter)
     total = 0.0
-    escaped = Coder([])
-    for b, coder in [(b, plain) for b in range(256)] + [(b, escaped) for b in range(256) if plain.rank[b] < 31]:
-        data = np.frombuffer(b"abcd" + bytes([b]), np.uint8)
-        place = np.arange(5)
-        held_contexts = mixing.contexts(data, place, 1)
-        log = 0.0
-        for rows, node, bit in coder.decisions(data):
-            own = rows == 4
-            if own.any():
-                none = np.full(own.sum(), -1.0)
-                x = mixing.inputs(tables, held_contexts, rows[own], node[own], bit[own], none, none, 0.0)
-                z = trained.log_odds(x, mixing.gate_of(np.zeros(own.sum()), place[rows[own]]))
-                log -= np.logaddexp(0, np.where(bit[own] == 1, -z, z)).sum()
-        total += math.exp(log)
-    assert abs(total - 1) < 1e-6
-    ready = mixing.stretch(tables[:, 1], tables[:, 0], 0.4)
-    assert word_logs(base, np.ones((2, mixing.CLASSES), np.int64), ready, trained, plain).shape == (2, mixing.CLASSES)
-    data, starts, place = flat(base)
-    held_contexts = mixing.contexts(data, place, 2)
-    for rows, node, bit, ones, total in Prefixes(data, starts, place).levels(plain.decisions(data), np.ones((len(data), 1))):
-        slow = mixing.inputs(tables, held_contexts, rows, node, bit, ones[0], total[0], 0.0)
-        assert np.allclose(slow, mixing.ready_inputs(ready, held_contexts, rows, node, ones[0], total[0]), atol=1e-5)
-
-
-def test_prefix_counts_by_brute_force():
-    words = [b"abcdef", b"abcdxy", b"abcd", b"abzz", b"abcdefg" * 6]
-    weight = np.arange(1, 6, dtype=float)[:, None]
-    data, starts, place = flat(words)
-    coder = Coder([97, 98, 99, 100, 101, 102, 103, 120, 121, 122, 32])
-    spread = np.repeat(weight, np.diff(np.append(starts, len(data))), axis=0)
-    path = {int(r): () for r in range(len(data))}
-    owner = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(data))))
+    for b in range(256):
+        if b == 32:
+            ends = [*words, b"abcdef"]
+            total += math.exp(first_after(ends, len(ends) - 1, 6, count, odds, mixer, coder))
+        else:
+            more = [*words, b"abcdef" + bytes([b])]
+            total += math.exp(first_after(more, len(more) - 1, 6, count, odds, mixer, coder))
+    assert abs(total - 1) < 1e-3
+
+
+def first_after(words, at, place, count, odds, mixer, coder):
+    """Logarithm of the probability of one byte of one word."""
+    tails, own = Tails(words, np.append(count, 0), 1, coder), 0.0
+    row = int(np.flatnonzero(tails.rows == tails.starts[at] + place)[0])
+    for rows, node, bit in coder.decisions(tails.data):
+        keep = rows == row
+        if keep.any():
+            x = np.empty((mixing.ORDERS + 2, 1), np.float32)
+            for o in range(mixing.ORDERS):
+                x[o] = odds[o][mixing.slot(tails.held[o][rows[keep]], node[keep])]
+            x[mixing.ORDERS], gate = tails.deep_inputs(rows[keep], node[keep], bit[keep], 0.0)
+            x[mixing.ORDERS + 1] = 0.3
+            own -= float(mixing.log_loss(mixer.log_odds(x, gate), bit[keep])[0])
+    return own
+
+
+def test_counts_of_the_word_so_far_by_brute_force(coder):
+    words, count = [b"abcdef", b"abcdxy", b"abcd", b"abzz", b"abcdefg" * 6], np.arange(1, 6)
+    tails = Tails(words, count, 0, coder)
     spelled = [w + b" " for w in words]
-    for rows, node, bit, ones, total in Prefixes(data, starts, place).levels(coder.decisions(data), spread):
-        for r, b, n1, n in zip(rows.tolist(), bit.tolist(), ones[0], total[0], strict=True):
-            j, w = int(place[r]), spelled[owner[r]]
-            if not mixing.PREFIX_FROM <= j < mixing.PREFIX_TO:
-                assert n == -1
-                continue
-            same = [r2 for r2 in path if place[r2] == j and spelled[owner[r2]][:j] == w[:j] and path[r2][: len(path[r])] == path[r]]
-            assert n == sum(weight[owner[r2], 0] for r2 in same)
-            del b, n1
+    owner, place = np.repeat(np.arange(5), [len(w) for w in spelled])[tails.rows], np.concatenate([np.arange(len(w)) for w in spelled])[tails.rows]
+    path = {r: () for r in range(len(tails.rows))}
+    for rows, node, bit in coder.decisions(tails.data):
+        at = mixing.slot(tails.so_far[rows], node, tails.bits)
+        for r, n0, n1 in zip(rows.tolist(), tails.local[0][at], tails.local[1][at], strict=True):
+            if place[r] >= mixing.PREFIX:
+                same = {owner[q] for q in path if place[q] == place[r] and spelled[owner[q]][: place[q]] == spelled[owner[r]][: place[r]] and path[q][: len(path[r])] == path[r]}
+                assert n0 + n1 == sum(count[w] for w in same)
         for r, b in zip(rows.tolist(), bit.tolist(), strict=True):
             path[r] = (*path[r], b)
 
 
+def test_score_by_brute_force(coder):
+    """The first bytes' logarithms, decision by decision in plain Python, and a text's probability as a plain mixture."""
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))).encode() for _ in range(60)}) + [b"\n"]
+    at = np.array([rng.randrange(len(words)) for _ in range(3000)])
+    tables, mixer, facts = np.zeros((mixing.HEADS, 2, 1 << mixing.TABLE_BITS), np.float32), mixing.head_mixer(), Words(words)
+    begins = np.arange(0, 3000, 100)
+    learn_heads(tables, mixer, coder, facts, at, begins, 2)
+    assert tables[0].sum() == sum(coder.size[facts.first[at]])
+    got = head_logs(head_ready(tables), mixer, coder, facts, at[:200], np.array([0, 100]), 2)
+    held_contexts = facts.contexts(at[:200], np.array([0, 100]), 2)
+    for i in range(0, 200, 7):
+        byte, want = int(facts.first[at[i]]), 0.0
+        for t in range(int(coder.size[byte])):
+            node, bit = coder.node[t, byte], int(coder.bit[t, byte])
+            x, gate, _ = head_inputs(tables, [c[i : i + 1] for c in held_contexts], np.array([0]), np.array([node]))
+            z = sum(float(np.float32(w)) * float(v) for w, v in zip(mixer.weights[gate[0]], x[:, 0], strict=True))
+            z = max(-11.99, min(11.99, z))
+            low = int(z + 12)
+            refined = mixer.refined[gate[0], low] * (1 - (z + 12 - low)) + mixer.refined[gate[0], low + 1] * (z + 12 - low)
+            p = 1 / (1 + math.exp(-(z + refined) / 2))
+            want += math.log(p if bit else 1 - p)
+        assert abs(got[i] - want) < 1e-3
+    log, text = np.log(np.random.default_rng(2).uniform(0.01, 0.5, 12)), np.array([1, 2, 1, 1, 3, 2, 2, 4, 1, 5, 5, 0])
+    whole = 0.0
+    for r in mixing.REPEAT:
+        product = 1.0
+        for i, t in enumerate(text):
+            product *= (1 - r) * math.exp(log[i]) + r * (list(text[:i]).count(t) / max(i, 1))
+        whole += product / len(mixing.REPEAT)
+    assert abs(text_log(log, text) - math.log(whole)) < 1e-9
+
+
 def test_earlier_in_text():
     assert earlier_in_text(np.array([3, 1, 3, 3, 1, 2])).tolist() == [0, 0, 1, 2, 1, 0]
 
 
-def test_mixer_is_fitted_on_all_training_tokens():
-    rng = random.Random(4)
-    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))).encode() for _ in range(400)})
-    count = np.random.default_rng(4).integers(0, 80, (len(words), mixing.CLASSES))
-    coder, tables = Coder([97, 98, 99, 100, 101, 102, 103, 104, 32]), np.ones((mixing.ORDERS, 2, 1 << mixing.TABLE_BITS), np.float32)
-    decisions = list(mixing.training_decisions(words, count, tables, coder))
-    data, starts, _ = flat(words)
-    assert sum(w.sum() for _, _, _, w in decisions[: mixing.CLASSES]) == (count.sum(1) * np.diff(np.append(starts, len(data)))).sum() > 20_000
-    sums_of = lambda m: sum(m.sums(*d) for d in decisions)
-    fitted = mixing.Mixer()
-    before = sums_of(fitted)
-    fitted.fit(sums_of)
-    after = sums_of(fitted)
-    n = mixing.ORDERS + 2
-    assert after[:, 0].sum() < before[:, 0].sum()
-    assert np.abs(after[:, 1 : 1 + n]).sum() < 0.05 * np.abs(before[:, 1 : 1 + n]).sum()
+def test_mixer_learns_online_and_tasks_unite():
+    rng = np.random.default_rng(4)
+    truth, parts, loss = np.array([1.2, 0.1, -0.4]), [], []
+    for _ in range(3):
+        mixer = Mixer(2, 3)
+        for _ in range(30):
+            x = rng.normal(size=(3, 400)).astype(np.float32)
+            bit = (rng.random(400) < 1 / (1 + np.exp(-truth @ x))).astype(int)
+            gate = rng.integers(0, 2, 400)
+            loss.append(mixing.log_loss(mixer.mixed(x, gate), bit).mean())
+            mixer.learn(x, gate, bit)
+        parts.append(mixer)
+    united = Mixer(2, 3)
+    united.unite(sum(m.state() for m in parts))
+    assert np.abs(united.weights - truth).max() < 0.15
+    assert np.mean(loss[25:30]) < np.mean(loss[:1])
+    assert np.allclose(united.weights, np.mean([m.weights for m in parts], 0), atol=0.1)
+
+
+def test_every_training_token_moves_the_weights(spark, rows, monkeypatch):
+    """The sum of the weights of all decisions of bytes after the first is that of the training text's bytes."""
+    words, seen = collections.Counter(w for _, t, _ in rows for w in tokens_of(t)), []
+    every = sorted(words)
+    coder = Coder(np.bincount(np.frombuffer(b" ".join(every), np.uint8), minlength=256))
+    learn = Mixer.learn
+    monkeypatch.setattr(Mixer, "learn", lambda self, x, gate, bit, weight=None: (seen.append(float(weight.sum())), learn(self, x, gate, bit, weight)))
+    trained_on(every, np.array([words[w] for w in every]), coder)
+    assert sum(seen) == sum(n * int(coder.size[list(w[1:] + b" ")].sum()) for w, n in words.items())
 
 
 def test_classes_are_means_of_all_texts(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice(("abcd", "efgh", "ijkl", "mnop")[i % 4]) for _ in range(40)) for i in range(2600)]
     start = mixing.fit_classes(texts[:8])
-    got = mixing.refit_classes(spark.createDataFrame([(t,) for t in texts], "t string"), start.copy())
-    x = np.stack([mixing.profile(t) for t in texts])
-    for _ in range(mixing.CLASS_ROUNDS):
-        own = np.argmax(x @ start.T, 1)
-        start = np.stack([x[own == k].sum(0) / np.linalg.norm(x[own == k].sum(0)) for k in range(mixing.CLASSES)])
-    assert np.allclose(got, start, atol=1e-4)
+    got, seen = mixing.refit_classes(spark.createDataFrame([(t,) for t in texts], "t string"), start.copy())
+    x = np.stack([mixing.profile(t.encode()) for t in texts])
+    own = np.argmax(x @ start.T, 1)
+    want = np.stack([x[own == k].sum(0) / np.linalg.norm(x[own == k].sum(0)) for k in range(mixing.CLASSES)])
+    assert np.allclose(got, want, atol=1e-4)
+    assert seen.sum() == sum(map(len, texts)) and seen[97] == sum(t.count("a") for t in texts)
