@@ -38,8 +38,8 @@ TABLE_BITS = 18
 HEADS, ORDERS = 5, 6
 #: Words share counts of the word so far from this depth in bytes on, and are dealt to buckets by so many bytes.
 PREFIX = 4
-#: Bytes of texts whose words are indexed together, and tokens that are predicted before they are counted.
-GROUP_BYTES, HEAD_BATCH = 8 << 20, 1 << 15
+#: Bytes of texts whose words are indexed together, and tokens that are predicted before they are counted, at most.
+GROUP_BYTES, HEAD_BATCH = 8 << 20, 1 << 16
 #: Buckets of words at least; a bucket's words are worked on at once.
 BUCKETS = 256
 PARTS = 32
@@ -160,7 +160,7 @@ def flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def slot(context: np.ndarray, node: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
-    return (((context ^ (node * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
+    return (((context ^ (node * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).view(np.int64)
 
 
 def stretch(n1: np.ndarray, n0: np.ndarray, start: float) -> np.ndarray:
@@ -169,9 +169,9 @@ def stretch(n1: np.ndarray, n0: np.ndarray, start: float) -> np.ndarray:
 
 def level_of(total: np.ndarray) -> np.ndarray:
     """How much a context has been seen, in LEVELS steps."""
-    out = np.zeros(len(total), np.int64)
+    out = np.zeros(len(total), np.int8)
     for c in CONFIDENCE:
-        out += total >= c
+        out += total >= np.float32(c)
     return out
 
 
@@ -181,12 +181,13 @@ class Mixer:
     STEPS = 24
 
     def __init__(self, gates: int, inputs: int):
-        self.gates, self.n = gates, inputs
+        self.gates, self.n, self.tokens = gates, inputs, 0
         self.weights = np.full((gates, inputs), 1.0 / (inputs - 1))
         self.weights[:, -1] = 0
         self.curve = np.tile(np.eye(inputs), (gates, 1, 1))
         self.refined = np.tile(np.linspace(-12, 12, self.STEPS + 1), (gates, 1))
         self.seen = np.ones((gates, self.STEPS + 1))
+        self.want, self.left = np.zeros((gates, inputs)), np.zeros((gates, self.STEPS + 1))
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         out = np.zeros(len(gate), np.float32)
@@ -195,35 +196,47 @@ class Mixer:
         return np.clip(out, -11.99, 11.99)
 
     def knots(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = (z + 12).astype(np.int64)
-        return low, z + 12 - low
+        at = z + np.float32(12)
+        low = at.astype(np.int64)
+        return low, at - low.astype(np.float32)
 
     def log_odds(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         z = self.mixed(x, gate)
         low, part = self.knots(z)
-        table, at = self.refined.ravel(), gate * (self.STEPS + 1) + low
+        table, at = self.refined.ravel().astype(np.float32), gate * (self.STEPS + 1) + low
         return (z + table[at] * (1 - part) + table[at + 1] * part) / 2
 
     def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray | None = None) -> None:
         """Move the weights, then the table, by what these decisions (with weights) would have wanted."""
-        weight = np.ones(len(gate)) if weight is None else weight
-        z = self.mixed(x, gate)
+        self.gather(x, gate, bit, weight)
+        self.step()
+
+    def gather(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray | None = None) -> None:
+        """Add up what these decisions want, without moving yet."""
+        z, bit = self.mixed(x, gate), bit.astype(np.float32)
         guess = 1 / (1 + np.exp(-z))
-        error, curve = (bit - guess) * weight, guess * (1 - guess) * weight
-        order = np.argsort(gate.astype(np.int16), kind="stable")
+        error, curve = bit - guess, guess * (1 - guess)
+        low, part = self.knots(z)
+        at, table = gate * (self.STEPS + 1) + low, self.refined.ravel().astype(np.float32)
+        left = bit - 1 / (1 + np.exp(-(table[at] * (1 - part) + table[at + 1] * part)))
+        if weight is not None:
+            error, curve, left = error * weight, curve * weight, left * weight
+        order = np.argsort(gate.astype(np.int8 if self.gates < 128 else np.int16), kind="stable")
         cuts = np.searchsorted(gate[order], np.arange(self.gates + 1))
+        v, error, pull = x[:, order], error[order], curve[order]
         for g in np.flatnonzero(np.diff(cuts)):
-            own = order[cuts[g] : cuts[g + 1]]
-            v = x[:, own].astype(float)
-            self.curve[g] += (v * curve[own]) @ v.T
-            self.weights[g] += np.clip(np.linalg.solve(self.curve[g], v @ error[own]), -0.5, 0.5)
-        low, part = self.knots(z)
-        knots = self.STEPS + 1
-        table, at = self.refined.ravel(), gate * knots + low
-        left = (bit - 1 / (1 + np.exp(-(table[at] * (1 - part) + table[at + 1] * part)))) * weight
-        grid = lambda a, b: np.bincount(at, a, self.gates * knots) + np.bincount(at + 1, b, self.gates * knots)
-        self.seen += grid(curve * (1 - part), curve * part).reshape(self.seen.shape)
-        self.refined = np.clip(self.refined + np.clip(grid(left * (1 - part), left * part).reshape(self.seen.shape) / (self.seen + 4), -0.5, 0.5), -12, 12)
+            own = slice(cuts[g], cuts[g + 1])
+            self.curve[g] += (v[:, own] * pull[own]) @ v[:, own].T
+            self.want[g] += v[:, own] @ error[own]
+        size = self.refined.size
+        grid = lambda x: (np.bincount(at, x * (1 - part), size) + np.bincount(at + 1, x * part, size)).reshape(self.seen.shape)
+        self.seen += grid(curve)
+        self.left += grid(left)
+
+    def step(self) -> None:
+        self.weights += np.clip(np.linalg.solve(self.curve, self.want[:, :, None])[:, :, 0], -0.5, 0.5)
+        self.refined = np.clip(self.refined + np.clip(self.left / (self.seen + 4), -0.5, 0.5), -12, 12)
+        self.want[:], self.left[:] = 0, 0
 
     def state(self) -> np.ndarray:
         """What tasks add up: curvature, curvature times weights, the table's curvature and that times the table."""
@@ -241,7 +254,8 @@ class Mixer:
 
 
 def log_loss(z: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0, np.where(bit == 1, -z, z))
+    """Minus the natural logarithm of the probability of the bits."""
+    return np.log1p(np.exp(np.where(bit == 1, -z, z)))
 
 
 class Words:
@@ -286,14 +300,19 @@ def head_inputs(tables: np.ndarray, held: list[np.ndarray], rows: np.ndarray, no
 
 def learn_heads(tables: np.ndarray, mixer: Mixer, coder: Coder, words: Words, at: np.ndarray, begins: np.ndarray, cls: int) -> None:
     """Predict the first bytes of the tokens, batch by batch; move the weights; count the batch."""
-    held, first = words.contexts(at, begins, cls), words.first[at]
-    for a in range(0, len(at), HEAD_BATCH):
-        own = [c[a : a + HEAD_BATCH] for c in held]
-        for rows, node, bit in coder.decisions(first[a : a + HEAD_BATCH]):
+    held, first, a = words.contexts(at, begins, cls), words.first[at], 0
+    while a < len(at):
+        b = a + max(1 << 11, min(HEAD_BATCH, mixer.tokens // 4))  # while little is counted, batches are small
+        own, seen = [c[a:b] for c in held], []
+        for rows, node, bit in coder.decisions(first[a:b]):
             x, gate, places = head_inputs(tables, own, rows, node)
-            mixer.learn(x, gate, bit.astype(np.int64))
-            for o, p in enumerate(places):
-                np.add.at(tables[o].reshape(-1), p + (bit.astype(np.int64) << TABLE_BITS), np.float32(1))
+            mixer.gather(x, gate, bit)
+            seen += [(o, p + (bit.astype(np.int64) << TABLE_BITS)) for o, p in enumerate(places)]
+        mixer.step()
+        for o, p in seen:
+            np.add.at(tables[o].reshape(-1), p, np.float32(1))
+        mixer.tokens += len(first[a:b])
+        a = b
 
 
 def head_logs(ready: np.ndarray, mixer: Mixer, coder: Coder, words: Words, at: np.ndarray, begins: np.ndarray, cls: int) -> np.ndarray:
@@ -316,7 +335,7 @@ def head_logs(ready: np.ndarray, mixer: Mixer, coder: Coder, words: Words, at: n
 
 def head_ready(tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For ``head_logs``: what ``head_inputs`` gives for every slot."""
-    return stretch(tables[:, 1], tables[:, 0], 0.4), np.stack([level_of(t.sum(0)).astype(np.int8) for t in tables[HEADS - 2 :]])
+    return stretch(tables[:, 1], tables[:, 0], 0.4), np.stack([level_of(t.sum(0)) for t in tables[HEADS - 2 :]])
 
 
 def head_mixer() -> Mixer:
@@ -360,7 +379,7 @@ def index_texts(docs: DataFrame, classes: np.ndarray, coder: Coder, buckets: int
         def flush(c: int) -> pa.RecordBatch:
             nonlocal group
             number: dict[bytes, int] = {}
-            lists = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for _, _, words in held[c]]
+            lists = [np.array([number.setdefault(w, len(number)) for w in (*raw.split(), END)], np.int64) for _, _, raw in held[c]]
             used = [not h for _, h, _ in held[c]]
             words = list(number)
             training = [x for x, u in zip(lists, used, strict=True) if u]
@@ -391,7 +410,7 @@ def index_texts(docs: DataFrame, classes: np.ndarray, coder: Coder, buckets: int
             for k, h, text in zip(*(batch.column(i) for i in range(3)), strict=True):
                 raw = (text.as_py() or "").encode().lower()
                 c = int(np.argmax(classes @ profile(raw)))
-                held[c].append((k.as_py(), h.as_py(), [*raw.split(), END]))
+                held[c].append((k.as_py(), h.as_py(), raw))
                 size[c] += len(raw)
                 if size[c] >= GROUP_BYTES or len(held[c]) >= 1 << 16:
                     yield flush(c)
@@ -456,7 +475,7 @@ class Tails:
         if own:
             n1, n0 = np.maximum(n1 - bit[use], 0), np.maximum(n0 - (1 - bit[use].astype(np.int64)), 0)
         x[use], total[use] = stretch(n1, n0, 0.2), n0 + n1
-        return x, level_of(total) * (PREFIX + 1) + self.place[rows]
+        return x, level_of(total).astype(np.int64) * (PREFIX + 1) + self.place[rows]
 
     def add_to(self, tables: np.ndarray) -> None:
         for rows, node, bit in self.coder.decisions(self.data):
@@ -476,7 +495,7 @@ class Tails:
                 x[o] = stretch(np.maximum(tables[o, 1][at] - sign, 0), np.maximum(tables[o, 0][at] - (1 - sign), 0), 0.4)
             x[ORDERS], gate = self.deep_inputs(rows, node, bit, 1.0)
             x[ORDERS + 1] = 0.3
-            mixer.learn(x, gate, bit.astype(np.int64), self.weight[rows])
+            mixer.learn(x, gate, bit, self.weight[rows])
 
     def logs(self, odds: np.ndarray, mixer: Mixer) -> np.ndarray:
         """Natural logarithms of each word's probability after its first byte; ``odds`` has those of every slot."""
