@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import abstraction as ab
@@ -45,29 +46,27 @@ def fold_small(variants: DataFrame, key: Callable[[Column], Column] = ab.kappa,
     ``fallback`` "solo", keeps its own key. If no group is large enough, the largest stays (ties: larger identifier).
 
     Traces meet kept groups through shared activities; those are at most 1 / theta groups, so their profiles
-    have a size bound and are broadcast.
+    have a size bound and are broadcast. The key is worked out once: traces with their keys are persisted (to memory, else disk).
     """
-    keyed = variants.select("trace_id", "trace", "n_cases", key(F.col("trace")).alias("key"))
+    if fallback not in ("nearest", "solo"):
+        raise ValueError(f"unknown fallback {fallback!r}")
+    keyed = variants.select("trace_id", "trace", "n_cases", key(F.col("trace")).alias("key")).persist(StorageLevel.MEMORY_AND_DISK)
     sizes = keyed.groupBy("key").agg(F.sum("n_cases").alias("n"))
-    ranked = sizes.withColumn("total", F.sum("n").over(Window.partitionBy())).crossJoin(F.broadcast(sizes.agg(F.max(F.struct("n", "key")).alias("top"))))
-    largest = F.col("top.n") < F.lit(theta) * F.col("total")
-    kept = ranked.where((F.col("n") >= F.lit(theta) * F.col("total")) | (largest & (F.col("key") == F.col("top.key")))).select("key")
-    stay = keyed.join(F.broadcast(kept), "key", "left_semi").select("trace_id", F.col("key").alias("group_id"))
-    rest = keyed.join(F.broadcast(kept), "key", "left_anti")
+    whole = sizes.agg(F.sum("n").alias("total"), F.max(F.struct("n", "key")).alias("top"))
+    least = F.lit(theta) * F.col("total")
+    kept = sizes.crossJoin(F.broadcast(whole)).where((F.col("n") >= least) | ((F.col("top.n") < least) & (F.col("key") == F.col("top.key")))).select("key")
+    marked = keyed.join(F.broadcast(kept.withColumn("large", F.lit(True))), "key", "left")
     if fallback == "solo":
-        return stay.union(rest.select("trace_id", "key"))
-    if fallback != "nearest":
-        raise ValueError(f"unknown fallback {fallback!r}")
-    groups = profiles(keyed.join(F.broadcast(kept), "key", "left_semi"), "key")
+        return marked.select("trace_id", F.col("key").alias("group_id"))
+    groups = profiles(marked.where("large"), "key")
     norms = groups.groupBy("key").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
     base = groups.join(norms, "key").select(F.col("key").alias("group_id"), "a", F.col("n").alias("m"), "norm")
-    own = profiles(rest, "trace_id")
-    dots = own.join(F.broadcast(base), "a").groupBy("trace_id", "group_id").agg((F.sum(F.col("n") * F.col("m")) / F.first("norm")).alias("score"))
-    scored = dots.groupBy("trace_id").agg(F.max(F.struct(F.round("score", 9).alias("score"), F.lit(0).alias("x"))).alias("_best"), F.collect_list(F.struct(F.round("score", 9).alias("score"), "group_id")).alias("all"))
-    best = scored.select("trace_id", F.array_min(F.transform(F.filter("all", lambda x: x["score"] == F.col("_best.score")), lambda x: x["group_id"])).alias("group_id"))
+    rest = marked.where("large is null")
+    dots = profiles(rest, "trace_id").join(F.broadcast(base), "a").groupBy("trace_id", "group_id").agg((F.sum(F.col("n") * F.col("m")) / F.first("norm")).alias("score"))
+    best = dots.groupBy("trace_id").agg(F.min(F.struct((-F.round("score", 9)).alias("score"), "group_id"))["group_id"].alias("best"))
     lowest = kept.agg(F.min("key").alias("low"))
-    moved = rest.select("trace_id").join(best, "trace_id", "left").crossJoin(F.broadcast(lowest)).select("trace_id", F.coalesce("group_id", "low"))
-    return stay.union(moved)
+    moved = rest.select("trace_id").join(best, "trace_id", "left").crossJoin(F.broadcast(lowest)).select("trace_id", F.coalesce("best", "low").alias("group_id"))
+    return marked.where("large").select("trace_id", F.col("key").alias("group_id")).union(moved)
 
 
 def group_kappa_supported(variants: DataFrame, theta: float = 0.01) -> DataFrame:
@@ -94,10 +93,11 @@ PARTITIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def held_out_coverage(variants: DataFrame, key: Callable[[Column], Column] = ab.kappa, most: int = 120, share: float = 0.7, seed: int = 0) -> DataFrame:
-    """One row: share of held-out cases whose key occurs in training, by a hash split of traces."""
-    keyed = variants.select("trace_id", "n_cases", key(F.col("trace")).alias("key"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "trace_id"), F.lit(1000)) / 1000
+def held_out_coverage(variants: DataFrame, key: Callable[[Column], Column] = ab.kappa, share: float = 0.7, seed: int = 0) -> DataFrame:
+    """One row: share of held-out cases whose key occurs in training, by a split of traces on a digest of their text."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), ab.trace_text(F.col("trace"))))
+    keyed = variants.select("n_cases", key(F.col("trace")).alias("key"), (F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(1000)) / 1000).alias("draw"))
+    draw = F.col("draw")
     train = keyed.where(draw < share).select("key").distinct()
     test = keyed.where(draw >= share)
     hit = test.join(train, "key", "left_semi").agg(F.coalesce(F.sum("n_cases"), F.lit(0)).alias("hit"))

@@ -4,27 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import abstraction as ab
 from .log import activities
 
 
+#: Ranges of first appearance into which views of one size are cut to be numbered.
+SLICES = 64
+
+
 def with_kappa(variants: DataFrame, decomposition: str = "leftmost") -> DataFrame:
-    """Variants with their identifier; evaluated once per distinct trace."""
-    return variants.withColumn("kappa", ab.kappa(F.col("trace"), decomposition))
+    """Variants with their identifier; evaluated once per distinct trace. Variants that carry one keep it."""
+    return variants if "kappa" in variants.columns else variants.withColumn("kappa", ab.kappa(F.col("trace"), decomposition))
 
 
 def induce_views(variants: DataFrame, decomposition: str = "leftmost") -> DataFrame:
     """(label, kappa, n_cases, n_traces, n_variants, coverage): views by falling number of cases, then first appearance.
 
-    The grouping by identifier is a barrier: nothing filters on the fold below it. Labels need one order over
-    the views, which are few next to the cases.
+    The grouping by identifier is a barrier: nothing filters on the fold below it. Views are numbered without bringing
+    them into one task: their counts by size and range of first appearance are, and a view's number is what stands before its
+    range plus its place there.
     """
-    keyed = variants.select(ab.kappa(F.col("trace"), decomposition).alias("kappa"), "n_cases", "first_ord", ab.variant_text(F.col("trace")).alias("variant"))
+    keyed = with_kappa(variants, decomposition).select("kappa", "n_cases", "first_ord", ab.variant_text(F.col("trace")).alias("variant"))
     views = keyed.groupBy("kappa").agg(F.sum("n_cases").alias("n_cases"), F.count(F.lit(1)).alias("n_traces"), F.count_distinct("variant").alias("n_variants"), F.min("first_ord").alias("first_ord"))
-    order = Window.orderBy(F.desc("n_cases"), F.asc("first_ord"))
-    total = Window.partitionBy()
-    return views.withColumn("label", F.concat(F.lit("C"), F.row_number().over(order).cast("string"))).withColumn("coverage", F.round(F.coalesce(F.col("n_cases") / F.sum("n_cases").over(total), F.lit(0.0)), 6)).select("label", "kappa", "n_cases", "n_traces", "n_variants", "coverage", "first_ord")
+    if isinstance(views.schema["first_ord"].dataType, NumericType):
+        ends = views.agg(F.min("first_ord").cast("double").alias("low"), F.max("first_ord").cast("double").alias("high"))
+        part = F.floor((F.col("first_ord").cast("double") - F.col("low")) / (F.col("high") - F.col("low") + 1) * SLICES).cast("int")
+        views = views.crossJoin(F.broadcast(ends)).withColumn("part", part).drop("low", "high")
+    else:
+        views = views.withColumn("part", F.lit(0))
+    order = Window.orderBy(F.desc("size"), F.asc("part"))
+    sizes = views.groupBy(F.col("n_cases").alias("size"), "part").agg(F.count(F.lit(1)).alias("here"))
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("here").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum(F.col("here") * F.col("size")).over(Window.partitionBy()))
+    ranked = views.join(sizes.select(F.col("size").alias("n_cases"), "part", "before", "total"), ["n_cases", "part"])
+    place = F.col("before") + F.row_number().over(Window.partitionBy("n_cases", "part").orderBy("first_ord"))
+    return ranked.withColumn("label", F.concat(F.lit("C"), place.cast("string"))).withColumn("coverage", F.round(F.coalesce(F.col("n_cases") / F.col("total"), F.lit(0.0)), 6)).select("label", "kappa", "n_cases", "n_traces", "n_variants", "coverage", "first_ord")
 
 
 def assign_views(variants: DataFrame, views: DataFrame, decomposition: str = "leftmost") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,12 @@ def variants(spark, sf_dir):
     return lg.variants_of(derived_traces(spark, sf_dir))
 
 
+def assigned(spark, sf_dir):
+    """Variants with their views' labels; identifiers are worked out once and persisted."""
+    v = vw.with_kappa(variants(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    return vw.assign_views(v, vw.induce_views(v))
+
+
 def steps(spark, sf_dir):
     return rel.universe_steps(variants(spark, sf_dir))
 
@@ -81,10 +88,8 @@ def executed_activities(spark, sf_dir):
 
 @query
 def sublog_top_views(spark, sf_dir):
-    v = variants(spark, sf_dir)
-    views = vw.induce_views(v)
-    top = vw.assign_views(v, views).where(V("label").isin("C1", "C2", "C3")).select("trace_id")
-    return lg.sublog(v, top).select(ab.trace_text(T).alias("trace"), "n_cases")
+    found = assigned(spark, sf_dir)
+    return lg.sublog(found, found.where(V("label").isin("C1", "C2", "C3")).select("trace_id")).select(ab.trace_text(T).alias("trace"), "n_cases")
 
 
 @query
@@ -169,14 +174,12 @@ def order_views(spark, sf_dir):
 
 @query
 def assign_view(spark, sf_dir):
-    v = variants(spark, sf_dir)
-    return vw.assign_views(v, vw.induce_views(v)).select(ab.trace_text(T).alias("trace"), "label")
+    return assigned(spark, sf_dir).select(ab.trace_text(T).alias("trace"), "label")
 
 
 @query
 def crosstab_long(spark, sf_dir):
-    v = variants(spark, sf_dir)
-    return vw.crosstab(vw.assign_views(v, vw.induce_views(v)))
+    return vw.crosstab(assigned(spark, sf_dir))
 
 
 @query
@@ -186,15 +189,12 @@ def view_coverage(spark, sf_dir):
 
 @query
 def view_screen_map(spark, sf_dir):
-    v = variants(spark, sf_dir)
-    return vw.screen_map(vw.assign_views(v, vw.induce_views(v)))
+    return vw.screen_map(assigned(spark, sf_dir))
 
 
 @query
 def only_here(spark, sf_dir):
-    v = variants(spark, sf_dir)
-    first = vw.assign_views(v, vw.induce_views(v)).withColumn("label", F.when(V("label") == "C1", "C1").otherwise(F.when(V("label") == "C3", "C3")))
-    return vw.only_here(first.where("label is not null"))
+    return vw.only_here(assigned(spark, sf_dir))
 
 
 @query
