@@ -7,12 +7,13 @@ is refused, not gathered; `mine_groups` mines views or other groups by workers i
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .model import TAU, PetriNet, Tree, fold, leaf, net_of, node, parse_identifier
+from .model import TAU, PetriNet, Tree, fold, follows, leaf, net_of, node, parse_identifier
 
 VARIANTS = ("im", "imto", "imts", "imtf")
 #: Most variants that the driver or one worker mines at a time.
@@ -287,7 +288,17 @@ def mine_groups(grouped: DataFrame, variant: str = "imtf", noise: float = 0.0) -
 
     Equal traces are counted together first. A group's variants are one worker's input, the miner's own bound.
     """
+    return each_group(grouped, variant, noise, lambda tree: [(str(tree),)], "tree string")
+
+
+def mine_follows(grouped: DataFrame, variant: str = "imtf", noise: float = 0.0) -> DataFrame:
+    """(group_id, x, y): pairs that may follow each other directly in the runs of each group's model."""
+    return each_group(grouped, variant, noise, lambda tree: sorted(follows(tree)[2]), "x string, y string")
+
+
+def each_group(grouped: DataFrame, variant: str, noise: float, rows_of: Callable[[Tree], list[tuple]], ddl: str) -> DataFrame:
     counted = grouped.groupBy("group_id", "trace").agg(F.sum("n_cases").alias("n_cases"))
+    names = [x.split()[0] for x in ddl.split(", ")]
 
     def mine(pdf):
         import pandas as pd
@@ -295,6 +306,8 @@ def mine_groups(grouped: DataFrame, variant: str = "imtf", noise: float = 0.0) -
         log: Log = Counter()
         for trace, n in zip(pdf["trace"], pdf["n_cases"], strict=True):
             log[tuple((e["a"], frozenset(e["en"])) for e in trace)] += int(n)
-        return pd.DataFrame({"group_id": [pdf["group_id"].iloc[0]], "tree": [str(fold(mine_tree(log, variant, noise)))]})
+        out = pd.DataFrame(rows_of(fold(mine_tree(log, variant, noise))), columns=names)
+        out.insert(0, "group_id", pdf["group_id"].iloc[0])
+        return out
 
-    return counted.groupBy("group_id").applyInPandas(mine, "group_id string, tree string")
+    return counted.groupBy("group_id").applyInPandas(mine, f"group_id string, {ddl}")

@@ -71,6 +71,41 @@ def parse_identifier(text: str, names: set[str] | None = None) -> Tree:
     return leaf(text)
 
 
+def follows(tree: Tree) -> tuple[set[str], set[str], set[tuple[str, str]], bool]:
+    """First and last activities of a tree's runs, pairs that may follow each other directly, and whether a run may be empty."""
+    if tree.kind == "leaf":
+        own = set() if tree.label is None else {tree.label}
+        return own, own, set(), tree.label is None
+    parts = [follows(c) for c in tree.children]
+    pairs = set().union(*(p for _, _, p, _ in parts))
+    if tree.kind == "xor":
+        return set().union(*(s for s, *_ in parts)), set().union(*(e for _, e, _, _ in parts)), pairs, any(empty for *_, empty in parts)
+    if tree.kind == "and":
+        for i, a in enumerate(tree.children):
+            for b in tree.children[:i]:
+                pairs |= {(x, y) for x in a.labels() for y in b.labels()} | {(y, x) for x in a.labels() for y in b.labels()}
+        return set().union(*(s for s, *_ in parts)), set().union(*(e for _, e, _, _ in parts)), pairs, all(empty for *_, empty in parts)
+    if tree.kind == "loop":
+        (starts, ends, _, empty), redo = parts[0], parts[1:]
+        again, back = set().union(*(s for s, *_ in redo)), set().union(*(e for _, e, _, _ in redo))
+        skips = any(x for *_, x in redo)
+        pairs |= {(x, y) for x in ends for y in again} | {(x, y) for x in back for y in starts}
+        if skips:
+            pairs |= {(x, y) for x in ends for y in starts}
+        if empty:
+            pairs |= {(x, y) for x in back for y in again}
+        return starts | (again if empty else set()), ends | (back if empty else set()), pairs, empty
+    starts: set[str] = set()
+    ends: set[str] = set()
+    whole = True
+    for s, e, _, empty in parts:
+        pairs |= {(x, y) for x in ends for y in s}
+        starts |= s if whole else set()
+        ends = e | (ends if empty else set())
+        whole = whole and empty
+    return starts, ends, pairs, whole
+
+
 Marking = tuple[tuple[str, int], ...]
 
 

@@ -1,5 +1,5 @@
 """Registered queries, their oracles and the experiments."""
 
-from . import experiments, registry
+from . import experiments, fixtures, registry
 
-__all__ = ["experiments", "registry"]
+__all__ = ["experiments", "fixtures", "registry"]

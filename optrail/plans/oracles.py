@@ -57,7 +57,8 @@ def _more(ctes: str, body: str) -> str:
     return f"WITH {EV} {ctes} {body}"
 
 
-def _kappa(body: str, kind: str = "leftmost") -> str:
+def over_views(body: str, kind: str = "leftmost") -> str:
+    """A query over the derived log's traces with their identifiers (vk) and views (vw)."""
     return f"WITH RECURSIVE {EV} {_chase(kind)} {body}"
 
 
@@ -97,13 +98,13 @@ best AS (SELECT trace, kappa FROM (SELECT *, row_number() OVER (PARTITION BY tra
 """
 
 ORACLES: dict[str, str] = {
-    "log_kpis": _kappa("SELECT sum(n_cases)::BIGINT AS n_cases, sum(n_cases * len)::BIGINT AS n_events, count(*)::BIGINT AS n_traces, count(DISTINCT variant)::BIGINT AS n_variants, (SELECT count(DISTINCT a) FROM ev)::INT AS n_activities, count(DISTINCT kappa)::BIGINT AS n_views, round(sum(n_cases * len) / sum(n_cases), 6)::DOUBLE AS mean_length FROM vk"),
+    "log_kpis": over_views("SELECT sum(n_cases)::BIGINT AS n_cases, sum(n_cases * len)::BIGINT AS n_events, count(*)::BIGINT AS n_traces, count(DISTINCT variant)::BIGINT AS n_variants, (SELECT count(DISTINCT a) FROM ev)::INT AS n_activities, count(DISTINCT kappa)::BIGINT AS n_views, round(sum(n_cases * len) / sum(n_cases), 6)::DOUBLE AS mean_length FROM vk"),
     "log_validate": _log("SELECT count(*) FILTER (NOT list_contains(en, a))::BIGINT AS n_invalid FROM ev").replace("),  SELECT", ") SELECT"),
     "trace_variants": _log("SELECT trace, n_cases, first_ord FROM va"),
     "classical_variants": _log("SELECT variant, sum(n_cases)::BIGINT AS n_cases, count(*)::BIGINT AS n_traces FROM va GROUP BY variant"),
     "executed_projection": _log("SELECT case_id, variant FROM tr"),
     "executed_activities": _log("SELECT DISTINCT a FROM ev"),
-    "sublog_top_views": _kappa("SELECT trace, vk.n_cases FROM vk JOIN vw ON vw.kappa = vk.kappa WHERE label IN ('C1', 'C2', 'C3')"),
+    "sublog_top_views": over_views("SELECT trace, vk.n_cases FROM vk JOIN vw ON vw.kappa = vk.kappa WHERE label IN ('C1', 'C2', 'C3')"),
     "project_log": _more(
         "pe AS (SELECT case_id, pos, a, list_filter(en, lambda x: x IN ('click', 'purchase', 'view')) AS en FROM ev WHERE a IN ('click', 'purchase', 'view')), pt AS (SELECT tr.ord, coalesce(string_agg(pe.a || '{' || array_to_string(pe.en, ',') || '}', ' ' ORDER BY pe.pos), '') AS trace FROM tr LEFT JOIN pe ON pe.case_id = tr.case_id GROUP BY tr.ord)",
         "SELECT trace, count(*)::BIGINT AS n_cases, min(ord)::BIGINT AS first_ord FROM pt GROUP BY trace",
@@ -114,16 +115,16 @@ ORACLES: dict[str, str] = {
     "local_choice": _log("SELECT array_to_string(c, ',') AS choice, array_to_string(k, ',') AS kept, sum(n_cases)::BIGINT AS n_cases FROM rep GROUP BY ALL"),
     "local_block": _log("SELECT CASE WHEN len(c) = 1 THEN c[1] ELSE 'xor(' || array_to_string(c, ', ') || ')' END AS block, sum(n_cases)::BIGINT AS n_cases FROM rep GROUP BY 1"),
     "supports_parallel_pairs": _log("SELECT x.trace, x.pos AS i, y.pos AS j FROM rep x JOIN rep y ON x.trace = y.trace AND x.pos < y.pos WHERE NOT list_has_any(x.c, y.c) AND list_has_all(x.k, y.c)"),
-    **{f"decomposition_{kind}": _kappa("SELECT trace, string_agg('[' || array_to_string(range(p, q + 1), ',') || ']', '' ORDER BY p) AS intervals FROM dec GROUP BY trace", kind) for kind in ("leftmost", "rightmost", "shortest")},
-    "kappa_per_case": _kappa("SELECT case_id, kappa FROM tr JOIN kap ON kap.trace = tr.trace"),
-    "induce_views": _kappa("SELECT label, kappa, n_cases, n_traces, n_variants, coverage, first_ord FROM vw"),
-    "induce_views_rightmost": _kappa("SELECT label, kappa, n_cases FROM vw", "rightmost"),
-    "induce_views_shortest": _kappa("SELECT label, kappa, n_cases FROM vw", "shortest"),
-    "assign_view": _kappa("SELECT trace, label FROM vk JOIN vw ON vw.kappa = vk.kappa"),
-    "crosstab_long": _kappa("SELECT variant, label, sum(vk.n_cases)::BIGINT AS n_cases FROM vk JOIN vw ON vw.kappa = vk.kappa GROUP BY ALL"),
-    "view_coverage": _kappa("SELECT label, coverage FROM vw"),
-    "view_screen_map": _kappa("SELECT DISTINCT label, a FROM (SELECT trace, unnest(en) AS a FROM rep) r JOIN vk ON vk.trace = r.trace JOIN vw ON vw.kappa = vk.kappa WHERE a IN (SELECT a FROM ev)"),
-    "only_here": _kappa("SELECT min(label) AS label, a FROM (SELECT trace, unnest(en) AS a FROM rep) r JOIN vk ON vk.trace = r.trace JOIN vw ON vw.kappa = vk.kappa WHERE label IN ('C1', 'C3') GROUP BY a HAVING min(label) = max(label)"),
+    **{f"decomposition_{kind}": over_views("SELECT trace, string_agg('[' || array_to_string(range(p, q + 1), ',') || ']', '' ORDER BY p) AS intervals FROM dec GROUP BY trace", kind) for kind in ("leftmost", "rightmost", "shortest")},
+    "kappa_per_case": over_views("SELECT case_id, kappa FROM tr JOIN kap ON kap.trace = tr.trace"),
+    "induce_views": over_views("SELECT label, kappa, n_cases, n_traces, n_variants, coverage, first_ord FROM vw"),
+    "induce_views_rightmost": over_views("SELECT label, kappa, n_cases FROM vw", "rightmost"),
+    "induce_views_shortest": over_views("SELECT label, kappa, n_cases FROM vw", "shortest"),
+    "assign_view": over_views("SELECT trace, label FROM vk JOIN vw ON vw.kappa = vk.kappa"),
+    "crosstab_long": over_views("SELECT variant, label, sum(vk.n_cases)::BIGINT AS n_cases FROM vk JOIN vw ON vw.kappa = vk.kappa GROUP BY ALL"),
+    "view_coverage": over_views("SELECT label, coverage FROM vw"),
+    "view_screen_map": over_views("SELECT DISTINCT label, a FROM (SELECT trace, unnest(en) AS a FROM rep) r JOIN vk ON vk.trace = r.trace JOIN vw ON vw.kappa = vk.kappa WHERE a IN (SELECT a FROM ev)"),
+    "only_here": over_views("SELECT min(label) AS label, a FROM (SELECT trace, unnest(en) AS a FROM rep) r JOIN vk ON vk.trace = r.trace JOIN vw ON vw.kappa = vk.kappa GROUP BY a HAVING min(label) = max(label)"),
     "enabled_heatmap": _log("SELECT a, pos, sum(n_cases)::BIGINT AS n_cases FROM (SELECT pos, n_cases, unnest(en) AS a FROM rep) WHERE a IN (SELECT a FROM ev) GROUP BY ALL"),
     "kappa_multiset": _log("SELECT key, sum(n_cases)::BIGINT AS n_cases FROM (SELECT trace, any_value(n_cases) AS n_cases, string_agg(array_to_string(c, '+'), '|' ORDER BY array_to_string(c, '+')) AS key FROM rep GROUP BY trace) GROUP BY key"),
     "kappa_set": _log("SELECT key, sum(n_cases)::BIGINT AS n_cases FROM (SELECT trace, any_value(n_cases) AS n_cases, array_to_string(list_sort(list(DISTINCT array_to_string(c, '+'))), '|') AS key FROM rep GROUP BY trace) GROUP BY key"),
@@ -147,12 +148,12 @@ ORACLES: dict[str, str] = {
         "SELECT x.g, y.g AS h, round(coalesce(sh.n, 0) / greatest(1, x.n + y.n - coalesce(sh.n, 0)), 6) AS jaccard FROM fs x JOIN fs y ON x.g < y.g LEFT JOIN sh ON sh.g = x.g AND sh.h = y.g",
     ),
     "variant_overlap": _log(f"SELECT round(sum(n) FILTER (g > 1) / sum(n), 6)::DOUBLE AS overlap FROM (SELECT variant, count(*) AS n, count(DISTINCT {_LABEL}) AS g FROM tr GROUP BY variant)"),
-    "group_supported": _kappa("SELECT vk.trace, CASE WHEN vk.kappa IN (SELECT kappa FROM kept) THEN vk.kappa ELSE coalesce(best.kappa, (SELECT min(kappa) FROM kept)) END AS group_id FROM vk LEFT JOIN best ON best.trace = vk.trace").replace("AS coverage FROM vw0)\n", "AS coverage FROM vw0)," + _PROFILE),
+    "group_supported": over_views("SELECT vk.trace, CASE WHEN vk.kappa IN (SELECT kappa FROM kept) THEN vk.kappa ELSE coalesce(best.kappa, (SELECT min(kappa) FROM kept)) END AS group_id FROM vk LEFT JOIN best ON best.trace = vk.trace").replace("AS coverage FROM vw0)\n", "AS coverage FROM vw0)," + _PROFILE),
     "group_supported_solo": _more(_ACTS, "SELECT acts AS group_id, count(*)::BIGINT AS n_traces FROM ka GROUP BY acts"),
-    "group_sizes": _kappa("SELECT 'global' AS method, 1::BIGINT AS n_groups UNION ALL SELECT 'kappa', count(DISTINCT kappa)::BIGINT FROM vk UNION ALL SELECT 'kappa_acts', count(DISTINCT acts)::BIGINT FROM ka UNION ALL SELECT 'classical_variants', count(DISTINCT variant)::BIGINT FROM va UNION ALL SELECT 'translucent_variants', count(*)::BIGINT FROM va").replace("AS coverage FROM vw0)\n", f"AS coverage FROM vw0), {_ACTS}\n"),
-    "ari": _kappa("SELECT CASE WHEN (sa + sb) / 2 = sa * sb / sn THEN 1.0 ELSE round((si - sa * sb / sn) / ((sa + sb) / 2 - sa * sb / sn), 6) END::DOUBLE AS ari FROM (SELECT sum(n * (n - 1) / 2) AS si, sum(n) * (sum(n) - 1) / 2 AS sn FROM cl), (SELECT sum(n * (n - 1) / 2) AS sa FROM (SELECT t, sum(n) AS n FROM cl GROUP BY t)), (SELECT sum(n * (n - 1) / 2) AS sb FROM (SELECT p, sum(n) AS n FROM cl GROUP BY p))").replace("AS coverage FROM vw0)\n", f"AS coverage FROM vw0), {_CELLS}\n"),
-    "label_accuracy": _kappa("SELECT round(sum(m) / sum(n), 6) AS accuracy FROM (SELECT p, max(n) AS m, sum(n) AS n FROM cl GROUP BY p)").replace("AS coverage FROM vw0)\n", f"AS coverage FROM vw0), {_CELLS}\n"),
-    "nmi_vmeasure": _kappa("SELECT round(2 * mi / (h_t + h_p), 6) AS nmi, round(mi / h_t, 6) AS homogeneity, round(mi / h_p, 6) AS completeness, round(2 * (mi / h_t) * (mi / h_p) / (mi / h_t + mi / h_p), 6) AS v_measure, (SELECT round(sum(m) / sum(n), 6) FROM (SELECT p, max(n) AS m, sum(n) AS n FROM cl GROUP BY p)) AS purity FROM mi").replace("AS coverage FROM vw0)\n", f"AS coverage FROM vw0), {_CELLS}, {_ENTROPY.format(c='cl')}\n"),
+    "group_sizes": over_views("SELECT 'global' AS method, 1::BIGINT AS n_groups UNION ALL SELECT 'kappa', count(DISTINCT kappa)::BIGINT FROM vk UNION ALL SELECT 'kappa_acts', count(DISTINCT acts)::BIGINT FROM ka UNION ALL SELECT 'classical_variants', count(DISTINCT variant)::BIGINT FROM va UNION ALL SELECT 'translucent_variants', count(*)::BIGINT FROM va").replace("AS coverage FROM vw0)\n", f"AS coverage FROM vw0), {_ACTS}\n"),
+    "ari": over_views("SELECT CASE WHEN (sa + sb) / 2 = sa * sb / sn THEN 1.0 ELSE round((si - sa * sb / sn) / ((sa + sb) / 2 - sa * sb / sn), 6) END::DOUBLE AS ari FROM (SELECT sum(n * (n - 1) / 2) AS si, sum(n) * (sum(n) - 1) / 2 AS sn FROM cl), (SELECT sum(n * (n - 1) / 2) AS sa FROM (SELECT t, sum(n) AS n FROM cl GROUP BY t)), (SELECT sum(n * (n - 1) / 2) AS sb FROM (SELECT p, sum(n) AS n FROM cl GROUP BY p))").replace("AS coverage FROM vw0)\n", f"AS coverage FROM vw0), {_CELLS}\n"),
+    "label_accuracy": over_views("SELECT round(sum(m) / sum(n), 6) AS accuracy FROM (SELECT p, max(n) AS m, sum(n) AS n FROM cl GROUP BY p)").replace("AS coverage FROM vw0)\n", f"AS coverage FROM vw0), {_CELLS}\n"),
+    "nmi_vmeasure": over_views("SELECT round(2 * mi / (h_t + h_p), 6) AS nmi, round(mi / h_t, 6) AS homogeneity, round(mi / h_p, 6) AS completeness, round(2 * (mi / h_t) * (mi / h_p) / (mi / h_t + mi / h_p), 6) AS v_measure, (SELECT round(sum(m) / sum(n), 6) FROM (SELECT p, max(n) AS m, sum(n) AS n FROM cl GROUP BY p)) AS purity FROM mi").replace("AS coverage FROM vw0)\n", f"AS coverage FROM vw0), {_CELLS}, {_ENTROPY.format(c='cl')}\n"),
     "incoherence": _more(
         _ACTS + ", sg AS (SELECT acts, variant, count(*) AS sigs, sum(n_cases)::DOUBLE AS n, log2(sum(n_cases)) - sum(n_cases * log2(n_cases)) / sum(n_cases) AS h FROM ka JOIN va ON va.trace = ka.trace GROUP BY ALL)",
         "SELECT round(avg(sigs), 6) AS mean_signatures, max(sigs)::BIGINT AS max_signatures, round(sum(h * n) / sum(n), 6) AS entropy FROM sg",
@@ -167,9 +168,9 @@ UNION ALL SELECT 'o_totalprice', nmi FROM (WITH {_ENTROPY.format(c='c2')} SELECT
     "first_attr_per_case": "SELECT l_orderkey AS case_id, (list(l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) FILTER (l_linenumber % 2 = 0))[1] AS value FROM lineitem GROUP BY l_orderkey",
     "two_stage_mean": "SELECT o_orderpriority, round(avg(m), 6) AS price FROM (SELECT o_orderpriority, o_orderstatus, avg(o_totalprice::DOUBLE) AS m FROM orders GROUP BY ALL) GROUP BY 1",
     "weighted_mean": "SELECT l_returnflag, round(sum(l_discount::DOUBLE * l_quantity::DOUBLE) / sum(l_quantity::DOUBLE), 6) AS discount FROM lineitem GROUP BY 1",
-    "models_to_cov_running": _kappa("SELECT row_number() OVER o AS rank, kappa AS group_id, n_cases, sum(good) OVER (o ROWS UNBOUNDED PRECEDING)::BIGINT AS covered, sum(good) OVER (o ROWS UNBOUNDED PRECEDING) - good <= 0.9 * sum(n_cases) OVER () AS needed FROM (SELECT *, CASE WHEN length(kappa) % 5 = 0 THEN 0 ELSE n_cases END AS good FROM vw) WINDOW o AS (ORDER BY n_cases DESC, kappa)"),
+    "models_to_cov_running": over_views("SELECT row_number() OVER o AS rank, kappa AS group_id, n_cases, sum(good) OVER (o ROWS UNBOUNDED PRECEDING)::BIGINT AS covered, sum(good) OVER (o ROWS UNBOUNDED PRECEDING) - good <= 0.9 * sum(n_cases) OVER () AS needed FROM (SELECT *, CASE WHEN length(kappa) % 5 = 0 THEN 0 ELSE n_cases END AS good FROM vw) WINDOW o AS (ORDER BY n_cases DESC, kappa)"),
     "view_confusion": _more(_ACTS, f"SELECT {_LABEL} AS role, acts AS view, count(*)::BIGINT AS n_cases FROM tr JOIN ka ON ka.trace = tr.trace GROUP BY ALL"),
-    "view_lengths": _kappa(f"SELECT {_LABEL} AS group_id, len::INT AS length, count(DISTINCT kappa)::BIGINT AS n_views FROM tr JOIN kap ON kap.trace = tr.trace GROUP BY ALL"),
+    "view_lengths": over_views(f"SELECT {_LABEL} AS group_id, len::INT AS length, count(DISTINCT kappa)::BIGINT AS n_views FROM tr JOIN kap ON kap.trace = tr.trace GROUP BY ALL"),
     "cf_features": _more(
         "tk AS (SELECT trace, 'a:' || a AS token, count(*)::DOUBLE / any_value(len) AS value FROM rep GROUP BY ALL UNION ALL SELECT trace, 'df:' || a || '>' || next_a, count(*)::DOUBLE / any_value(len) FROM rep WHERE next_a IS NOT NULL GROUP BY ALL UNION ALL SELECT trace, 'len', len::DOUBLE FROM va)",
         "SELECT token, round(sum(value), 5) AS total, count(*)::BIGINT AS n_traces FROM tk GROUP BY token",
