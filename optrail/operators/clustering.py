@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Word2Vec
@@ -9,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import context_vectors, control_flow_tokens, enabled_tokens, standardised
+from .features import aggregate_attributes, attribute_tokens, context_vectors, control_flow_tokens, enabled_tokens, standardised
 
 #: Distinct traces that the exact silhouette takes at most: it needs all distances.
 SILHOUETTE_MOST = 5000
@@ -121,12 +123,14 @@ def enabled(variants: DataFrame) -> DataFrame:
     return standardised(enabled_tokens(variants), variants)
 
 
-def trace2vec(variants: DataFrame, seed: int = 0) -> DataFrame:
-    """Mean word vectors of a trace's activities and of its activities with enabled sets: an approximation of document vectors."""
+def trace2vec(variants: DataFrame, seed: int = 0, rounds: int = 60, partitions: int = 1) -> DataFrame:
+    """Mean word vectors of a trace's activities and of its activities with enabled sets: an approximation of document vectors.
+
+    Words are learned in ``rounds`` rounds over the variants, which partitions make in parallel at some loss of accuracy."""
     words = F.flatten(F.transform("trace", lambda e: F.array(e["a"], F.concat(e["a"], F.lit("|"), F.array_join(e["en"], "+")))))
     docs = variants.select("trace_id", words.alias("w")).cache()
     size = min(32, max(4, docs.count()))
-    model = Word2Vec(vectorSize=size, minCount=1, numPartitions=1, maxIter=5, seed=seed, inputCol="w", outputCol="v").fit(docs)
+    model = Word2Vec(vectorSize=size, minCount=1, numPartitions=partitions, maxIter=rounds, seed=seed, inputCol="w", outputCol="v").fit(docs)
     return model.transform(docs).select("trace_id", vector_to_array("v").alias("features"))
 
 
@@ -134,9 +138,37 @@ def trace2vec(variants: DataFrame, seed: int = 0) -> DataFrame:
 FEATURES = {"cf": control_flow, "ctx": context_vectors, "enabled": enabled, "trace2vec": trace2vec}
 
 
-def cluster(variants: DataFrame, features: str, k: int, method: str = "kmeans", seed: int = 0) -> DataFrame:
+# Recorded attributes by what they say about the hidden label.
+ATTRIBUTES = {"clean": ("department", "location", "seniority"), "noisy": ("ticket_channel", "client_tier", "weekday", "noise_score", "flag_a", "flag_b"), "oracle": ("role",)}
+ATTRIBUTES["all"] = ATTRIBUTES["clean"] + ATTRIBUTES["noisy"]
+NUMERIC = ("seniority", "noise_score")
+
+
+def by_vectors(vectors: DataFrame, k: int | None, method: str = "kmeans", seed: int = 0) -> DataFrame:
+    """Groups of vectors; without ``k`` the number of groups with the best silhouette."""
+    if k is None:
+        k = pick_k(vectors, seed=seed)
+    return ward(vectors, k) if method == "ward" else kmeans(vectors, k, seed)
+
+
+def cluster(variants: DataFrame, features: str, k: int | None = None, method: str = "kmeans", seed: int = 0) -> DataFrame:
     if features not in FEATURES:
         raise ValueError(f"unknown features {features!r}; one of {sorted(FEATURES)}")
-    vectors = FEATURES[features](variants)
-    return ward(vectors, k) if method == "ward" else kmeans(vectors, k, seed)
+    return by_vectors(FEATURES[features](variants), k, method, seed)
+
+
+def cluster_by_attributes(traces: DataFrame, attributes: DataFrame, feature_set: str = "clean", k: int | None = None, method: str = "kmeans", seed: int = 0) -> DataFrame:
+    """(trace_id, group_id): distinct traces of (case_id, trace) by what their cases' attributes say: means of numbers, majorities of categories,
+    one-hot and standardised. "oracle" is the hidden label itself, an upper bound."""
+    if feature_set not in ATTRIBUTES:
+        raise ValueError(f"unknown feature set {feature_set!r}; one of {sorted(ATTRIBUTES)}")
+    names = ATTRIBUTES[feature_set]
+    numeric, categorical = [n for n in names if n in NUMERIC], [n for n in names if n not in NUMERIC]
+    keyed = traces.select("case_id", F.xxhash64("trace").alias("key"))
+    per_key = aggregate_attributes(keyed, attributes.select("case_id", *names), numeric, categorical)
+    vectors = standardised(attribute_tokens(per_key, numeric, categorical), per_key.select(F.col("key").alias("trace_id")))
+    return by_vectors(vectors, k, method, seed)
+
 
+#: Attribute clusterings by name; each takes traces and attributes.
+ATTRIBUTE_METHODS = {f"attr_{name}": partial(cluster_by_attributes, feature_set=name) for name in ATTRIBUTES}

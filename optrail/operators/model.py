@@ -55,12 +55,15 @@ def fold(tree: Tree) -> Tree:
 
 
 def parse_identifier(text: str, names: set[str] | None = None) -> Tree:
-    """The tree of an identifier; ``epsilon`` is silent. A text in ``names`` is an activity, whatever it looks like."""
-    if text == "epsilon":
+    """The tree of an identifier or of a tree's text; ``epsilon`` and ``tau`` are silent. A text in ``names`` is an activity,
+    whatever it looks like."""
+    if names and text in names:
+        return leaf(text)
+    if text in ("epsilon", "tau"):
         return leaf(TAU)
-    for kind in ("seq", "xor", "and"):
-        if text.startswith(f"{kind}(") and text.endswith(")") and not (names and text in names):
-            parts, depth, start, inner = [], 0, 0, text[4:-1]
+    for kind in ("seq", "xor", "and", "loop"):
+        if text.startswith(f"{kind}(") and text.endswith(")"):
+            parts, depth, start, inner = [], 0, 0, text[len(kind) + 1 : -1]
             for i, c in enumerate(inner):
                 depth += (c == "(") - (c == ")")
                 if depth == 0 and inner.startswith(", ", i):

@@ -8,7 +8,8 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .enrich import Replayer, Unbounded
@@ -128,38 +129,53 @@ def simplicity(net: PetriNet) -> float:
     return 1 / (1 + max(sum(degree.values()) / max(1, len(degree)) - 2, 0))
 
 
-def model_quality(variants: DataFrame, net: PetriNet) -> DataFrame:
-    """One row: fitness, precision, generalization, simplicity, f1, translucent_fitness, translucent_precision.
+METRICS = ("fitness", "precision", "generalization", "translucent_fitness", "translucent_precision", "simplicity", "f1", "replayed_share")
+
+
+def f1_of(fitness: str = "fitness", precision: str = "precision") -> Column:
+    a, b = F.col(fitness), F.col(precision)
+    return F.when((a <= 0) | (b <= 0), 0.0).otherwise(2 * a * b / (a + b))
+
 
-    fitness = 1 - cost / worst cost of aligned traces and the share of fitting ones of replayed traces, weighed by cases; precision = 1 - escaping / allowed over visited prefixes, by visits; generalization
+def qualities(rows: DataFrame, nets: dict[str, dict[str, PetriNet]]) -> DataFrame:
+    """(scope, model, n_cases, METRICS) of (scope, trace, n_cases): each scope's traces under each of its models.
+
+    fitness = 1 - cost / worst cost of aligned traces and the share of fitting ones of replayed traces, weighed by cases;
+    replayed_share says how many cases went by replay. precision = 1 - escaping / allowed over visited prefixes, by visits; generalization
     = 1 - mean over transitions of 1 / sqrt(executions); translucent precision unites logged sets per state of the model.
+
+    All models travel to the workers: one pass over the traces makes the counters of all scopes, and one grouping each
+    metric, however many scopes there are.
     """
-    least = shortest_run(net)
+    least = {(s, m): shortest_run(net) for s, own in nets.items() for m, net in own.items()}
 
     def run(batches):
         import pandas as pd
 
-        replayer = Replayer(net)
+        replayers: dict[tuple[str, str], Replayer] = {}
         for pdf in batches:
-            rows: dict[tuple[str, str], list[float]] = {}
-            for trace, n in zip(pdf["trace"], pdf["n_cases"], strict=True):
-                for kind, key, a, b in trace_facts(net, replayer, [(e["a"], frozenset(e["en"])) for e in trace], int(n), least):
-                    held = rows.setdefault((kind, key), [0.0, 0.0])
-                    held[0], held[1] = (held[0] + a, max(held[1], b) if kind == "visit" else held[1] + b)
-            yield pd.DataFrame([(k, key, *v) for (k, key), v in rows.items()], columns=["kind", "key", "a", "b"])
-
-    facts = variants.select("trace", "n_cases").mapInPandas(run, FACTS)
-    summed = facts.groupBy("kind", "key").agg(F.sum("a").alias("a"), F.when(F.col("kind") == "visit", F.max("b")).otherwise(F.sum("b")).alias("b")).cache()
-    prefix = F.split("key", "\t")[0]
+            rows: dict[tuple[str, str, str, str], list[float]] = {}
+            for scope, trace, n in zip(pdf["scope"], pdf["trace"], pdf["n_cases"], strict=True):
+                events = [(e["a"], frozenset(e["en"])) for e in trace]
+                for model, net in nets.get(scope, {}).items():
+                    replayer = replayers.setdefault((scope, model), Replayer(net))
+                    for kind, key, a, b in trace_facts(net, replayer, events, int(n), least[scope, model]):
+                        held = rows.setdefault((scope, model, kind, key), [0.0, 0.0])
+                        held[0], held[1] = (held[0] + a, max(held[1], b) if kind == "visit" else held[1] + b)
+            yield pd.DataFrame([(*names, *v) for names, v in rows.items()], columns=["scope", "model", "kind", "key", "a", "b"])
+
+    by, prefix = ["scope", "model"], F.split("key", "\t")[0]
+    facts = rows.select("scope", "trace", "n_cases").mapInPandas(run, f"scope string, model string, {FACTS}")
+    summed = facts.groupBy(*by, "kind", "key").agg(F.sum("a").alias("a"), F.when(F.col("kind") == "visit", F.max("b")).otherwise(F.sum("b")).alias("b")).persist(StorageLevel.MEMORY_AND_DISK)
     total = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
-    went = summed.where("kind = 'went'").groupBy(prefix.alias("key")).agg(F.count(F.lit(1)).alias("went"))
-    etc = summed.where("kind = 'visit'").join(went, "key").agg((1 - F.sum(F.col("a") * (F.col("b") - F.least("went", "b"))) / F.sum(F.col("a") * F.col("b"))).alias("precision"))
-    able, logged = summed.where("kind = 'able'").select("key"), summed.where("kind = 'logged'").select("key")
-    sizes = able.groupBy(prefix.alias("s")).agg(F.count(F.lit(1)).alias("able"))
-    hits = able.join(logged, "key", "left_semi").groupBy(prefix.alias("s")).agg(F.count(F.lit(1)).alias("hit"))
-    weights = summed.where("kind = 'state'").select(F.col("key").alias("s"), F.col("a").alias("w"))
-    trans = weights.join(sizes, "s").join(hits, "s", "left").agg((F.sum(F.col("w") * F.coalesce("hit", F.lit(0)) / F.col("able")) / F.sum("w")).alias("translucent_precision"))
-    base = summed.agg(
+    went = summed.where("kind = 'went'").groupBy(*by, prefix.alias("key")).agg(F.count(F.lit(1)).alias("went"))
+    etc = summed.where("kind = 'visit'").join(went, [*by, "key"]).groupBy(*by).agg((1 - F.sum(F.col("a") * (F.col("b") - F.least("went", "b"))) / F.sum(F.col("a") * F.col("b"))).alias("precision"))
+    able, logged = (summed.where(F.col("kind") == k).select(*by, "key") for k in ("able", "logged"))
+    sizes = able.groupBy(*by, prefix.alias("s")).agg(F.count(F.lit(1)).alias("able"))
+    hits = able.join(logged, [*by, "key"], "left_semi").groupBy(*by, prefix.alias("s")).agg(F.count(F.lit(1)).alias("hit"))
+    weights = summed.where("kind = 'state'").select(*by, F.col("key").alias("s"), F.col("a").alias("w"))
+    trans = weights.join(sizes, [*by, "s"]).join(hits, [*by, "s"], "left").groupBy(*by).agg((F.sum(F.col("w") * F.coalesce("hit", F.lit(0)) / F.col("able")) / F.sum("w")).alias("translucent_precision"))
+    base = summed.groupBy(*by).agg(
         (1 - total("fit", F.col("a")) / total("fit", F.col("b"))).alias("aligned"),
         (total("replayed", F.col("a")) / total("replayed", F.col("b"))).alias("replayed"),
         F.coalesce(total("aligned", F.col("a")), F.lit(0.0)).alias("n_aligned"),
@@ -168,33 +184,43 @@ def model_quality(variants: DataFrame, net: PetriNet) -> DataFrame:
         F.coalesce(total("fired", 1 / F.sqrt("a")), F.lit(0.0)).alias("spread"),
         F.coalesce(total("fired", F.lit(1)), F.lit(0)).alias("used"),
     )
-    n_transitions = len(net.transitions)
-    one = base.crossJoin(etc).crossJoin(trans).withColumn("fitness", F.when(F.col("n_replayed") == 0, F.col("aligned")).when(F.col("n_aligned") == 0, F.col("replayed")).otherwise((F.col("aligned") * F.col("n_aligned") + F.col("replayed") * F.col("n_replayed")) / (F.col("n_aligned") + F.col("n_replayed")))).withColumn("generalization", 1 - (F.col("spread") + (F.lit(n_transitions) - F.col("used"))) / F.lit(max(1, n_transitions)))
-    f1 = F.when((F.col("fitness") <= 0) | (F.col("precision") <= 0), 0.0).otherwise(2 * F.col("fitness") * F.col("precision") / (F.col("fitness") + F.col("precision")))
-    names = ("fitness", "precision", "generalization", "translucent_fitness", "translucent_precision")
-    return one.select(*(F.round(c, 6).alias(c) for c in names), F.lit(round(simplicity(net), 6)).alias("simplicity"), F.round(f1, 6).alias("f1"))
+    known = rows.sparkSession.createDataFrame([(s, m, len(net.transitions), float(simplicity(net))) for s, own in nets.items() for m, net in own.items()], "scope string, model string, n_transitions int, simplicity double")
+    cases = rows.groupBy("scope").agg(F.sum("n_cases").alias("n_cases"))
+    one = known.join(cases, "scope").join(base, by, "left").join(etc, by, "left").join(trans, by, "left")
+    went_by = F.col("n_aligned") + F.col("n_replayed")
+    fitness = F.when(F.col("n_replayed") == 0, F.col("aligned")).when(F.col("n_aligned") == 0, F.col("replayed")).otherwise((F.col("aligned") * F.col("n_aligned") + F.col("replayed") * F.col("n_replayed")) / went_by)
+    most = F.greatest("n_transitions", F.lit(1))
+    one = one.withColumn("fitness", fitness).withColumn("generalization", 1 - (F.coalesce("spread", F.lit(0.0)) + F.col("n_transitions") - F.coalesce("used", F.lit(0))) / most).withColumn("f1", f1_of()).withColumn("replayed_share", F.col("n_replayed") / went_by)
+    return one.select(*by, "n_cases", *(F.round(c, 6).alias(c) for c in METRICS))
+
+
+def model_quality(variants: DataFrame, net: PetriNet) -> DataFrame:
+    """One row of METRICS of a log and a net."""
+    return qualities(variants.select(F.lit("log").alias("scope"), "trace", "n_cases"), {"log": {"model": net}}).select(*METRICS)
+
+
+def weighted(name: str, total: Column) -> Column:
+    """The mean of a metric by cases, a missing value counting as 0."""
+    return F.sum(F.coalesce(F.nanvl(name, F.lit(0.0)), F.lit(0.0)) * F.col("n_cases")) / total
+
+
+def view_quality(assigned: DataFrame, view_nets: dict[str, PetriNet]) -> DataFrame:
+    """(scope, n_cases, METRICS): every view under its own model."""
+    return qualities(assigned.select(F.col("label").alias("scope"), "trace", "n_cases"), {label: {"view": net} for label, net in view_nets.items()}).drop("model")
 
 
 def global_vs_views(assigned: DataFrame, global_net: PetriNet, view_nets: dict[str, PetriNet]) -> DataFrame:
-    """(scope, model, n_cases, metrics): every view under the global model and under its own, and two AGGREGATE rows
+    """(scope, model, n_cases, METRICS): every view under the global model and under its own, and two AGGREGATE rows
     by cases, a missing value counting as 0."""
-    rows = None
-    for label, net in view_nets.items():
-        own = assigned.where(F.col("label") == label).cache()
-        size = own.agg(F.sum("n_cases").alias("n_cases"))
-        for model, used in (("global", global_net), ("view", net)):
-            one = model_quality(own, used).crossJoin(size).select(F.lit(label).alias("scope"), F.lit(model).alias("model"), "*")
-            rows = one if rows is None else rows.union(one)
-    metrics = [c for c in rows.columns if c not in ("scope", "model", "n_cases")]
-    mean = lambda c: F.round(F.sum(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) * F.col("n_cases")) / F.sum("n_cases"), 6).alias(c)
-    total = rows.groupBy("model").agg(*(mean(c) for c in metrics), F.sum("n_cases").alias("n_cases"))
-    return rows.union(total.select(F.lit("AGGREGATE").alias("scope"), "model", *[c for c in rows.columns if c not in ("scope", "model")]))
+    rows = qualities(assigned.select(F.col("label").alias("scope"), "trace", "n_cases"), {label: {"global": global_net, "view": net} for label, net in view_nets.items()})
+    total = rows.groupBy("model").agg(*(F.round(weighted(c, F.sum("n_cases")), 6).alias(c) for c in METRICS), F.sum("n_cases").alias("n_cases"))
+    return rows.union(total.select(F.lit("AGGREGATE").alias("scope"), "model", *rows.columns[2:]))
 
 
 def view_minus_global(rows: DataFrame) -> DataFrame:
     """Per-view less global value of each metric of the AGGREGATE rows."""
     total = rows.where("scope = 'AGGREGATE'")
-    metrics = [c for c in rows.columns if c not in ("scope", "model", "n_cases")]
+    metrics = [c for c in METRICS if c != "replayed_share"]
     long = total.select("model", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in metrics))).alias("x")).select("model", "x.*")
     return long.groupBy("metric").agg(F.round(F.sum(F.when(F.col("model") == "view", F.col("value")).otherwise(-F.col("value"))), 6).alias("difference"))
 
@@ -205,13 +231,6 @@ def weighted_model_quality(grouped: DataFrame, nets: dict[str, PetriNet]) -> Dat
     A group without a model counts in the total but adds nothing; f1 is that of the weighted fitness and precision.
     """
     total = grouped.agg(F.sum("n_cases").alias("total"))
-    rows = None
-    for group, net in nets.items():
-        own = grouped.where(F.col("group_id") == group).cache()
-        one = model_quality(own, net).crossJoin(own.agg(F.sum("n_cases").alias("n_cases")))
-        rows = one if rows is None else rows.union(one)
-    metrics = [c for c in rows.columns if c not in ("f1", "n_cases")]
-    share = lambda c: F.sum(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) * F.col("n_cases"))
-    mean = rows.agg(*(share(c).alias(c) for c in metrics)).crossJoin(total).select(*(F.round(F.col(c) / F.col("total"), 6).alias(c) for c in metrics))
-    f1 = F.when((F.col("fitness") <= 0) | (F.col("precision") <= 0), 0.0).otherwise(2 * F.col("fitness") * F.col("precision") / (F.col("fitness") + F.col("precision")))
-    return mean.withColumn("f1", F.round(f1, 6))
+    rows = qualities(grouped.select(F.col("group_id").alias("scope"), "trace", "n_cases"), {g: {"own": net} for g, net in nets.items()})
+    mean = rows.crossJoin(F.broadcast(total)).agg(*(F.round(weighted(c, F.first("total")), 6).alias(c) for c in METRICS if c != "f1"))
+    return mean.withColumn("f1", F.round(f1_of(), 6)).select(*METRICS)

@@ -144,6 +144,43 @@ def coverage_curve(spark, sf_dir):
     return learning_curve(lg.variants_of(derived_traces(spark, sf_dir)))
 
 
+def attribute_rows(spark: SparkSession, name: str, k: int | None, seed: int = 0) -> DataFrame:
+    """Agreement of every attribute clustering with the hidden labels; without ``k`` by silhouette."""
+    traces = sy.LOGS[name][0](spark, seed).cache()
+    attributes = sy.case_attributes(traces, seed).cache()
+    return union_all([recovery_row(traces, f(traces, attributes, k=k, seed=seed), name, method) for method, f in cl.ATTRIBUTE_METHODS.items()])
+
+
+def quality_rows(spark: SparkSession, logs: dict[str, DataFrame], methods: tuple[str, ...]) -> DataFrame:
+    """(log, method, n_models, metrics): quality of one mined model for each group, weighted by cases."""
+    rows = []
+    for name, traces in logs.items():
+        v = lg.variants_of(traces).cache()
+        for method in methods:
+            grouped = v.join(gr.PARTITIONS[method](v), "trace_id").select("group_id", T, "n_cases").cache()
+            nets = {r.group_id: model.net_of(model.parse_identifier(r.tree)) for r in miner.mine_groups(grouped).collect()}
+            rows.append(quality.weighted_model_quality(grouped, nets).select(F.lit(name).alias("log"), F.lit(method).alias("method"), F.lit(len(nets)).alias("n_models"), "*"))
+    return union_all(rows)
+
+
+@query
+def synth_quality(spark, sf_dir):
+    return quality_rows(spark, {"running_example": sy.running_example(spark), "hidden_context": sy.hidden_context(spark, 30)}, ("global", "kappa", "classical_variants"))
+
+
+@query
+def synth_attribute_clustering(spark, sf_dir):
+    return attribute_rows(spark, "hidden_context", 3)
+
+
+@query
+def kmeans_by_silhouette(spark, sf_dir):
+    """Groups of a generated log whose number the silhouette finds."""
+    traces = sy.hidden_context(spark, 60)
+    v = lg.variants_of(traces)
+    return recovery_row(traces, cl.cluster(v, "enabled"), "hidden_context", "enabled_kmeans")
+
+
 @query
 def kmeans_cf(spark, sf_dir):
     return cl.cluster(lg.variants_of(derived_traces(spark, sf_dir)), "cf", 4)
