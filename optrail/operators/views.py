@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -22,12 +23,13 @@ def with_kappa(variants: DataFrame, decomposition: str = "leftmost") -> DataFram
 def induce_views(variants: DataFrame, decomposition: str = "leftmost") -> DataFrame:
     """(label, kappa, n_cases, n_traces, n_variants, coverage): views by falling number of cases, then first appearance.
 
-    The grouping by identifier is a barrier: nothing filters on the fold below it. Views are numbered without bringing
+    The grouping by identifier is a barrier: its rows, one for each view, are persisted (to memory, else disk), so that the fold
+    below it runs once. Views are numbered without bringing
     them into one task: their counts by size and range of first appearance are, and a view's number is what stands before its
     range plus its place there.
     """
     keyed = with_kappa(variants, decomposition).select("kappa", "n_cases", "first_ord", ab.variant_text(F.col("trace")).alias("variant"))
-    views = keyed.groupBy("kappa").agg(F.sum("n_cases").alias("n_cases"), F.count(F.lit(1)).alias("n_traces"), F.count_distinct("variant").alias("n_variants"), F.min("first_ord").alias("first_ord"))
+    views = keyed.groupBy("kappa").agg(F.sum("n_cases").alias("n_cases"), F.count(F.lit(1)).alias("n_traces"), F.count_distinct("variant").alias("n_variants"), F.min("first_ord").alias("first_ord")).persist(StorageLevel.MEMORY_AND_DISK)
     if isinstance(views.schema["first_ord"].dataType, NumericType):
         ends = views.agg(F.min("first_ord").cast("double").alias("low"), F.max("first_ord").cast("double").alias("high"))
         part = F.floor((F.col("first_ord").cast("double") - F.col("low")) / (F.col("high") - F.col("low") + 1) * SLICES).cast("int")
