@@ -1,4 +1,4 @@
-"""python -m optrail LOG OUT [--enabled NAME] [--separator SEP]: views of a CSV or XES log, with an XES file set for each."""
+"""python -m optrail LOG OUT [--enabled NAME] [--case NAME] [--activity NAME] [--timestamp NAME] [--separator SEP]: views of a CSV or XES log, with an XES file set for each."""
 
 from __future__ import annotations
 
@@ -17,12 +17,15 @@ def main() -> None:
     p.add_argument("log")
     p.add_argument("out")
     p.add_argument("--enabled")
+    p.add_argument("--case", default=logs.CASE, help="column of a CSV log that names the case")
+    p.add_argument("--activity", default=logs.ACTIVITY)
+    p.add_argument("--timestamp", default=logs.TIME)
     p.add_argument("--separator", default=",")
     p.add_argument("--top", type=int, default=20, help="views to export as logs of their own")
     a = p.parse_args()
     spark = SparkSession.builder.appName("optrail").getOrCreate()
     csv = a.log.lower().endswith(".csv")
-    events = logs.load_csv(spark, a.log, a.enabled, a.separator) if csv else logs.load_xes(spark, a.log, a.enabled or "enabled_activities", a.separator)
+    events = logs.load_csv(spark, a.log, a.enabled, a.separator, a.case, a.activity, a.timestamp) if csv else logs.load_xes(spark, a.log, a.enabled or "enabled_activities", a.separator)
     traces = lg.traces_of(events).cache()
     variants = lg.variants_of(traces, with_ids=True).cache()
     views = vw.induce_views(variants).cache()

@@ -98,3 +98,25 @@ def weighted_mean(rows: DataFrame, keys: list[str], value: str, weight: str) ->
 def two_stage_mean(rows: DataFrame, outer: list[str], inner: list[str], value: str) -> DataFrame:
     """Mean over ``outer`` of the means over ``inner``."""
     return rows.groupBy(*outer, *inner).agg(F.avg(value).alias("_m")).groupBy(*outer).agg(F.round(F.avg("_m"), 6).alias(value))
+
+
+def spread(rows: DataFrame, keys: list[str], value: str, along: str) -> DataFrame:
+    """(keys, mean, std, max_deviation, slope): how a value varies over runs, and how it changes along a number such as a seed or a size."""
+    mean = rows.groupBy(*keys).agg(F.avg(value).alias("mean"))
+    joined = rows.join(mean, keys) if keys else rows.crossJoin(mean)
+    return joined.groupBy(*keys).agg(
+        F.round(F.first("mean"), 6).alias("mean"),
+        F.round(F.coalesce(F.stddev_pop(value), F.lit(0.0)), 6).alias("std"),
+        F.round(F.max(F.abs(F.col(value) - F.col("mean"))), 6).alias("max_deviation"),
+        F.round(F.coalesce(F.regr_slope(value, along), F.lit(0.0)), 6).alias("slope"),
+    )
+
+
+def combined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Two summaries side by side; keys that only one of them has stay, with nulls in the other's columns."""
+    return left.join(right, keys, "full_outer")
+
+
+def pivoted(rows: DataFrame, keys: list[str], column: str, values: list[str], value: str) -> DataFrame:
+    """Means of a value with one column for each of the given ``values``."""
+    return rows.groupBy(*keys).agg(*(F.round(F.avg(F.when(F.col(column) == v, F.col(value))), 6).alias(v) for v in values))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .enrich import Replayer, Unbounded
+from .metrics import harmonic
 from .model import PetriNet
 
 #: States that the search for one alignment may expand; beyond, the trace counts by token replay instead.
@@ -132,11 +133,6 @@ def simplicity(net: PetriNet) -> float:
 METRICS = ("fitness", "precision", "generalization", "translucent_fitness", "translucent_precision", "simplicity", "f1", "replayed_share")
 
 
-def f1_of(fitness: str = "fitness", precision: str = "precision") -> Column:
-    a, b = F.col(fitness), F.col(precision)
-    return F.when((a <= 0) | (b <= 0), 0.0).otherwise(2 * a * b / (a + b))
-
-
 def qualities(rows: DataFrame, nets: dict[str, dict[str, PetriNet]]) -> DataFrame:
     """(scope, model, n_cases, METRICS) of (scope, trace, n_cases): each scope's traces under each of its models.
 
@@ -190,7 +186,7 @@ def qualities(rows: DataFrame, nets: dict[str, dict[str, PetriNet]]) -> DataFram
     went_by = F.col("n_aligned") + F.col("n_replayed")
     fitness = F.when(F.col("n_replayed") == 0, F.col("aligned")).when(F.col("n_aligned") == 0, F.col("replayed")).otherwise((F.col("aligned") * F.col("n_aligned") + F.col("replayed") * F.col("n_replayed")) / went_by)
     most = F.greatest("n_transitions", F.lit(1))
-    one = one.withColumn("fitness", fitness).withColumn("generalization", 1 - (F.coalesce("spread", F.lit(0.0)) + F.col("n_transitions") - F.coalesce("used", F.lit(0))) / most).withColumn("f1", f1_of()).withColumn("replayed_share", F.col("n_replayed") / went_by)
+    one = one.withColumn("fitness", fitness).withColumn("generalization", 1 - (F.coalesce("spread", F.lit(0.0)) + F.col("n_transitions") - F.coalesce("used", F.lit(0))) / most).withColumn("f1", harmonic(F.col("fitness"), F.col("precision"))).withColumn("replayed_share", F.col("n_replayed") / went_by)
     return one.select(*by, "n_cases", *(F.round(c, 6).alias(c) for c in METRICS))
 
 
@@ -233,4 +229,4 @@ def weighted_model_quality(grouped: DataFrame, nets: dict[str, PetriNet]) -> Dat
     total = grouped.agg(F.sum("n_cases").alias("total"))
     rows = qualities(grouped.select(F.col("group_id").alias("scope"), "trace", "n_cases"), {g: {"own": net} for g, net in nets.items()})
     mean = rows.crossJoin(F.broadcast(total)).agg(*(F.round(weighted(c, F.first("total")), 6).alias(c) for c in METRICS if c != "f1"))
-    return mean.withColumn("f1", F.round(f1_of(), 6)).select(*METRICS)
+    return mean.withColumn("f1", F.round(harmonic(F.col("fitness"), F.col("precision")), 6)).select(*METRICS)

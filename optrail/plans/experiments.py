@@ -17,6 +17,7 @@ from ..operators import grouping as gr
 from ..operators import log as lg
 from ..operators import metrics as mt
 from ..operators import miner, model, quality
+from ..operators import relations as rel
 from ..operators import views as vw
 from ..sources import synth as sy
 from ..sources.logs import derived_traces
@@ -173,6 +174,53 @@ def synth_attribute_clustering(spark, sf_dir):
     return attribute_rows(spark, "hidden_context", 3)
 
 
+def semi_real(traces: DataFrame) -> DataFrame:
+    """A plain log split by a recorded label: how far its groups overlap, and what views are worth once enabled sets come from one
+    mined model for each group; the control takes the sets from one model of the whole log.
+
+    (method, overlap, retention, n_views, ari): overlap is the share of cases whose sequence lies in several groups.
+    """
+    plain = traces.select(F.col("label").alias("group_id"), F.transform(T, lambda e: F.struct(e["a"].alias("a"), F.array(e["a"]).alias("en"))).alias(T))
+    counted = plain.groupBy("group_id", T).agg(F.count(F.lit(1)).alias("n_cases")).cache()
+    overlap = rel.variant_overlap(counted)
+    nets = {r.group_id: model.net_of(model.parse_identifier(r.tree)) for r in miner.mine_groups(counted, "im").collect()}
+    whole = miner.discover_net(counted.groupBy(T).agg(F.sum("n_cases").alias("n_cases")), "im")
+    sequences, rows = counted.select("group_id", ab.executed(T).alias("acts"), "n_cases"), []
+    for method, used in (("per_group", nets), ("global_model", dict.fromkeys(nets, whole))):
+        found = en.split_and_enrich(sequences, used).cache()
+        cells = mt.contingency(found.select(F.col("group_id").alias("t"), ab.kappa(T).alias("p"), F.col("n_cases").alias("n")))
+        kept = en.enrichment_report(sequences, found, method).select("retention")
+        views = cells.agg(F.count_distinct("p").alias("n_views"))
+        rows.append(overlap.crossJoin(kept).crossJoin(views).crossJoin(mt.adjusted_rand_index(cells)).select(F.lit(method).alias("method"), "*"))
+    return union_all(rows)
+
+
+@query
+def semi_real_run(spark, sf_dir):
+    return semi_real(sy.hidden_context(spark, 60))
+
+
+@query
+def semi_real_guard(spark, sf_dir):
+    """How alike the footprints of a generated log's groups are."""
+    traces = sy.hidden_context(spark, 60)
+    return rel.footprint_jaccard(rel.footprints(traces.select(F.col("label").alias("group_id"), T)))
+
+
+@query
+def size_sweep(spark, sf_dir):
+    """Agreement of views and of the best clustering as the log grows, over sizes: mean, deviation and slope."""
+    rows = []
+    for size in (10, 20, 40):
+        traces = sy.hidden_context(spark, size).cache()
+        v = lg.variants_of(traces).cache()
+        own = recovery_row(traces, gr.group_kappa(v), "hidden_context", "kappa")
+        best = union_all([recovery_row(traces, cl.cluster(v, f, 3), "hidden_context", "best_clustering") for f in ("cf", "enabled")])
+        best = best.orderBy(F.desc("ari")).limit(1)
+        rows += [own.select("method", "ari", F.lit(size).alias("size")), best.select("method", "ari", F.lit(size).alias("size"))]
+    return mt.spread(union_all(rows), ["method"], "ari", "size")
+
+
 @query
 def kmeans_by_silhouette(spark, sf_dir):
     """Groups of a generated log whose number the silhouette finds."""

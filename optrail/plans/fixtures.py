@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from ..functions import abstraction as ab
 from ..operators import clustering as cl
 from ..operators import enrich as en
+from ..operators import grouping as gr
 from ..operators import log as lg
 from ..operators import metrics as mt
 from ..operators import miner, quality
 from ..operators import views as vw
 from ..operators.model import PetriNet
 from ..sources import synth as sy
-from ..sources.logs import derived_traces
-from .oracles import ORACLES, over_views
+from ..sources.logs import derived_traces, load_classical, sequences_of
+from .oracles import ORACLES, over_log, over_views
 from .registry import query, user_label
 
 T = "trace"
@@ -115,6 +116,61 @@ def quality_of_known_nets(spark, sf_dir):
     return found.select("scope", "n_cases", "fitness", "precision", "generalization", "simplicity", "replayed_share")
 
 
+@query
+def agreement_over_seeds(spark, sf_dir):
+    """Views agree with the hidden labels whatever the seed."""
+    out = None
+    for seed in range(3):
+        cells = mt.contingency(sy.service_desk(spark, 40, seed).select(F.col("label").alias("t"), ab.kappa(F.col(T)).alias("p")))
+        one = mt.adjusted_rand_index(cells).select(F.lit("kappa").alias("method"), "ari", F.lit(seed).alias("seed"))
+        out = one if out is None else out.union(one)
+    return mt.spread(out, ["method"], "ari", "seed")
+
+
+def _shipments(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return load_classical(items, "l_returnflag", ["A", "R"], "l_orderkey", "l_linestatus", "l_shipdate")
+
+
+@query
+def classical_cases(spark, sf_dir):
+    """Orders as cases of a plain log, those of two groups kept."""
+    return _shipments(spark, sf_dir).select("case_id", "value", F.array_join("acts", " -> ").alias("variant"))
+
+
+@query
+def classical_sequences(spark, sf_dir):
+    return sequences_of(_shipments(spark, sf_dir)).select(F.array_join("acts", " -> ").alias("variant"), "n_cases", F.element_at("case_ids", 1).alias("first_case"))
+
+
+@query
+def case_groups(spark, sf_dir):
+    """The group of every case, from a grouping of distinct traces."""
+    v = lg.variants_of(derived_traces(spark, sf_dir), with_ids=True)
+    return gr.case_labels(gr.group_kappa_acts(v), v)
+
+
+@query
+def group_sublog_sizes(spark, sf_dir):
+    v = lg.variants_of(derived_traces(spark, sf_dir))
+    return gr.group_sublogs(gr.group_kappa_acts(v), v).groupBy("group_id").agg(F.sum("n_cases").alias("n_cases"), F.sum(F.size(T) * F.col("n_cases")).alias("n_events"))
+
+
+@query
+def view_sublog_sizes(spark, sf_dir):
+    v = vw.with_kappa(lg.variants_of(derived_traces(spark, sf_dir)))
+    return vw.view_sublogs(vw.assign_views(v, vw.induce_views(v))).groupBy("label").agg(F.sum("n_cases").alias("n_cases"), F.sum(F.size(T) * F.col("n_cases")).alias("n_events"))
+
+
+@query
+def pivot_and_combine(spark, sf_dir):
+    """Two summaries of orders side by side, one of them with a column for each status."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderpriority", "o_orderstatus", F.col("o_totalprice").cast("double").alias("price"))
+    wide = mt.pivoted(o, ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"], "price")
+    counts = o.where("o_orderstatus = 'P'").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_open"))
+    return mt.combined(wide, counts, ["o_orderpriority"])
+
+
 @query
 def worked_example_views(spark, sf_dir):
     """The views of the worked example."""
@@ -157,6 +213,19 @@ WITH runs AS (SELECT * FROM (VALUES {_rows("'same', 4, 0, 12, 12, 2 / sqrt(4) +
 SELECT scope, n_cases::BIGINT AS n_cases, round(1 - cost / 6.0, 6)::DOUBLE AS fitness, round(went / allowed, 6)::DOUBLE AS precision, round(1 - (spread + 4 - used) / 4, 6)::DOUBLE AS generalization,
   round(1 / (1 + greatest(16.0 / 8 - 2, 0)), 6)::DOUBLE AS simplicity, 0.0::DOUBLE AS replayed_share FROM runs"""
 
+ORACLES["agreement_over_seeds"] = "SELECT 'kappa' AS method, 1.0::DOUBLE AS mean, 0.0::DOUBLE AS std, 0.0::DOUBLE AS max_deviation, 0.0::DOUBLE AS slope"
+
+_CASES = """WITH e AS (SELECT l_orderkey::VARCHAR AS case_id, l_shipdate AS ts, l_linestatus AS a, l_returnflag AS v FROM lineitem WHERE l_shipdate IS NOT NULL AND l_orderkey IS NOT NULL),
+c AS (SELECT case_id, string_agg(a, ' -> ' ORDER BY ts, a, v) AS variant, arg_min(v, {'t': ts, 'a': a, 'v': v}) AS value FROM e GROUP BY case_id HAVING value IN ('A', 'R'))"""
+ORACLES["classical_cases"] = f"{_CASES} SELECT case_id, value, variant FROM c"
+ORACLES["classical_sequences"] = f"{_CASES} SELECT variant, count(*)::BIGINT AS n_cases, min(case_id) AS first_case FROM c GROUP BY variant"
+_GROUPS = "ka AS (SELECT trace, array_to_string(list_sort(list_distinct(flatten(list(c)))), '|') AS group_id FROM rep GROUP BY trace)"
+ORACLES["case_groups"] = over_log(_GROUPS, "SELECT case_id, group_id FROM tr JOIN ka ON ka.trace = tr.trace")
+ORACLES["group_sublog_sizes"] = over_log(_GROUPS, "SELECT group_id, sum(n_cases)::BIGINT AS n_cases, sum(n_cases * len)::BIGINT AS n_events FROM va JOIN ka ON ka.trace = va.trace GROUP BY group_id")
+ORACLES["view_sublog_sizes"] = over_views("SELECT label, sum(vk.n_cases)::BIGINT AS n_cases, sum(vk.n_cases * vk.len)::BIGINT AS n_events FROM vk JOIN vw ON vw.kappa = vk.kappa GROUP BY label")
+ORACLES["pivot_and_combine"] = """SELECT o_orderpriority, round(avg(o_totalprice::DOUBLE) FILTER (o_orderstatus = 'F'), 6) AS "F", round(avg(o_totalprice::DOUBLE) FILTER (o_orderstatus = 'O'), 6) AS "O",
+  round(avg(o_totalprice::DOUBLE) FILTER (o_orderstatus = 'P'), 6) AS "P", nullif(count(*) FILTER (o_orderstatus = 'P'), 0)::BIGINT AS n_open FROM orders GROUP BY o_orderpriority"""
+
 _CURVE = """SELECT '{name}' AS key, {share}::DOUBLE AS share, round(coalesce(sum(n_cases) FILTER (k IN (SELECT k FROM drawn WHERE draw < {share})), 0) / sum(n_cases), 6)::DOUBLE AS coverage FROM drawn WHERE draw >= {share}"""
 
 

@@ -53,7 +53,8 @@ def _log(body: str) -> str:
     return f"WITH {EV.rstrip().rstrip(',')} {body}"
 
 
-def _more(ctes: str, body: str) -> str:
+def over_log(ctes: str, body: str) -> str:
+    """A query over the derived log (tr, va, rep, st) and further common tables."""
     return f"WITH {EV} {ctes} {body}"
 
 
@@ -105,7 +106,7 @@ ORACLES: dict[str, str] = {
     "executed_projection": _log("SELECT case_id, variant FROM tr"),
     "executed_activities": _log("SELECT DISTINCT a FROM ev"),
     "sublog_top_views": over_views("SELECT trace, vk.n_cases FROM vk JOIN vw ON vw.kappa = vk.kappa WHERE label IN ('C1', 'C2', 'C3')"),
-    "project_log": _more(
+    "project_log": over_log(
         "pe AS (SELECT case_id, pos, a, list_filter(en, lambda x: x IN ('click', 'purchase', 'view')) AS en FROM ev WHERE a IN ('click', 'purchase', 'view')), pt AS (SELECT tr.ord, coalesce(string_agg(pe.a || '{' || array_to_string(pe.en, ',') || '}', ' ' ORDER BY pe.pos), '') AS trace FROM tr LEFT JOIN pe ON pe.case_id = tr.case_id GROUP BY tr.ord)",
         "SELECT trace, count(*)::BIGINT AS n_cases, min(ord)::BIGINT AS first_ord FROM pt GROUP BY trace",
     ),
@@ -128,33 +129,33 @@ ORACLES: dict[str, str] = {
     "enabled_heatmap": _log("SELECT a, pos, sum(n_cases)::BIGINT AS n_cases FROM (SELECT pos, n_cases, unnest(en) AS a FROM rep) WHERE a IN (SELECT a FROM ev) GROUP BY ALL"),
     "kappa_multiset": _log("SELECT key, sum(n_cases)::BIGINT AS n_cases FROM (SELECT trace, any_value(n_cases) AS n_cases, string_agg(array_to_string(c, '+'), '|' ORDER BY array_to_string(c, '+')) AS key FROM rep GROUP BY trace) GROUP BY key"),
     "kappa_set": _log("SELECT key, sum(n_cases)::BIGINT AS n_cases FROM (SELECT trace, any_value(n_cases) AS n_cases, array_to_string(list_sort(list(DISTINCT array_to_string(c, '+'))), '|') AS key FROM rep GROUP BY trace) GROUP BY key"),
-    "kappa_acts": _more(_ACTS, "SELECT acts AS key, sum(n_cases)::BIGINT AS n_cases FROM ka JOIN va ON va.trace = ka.trace GROUP BY acts"),
-    "start_acts": _more(_UNI, "SELECT a, w FROM sa"),
-    "end_acts": _more(_UNI, "SELECT a, w FROM ea"),
-    "end_acts_strict": _more(_UNI, "SELECT a, w FROM ea WHERE a IN (SELECT a FROM us WHERE pos = len)"),
-    "df_freq": _more(_UNI, "SELECT x, a, w FROM dfw"),
-    "choice_freq": _more(_UNI, "SELECT x, a, w FROM cow"),
-    "parallel_freq": _more(_UNI, "SELECT x, a, w FROM paw"),
-    "classical_dfg": _more(_UNI, "SELECT kind, src, dst, w FROM cd"),
-    "translucent_dfg": _more(_UNI, "SELECT 'edge' AS kind, x AS src, a AS dst, count(*)::BIGINT AS w FROM (SELECT x, a FROM dfw UNION ALL SELECT x, a FROM paw) GROUP BY ALL UNION ALL SELECT 'start', '', a, 1 FROM sa UNION ALL SELECT 'end', a, '', 1 FROM ea"),
-    "frequent_tdfg": _more(_UNI, "SELECT 'edge' AS kind, x AS src, a AS dst, w FROM (SELECT x, a, sum(w)::BIGINT AS w, max(m) AS m FROM (SELECT x, a, w, 1 AS m FROM dfw UNION ALL SELECT x, a, w, 1 FROM paw UNION ALL SELECT x, a, -w, 0 FROM cow) GROUP BY ALL) WHERE m = 1 AND w > 0 UNION ALL SELECT 'start', '', a, w FROM sa UNION ALL SELECT 'end', a, '', w FROM ea"),
-    "filter_infrequent": _more(
+    "kappa_acts": over_log(_ACTS, "SELECT acts AS key, sum(n_cases)::BIGINT AS n_cases FROM ka JOIN va ON va.trace = ka.trace GROUP BY acts"),
+    "start_acts": over_log(_UNI, "SELECT a, w FROM sa"),
+    "end_acts": over_log(_UNI, "SELECT a, w FROM ea"),
+    "end_acts_strict": over_log(_UNI, "SELECT a, w FROM ea WHERE a IN (SELECT a FROM us WHERE pos = len)"),
+    "df_freq": over_log(_UNI, "SELECT x, a, w FROM dfw"),
+    "choice_freq": over_log(_UNI, "SELECT x, a, w FROM cow"),
+    "parallel_freq": over_log(_UNI, "SELECT x, a, w FROM paw"),
+    "classical_dfg": over_log(_UNI, "SELECT kind, src, dst, w FROM cd"),
+    "translucent_dfg": over_log(_UNI, "SELECT 'edge' AS kind, x AS src, a AS dst, count(*)::BIGINT AS w FROM (SELECT x, a FROM dfw UNION ALL SELECT x, a FROM paw) GROUP BY ALL UNION ALL SELECT 'start', '', a, 1 FROM sa UNION ALL SELECT 'end', a, '', 1 FROM ea"),
+    "frequent_tdfg": over_log(_UNI, "SELECT 'edge' AS kind, x AS src, a AS dst, w FROM (SELECT x, a, sum(w)::BIGINT AS w, max(m) AS m FROM (SELECT x, a, w, 1 AS m FROM dfw UNION ALL SELECT x, a, w, 1 FROM paw UNION ALL SELECT x, a, -w, 0 FROM cow) GROUP BY ALL) WHERE m = 1 AND w > 0 UNION ALL SELECT 'start', '', a, w FROM sa UNION ALL SELECT 'end', a, '', w FROM ea"),
+    "filter_infrequent": over_log(
         _UNI + ", ed AS (SELECT *, w >= 0.8 * max(w) OVER (PARTITION BY src) AS keep FROM cd WHERE kind = 'edge'), ed2 AS (SELECT *, bool_or(keep) OVER (PARTITION BY dst) AS fed, row_number() OVER (PARTITION BY dst ORDER BY w DESC, src) AS r FROM ed)",
         "SELECT kind, src, dst, w FROM ed2 WHERE keep OR (NOT fed AND r = 1) UNION ALL SELECT kind, src, dst, w FROM (SELECT *, max(w) OVER (PARTITION BY kind) AS m FROM cd WHERE kind <> 'edge') WHERE w >= 0.8 * m",
     ),
-    "project_dfg": _more(_UNI, "SELECT kind, src, dst, w FROM cd WHERE src IN ('click', 'view', '') AND dst IN ('click', 'view', '')"),
-    "footprint_jaccard": _more(
+    "project_dfg": over_log(_UNI, "SELECT kind, src, dst, w FROM cd WHERE src IN ('click', 'view', '') AND dst IN ('click', 'view', '')"),
+    "footprint_jaccard": over_log(
         f"fp AS (SELECT DISTINCT {_LABEL} || '-' || substr(split_part(case_id, '-', 2), 8, 1) AS g, a AS src, next_a AS dst FROM st WHERE pos < len), fs AS (SELECT g, count(*) AS n FROM fp GROUP BY g), sh AS (SELECT x.g, y.g AS h, count(*) AS n FROM fp x JOIN fp y ON x.src = y.src AND x.dst = y.dst AND x.g < y.g GROUP BY ALL)",
         "SELECT x.g, y.g AS h, round(coalesce(sh.n, 0) / greatest(1, x.n + y.n - coalesce(sh.n, 0)), 6) AS jaccard FROM fs x JOIN fs y ON x.g < y.g LEFT JOIN sh ON sh.g = x.g AND sh.h = y.g",
     ),
     "variant_overlap": _log(f"SELECT round(sum(n) FILTER (g > 1) / sum(n), 6)::DOUBLE AS overlap FROM (SELECT variant, count(*) AS n, count(DISTINCT {_LABEL}) AS g FROM tr GROUP BY variant)"),
     "group_supported": over_views("SELECT vk.trace, CASE WHEN vk.kappa IN (SELECT kappa FROM kept) THEN vk.kappa ELSE coalesce(best.kappa, (SELECT min(kappa) FROM kept)) END AS group_id FROM vk LEFT JOIN best ON best.trace = vk.trace").replace("AS coverage FROM vw0)\n", "AS coverage FROM vw0)," + _PROFILE),
-    "group_supported_solo": _more(_ACTS, "SELECT acts AS group_id, count(*)::BIGINT AS n_traces FROM ka GROUP BY acts"),
+    "group_supported_solo": over_log(_ACTS, "SELECT acts AS group_id, count(*)::BIGINT AS n_traces FROM ka GROUP BY acts"),
     "group_sizes": over_views("SELECT 'global' AS method, 1::BIGINT AS n_groups UNION ALL SELECT 'kappa', count(DISTINCT kappa)::BIGINT FROM vk UNION ALL SELECT 'kappa_acts', count(DISTINCT acts)::BIGINT FROM ka UNION ALL SELECT 'classical_variants', count(DISTINCT variant)::BIGINT FROM va UNION ALL SELECT 'translucent_variants', count(*)::BIGINT FROM va").replace("AS coverage FROM vw0)\n", f"AS coverage FROM vw0), {_ACTS}\n"),
     "ari": over_views("SELECT CASE WHEN (sa + sb) / 2 = sa * sb / sn THEN 1.0 ELSE round((si - sa * sb / sn) / ((sa + sb) / 2 - sa * sb / sn), 6) END::DOUBLE AS ari FROM (SELECT sum(n * (n - 1) / 2) AS si, sum(n) * (sum(n) - 1) / 2 AS sn FROM cl), (SELECT sum(n * (n - 1) / 2) AS sa FROM (SELECT t, sum(n) AS n FROM cl GROUP BY t)), (SELECT sum(n * (n - 1) / 2) AS sb FROM (SELECT p, sum(n) AS n FROM cl GROUP BY p))").replace("AS coverage FROM vw0)\n", f"AS coverage FROM vw0), {_CELLS}\n"),
     "label_accuracy": over_views("SELECT round(sum(m) / sum(n), 6) AS accuracy FROM (SELECT p, max(n) AS m, sum(n) AS n FROM cl GROUP BY p)").replace("AS coverage FROM vw0)\n", f"AS coverage FROM vw0), {_CELLS}\n"),
     "nmi_vmeasure": over_views("SELECT round(2 * mi / (h_t + h_p), 6) AS nmi, round(mi / h_t, 6) AS homogeneity, round(mi / h_p, 6) AS completeness, round(2 * (mi / h_t) * (mi / h_p) / (mi / h_t + mi / h_p), 6) AS v_measure, (SELECT round(sum(m) / sum(n), 6) FROM (SELECT p, max(n) AS m, sum(n) AS n FROM cl GROUP BY p)) AS purity FROM mi").replace("AS coverage FROM vw0)\n", f"AS coverage FROM vw0), {_CELLS}, {_ENTROPY.format(c='cl')}\n"),
-    "incoherence": _more(
+    "incoherence": over_log(
         _ACTS + ", sg AS (SELECT acts, variant, count(*) AS sigs, sum(n_cases)::DOUBLE AS n, log2(sum(n_cases)) - sum(n_cases * log2(n_cases)) / sum(n_cases) AS h FROM ka JOIN va ON va.trace = ka.trace GROUP BY ALL)",
         "SELECT round(avg(sigs), 6) AS mean_signatures, max(sigs)::BIGINT AS max_signatures, round(sum(h * n) / sum(n), 6) AS entropy FROM sg",
     ),
@@ -169,13 +170,13 @@ UNION ALL SELECT 'o_totalprice', nmi FROM (WITH {_ENTROPY.format(c='c2')} SELECT
     "two_stage_mean": "SELECT o_orderpriority, round(avg(m), 6) AS price FROM (SELECT o_orderpriority, o_orderstatus, avg(o_totalprice::DOUBLE) AS m FROM orders GROUP BY ALL) GROUP BY 1",
     "weighted_mean": "SELECT l_returnflag, round(sum(l_discount::DOUBLE * l_quantity::DOUBLE) / sum(l_quantity::DOUBLE), 6) AS discount FROM lineitem GROUP BY 1",
     "models_to_cov_running": over_views("SELECT row_number() OVER o AS rank, kappa AS group_id, n_cases, sum(good) OVER (o ROWS UNBOUNDED PRECEDING)::BIGINT AS covered, sum(good) OVER (o ROWS UNBOUNDED PRECEDING) - good <= 0.9 * sum(n_cases) OVER () AS needed FROM (SELECT *, CASE WHEN length(kappa) % 5 = 0 THEN 0 ELSE n_cases END AS good FROM vw) WINDOW o AS (ORDER BY n_cases DESC, kappa)"),
-    "view_confusion": _more(_ACTS, f"SELECT {_LABEL} AS role, acts AS view, count(*)::BIGINT AS n_cases FROM tr JOIN ka ON ka.trace = tr.trace GROUP BY ALL"),
+    "view_confusion": over_log(_ACTS, f"SELECT {_LABEL} AS role, acts AS view, count(*)::BIGINT AS n_cases FROM tr JOIN ka ON ka.trace = tr.trace GROUP BY ALL"),
     "view_lengths": over_views(f"SELECT {_LABEL} AS group_id, len::INT AS length, count(DISTINCT kappa)::BIGINT AS n_views FROM tr JOIN kap ON kap.trace = tr.trace GROUP BY ALL"),
-    "cf_features": _more(
+    "cf_features": over_log(
         "tk AS (SELECT trace, 'a:' || a AS token, count(*)::DOUBLE / any_value(len) AS value FROM rep GROUP BY ALL UNION ALL SELECT trace, 'df:' || a || '>' || next_a, count(*)::DOUBLE / any_value(len) FROM rep WHERE next_a IS NOT NULL GROUP BY ALL UNION ALL SELECT trace, 'len', len::DOUBLE FROM va)",
         "SELECT token, round(sum(value), 5) AS total, count(*)::BIGINT AS n_traces FROM tk GROUP BY token",
     ).replace("GROUP BY ALL UNION ALL SELECT trace, 'df:'", "GROUP BY trace, a UNION ALL SELECT trace, 'df:'").replace("WHERE next_a IS NOT NULL GROUP BY ALL", "WHERE next_a IS NOT NULL GROUP BY trace, a, next_a"),
-    "en_features": _more(
+    "en_features": over_log(
         "tk AS (SELECT trace, 'en:' || x AS token, count(*)::DOUBLE / any_value(len) AS value FROM (SELECT trace, len, unnest(en) AS x FROM rep) GROUP BY trace, x UNION ALL SELECT trace, 'sig:' || array_to_string(en, '+'), count(*)::DOUBLE / any_value(len) FROM rep GROUP BY trace, en)",
         "SELECT token, round(sum(value), 5) AS total, count(*)::BIGINT AS n_traces FROM tk GROUP BY token",
     ),

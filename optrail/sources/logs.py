@@ -47,8 +47,13 @@ XES = f"string {_VALUE}, event array<struct<string:{_VALUE},date:{_VALUE}>>"
 
 def read_xes(spark: SparkSession, path: str) -> DataFrame:
     """(case_id, case_ord, attributes, event) per trace of an XES file, also gzipped; the schema is fixed, for
-    inference would make a single attribute a struct. A trace without a name gets its index."""
-    rows = spark.read.format("xml").option("rowTag", "trace").schema(XES).load(path).withColumn("_n", F.monotonically_increasing_id())
+    inference would make a single attribute a struct. A trace without a name gets its index in the log, which is its
+    place in its partition after the traces of the partitions before."""
+    rows = spark.read.format("xml").option("rowTag", "trace").schema(XES).load(path).withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))  # a row for each partition of the input
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(F.broadcast(sizes.select("_part", before.alias("_before"))), F.col("_part") == part).withColumn("_n", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1))
     attributes = F.map_from_entries(F.transform(F.coalesce("string", F.array().cast(_VALUE)), lambda x: F.struct(x["_key"], x["_value"])))
     return rows.select(F.col("_n").alias("case_ord"), attributes.alias("attributes"), F.coalesce("event", F.array().cast(f"array<struct<string:{_VALUE},date:{_VALUE}>>")).alias("event")).withColumn("case_id", F.coalesce(F.try_element_at("attributes", F.lit("concept:name")), F.col("case_ord").cast("string")))
 
@@ -92,9 +97,12 @@ def top_groups(cases: DataFrame, top: int = 4) -> DataFrame:
 
 
 def load_classical(df: DataFrame, attribute: str, keep: list[str], case: str = CASE, activity: str = ACTIVITY, timestamp: str = TIME) -> DataFrame:
-    """(case_id, value, acts) of a plain log: activities by parsed time, the case's first attribute value, kept values only."""
+    """(case_id, value, acts) of a plain log: activities by parsed time, the case's first attribute value, kept values only.
+
+    Events of one time go by activity, then by value."""
     rows = df.select(F.col(f"`{case}`").cast("string").alias("case_id"), F.try_to_timestamp(F.col(f"`{timestamp}`")).alias("ts"), F.col(f"`{activity}`").alias("a"), F.col(f"`{attribute}`").alias("v")).where("ts is not null and case_id is not null")
-    packed = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ts", "a"))).alias("e"), F.min_by("v", F.when(F.col("v").isNotNull(), F.col("ts"))).alias("value"))
+    packed = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ts", "a", "v"))).alias("e"))
+    packed = packed.withColumn("value", F.get(F.filter("e", lambda x: x["v"].isNotNull()), F.lit(0))["v"])
     return packed.where(F.col("value").isin(keep)).select("case_id", "value", F.transform("e", lambda x: x["a"]).alias("acts"))
 
 
