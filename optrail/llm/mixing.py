@@ -64,6 +64,17 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
+class Numbers(dict):
+    """Words numbered as they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 def profile(raw: bytes) -> np.ndarray:
     """Normalised histogram of hashed byte pairs."""
     data = np.frombuffer(raw, np.uint8).astype(np.uint32)
@@ -378,8 +389,8 @@ def index_texts(docs: DataFrame, classes: np.ndarray, coder: Coder, buckets: int
 
         def flush(c: int) -> pa.RecordBatch:
             nonlocal group
-            number: dict[bytes, int] = {}
-            lists = [np.array([number.setdefault(w, len(number)) for w in (*raw.split(), END)], np.int64) for _, _, raw in held[c]]
+            number = Numbers()
+            lists = [number.of([*raw.split(), END]) for _, _, raw in held[c]]
             used = [not h for _, h, _ in held[c]]
             words = list(number)
             training = [x for x, u in zip(lists, used, strict=True) if u]
@@ -426,10 +437,9 @@ def unite_words(facts: DataFrame) -> DataFrame:
     """One row for each bucket: its words, their training counts by class, the classes that ask for them, and sums over them."""
 
     def run(table: pa.Table) -> pa.Table:
-        number: dict[bytes, int] = {}
-        seen = []
+        number, seen = Numbers(), []
         for c, words, counts in zip(table.column("cls"), table.column("words"), table.column("numbers"), strict=True):
-            at = np.array([number.setdefault(w, len(number)) for w in words.as_py().split(b" ")])
+            at = number.of(words.as_py().split(b" "))
             seen.append((c.as_py(), at, np.frombuffer(decompress(counts.as_py()), "<u4")))
         total, asked = np.zeros((len(number), CLASSES), np.int64), np.zeros((len(number), CLASSES), bool)
         for c, at, counts in seen:
@@ -653,11 +663,12 @@ def answer(facts: DataFrame, scores: DataFrame) -> DataFrame:
     """(REPLIES): counts and logarithms of each group's words, looked up bucket by bucket."""
 
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
-        number = {w: i for i, w in enumerate(known.column("words")[0].as_py().split(b" "))}
+        number = Numbers()
+        number.of(known.column("words")[0].as_py().split(b" "))
         counts, logs = np.frombuffer(known.column("counts")[0].as_py(), np.int64), np.frombuffer(known.column("logs")[0].as_py(), "<f4").reshape(-1, CLASSES)
         out = []
         for g, c, words, places in zip(*(asked.column(x) for x in ("g", "cls", "words", "places")), strict=True):
-            at = np.array([number[w] for w in words.as_py().split(b" ")])
+            at = number.of(words.as_py().split(b" "))
             out.append((g.as_py(), places.as_py(), words.as_py(), counts[at].tobytes(), logs[at, c.as_py()].tobytes()))
         return pa.Table.from_batches([batch_of(out, REPLIES)])
 
