@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, connected_components, lean, lean_group, materialize
+from .common import batch_of, connected_components, lean, lean_group, materialize, slices
 from .hashing import mix, shingle_sets
 
 #: Shingles are counted in 2**COUNT_BITS classes by hash: the order by class count puts frequent ones last.
@@ -29,7 +29,7 @@ BLOCK_SETS = 4000
 ROUNDS = 4
 GROUP_BYTES = 8 << 20
 
-FACTS = (("kind", "int"), ("k", "long"), ("n", "int"), ("set_id", "long"), ("check", "long"), ("part", "int"), ("counts", "binary"))
+FACTS = (("kind", "int"), ("k", "long"), ("n", "int"), ("set_id", "long"), ("part", "int"), ("counts", "binary"))
 PACKED = (("bucket", "int"), ("tokens", "binary"), ("sets", "binary"), ("sizes", "binary"), ("places", "binary"))
 RUNS = (("token", "long"), ("set_id", "long"), ("n", "int"), ("place", "int"))
 
@@ -50,21 +50,19 @@ def needed(a, b, percent: int):
 
 
 def facts(docs: DataFrame, width: int) -> DataFrame:
-    """Kind 0: a row for each document with its set's size and digests; kind 1: parts of the count table."""
+    """Kind 0: a row for each document with its set's size and digest; kind 1: parts of the count table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.uint32)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for a in range(0, len(keys), 2000):
-                sets = shingle_sets(batch.column(1).slice(a, 2000).to_pylist(), width)
-                rows = []
-                for k, s in zip(keys[a : a + 2000], sets, strict=True):
-                    rows.append((0, k, len(s), set_id(s), int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5DEECE66D))).view(np.int64)) if len(s) else 0, None, None))
+            for part in slices([batch]):
+                sets, rows = shingle_sets(part.column(1).to_pylist(), width), []
+                for k, s in zip(part.column(0).to_pylist(), sets, strict=True):
+                    rows.append((0, k, len(s), set_id(s), None, None))
                 together = np.concatenate(sets)
                 counts += np.bincount(together >> np.uint64(64 - COUNT_BITS), minlength=len(counts)).astype(np.uint32)
                 yield batch_of(rows, FACTS)
-        yield batch_of([(1, None, None, None, None, i, x.tobytes()) for i, x in enumerate(np.split(counts, PARTS)) if x.any()], FACTS)
+        yield batch_of([(1, None, None, None, i, x.tobytes()) for i, x in enumerate(np.split(counts, PARTS)) if x.any()], FACTS)
 
     return materialize(docs.mapInArrow(lean(run), ", ".join(f"`{n}` {t}" for n, t in FACTS)), "facts")
 
@@ -290,12 +288,12 @@ def join_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
 
     Null and empty texts have no shingles, link with nothing and keep their own key as component; a null
     key takes no part and gets a null component; rows with one key are told apart by their sets, and the
-    component is the smallest key of any row; an empty table gives none. Other columns are ignored.
+    component is the smallest key of any row; an empty table gives none. Other columns are ignored. Sets are known by 64-bit digests.
     """
     spark = docs.sparkSession
     usable = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     seen = facts(usable, width)
-    own = seen.where("kind = 0").select("k", "n", "set_id", "check")
+    own = seen.where("kind = 0").select("k", "n", "set_id")
     classes = spark.sparkContext.broadcast(frequency_classes(seen).tobytes())
     expected = own.select(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     with_key = usable.where("k is not null and t is not null")
