@@ -33,18 +33,18 @@ def enabled_tokens(variants: DataFrame) -> DataFrame:
 def standardised(tokens: DataFrame, traces: DataFrame) -> DataFrame:
     """(trace_id, features): dense z-scores with population deviations, 0 deviation counting as 1.
 
-    Tokens are the vocabulary of a log; they are collected and index the vector.
+    Tokens are the vocabulary of a log, in order; with their means and deviations they are one row, which is broadcast, and one
+    expression over it makes a vector. A token that a trace does not have counts as 0.
     """
-    n = traces.select("trace_id").distinct().count()
-    stats = tokens.groupBy("token").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).orderBy("token").collect()
-    names = [r.token for r in stats]
-    mean = [r.s / n for r in stats]
-    spread = [max(r.q / n - m * m, 0.0) ** 0.5 or 1.0 for r, m in zip(stats, mean, strict=True)]
-    spread = [x if x > 1e-9 else 1.0 for x in spread]
-    cells = tokens.groupBy("trace_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("m"))
-    joined = traces.select("trace_id").distinct().join(cells, "trace_id", "left")
-    value = lambda i: (F.coalesce(F.try_element_at("m", F.lit(names[i])), F.lit(0.0)) - F.lit(mean[i])) / F.lit(spread[i])
-    return joined.select("trace_id", F.array(*(value(i) for i in range(len(names)))).alias("features"))
+    ids = traces.select("trace_id").distinct()
+    count = ids.agg(F.count(F.lit(1)).alias("count"))
+    stats = tokens.groupBy("token").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).crossJoin(F.broadcast(count))
+    mean = F.col("s") / F.col("count")
+    spread = F.sqrt(F.greatest(F.col("q") / F.col("count") - mean * mean, F.lit(0.0)))
+    vocabulary = stats.select("token", mean.alias("mean"), F.when(spread > 1e-9, spread).otherwise(1.0).alias("spread")).agg(F.array_sort(F.collect_list(F.struct("token", "mean", "spread"))).alias("vocabulary"))
+    cells = tokens.groupBy("trace_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("own"))
+    score = lambda x: (F.coalesce(F.try_element_at("own", x["token"]), F.lit(0.0)) - x["mean"]) / x["spread"]
+    return ids.join(cells, "trace_id", "left").crossJoin(F.broadcast(vocabulary)).select("trace_id", F.transform("vocabulary", score).alias("features"))
 
 
 def context_vectors(variants: DataFrame) -> DataFrame:

@@ -171,6 +171,14 @@ def pivot_and_combine(spark, sf_dir):
     return mt.combined(wide, counts, ["o_orderpriority"])
 
 
+@query
+def standardised_features(spark, sf_dir):
+    """Standardised control-flow features: each that varies has mean 0 and mean square 1 over the distinct traces."""
+    v = lg.variants_of(derived_traces(spark, sf_dir))
+    cells = cl.control_flow(v).select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    return cells.agg(F.count(F.lit(1)).alias("n_features"), F.round(F.sum(F.abs("s")), 4).alias("off_mean"), F.round(F.sum("q"), 4).alias("squares"))
+
+
 @query
 def worked_example_views(spark, sf_dir):
     """The views of the worked example."""
@@ -226,6 +234,11 @@ ORACLES["view_sublog_sizes"] = over_views("SELECT label, sum(vk.n_cases)::BIGINT
 ORACLES["pivot_and_combine"] = """SELECT o_orderpriority, round(avg(o_totalprice::DOUBLE) FILTER (o_orderstatus = 'F'), 6) AS "F", round(avg(o_totalprice::DOUBLE) FILTER (o_orderstatus = 'O'), 6) AS "O",
   round(avg(o_totalprice::DOUBLE) FILTER (o_orderstatus = 'P'), 6) AS "P", nullif(count(*) FILTER (o_orderstatus = 'P'), 0)::BIGINT AS n_open FROM orders GROUP BY o_orderpriority"""
 
+ORACLES["standardised_features"] = ORACLES["cf_features"].replace(
+    "SELECT token, round(sum(value), 5) AS total, count(*)::BIGINT AS n_traces FROM tk GROUP BY token",
+    "SELECT count(*)::BIGINT AS n_features, 0.0::DOUBLE AS off_mean, sum(varies * n)::DOUBLE AS squares FROM (SELECT token, n, (sum(value * value) / n - (sum(value) / n) ** 2 > 1e-18)::INT AS varies FROM tk, (SELECT count(*)::DOUBLE AS n FROM va) GROUP BY token, n)",
+)
+
 _CURVE = """SELECT '{name}' AS key, {share}::DOUBLE AS share, round(coalesce(sum(n_cases) FILTER (k IN (SELECT k FROM drawn WHERE draw < {share})), 0) / sum(n_cases), 6)::DOUBLE AS coverage FROM drawn WHERE draw >= {share}"""
 
 
