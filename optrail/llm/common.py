@@ -115,6 +115,17 @@ def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.T
     return whole
 
 
+def lean_pair(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``run``, giving memory back after each pair of groups."""
+
+    def whole(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        give_back()
+        return out
+
+    return whole
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input; sessions that read one also bound their batches."""
     bound_batches(spark)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, bounded_sample, lean, lean_group, materialize
+from .common import batch_of, bounded_sample, give_back, lean, lean_group, lean_pair, materialize
 from .hashing import SpanHash, mix
 
 #: Latent classes of texts; so many training texts give the centres from which a round over all training texts starts.
@@ -282,16 +282,20 @@ class Words:
             tail[:-1] |= np.where(self.length >= back, data[np.maximum(ends - back, 0)], 0).astype(np.uint64) << np.uint64(8 * (back - 1))
         self.two, self.five = mix(tail & np.uint64(0xFFFF)), mix(tail + np.uint64(1 << 41))
 
-    def contexts(self, at: np.ndarray, begins: np.ndarray, cls: int) -> list[np.ndarray]:
-        """Context hashes of the tokens ``at`` (word numbers); ``begins`` says where texts begin."""
+    def before(self, at: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the word before each token of ``at`` and of the one before that; ``begins`` says where texts begin."""
         none = len(self.whole) - 1
-        before = np.concatenate([[none], at[:-1]])
-        before[begins] = none
-        two_before = np.concatenate([[none], before[:-1]])
-        two_before[begins] = none
+        one = np.concatenate([[none], at[:-1]])
+        one[begins] = none
+        two = np.concatenate([[none], one[:-1]])
+        two[begins] = none
+        return one, two
+
+    def contexts(self, one: np.ndarray, two: np.ndarray, cls: int) -> list[np.ndarray]:
+        """Context hashes of tokens after the words ``one``, which stand after the words ``two``."""
         own = np.uint64((cls + 1) << 50)
-        whole = self.whole[before]
-        return [np.full(len(at), mix(np.array([own]))[0]), self.two[before] ^ own, self.five[before], whole, mix(whole + (self.whole[two_before] << np.uint64(1)) + np.uint64(7))]
+        whole = self.whole[one]
+        return [np.full(len(one), mix(np.array([own]))[0]), self.two[one] ^ own, self.five[one], whole, mix(whole + (self.whole[two] << np.uint64(1)) + np.uint64(7))]
 
 
 def head_inputs(tables: np.ndarray, held: list[np.ndarray], rows: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -311,10 +315,10 @@ def head_inputs(tables: np.ndarray, held: list[np.ndarray], rows: np.ndarray, no
 
 def learn_heads(tables: np.ndarray, mixer: Mixer, coder: Coder, words: Words, at: np.ndarray, begins: np.ndarray, cls: int) -> None:
     """Predict the first bytes of the tokens, batch by batch; move the weights; count the batch."""
-    held, first, a = words.contexts(at, begins, cls), words.first[at], 0
+    (one, two), first, a = words.before(at, begins), words.first[at], 0
     while a < len(at):
         b = a + max(1 << 11, min(HEAD_BATCH, mixer.tokens // 4))  # while little is counted, batches are small
-        own, seen = [c[a:b] for c in held], []
+        own, seen = words.contexts(one[a:b], two[a:b], cls), []
         for rows, node, bit in coder.decisions(first[a:b]):
             x, gate, places = head_inputs(tables, own, rows, node)
             mixer.gather(x, gate, bit)
@@ -328,10 +332,10 @@ def learn_heads(tables: np.ndarray, mixer: Mixer, coder: Coder, words: Words, at
 
 def head_logs(ready: np.ndarray, mixer: Mixer, coder: Coder, words: Words, at: np.ndarray, begins: np.ndarray, cls: int) -> np.ndarray:
     """Natural logarithms of the probability of each token's first byte; ``ready`` has the log-odds and the level of every slot."""
-    held, first, out = words.contexts(at, begins, cls), words.first[at], np.zeros(len(at))
+    (one, two), first, out = words.before(at, begins), words.first[at], np.zeros(len(at))
     odds, level = ready
     for a in range(0, len(at), HEAD_BATCH):
-        own, done = [c[a : a + HEAD_BATCH] for c in held], out[a : a + HEAD_BATCH]
+        own, done = words.contexts(one[a : a + HEAD_BATCH], two[a : a + HEAD_BATCH], cls), out[a : a + HEAD_BATCH]
         for rows, node, bit in coder.decisions(first[a : a + HEAD_BATCH]):
             x, gate, whole = np.empty((HEADS + 1, len(rows)), np.float32), np.zeros(len(rows), np.int64), len(rows) == len(done)
             for o in range(HEADS):
@@ -425,9 +429,11 @@ def index_texts(docs: DataFrame, classes: np.ndarray, coder: Coder, buckets: int
                 size[c] += len(raw)
                 if size[c] >= GROUP_BYTES or len(held[c]) >= 1 << 16:
                     yield flush(c)
+                    give_back()
         for c in range(CLASSES):
             if held[c]:
                 yield flush(c)
+                give_back()
         yield batch_of([*((2, None, None, None, None, None, part, None, counts, None) for part, counts in cut_table(0, tables)), (3, None, None, None, None, None, 0, None, mixer.state().tobytes(), None)], FACTS)
 
     return materialize(docs.mapInArrow(lean(run), ddl(FACTS)), "lm-facts")
@@ -656,7 +662,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
         return pa.Table.from_batches([batch_of(out, tuple((n.split()[0], n.split()[1]) for n in names.split(", ")))])
 
     texts = facts.where("kind = 0").select("g", "k", "held", "cls", "size", "numbers")
-    return texts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(lambda a, b: finish(a, b), names)
+    return texts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(lean_pair(finish), names)
 
 
 def answer(facts: DataFrame, scores: DataFrame) -> DataFrame:
@@ -673,4 +679,4 @@ def answer(facts: DataFrame, scores: DataFrame) -> DataFrame:
         return pa.Table.from_batches([batch_of(out, REPLIES)])
 
     asked = facts.where("kind = 1").select("bucket", "g", "cls", "words", "places")
-    return asked.groupBy("bucket").cogroup(scores.groupBy("bucket")).applyInArrow(lambda a, b: run(a, b), ddl(REPLIES))
+    return asked.groupBy("bucket").cogroup(scores.groupBy("bucket")).applyInArrow(lean_pair(run), ddl(REPLIES))

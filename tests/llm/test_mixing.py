@@ -147,7 +147,7 @@ def test_score_by_brute_force(coder):
     learn_heads(tables, mixer, coder, facts, at, begins, 2)
     assert tables[0].sum() == sum(coder.size[facts.first[at]])
     got = head_logs(head_ready(tables), mixer, coder, facts, at[:200], np.array([0, 100]), 2)
-    held_contexts = facts.contexts(at[:200], np.array([0, 100]), 2)
+    held_contexts = facts.contexts(*facts.before(at[:200], np.array([0, 100])), 2)
     for i in range(0, 200, 7):
         byte, want = int(facts.first[at[i]]), 0.0
         for t in range(int(coder.size[byte])):
