@@ -343,3 +343,64 @@ def test_fitness_weighs_in_traces_beyond_the_bound_on_states(spark):
     v = spark.createDataFrame(rows, "trace array<struct<a:string,en:array<string>>>, n_cases long")
     assert quality.align(wide, [("z", frozenset("z"))] * 6, en.Replayer(wide)) is None
     assert quality.model_quality(v, wide).first().fitness == 0.75
+
+
+def test_traces_without_a_name_get_their_index(spark, tmp_path):
+    """One file is read in order; of several, indexes go on from one to the next."""
+    for k in range(4):
+        traces = "".join(f'<trace><event><string key="concept:name" value="a{i % 3}"/><string key="enabled_activities" value="a{i % 3}, b"/></event></trace>\n' for i in range(50 + k))
+        (tmp_path / f"log{k}.xes").write_text(f"<log>\n{traces}</log>")
+    one = logs.load_xes(spark, str(tmp_path / "log3.xes")).orderBy("case_ord").collect()
+    assert [(r.case_id, r.a) for r in one] == [(str(i), f"a{i % 3}") for i in range(53)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        events = logs.load_xes(spark, str(tmp_path))
+        assert events.rdd.getNumPartitions() > 1
+        assert sorted(int(r.case_id) for r in events.collect()) == list(range(206))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_rework_and_quick_logs(spark):
+    traces = sy.helpdesk(spark, 40, rework=True)
+    kappas = traces.select("label", ab.kappa(F.col("trace")).alias("k")).distinct().collect()
+    assert sorted(r.label for r in kappas) == ["agent", "supervisor"]
+    assert ["request_info" in r.k for r in sorted(kappas)] == [True, False]
+    assert set(sy.build_all(spark, quick=True)) == set(sy.QUICK) < set(sy.LOGS)
+
+
+def test_pairs_of_trees_by_their_runs():
+    def runs(t, depth=3):
+        if t.kind == "leaf":
+            return {() if t.label is None else (t.label,)}
+        parts = [runs(c, depth) for c in t.children]
+        if t.kind == "xor":
+            return set().union(*parts)
+        if t.kind == "seq":
+            out = {()}
+            for p in parts:
+                out = {a + b for a in out for b in p}
+            return out
+        if t.kind == "and":
+            out = {()}
+            for p in parts:
+                out = {c for a in out for b in p for c in shuffles(a, b)}
+            return out
+        out = done = parts[0]
+        for _ in range(depth):
+            done = {a + b + c for a in done for b in set().union(*parts[1:]) for c in parts[0]}
+            out = out | done
+        return out
+
+    def shuffles(a, b):
+        if not a or not b:
+            return {a + b}
+        return {(a[0], *r) for r in shuffles(a[1:], b)} | {(b[0], *r) for r in shuffles(a, b[1:])}
+
+    for text in ("seq(a, xor(tau, b), c)", "and(a, seq(b, c), xor(tau, d))", "loop(a, tau)", "loop(seq(a, b), c, tau)", "loop(tau, a, b)", "seq(xor(tau, a), loop(xor(b, tau), c), xor(d, tau))"):
+        tree = model.parse_identifier(text)
+        starts, ends, pairs, empty = model.follows(tree)
+        known = runs(tree)
+        assert starts == {r[0] for r in known if r} and ends == {r[-1] for r in known if r} and empty == (() in known)
+        assert pairs == {p for r in known for p in zip(r, r[1:], strict=False)}
