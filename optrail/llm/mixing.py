@@ -1,7 +1,7 @@
 """Language-model scoring by logistic context mixing: hashed-context bit predictors combined by gated weights.
 
 A text is its words, bytes ended by a space each, and one end token. A byte is coded in binary decisions along a Huffman code
-of all bytes. Every decision is predicted by counted contexts, whose log-odds are mixed by weights that a gate
+of bytes that begin words, or of those that stand behind one. Every decision is predicted by counted contexts, whose log-odds are mixed by weights that a gate
 selects, and refined by a table over the mixed value; weights and table are learned online, batch by batch, over all training tokens.
 
 The first byte of a token is predicted across the border: from the text's class, the last two and five bytes before, the word
@@ -48,6 +48,8 @@ REPEAT = np.array([0.001, 0.1, 0.4])
 CONFIDENCE = np.array([0.5, 1.5, 3.5, 10.0, 100.0])
 LEVELS = len(CONFIDENCE) + 1
 END = b"\n"
+#: Bytes that separate words.
+GAP = np.isin(np.arange(256), [32, *range(9, 14)])
 
 FACTS = (("kind", "int"), ("g", "long"), ("k", "long"), ("held", "boolean"), ("cls", "int"), ("size", "long"), ("bucket", "int"), ("words", "binary"), ("numbers", "binary"), ("places", "binary"))
 VOCABULARY = (("bucket", "int"), ("words", "binary"), ("counts", "binary"), ("asked", "binary"), ("tokens", "long"), ("known", "long"))
@@ -99,27 +101,30 @@ def fit_classes(texts: list[str]) -> np.ndarray:
     return c
 
 
-def refit_classes(texts: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Centres after a round of means over all ``texts`` (t), and how often each byte occurs in them."""
+def refit_classes(texts: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres after a round of means over all ``texts`` (t), and how often each byte begins a word of them and stands behind one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(centres.shape), np.zeros(256)
+        total, seen = np.zeros(centres.shape), np.zeros((2, 256))
         for batch in batches:
             for text in batch.column(0):
                 raw = text.as_py().encode().lower()
                 x = profile(raw)
                 total[int(np.argmax(centres @ x))] += x
-                seen += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-        yield batch_of([(k, row.tobytes()) for k, row in enumerate([*total, seen]) if row.any()], SUMS)
+                data = np.frombuffer(raw, np.uint8)
+                begins = np.append(True, GAP[data[:-1]])[: len(data)]
+                every, first = np.bincount(data, minlength=256), np.bincount(data[begins], minlength=256)
+                seen += np.stack([first, every - first])
+        yield batch_of([(k, row.tobytes()) for k, row in enumerate([*total, *seen]) if row.any()], SUMS)
 
-    out, seen = centres.copy(), np.zeros(256)
+    out, seen = centres.copy(), np.zeros((2, 256))
     for r in summed(texts.mapInArrow(lean(run), SUMS_DDL)):
-        if r.part == CLASSES:
-            seen = np.frombuffer(bytes(r.sums))
+        if r.part >= CLASSES:
+            seen[r.part - CLASSES] = np.frombuffer(bytes(r.sums))
         else:
             mean = np.frombuffer(bytes(r.sums))
             out[r.part] = mean / max(float(np.linalg.norm(mean)), 1e-9)
-    return out, seen
+    return out, *seen
 
 
 def summed(parts: DataFrame) -> list:
@@ -620,12 +625,12 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
         return spark.createDataFrame([], names)
     training = rows.where("not held and t is not null")
     sample = [r.t for r in bounded_sample(training.select("k", "t"), "k", facts_of.n, CLASS_START, "classes").collect()]
-    classes, seen = refit_classes(training.select("t"), fit_classes(sample))
-    seen = seen.copy()
-    seen[[32, 10]] += facts_of.n
-    coder = Coder(seen)
+    classes, begin, follow = refit_classes(training.select("t"), fit_classes(sample))
+    begin[GAP] = 0
+    begin[END[0]], follow[32] = facts_of.n, follow[GAP].sum() + facts_of.n
+    head_coder, coder = Coder(begin), Coder(follow)
     buckets = max(BUCKETS, (facts_of.size or 0) // (16 << 20))
-    facts = index_texts(rows, classes, coder, buckets)
+    facts = index_texts(rows, classes, head_coder, buckets)
     vocabulary = unite_words(facts)
     sums = vocabulary.agg(F.sum("tokens").alias("tokens"), F.sum("known").alias("known")).first()
     tokens, distinct = sums.tokens, sums.known
@@ -653,7 +658,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
         lists = [np.ascontiguousarray(np.frombuffer(decompress(x.as_py()), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64) for x in texts.column("numbers")]
         begins = np.cumsum([0] + [len(x) for x in lists])
         every = np.concatenate(lists)
-        each = head_logs(ready[0], first.value[1], coder, facts_of, every, begins[:-1], cls) + log[every]
+        each = head_logs(ready[0], first.value[1], head_coder, facts_of, every, begins[:-1], cls) + log[every]
         out = []
         for i, (k, h, size) in enumerate(zip(*(texts.column(x) for x in ("k", "held", "size")), strict=True)):
             at = lists[i]
