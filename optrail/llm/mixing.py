@@ -160,7 +160,8 @@ class Coder:
         """(rows, node, bit) level by level: every byte's decisions in coding order."""
         rows, size = np.arange(len(data)), self.size[data]
         for node, bit in zip(self.node, self.bit, strict=True):
-            yield rows, node[data[rows]], bit[data[rows]]
+            own = data if len(rows) == len(data) else data.take(rows)
+            yield rows, node.take(own), bit.take(own)
             rows = rows[size[rows] > 1]
             size = size - 1
             if not len(rows):
@@ -208,7 +209,7 @@ class Mixer:
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         out = np.zeros(len(gate), np.float32)
         for w, v in zip(np.ascontiguousarray(self.weights.T, np.float32), x, strict=True):
-            out += w[gate] * v
+            out += w.take(gate) * v
         return np.clip(out, -11.99, 11.99)
 
     def knots(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +221,7 @@ class Mixer:
         z = self.mixed(x, gate)
         low, part = self.knots(z)
         table, at = self.refined.ravel().astype(np.float32), gate * (self.STEPS + 1) + low
-        return (z + table[at] * (1 - part) + table[at + 1] * part) / 2
+        return (z + table.take(at) * (1 - part) + table.take(at + 1) * part) / 2
 
     def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray | None = None) -> None:
         """Move the weights, then the table, by what these decisions (with weights) would have wanted."""
@@ -234,12 +235,12 @@ class Mixer:
         error, curve = bit - guess, guess * (1 - guess)
         low, part = self.knots(z)
         at, table = gate * (self.STEPS + 1) + low, self.refined.ravel().astype(np.float32)
-        left = bit - 1 / (1 + np.exp(-(table[at] * (1 - part) + table[at + 1] * part)))
+        left = bit - 1 / (1 + np.exp(-(table.take(at) * (1 - part) + table.take(at + 1) * part)))
         if weight is not None:
             error, curve, left = error * weight, curve * weight, left * weight
         order = np.argsort(gate.astype(np.int8 if self.gates < 128 else np.int16), kind="stable")
         cuts = np.searchsorted(gate[order], np.arange(self.gates + 1))
-        v, error, pull = x[:, order], error[order], curve[order]
+        v, error, pull = x.take(order, 1), error.take(order), curve.take(order)
         for g in np.flatnonzero(np.diff(cuts)):
             own = slice(cuts[g], cuts[g + 1])
             self.curve[g] += (v[:, own] * pull[own]) @ v[:, own].T
@@ -308,8 +309,8 @@ def head_inputs(tables: np.ndarray, held: list[np.ndarray], rows: np.ndarray, no
     x, places, whole = np.empty((HEADS + 1, len(rows)), np.float32), [], len(rows) == len(held[0])
     gate = np.zeros(len(rows), np.int64)
     for o in range(HEADS):
-        at = slot(held[o] if whole else held[o][rows], node)
-        n0, n1 = tables[o, 0][at], tables[o, 1][at]
+        at = slot(held[o] if whole else held[o].take(rows), node)
+        n0, n1 = tables[o, 0].take(at), tables[o, 1].take(at)
         x[o] = stretch(n1, n0, 0.4)
         if o >= HEADS - 2:
             gate = gate * LEVELS + level_of(n0 + n1)
@@ -344,10 +345,10 @@ def head_logs(ready: np.ndarray, mixer: Mixer, coder: Coder, words: Words, at: n
         for rows, node, bit in coder.decisions(first[a : a + HEAD_BATCH]):
             x, gate, whole = np.empty((HEADS + 1, len(rows)), np.float32), np.zeros(len(rows), np.int64), len(rows) == len(done)
             for o in range(HEADS):
-                p = slot(own[o] if whole else own[o][rows], node)
-                x[o] = odds[o][p]
+                p = slot(own[o] if whole else own[o].take(rows), node)
+                x[o] = odds[o].take(p)
                 if o >= HEADS - 2:
-                    gate = gate * LEVELS + level[o - HEADS + 2][p]
+                    gate = gate * LEVELS + level[o - HEADS + 2].take(p)
             x[HEADS] = 0.3
             done[rows] -= log_loss(mixer.log_odds(x, gate), bit)
     return out
@@ -512,8 +513,8 @@ class Tails:
                 continue
             x, sign = np.empty((ORDERS + 2, len(rows)), np.float32), bit.astype(np.float32)
             for o in range(ORDERS):
-                at = slot(self.held[o][rows], node)
-                x[o] = stretch(np.maximum(tables[o, 1][at] - sign, 0), np.maximum(tables[o, 0][at] - (1 - sign), 0), 0.4)
+                at = slot(self.held[o].take(rows), node)
+                x[o] = stretch(np.maximum(tables[o, 1].take(at) - sign, 0), np.maximum(tables[o, 0].take(at) - (1 - sign), 0), 0.4)
             x[ORDERS], gate = self.deep_inputs(rows, node, bit, 1.0)
             x[ORDERS + 1] = 0.3
             mixer.learn(x, gate, bit, self.weight[rows])
@@ -524,7 +525,7 @@ class Tails:
         for rows, node, bit in self.coder.decisions(self.data):
             x, whole = np.empty((ORDERS + 2, len(rows)), np.float32), len(rows) == len(self.data)
             for o in range(ORDERS):
-                x[o] = odds[o][slot(self.held[o] if whole else self.held[o][rows], node)]
+                x[o] = odds[o].take(slot(self.held[o] if whole else self.held[o].take(rows), node))
             x[ORDERS], gate = self.deep_inputs(rows, node, bit, 0.0)
             x[ORDERS + 1] = 0.3
             out[self.rows[rows]] -= log_loss(mixer.log_odds(x, gate), bit)
