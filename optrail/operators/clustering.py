@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
 import numpy as np
@@ -26,7 +27,9 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
     k = max(1, min(k, n))
     if k < 2:
         return data.select("trace_id", F.lit("0").alias("group_id"))
-    models = [KMeans(featuresCol="v", predictionCol="p", k=k, seed=seed + i, maxIter=50, initMode="random", solver="row").fit(data) for i in range(STARTS)]
+    start = lambda i: KMeans(featuresCol="v", predictionCol="p", k=k, seed=seed + i, maxIter=50, initMode="random", solver="row").fit(data)
+    with ThreadPoolExecutor(STARTS) as pool:  # starts are jobs of their own: short stages of one fill the gaps of others
+        models = list(pool.map(start, range(STARTS)))
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(data).select("trace_id", F.col("p").cast("string").alias("group_id"))
 
