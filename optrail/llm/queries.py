@@ -15,6 +15,7 @@ from .jaccard import join_near
 from .mih import search
 from .mix import mix_sources
 from .mixing import score_texts
+from .sweep import open_sales, sweep
 from .toxicity import Lexicon, learn_lexicon, score_toxicity
 from .warc import round_trip
 
@@ -80,7 +81,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_near(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op1_mih": op1_mih, "op2_chunks": op2_chunks, "op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_caps": op8_caps, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
+def op13_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep(open_sales(*(read_table(spark, sf_dir, name) for name in ("sales", "sale_lines", "clients"))))
+
+
+QUERIES = {"op1_mih": op1_mih, "op2_chunks": op2_chunks, "op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_caps": op8_caps, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard, "op13_sweep": op13_sweep}
 
 ORACLES: dict[str, str] = {}
 
@@ -144,3 +149,17 @@ reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT link
 degrees AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT r.vec_id, coalesce(any_value(d.n), 0)::BIGINT AS n_links, min(r.other) AS component_id, r.vec_id = min(r.other) AS kept FROM reach r LEFT JOIN degrees d ON d.x = r.vec_id GROUP BY r.vec_id
 """
+
+ORACLES["op13_sweep"] = """
+WITH shipped AS (SELECT sale_id, min(floor(epoch_us(shipped_at) / 60000000.0)::BIGINT * 60) + 604800 AS to_s FROM sale_lines WHERE shipped_at IS NOT NULL GROUP BY sale_id),
+nations AS (SELECT client_id, min(nation_id) AS nation_id FROM clients GROUP BY client_id),
+open_from AS (SELECT coalesce(n.nation_id, -1) AS nation_id, floor(epoch_us(s.sold_at) / 60000000.0)::BIGINT * 60 AS from_s, h.to_s, coalesce(floor(100 * s.total + 0.5), 0)::BIGINT AS cents
+  FROM sales s LEFT JOIN shipped h ON h.sale_id = s.sale_id LEFT JOIN nations n ON n.client_id = s.client_id WHERE s.sold_at IS NOT NULL),
+whole AS (SELECT * FROM open_from WHERE to_s IS NULL OR to_s > from_s),
+both_groups AS (SELECT * FROM whole UNION ALL SELECT -2, from_s, to_s, cents FROM whole),
+ends AS (SELECT nation_id, from_s, 1 AS n, cents FROM both_groups UNION ALL SELECT nation_id, to_s, -1, -cents FROM both_groups WHERE to_s IS NOT NULL),
+changes AS (SELECT nation_id, from_s, sum(n) AS n, sum(cents) AS cents FROM ends GROUP BY nation_id, from_s HAVING sum(n) <> 0 OR sum(cents) <> 0),
+running AS (SELECT nation_id, from_s, lead(from_s) OVER w AS to_s, sum(n) OVER w AS n_open, sum(cents) OVER w AS open_cents FROM changes WINDOW w AS (PARTITION BY nation_id ORDER BY from_s))
+SELECT nation_id::INT AS nation_id, from_s, to_s, n_open::BIGINT AS n_open, open_cents::BIGINT AS open_cents,
+  (max(n_open) OVER (PARTITION BY nation_id ORDER BY from_s))::BIGINT AS high_open, open_cents = max(open_cents) OVER (PARTITION BY nation_id) AS is_peak FROM running
+"""
