@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from .jaccard import join_near
 from .mih import search
 from .mix import mix_sources
 from .mixing import score_texts
+from .runs import find_runs
 from .sweep import open_sales, sweep
 from .toxicity import Lexicon, learn_lexicon, score_toxicity
 from .warc import round_trip
@@ -81,11 +84,31 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_near(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def repeating(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words; in a tenth of the documents, told by a checksum of the id, all from one place on repeat the first of them."""
+    n, h = len(words), 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(read_table(spark, sf_dir, "documents"), edit=repeating)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    found = found.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.less")
+    return found.select("doc_id", "n_words", "n_runs", (-F.col("best.back")).alias("start"), length.alias("length"), period.alias("period"), F.floor(length * 1000 / period).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep(open_sales(*(read_table(spark, sf_dir, name) for name in ("sales", "sale_lines", "clients"))))
 
 
-QUERIES = {"op1_mih": op1_mih, "op2_chunks": op2_chunks, "op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_caps": op8_caps, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard, "op13_sweep": op13_sweep}
+QUERIES = {"op1_mih": op1_mih, "op2_chunks": op2_chunks, "op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_caps": op8_caps, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard, "op12_runs": op12_runs, "op13_sweep": op13_sweep}
 
 ORACLES: dict[str, str] = {}
 
@@ -150,6 +173,29 @@ degrees AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT r.vec_id, coalesce(any_value(d.n), 0)::BIGINT AS n_links, min(r.other) AS component_id, r.vec_id = min(r.other) AS kept FROM reach r LEFT JOIN degrees d ON d.x = r.vec_id GROUP BY r.vec_id
 """
 
+# The checksum bit by bit; pairs of equal words at a distance, stretches of them, and of those the ones with no shorter period.
+ORACLES["op12_runs"] = """
+WITH listed AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws,
+    xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i::BIGINT, 1))::UBIGINT)), lambda c, b:
+      list_reduce(list_concat([xor(c, b)], range(8)::UBIGINT[]), lambda r, i: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))), 4294967295::UBIGINT)::BIGINT AS h FROM documents),
+sized AS (SELECT *, len(ws)::BIGINT AS n, h // 10 AS g, h % 10 = 0 AND len(ws) > 0 AS edited FROM listed),
+placed AS (SELECT *, CASE WHEN edited THEN g % n END AS a FROM sized),
+edited AS (SELECT *, CASE WHEN edited THEN 1 + (n - a) // (3 + g % 8) END AS p FROM placed),
+words AS (SELECT doc_id, i, CASE WHEN edited AND i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END AS w FROM (SELECT *, unnest(range(n)) AS i FROM edited)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+periodic AS (SELECT doc_id, q, min(i) AS s, min(i) + count(*) + q AS e FROM islands GROUP BY doc_id, q, island HAVING count(*) >= q AND count(*) + q >= 12),
+runs AS (SELECT * FROM periodic r WHERE NOT EXISTS (SELECT 1 FROM periodic z WHERE z.doc_id = r.doc_id AND z.q < r.q AND r.q % z.q = 0 AND z.s <= r.s AND z.e >= r.e)),
+listing AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+  arg_max({'s': s, 'l': e - s, 'q': q}, {'l': e - s, 's': -s, 'q': -q}) AS best FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM runs),
+left_over AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_words, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.l // best.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM sized d LEFT JOIN listing r ON r.doc_id = d.doc_id LEFT JOIN left_over k ON k.doc_id = d.doc_id
+"""
+
 ORACLES["op13_sweep"] = """
 WITH shipped AS (SELECT sale_id, min(floor(epoch_us(shipped_at) / 60000000.0)::BIGINT * 60) + 604800 AS to_s FROM sale_lines WHERE shipped_at IS NOT NULL GROUP BY sale_id),
 nations AS (SELECT client_id, min(nation_id) AS nation_id FROM clients GROUP BY client_id),
