@@ -17,6 +17,7 @@ from .jaccard import join_near
 from .mih import search
 from .mix import mix_sources
 from .mixing import score_texts
+from .perplexity import judge
 from .runs import find_runs
 from .sweep import open_sales, sweep
 from .toxicity import Lexicon, learn_lexicon, score_toxicity
@@ -95,6 +96,11 @@ def repeating(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
 
 
+def op11_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(read_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "level")
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_runs(read_table(spark, sf_dir, "documents"), edit=repeating)
     best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
@@ -108,7 +114,7 @@ def op13_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep(open_sales(*(read_table(spark, sf_dir, name) for name in ("sales", "sale_lines", "clients"))))
 
 
-QUERIES = {"op1_mih": op1_mih, "op2_chunks": op2_chunks, "op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_caps": op8_caps, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard, "op12_runs": op12_runs, "op13_sweep": op13_sweep}
+QUERIES = {"op1_mih": op1_mih, "op2_chunks": op2_chunks, "op3_mix": op3_mix, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_caps": op8_caps, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard, "op11_perplexity": op11_perplexity, "op12_runs": op12_runs, "op13_sweep": op13_sweep}
 
 ORACLES: dict[str, str] = {}
 
