@@ -16,6 +16,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,13 +164,12 @@ class Model:
     backoff: np.ndarray
 
     @classmethod
-    def of(cls, lang: np.ndarray, gram: np.ndarray, p: np.ndarray, backoff: np.ndarray) -> Model:
-        names, where = np.unique(lang.astype(str), return_inverse=True)
-        salts = np.array([salt_of(x) for x in names], np.uint64)
-        keys = mix(gram.astype(np.uint64) ^ salts[where]) if len(gram) else np.zeros(0, np.uint64)
+    def of(cls, table: DataFrame) -> Model:
+        """The arrays of a table (lang, gram, p, backoff): hashes are made by the workers, 16 bytes an n-gram reach the driver."""
+        rows = table.mapInArrow(lean(_hashed), "key bigint, p float, backoff float").toArrow()
+        keys = rows["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        with np.errstate(divide="ignore"):
-            return cls(keys[order], np.log10(p.astype(float))[order].astype(np.float32), np.log10(backoff.astype(float))[order].astype(np.float32))
+        return cls(keys[order], *(rows[c].to_numpy()[order].astype(np.float32) for c in ("p", "backoff")))
 
     def find(self, salt: np.uint64, grams: np.ndarray, values: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -198,6 +198,16 @@ class Model:
         return np.add.reduceat(out, starts) if len(starts) else out
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = batch.column(0).unique().to_pylist()
+        salts = np.array([salt_of(x) for x in names], np.uint64)
+        where = pc.index_in(batch.column(0), pa.array(names, pa.string())).to_numpy(zero_copy_only=False).astype(int)
+        keys = mix(batch.column(1).to_numpy().astype(np.uint64) ^ salts[where])
+        logs = [np.log10(batch.column(i).to_numpy(zero_copy_only=False).astype(float)).astype(np.float32) for i in (2, 3)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(x) for x in logs)], names=["key", "p", "backoff"])
+
+
 def features(texts: list[bytes]) -> list[tuple[int, ...]]:
     """FEATURES of each text."""
     numbers: dict[bytes, int] = {}
@@ -316,8 +326,7 @@ def judge(docs: DataFrame, below: float = BELOW, above: float = ABOVE, most_sent
     model = materialize(kneser_ney(count_grams(own)), "model")
     types = ", ".join(f"{n} {t}" for n, t in (("lang", "string"), ("doc_id", "bigint"), *FEATURES))
     if model.count() <= most_sent:
-        rows = model.toPandas()
-        sent = spark.sparkContext.broadcast(Model.of(*(rows[c].to_numpy() for c in ("lang", "gram", "p", "backoff"))))
+        sent = spark.sparkContext.broadcast(Model.of(model))
         scored = own.mapInArrow(lean(partial(_score, sent=sent)), f"{types}, n_bytes bigint, score double")
     else:
         numbered = materialize(own.withColumn("row", F.monotonically_increasing_id()), "numbered")

@@ -82,8 +82,7 @@ SCHEMA = "doc_id long, lang string, text string"
 def test_model(spark):
     rows = corpus(1)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    table = kneser_ney(count_grams(df)).toPandas()
-    model = Model.of(*(table[c].to_numpy() for c in ("lang", "gram", "p", "backoff")))
+    model = Model.of(kneser_ney(count_grams(df)))
     for lang in ("x", "y", "", "z"):
         plain = Plain([t for _, k, t in rows if (k or "") == lang])
         known = sorted({w for _, k, t in rows if (k or "") == lang for w in words_of(lower(t or ""))})
