@@ -1,4 +1,4 @@
-"""Enabled sets for plain logs, by replaying distinct sequences on a Petri net in workers."""
+"""Enabled sets for plain logs, by replaying distinct sequences on a Petri net in workers, over sets of markings."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .model import Marking, PetriNet
+from .model import Firing, Marking, PetriNet
 
-#: Markings that one closure or one replay may visit; a net without that bound raises instead of running on.
+#: Markings that one closure, and sets of markings that the replays of a net may visit; a net without that bound raises instead of running on.
 MOST_STATES = 100_000
 
 ENRICHED = "acts array<string>, n_cases long, trace array<struct<a:string,en:array<string>>>"
@@ -23,7 +23,11 @@ class Replayer:
     """Searches on one net, with what was found kept for the next trace."""
 
     def __init__(self, net: PetriNet):
-        self.net, self._closure, self._steps = net, {}, {}
+        self.net, self.firing, self._closure, self._steps, self._enabled = net, Firing(net), {}, {}, {}
+        self._sets: list[tuple[Marking, ...]] = [(net.initial,)]
+        self._numbers: dict[tuple[Marking, ...], int] = {self._sets[0]: 0}
+        self._moves: dict[tuple[int, str], int] = {}
+        self._ends: dict[int, tuple[Marking, ...]] = {}
 
     def silent_closure(self, marking: Marking) -> list[Marking]:
         """Markings reachable by silent steps, fewest first."""
@@ -31,56 +35,71 @@ class Replayer:
             seen, queue = {marking: None}, deque([marking])
             while queue:
                 m = queue.popleft()
-                for name in self.net.enabled(m):
-                    if self.net.transitions[name][0] is None:
-                        after = self.net.fire(m, name)
-                        if after not in seen:
-                            if len(seen) >= MOST_STATES:
-                                raise Unbounded(f"over {MOST_STATES} markings by silent steps")
-                            seen[after] = None
-                            queue.append(after)
+                for _, label, after in self.firing.steps(m):
+                    if label is None and after not in seen:
+                        if len(seen) >= MOST_STATES:
+                            raise Unbounded(f"over {MOST_STATES} markings by silent steps")
+                        seen[after] = None
+                        queue.append(after)
             self._closure[marking] = list(seen)
         return self._closure[marking]
 
     def enabled(self, marking: Marking) -> list[str]:
         """Labels that can happen next, silent steps aside."""
-        return sorted({self.net.transitions[n][0] for m in self.silent_closure(marking) for n in self.net.enabled(m) if self.net.transitions[n][0] is not None})
+        if marking not in self._enabled:
+            self._enabled[marking] = sorted({label for m in self.silent_closure(marking) for _, label, _ in self.firing.steps(m) if label is not None})
+        return self._enabled[marking]
 
     def after(self, marking: Marking, label: str) -> list[Marking]:
         """Distinct markings after silent steps and then ``label``, those with fewest silent steps first."""
         if (marking, label) not in self._steps:
-            found = dict.fromkeys(self.net.fire(m, n) for m in self.silent_closure(marking) for n in self.net.enabled(m) if self.net.transitions[n][0] == label)
+            found = dict.fromkeys(after for m in self.silent_closure(marking) for _, own, after in self.firing.steps(m) if own == label)
             self._steps[marking, label] = list(found)
         return self._steps[marking, label]
 
     def can_finish(self, marking: Marking) -> bool:
         return self.net.final is None or self.net.final in self.silent_closure(marking)
 
+    def move(self, state: int, label: str) -> int:
+        """The set of markings after ``label`` from a set of markings, both by number; sets are made when they are first met."""
+        key = state, label
+        if key not in self._moves:
+            after = tuple(dict.fromkeys(x for m in self._sets[state] for x in self.after(m, label)))
+            if after not in self._numbers:
+                if len(self._sets) >= MOST_STATES:
+                    raise Unbounded(f"over {MOST_STATES} sets of markings")
+                self._numbers[after] = len(self._sets)
+                self._sets.append(after)
+            self._moves[key] = self._numbers[after]
+        return self._moves[key]
+
     def replay(self, acts: list[str]) -> list[tuple[str, list[str]]] | None:
-        """Events with enabled sets along the first run that fits, or None; depth first with dead states kept."""
-        dead: set[tuple[int, Marking]] = set()
-        path: list[tuple[Marking, deque]] = [(self.net.initial, deque(self.after(self.net.initial, acts[0]) if acts else ()))]
-        if not acts:
-            return [] if self.can_finish(self.net.initial) else None
-        while path:
-            marking, options = path[-1]
-            depth = len(path)
-            if not options:
-                dead.add((depth - 1, marking))
-                path.pop()
-                continue
-            following = options.popleft()
-            if (depth, following) in dead:
-                continue
-            if len(dead) > MOST_STATES:
-                raise Unbounded(f"over {MOST_STATES} dead states")
-            if depth == len(acts):
-                if self.can_finish(following):
-                    return [(a, sorted({a, *self.enabled(m)})) for a, (m, _) in zip(acts, path, strict=True)]
-                dead.add((depth, following))
-                continue
-            path.append((following, deque(self.after(following, acts[depth]))))
-        return None
+        """Events with enabled sets along a run that fits, or None.
+
+        Sets of markings are followed forward, in an automaton that all sequences share. Backward, those that cannot get to the end go; forward again the run takes of
+        the markings that are left the first by its silent steps. This is the run that a search depth first would find, without its detours.
+        """
+        states = [0]
+        for a in acts:
+            states.append(self.move(states[-1], a))
+            if not self._sets[states[-1]]:
+                return None
+        last = states[-1]
+        if last not in self._ends:
+            self._ends[last] = tuple(m for m in self._sets[last] if self.can_finish(m))
+        alive = self._ends[last]
+        if not alive:
+            return None
+        kept = [alive]
+        for state, a in zip(states[-2::-1], reversed(acts), strict=True):
+            here = self._sets[state]
+            alive = here if len(here) == 1 else tuple(m for m in here if any(x in kept[-1] for x in self.after(m, a)))
+            kept.append(alive)
+        m, out = self.net.initial, []
+        for a, left in zip(acts, kept[-2::-1], strict=True):
+            out.append((a, sorted({a, *self.enabled(m)})))
+            m = next(x for x in self.after(m, a) if x in left)
+        return out
 
 
 def enrich(sequences: DataFrame, net: PetriNet) -> DataFrame:

@@ -140,6 +140,30 @@ class PetriNet:
         return tuple(sorted((p, c) for p, c in tokens.items() if c))
 
 
+class Firing:
+    """What may happen at the markings of a net that is not changed any more; each marking is worked out once."""
+
+    def __init__(self, net: PetriNet):
+        order = sorted(net.transitions, key=lambda n: (net.transitions[n][0] is not None, net.transitions[n][0] or "", *net.transitions[n][1:], n))
+        self.order = [(n, net.transitions[n][0], Counter(net.transitions[n][1]), Counter(net.transitions[n][2])) for n in order]
+        self.known: dict[Marking, list[tuple[str, str | None, Marking]]] = {}
+
+    def steps(self, marking: Marking) -> list[tuple[str, str | None, Marking]]:
+        """(transition, label, marking after) of all that are enabled, in the order of ``PetriNet.enabled``."""
+        if marking not in self.known:
+            tokens, out = dict(marking), []
+            for name, label, ins, outs in self.order:
+                if all(tokens.get(p, 0) >= c for p, c in ins.items()):
+                    after = dict(tokens)
+                    for p, c in ins.items():
+                        after[p] -= c
+                    for p, c in outs.items():
+                        after[p] = after.get(p, 0) + c
+                    out.append((name, label, tuple(sorted((p, c) for p, c in after.items() if c))))
+            self.known[marking] = out
+        return self.known[marking]
+
+
 def net_of(tree: Tree) -> PetriNet:
     """An accepting net of a tree, with silent splits and joins merged into neighbours where behaviour allows."""
     net, counter = PetriNet(), [0]

@@ -1,10 +1,11 @@
 """Conformance of a log and a net: fitness, precision, generalization, simplicity and their enabled-set versions.
 
-Alignments run in workers, once per distinct trace, and come back as counters that add up over traces.
+Alignments run in workers, over the prefix trees of distinct traces, and come back as counters that add up over traces.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections import Counter
 
@@ -12,16 +13,16 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .enrich import Replayer, Unbounded
+from ..functions import abstraction as ab
+from .align import Aligner, Event, Move
+from .enrich import MOST_STATES, Replayer, Unbounded
 from .metrics import harmonic
-from .model import PetriNet
+from .model import Firing, PetriNet
 
-#: States that the search for one alignment may expand; beyond, the trace counts by token replay instead.
-MOST_EXPANDED = 20_000
-#: Nets larger than this (visible, all transitions, places) are replayed without search.
+#: Nets larger than this (visible, all transitions, places) may be replayed without alignments, if asked for.
 LOOSE = (120, 260, 200)
 
-FACTS = "kind string, key string, a double, b double"
+FACTS = "kind string, key string, label string, a double, b double"
 
 
 def too_loose(net: PetriNet) -> bool:
@@ -30,7 +31,7 @@ def too_loose(net: PetriNet) -> bool:
 
 def shortest_run(net: PetriNet) -> int:
     """Fewest visible steps from the initial to the final marking."""
-    queue, seen, order = [(0, 0, net.initial)], set(), 0
+    queue, seen, order, firing = [(0, 0, net.initial)], set(), 0, Firing(net)
     while queue:
         cost, _, m = heapq.heappop(queue)
         if m in seen:
@@ -38,86 +39,54 @@ def shortest_run(net: PetriNet) -> int:
         seen.add(m)
         if m == net.final:
             return cost
-        if len(seen) > MOST_EXPANDED:
+        if len(seen) > MOST_STATES:
             raise Unbounded("no end within the bound on states")
-        for n in net.enabled(m):
+        for _, label, after in firing.steps(m):
             order += 1
-            heapq.heappush(queue, (cost + (net.transitions[n][0] is not None), order, net.fire(m, n)))
+            heapq.heappush(queue, (cost + (label is not None), order, after))
     raise Unbounded("the final marking cannot be reached")
 
 
-def align(net: PetriNet, trace: list[tuple[str, frozenset[str]]], replayer: Replayer, by_sets: bool = False) -> tuple[float, list[tuple]] | None:
-    """Cost and moves of a cheapest alignment, or None beyond the bound.
+def prefix_name(before: str, label: str) -> str:
+    """The name of a prefix of labels, from that of the prefix without the last one: 128 bits, however long the prefix is."""
+    return hashlib.blake2b(f"{before}\t{label}".encode(), digest_size=16).hexdigest()
 
-    Moves are (kind, transition, marking before, position): "sync", "model", "silent", "log". Log and visible model moves
-    cost 1; with ``by_sets`` a synchronous move costs the Jaccard distance of the logged and the model's enabled set.
-    """
-    order, queue, best, expanded = 0, [(0.0, 0, 0, net.initial, None)], {}, 0
-    while queue:
-        cost, _, i, m, back = heapq.heappop(queue)
-        if (i, m) in best:
-            continue
-        best[i, m] = back
-        expanded += 1
-        if expanded > MOST_EXPANDED:
-            return None
-        if i == len(trace) and m == net.final:
-            moves, at = [], (i, m)
-            while best[at] is not None:
-                at, move = best[at]
-                moves.append(move)
-            return cost, moves[::-1]
-        steps = []
-        if i < len(trace):
-            steps.append((1.0, i + 1, m, ("log", None, m, i)))
-        for n in net.enabled(m):
-            label = net.transitions[n][0]
-            after = net.fire(m, n)
-            steps.append((float(label is not None), i, after, ("silent" if label is None else "model", n, m, i)))
-            if i < len(trace) and label == trace[i][0]:
-                distance = 0.0
-                if by_sets:
-                    logged, able = trace[i][1], set(replayer.enabled(m))
-                    distance = 1 - len(logged & able) / len(logged | able) if logged | able else 0.0
-                steps.append((distance, i + 1, after, ("sync", n, m, i)))
-        for more, j, after, move in steps:
-            if (j, after) not in best:
-                order += 1
-                heapq.heappush(queue, (cost + more + 1e-9 * (move[0] == "silent"), order, j, after, ((i, m), move)))
-    return None
-
-
-def trace_facts(net: PetriNet, replayer: Replayer, trace: list[tuple[str, frozenset[str]]], n: int, least: int) -> list[tuple[str, str, float, float]]:
-    """Counters of one distinct trace: costs, executions, visited prefixes with what the model allowed there, and enabled sets by state."""
+
+def trace_facts(net: PetriNet, aligner: Aligner, moves: list[Move], trace: list[Event], n: int) -> list[tuple[str, str, str, float, float]]:
+    """Counters of one aligned trace: executions, visited prefixes with what the model allowed there, and enabled sets by marking."""
     out = []
-    plain = None if too_loose(net) else align(net, trace, replayer)
-    if plain is None:
-        out.append(("replayed", "", n * float(replayer.replay([a for a, _ in trace]) is not None), float(n)))
-        return out
-    cost, moves = plain
-    out.append(("fit", "", n * round(cost), n * (len(trace) + least)))
-    out.append(("aligned", "", float(n), 0.0))
-    prefix: tuple[str, ...] = ()
+    prefix = ""
     for kind, name, marking, i in moves:
-        if name is not None:
-            out.append(("fired", name, float(n), 0.0))
-        label = name and net.transitions[name][0]
-        if label is not None:
-            here = " ".join(prefix)
-            allowed = replayer.enabled(marking)
-            out.append(("visit", here, float(n), float(len(allowed))))
-            out += [("went", f"{here}\t{label}", 1.0, 0.0)]
-            out += [("may", f"{here}\t{a}", 1.0, 0.0) for a in allowed]
-            if kind == "sync":
-                state = "|".join(f"{p}:{c}" for p, c in marking)
-                out += [("able", f"{state}\t{a}", 1.0, 0.0) for a in allowed] + [("logged", f"{state}\t{a}", 1.0, 0.0) for a in trace[i][1]] + [("state", state, float(n), 0.0)]
-            prefix = (*prefix, label)
-    sets = align(net, trace, replayer, by_sets=True)
-    if sets is not None:
-        out.append(("fit_sets", "", n * sets[0], n * (len(trace) + least)))
+        if name is None:
+            continue
+        out.append(("fired", name, "", float(n), 0.0))
+        label = net.transitions[name][0]
+        if label is None:
+            continue
+        allowed = aligner.enabled(marking)
+        out.append(("visit", prefix, "", float(n), float(len(allowed))))
+        out.append(("went", prefix, label, 1.0, 0.0))
+        if kind == "sync":
+            state = "|".join(f"{p}:{c}" for p, c in marking)
+            out += [("able", state, a, 1.0, 0.0) for a in allowed] + [("logged", state, a, 1.0, 0.0) for a in trace[i][1]] + [("state", state, "", float(n), 0.0)]
+        prefix = prefix_name(prefix, label)
     return out
 
 
+def aligned_facts(net: PetriNet, aligner: Aligner, traces: list[list[Event]], counts: list[int], least: int) -> list[tuple[str, str, str, float, float]]:
+    """Counters of traces: costs without and with enabled sets, against the worst costs, and those of each alignment."""
+    out = []
+    for trace, n, (cost, moves), (by_sets, _) in zip(traces, counts, aligner.align(traces), aligner.align(traces, by_sets=True), strict=True):
+        worst = float(n * (len(trace) + least))
+        out += [("aligned", "", "", float(n), 0.0), ("fit", "", "", n * float(round(cost)), worst), ("fit_sets", "", "", n * by_sets, worst)]
+        out += trace_facts(net, aligner, moves, trace, n)
+    return out
+
+
+def replayed_facts(replayer: Replayer, traces: list[list[Event]], counts: list[int]) -> list[tuple[str, str, str, float, float]]:
+    return [("replayed", "", "", n * float(replayer.replay([a for a, _ in trace]) is not None), float(n)) for trace, n in zip(traces, counts, strict=True)]
+
+
 def simplicity(net: PetriNet) -> float:
     """1 / (1 + the mean number of arcs of places and transitions beyond two)."""
     degree = Counter()
@@ -133,42 +102,47 @@ def simplicity(net: PetriNet) -> float:
 METRICS = ("fitness", "precision", "generalization", "translucent_fitness", "translucent_precision", "simplicity", "f1", "replayed_share")
 
 
-def qualities(rows: DataFrame, nets: dict[str, dict[str, PetriNet]]) -> DataFrame:
+def qualities(rows: DataFrame, nets: dict[str, dict[str, PetriNet]], replay_loose: bool = False) -> DataFrame:
     """(scope, model, n_cases, METRICS) of (scope, trace, n_cases): each scope's traces under each of its models.
 
-    fitness = 1 - cost / worst cost of aligned traces and the share of fitting ones of replayed traces, weighed by cases;
-    replayed_share says how many cases went by replay. precision = 1 - escaping / allowed over visited prefixes, by visits; generalization
-    = 1 - mean over transitions of 1 / sqrt(executions); translucent precision unites logged sets per state of the model.
+    fitness = 1 - cost / worst cost; precision = 1 - escaping / allowed over visited prefixes, by visits; generalization
+    = 1 - mean over transitions of 1 / sqrt(executions); translucent precision unites logged sets per marking of the model. Every trace is
+    aligned, unless ``replay_loose`` asks for nets beyond LOOSE to be replayed: their fitness is the share of cases that fit, replayed_share 1.
 
-    All models travel to the workers: one pass over the traces makes the counters of all scopes, and one grouping each
-    metric, however many scopes there are.
+    All models travel to the workers. Traces are dealt by ranges of their activities, so that those which begin alike meet in one task and share the
+    search for their beginning. One pass makes the counters of all scopes, and one grouping each metric, however many scopes there are.
     """
     least = {(s, m): shortest_run(net) for s, own in nets.items() for m, net in own.items()}
 
     def run(batches):
         import pandas as pd
 
-        replayers: dict[tuple[str, str], Replayer] = {}
+        aligners: dict[tuple[str, str], Aligner] = {}
         for pdf in batches:
-            rows: dict[tuple[str, str, str, str], list[float]] = {}
-            for scope, trace, n in zip(pdf["scope"], pdf["trace"], pdf["n_cases"], strict=True):
-                events = [(e["a"], frozenset(e["en"])) for e in trace]
+            facts: dict[tuple[str, str, str, str, str], list[float]] = {}
+            for scope, own in pdf.groupby("scope"):
+                traces = [[(e["a"], frozenset(e["en"])) for e in t] for t in own["trace"]]
+                counts = [int(n) for n in own["n_cases"]]
                 for model, net in nets.get(scope, {}).items():
-                    replayer = replayers.setdefault((scope, model), Replayer(net))
-                    for kind, key, a, b in trace_facts(net, replayer, events, int(n), least[scope, model]):
-                        held = rows.setdefault((scope, model, kind, key), [0.0, 0.0])
+                    if (scope, model) not in aligners:
+                        aligners[scope, model] = Replayer(net) if replay_loose and too_loose(net) else Aligner(net)
+                    known = aligners[scope, model]
+                    found = replayed_facts(known, traces, counts) if isinstance(known, Replayer) else aligned_facts(net, known, traces, counts, least[scope, model])
+                    for kind, key, label, a, b in found:
+                        held = facts.setdefault((scope, model, kind, key, label), [0.0, 0.0])
                         held[0], held[1] = (held[0] + a, max(held[1], b) if kind == "visit" else held[1] + b)
-            yield pd.DataFrame([(*names, *v) for names, v in rows.items()], columns=["scope", "model", "kind", "key", "a", "b"])
+            yield pd.DataFrame([(*names, *v) for names, v in facts.items()], columns=["scope", "model", "kind", "key", "label", "a", "b"])
 
-    by, prefix = ["scope", "model"], F.split("key", "\t")[0]
-    facts = rows.select("scope", "trace", "n_cases").mapInPandas(run, f"scope string, model string, {FACTS}")
-    summed = facts.groupBy(*by, "kind", "key").agg(F.sum("a").alias("a"), F.when(F.col("kind") == "visit", F.max("b")).otherwise(F.sum("b")).alias("b")).persist(StorageLevel.MEMORY_AND_DISK)
+    by = ["scope", "model"]
+    dealt = rows.select("scope", "trace", "n_cases").repartitionByRange("scope", ab.executed(F.col("trace")))
+    facts = dealt.mapInPandas(run, f"scope string, model string, {FACTS}")
+    summed = facts.groupBy(*by, "kind", "key", "label").agg(F.sum("a").alias("a"), F.when(F.col("kind") == "visit", F.max("b")).otherwise(F.sum("b")).alias("b")).persist(StorageLevel.MEMORY_AND_DISK)
     total = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
-    went = summed.where("kind = 'went'").groupBy(*by, prefix.alias("key")).agg(F.count(F.lit(1)).alias("went"))
+    went = summed.where("kind = 'went'").groupBy(*by, "key").agg(F.count(F.lit(1)).alias("went"))
     etc = summed.where("kind = 'visit'").join(went, [*by, "key"]).groupBy(*by).agg((1 - F.sum(F.col("a") * (F.col("b") - F.least("went", "b"))) / F.sum(F.col("a") * F.col("b"))).alias("precision"))
-    able, logged = (summed.where(F.col("kind") == k).select(*by, "key") for k in ("able", "logged"))
-    sizes = able.groupBy(*by, prefix.alias("s")).agg(F.count(F.lit(1)).alias("able"))
-    hits = able.join(logged, [*by, "key"], "left_semi").groupBy(*by, prefix.alias("s")).agg(F.count(F.lit(1)).alias("hit"))
+    able, logged = (summed.where(F.col("kind") == k).select(*by, F.col("key").alias("s"), "label") for k in ("able", "logged"))
+    sizes = able.groupBy(*by, "s").agg(F.count(F.lit(1)).alias("able"))
+    hits = able.join(logged, [*by, "s", "label"], "left_semi").groupBy(*by, "s").agg(F.count(F.lit(1)).alias("hit"))
     weights = summed.where("kind = 'state'").select(*by, F.col("key").alias("s"), F.col("a").alias("w"))
     trans = weights.join(sizes, [*by, "s"]).join(hits, [*by, "s"], "left").groupBy(*by).agg((F.sum(F.col("w") * F.coalesce("hit", F.lit(0)) / F.col("able")) / F.sum("w")).alias("translucent_precision"))
     base = summed.groupBy(*by).agg(

@@ -17,6 +17,7 @@ from optrail.operators import metrics as mt
 from optrail.operators import miner, model, quality
 from optrail.operators import relations as rel
 from optrail.operators import views as vw
+from optrail.operators.align import Aligner
 from optrail.sources import logs
 from optrail.sources import synth as sy
 
@@ -176,26 +177,108 @@ def net(rows, start, end):
     return out
 
 
+#: A ticket: opened, then either fixed or passed on, which silently may be skipped, and closed.
+TICKET = [("new", "open", "known"), ("known", "fix", "done"), ("known", "pass", "asked"), ("asked", None, "done"), ("asked", "answer", "done"), ("done", "close", "end")]
+
+
 def test_replay(spark):
-    plain = net([("p0", "a", "p1"), ("p1", "b", "p2"), ("p1", "c", "p2"), ("p2", "d", "p3")], "p0", "p3")
-    assert en.Replayer(plain).enabled(plain.initial) == ["a"]
-    cases = spark.createDataFrame([(list("abd"), 1), (list("acd"), 1), (list("azd"), 2)], "acts array<string>, n_cases long")
-    got = en.enrich(cases, plain)
-    assert sorted(("".join(r.acts), ["".join(e.en) for e in r.trace]) for r in got.collect()) == [("abd", ["a", "bc", "d"]), ("acd", ["a", "bc", "d"])]
-    assert en.enrichment_report(cases, got).first().retention == 0.5
-    silent = net([("p0", "a", "p1"), ("p1", None, "p2"), ("p2", "b", "p3"), ("p2", "c", "p3")], "p0", "p3")
-    r = en.Replayer(silent)
-    assert r.enabled(r.after(silent.initial, "a")[0]) == ["b", "c"]
+    ticket = net(TICKET, "new", "end")
+    r = en.Replayer(ticket)
+    assert r.enabled(ticket.initial) == ["open"] and r.enabled((("asked", 1),)) == ["answer", "close"]
+    rows = [("open fix close", 4), ("open pass close", 2), ("open pass answer close", 1), ("open answer close", 5), ("open fix", 3), ("", 1)]
+    cases = spark.createDataFrame([(x.split(), n) for x, n in rows], "acts array<string>, n_cases long")
+    got = en.enrich(cases, ticket)
+    assert sorted((" ".join(x.acts), x.n_cases, ["|".join(e.en) for e in x.trace]) for x in got.collect()) == [
+        ("open fix close", 4, ["open", "fix|pass", "close"]),
+        ("open pass answer close", 1, ["open", "fix|pass", "answer|close", "close"]),
+        ("open pass close", 2, ["open", "fix|pass", "answer|close"]),
+    ]
+    assert en.enrichment_report(cases, got).first().retention == 0.4375
+    part = net([*TICKET[:2], TICKET[5]], "new", "end")
+    roles = spark.createDataFrame([(g, x.split(), n) for g in ("all", "part", "none") for x, n in rows], "group_id string, acts array<string>, n_cases long")
+    kept = en.split_and_enrich(roles, {"all": ticket, "part": part}).select("group_id", ab.kappa(F.col("trace")).alias("k"), "n_cases").collect()
+    assert sorted(map(tuple, kept)) == [("all", "seq(open, xor(fix, pass), and(answer, close))", 1), ("all", "seq(open, xor(fix, pass), close)", 4), ("all", "seq(open, xor(fix, pass), xor(answer, close))", 2), ("part", "seq(open, fix, close)", 4)]
+
+
+def test_replay_goes_back_where_a_silent_step_was_wrong():
     for order in (1, -1):
-        dead = net([("p0", None, "pa"), ("p0", None, "pb"), ("pa", "x", "pc"), ("pb", "x", "pd"), ("pd", "y", "end")][::order], "p0", "end")
-        assert en.Replayer(dead).replay(["x", "y"]) == [("x", ["x"]), ("y", ["y"])]
-        assert en.Replayer(dead).replay(["x"]) is None
-        dead.final = None
-        assert en.Replayer(dead).replay(["x"]) is not None
-    roles = spark.createDataFrame([("r1", list("abd"), 1), ("r1", list("acd"), 1), ("r2", list("abd"), 1)], "group_id string, acts array<string>, n_cases long")
-    nets = {"r1": plain, "r2": net([("p0", "a", "p1"), ("p1", "b", "p2"), ("p2", "d", "p3")], "p0", "p3")}
-    keys = en.split_and_enrich(roles, nets).select("group_id", ab.kappa(F.col("trace")).alias("k")).distinct().collect()
-    assert sorted((r.group_id, r.k) for r in keys) == [("r1", "seq(a, xor(b, c), d)"), ("r2", "seq(a, b, d)")]
+        fork = net([("s", None, "l"), ("s", None, "m"), ("s", None, "r"), ("l", "go", "l2"), ("m", "go", "m2"), ("r", "go", "r2"), ("m2", "go", "m3"), ("m3", "stop", "end"), ("r2", "stop", "r3")][::order], "s", "end")
+        r = en.Replayer(fork)
+        assert r.replay(["go", "go", "stop"]) == [("go", ["go"]), ("go", ["go"]), ("stop", ["stop"])]
+        assert r.replay(["go", "stop"]) is None and r.replay([]) is None
+        fork.final = None
+        r = en.Replayer(fork)
+        assert r.replay(["go", "stop"]) is not None and r.replay([]) == []
+
+
+def random_tree(rng, depth, names):
+    if depth == 0 or rng.random() < 0.25:
+        return model.leaf(rng.choice([*names, None]))
+    return model.Tree(rng.choice(["seq", "xor", "and", "loop"]), None, tuple(random_tree(rng, depth - 1, names) for _ in range(rng.randint(2, 3))))
+
+
+def depth_first_run(net_, r, acts):
+    """The first run that fits, by trying one after the other."""
+
+    def walk(m, i):
+        if i == len(acts):
+            return [] if r.can_finish(m) else None
+        for after in r.after(m, acts[i]):
+            rest = walk(after, i + 1)
+            if rest is not None:
+                return [(acts[i], sorted({acts[i], *r.enabled(m)})), *rest]
+        return None
+
+    return walk(net_.initial, 0)
+
+
+def plain_cost(net_, trace, r, by_sets):
+    """Cost of a cheapest alignment, by relaxing all pairs of position and marking until nothing changes."""
+    best, todo = {(0, net_.initial): 0.0}, [(0, net_.initial)]
+
+    def offer(state, cost):
+        if cost < best.get(state, 1e9) - 1e-12:
+            best[state] = cost
+            todo.append(state)
+
+    while todo:
+        i, m = todo.pop()
+        cost = best[i, m]
+        if i < len(trace):
+            offer((i + 1, m), cost + 1)
+        for name in net_.enabled(m):
+            label, after = net_.transitions[name][0], net_.fire(m, name)
+            offer((i, after), cost + (label is not None))
+            if i < len(trace) and label == trace[i][0]:
+                able, logged = set(r.enabled(m)), trace[i][1]
+                offer((i + 1, after), cost + (1 - len(able & logged) / len(able | logged) if by_sets else 0))
+    return best[len(trace), net_.final]
+
+
+def test_alignments_and_replay_of_random_nets():
+    import random
+
+    rng = random.Random(11)
+    for _ in range(20):
+        net_ = model.net_of(model.fold(random_tree(rng, 3, "abcd")))
+        r = en.Replayer(net_)
+        log = [[(a := rng.choice("abcde"), frozenset({a, *rng.sample("abcde", rng.randint(0, 2))})) for _ in range(rng.randint(0, 5))] for _ in range(5)]
+        for trace in log:
+            acts = [a for a, _ in trace]
+            assert r.replay(acts) == depth_first_run(net_, r, acts)
+        for aligner in (Aligner(net_), Aligner(net_, few=0)):  # by vectors, by A*
+            for by_sets in (False, True):
+                for trace, (cost, moves) in zip(log, aligner.align(log, by_sets), strict=True):
+                    assert abs(cost - plain_cost(net_, trace, r, by_sets)) < 1e-3
+                    m, i, paid = net_.initial, 0, 0.0
+                    for kind, name, before, at in moves:  # a run of the net and the whole trace
+                        assert (before, at) == (m, i)
+                        label = net_.transitions[name][0] if name else None
+                        paid += {"sync": aligner.distance(trace[i][1], m) if by_sets and kind == "sync" else 0.0, "silent": 0.0}.get(kind, 1.0)
+                        assert (label == trace[i][0]) if kind == "sync" else (label is None) == (kind != "model")
+                        i += kind in ("sync", "log")
+                        m = net_.fire(m, name) if name else m
+                    assert m == net_.final and i == len(trace) and abs(cost - paid) < 1e-3
 
 
 def test_conformance_of_the_example(example):
@@ -217,7 +300,7 @@ def test_conformance_of_the_example(example):
 def test_alignment_costs():
     plain = net([("p0", "a", "p1"), ("p1", "b", "p2")], "p0", "p2")
     r = en.Replayer(plain)
-    cost = lambda word: round(quality.align(plain, [(a, frozenset(a)) for a in word], r)[0], 6)
+    cost = lambda word: round(Aligner(plain, r).align([[(a, frozenset(a)) for a in word]])[0][0], 3)
     assert [cost(w) for w in ("ab", "a", "b", "", "axb", "ba")] == [0, 1, 1, 2, 1, 2]
     assert quality.shortest_run(plain) == 2
 
@@ -336,13 +419,23 @@ def test_registered_clusterings_and_replay_take_traces_that_occur_once(spark):
     assert sum(r.cases_in for r in ex.replay_report(spark, sf).collect()) == traces.count()
 
 
-def test_fitness_weighs_in_traces_beyond_the_bound_on_states(spark):
+def test_every_trace_is_aligned_with_a_net_of_very_many_markings(spark):
     acts = list("abcdefghijklm")
     wide = model.net_of(model.parse_identifier(f"and({', '.join(acts)})"))
-    rows = [([{"a": a, "en": [a]} for a in acts], 3), ([{"a": "z", "en": ["z"]}] * 6, 1)]
+    rows = [([{"a": a, "en": [a]} for a in acts], 3), ([{"a": "z", "en": ["z"]}] * 6, 1), ([{"a": a, "en": [a]} for a in acts[:-1]], 2)]
     v = spark.createDataFrame(rows, "trace array<struct<a:string,en:array<string>>>, n_cases long")
-    assert quality.align(wide, [("z", frozenset("z"))] * 6, en.Replayer(wide)) is None
-    assert quality.model_quality(v, wide).first().fitness == 0.75
+    q = quality.model_quality(v, wide).first()
+    assert q.replayed_share == 0 and q.fitness == round(1 - (19 + 2) / (3 * 26 + 19 + 2 * 25), 6)
+
+
+def test_loose_nets_may_be_replayed(spark):
+    wide = model.net_of(model.Tree("xor", None, tuple(model.leaf(f"a{i}") for i in range(130))))
+    v = spark.createDataFrame([([{"a": "a5", "en": ["a5"]}], 3), ([{"a": "b", "en": ["b"]}], 1)], "trace array<struct<a:string,en:array<string>>>, n_cases long")
+    rows = v.withColumn("scope", F.lit("s"))
+    q = quality.qualities(rows, {"s": {"m": wide}}, replay_loose=True).first()
+    assert quality.too_loose(wide) and q.replayed_share == 1 and q.fitness == 0.75 and q.precision is None
+    q = quality.qualities(rows, {"s": {"m": wide}}).first()
+    assert q.replayed_share == 0 and q.fitness == 0.75 and 0 < q.precision < 0.1
 
 
 def test_traces_without_a_name_get_their_index(spark, tmp_path):
