@@ -1,121 +1,290 @@
-"""Clusterings of distinct traces on feature vectors (trace_id, features)."""
+"""Clusterings of distinct traces on feature vectors (trace_id, features).
 
-from __future__ import annotations
+Equal vectors are one weighted point. Up to LOCAL points are collected and worked on where they are, by the same rules as more of them are by
+Spark: k-means by passes that update all starts at once, Ward's agglomeration by rounds that merge all pairs of mutual nearest neighbours, and the silhouette
+by sums over pairs of blocks. So neither the number of traces nor that of points has a bound.
+"""
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import partial
+from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import written
 from .features import aggregate_attributes, attribute_tokens, context_vectors, control_flow_tokens, enabled_tokens, standardised
+from .paragraphs import paragraph_vectors
 
-#: Distinct traces that the exact silhouette takes at most: it needs all distances.
-SILHOUETTE_MOST = 5000
-#: Restarts of k-means; the best by cost is kept.
-STARTS = 10
+#: Different vectors that are collected at most; points of a block, of which pairs meet in a task.
+LOCAL, BLOCK = 5000, 1000
+#: Starts of k-means, of which the best by cost is kept, and passes at most.
+STARTS, PASSES = 10, 50
 
 
-def kmeans(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """(trace_id, group_id) by k-means from random traces; k is cut to the number of different vectors."""
-    data = vectors.select("trace_id", array_to_vector("features").alias("v")).cache()
-    n = vectors.select("features").distinct().count()
-    k = max(1, min(k, n))
-    if k < 2:
-        return data.select("trace_id", F.lit("0").alias("group_id"))
-    start = lambda i: KMeans(featuresCol="v", predictionCol="p", k=k, seed=seed + i, maxIter=50, initMode="random", solver="row").fit(data)
-    with ThreadPoolExecutor(STARTS) as pool:  # starts are jobs of their own: short stages of one fill the gaps of others
-        models = list(pool.map(start, range(STARTS)))
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(data).select("trace_id", F.col("p").cast("string").alias("group_id"))
+def points_of(vectors: DataFrame) -> DataFrame:
+    """(pid, features, w): the different vectors, named by their smallest trace, and how many traces have each."""
+    return written(vectors.groupBy("features").agg(F.min("trace_id").alias("pid"), F.count(F.lit(1)).alias("w")), "points")
 
 
-def _bounded(vectors: DataFrame) -> tuple[list, np.ndarray]:
-    rows = vectors.select("trace_id", "features").orderBy("trace_id").limit(SILHOUETTE_MOST + 1).collect()
-    if len(rows) > SILHOUETTE_MOST:
-        raise ValueError(f"more than {SILHOUETTE_MOST} distinct traces; give k")
-    return [r.trace_id for r in rows], np.array([r.features for r in rows], float)
+def labelled(vectors: DataFrame, points: DataFrame, labels: DataFrame) -> DataFrame:
+    """(trace_id, group_id) from (pid, label) of points; groups are numbered by their smallest point."""
+    order = {r.label: str(i) for i, r in enumerate(labels.groupBy("label").agg(F.min("pid").alias("first")).orderBy("first").collect())}
+    names = F.create_map(*(F.lit(x) for pair in order.items() for x in pair)) if order else F.create_map().cast("map<bigint,string>")
+    named = points.join(labels, "pid").select("features", names[F.col("label")].alias("group_id"))
+    return vectors.join(named, "features").select("trace_id", "group_id")
 
 
-def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
-    """Ward's agglomeration by nearest-neighbour chains over squared distances of centroids; no table of distances is held.
+def on_driver(points: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, vectors and weights of points that are known to be few, by name."""
+    rows = points.select("pid", "features", "w").orderBy("pid").collect()
+    return np.array([r.pid for r in rows], np.int64), np.array([r.features for r in rows], float), np.array([r.w for r in rows], float)
 
-    Equal vectors merge at no cost, so where at least k differ each is one weighted point.
-    """
-    if len(x) == 0:
-        return np.zeros(0, int)
-    points, own, times = np.unique(x, axis=0, return_inverse=True, return_counts=True)
-    if len(points) < k:
-        points, own, times = x, np.arange(len(x)), np.ones(len(x))
-    n = len(points)
+
+# k-means
+
+
+def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each vector the nearest centre, the first of equals, and the squared distance; centres are (starts, k, size)."""
+    d = (x * x).sum(1)[None, :, None] + (centers * centers).sum(2)[:, None] - 2 * np.einsum("nd,skd->snk", x, centers)
+    at = d.argmin(2)
+    return at, np.maximum(np.take_along_axis(d, at[..., None], 2)[..., 0], 0)
+
+
+def gathered(x: np.ndarray, w: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and weighted sums of the vectors of each centre, and as the last number of each start's the cost: (starts, k, 1 + size), (starts)."""
+    at, d = nearest(x, centers)
+    out = np.zeros((*centers.shape[:2], 1 + x.shape[1]))
+    for s in range(len(centers)):
+        hot = np.zeros((len(x), centers.shape[1]))
+        hot[np.arange(len(x)), at[s]] = w
+        out[s, :, 0] = hot.sum(0)
+        out[s, :, 1:] = hot.T @ x
+    return out, (d * w).sum(1)
+
+
+def kmeans(vectors: DataFrame, k: int, seed: int = 0, local: int = LOCAL) -> DataFrame:
+    """(trace_id, group_id) by k-means from random points; k is cut to the number of different vectors. An empty group keeps its centre."""
+    points = points_of(vectors)
+    n = points.count()
     k = max(1, min(k, n))
-    center, size, alive = points.astype(float), times.astype(float), np.ones(n, bool)
+    if k < 2:
+        return vectors.select("trace_id", F.lit("0").alias("group_id"))
+    draws = [points.select("pid", "features", F.xxhash64(F.lit(seed), F.lit(i), "pid").alias("h")).orderBy("h", "pid").limit(k).select(F.lit(i).alias("start"), "h", "features") for i in range(STARTS)]
+    first = draws[0]
+    for d in draws[1:]:
+        first = first.union(d)
+    rows = sorted(first.collect())
+    centers = np.array([[r.features for r in rows if r.start == i] for i in range(STARTS)], float)
+    if n <= local:
+        pids, x, w = on_driver(points)
+        gather = lambda c: gathered(x, w, c)
+    else:
+        gather = lambda c: _gather(points, c)
+    for _ in range(PASSES):
+        sums, cost = gather(centers)
+        filled = sums[..., :1] > 0
+        moved = np.where(filled, sums[..., 1:] / np.where(filled, sums[..., :1], 1), centers)
+        still = np.abs(moved - centers).max() < 1e-9
+        centers = moved
+        if still:
+            break
+    best = centers[int(np.argmin(cost))][None]
+    if n <= local:
+        labels = vectors.sparkSession.createDataFrame([(int(p), int(g)) for p, g in zip(pids, nearest(x, best)[0][0], strict=True)], "pid long, label long")
+    else:
+        labels = points.select("pid", "features").mapInPandas(lambda batches: _assign(batches, best), "pid long, label long")
+    return labelled(vectors, points, written(labels, "labels"))
+
+
+def _assign(batches, centers):
+    import pandas as pd
+
+    for pdf in batches:
+        if len(pdf):
+            yield pd.DataFrame({"pid": pdf["pid"], "label": nearest(np.stack(pdf["features"]), centers)[0][0].astype(np.int64)})
+
+
+def _gather(points: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``gathered`` over all points in one pass; each task sends one row for each start and centre."""
+
+    def run(batches):
+        import pandas as pd
+
+        total, cost = np.zeros((*centers.shape[:2], 1 + centers.shape[2])), np.zeros(len(centers))
+        for pdf in batches:
+            if len(pdf):
+                sums, paid = gathered(np.stack(pdf["features"]), pdf["w"].to_numpy(float), centers)
+                total, cost = total + sums, cost + paid
+        yield pd.DataFrame([(s, c, i, v) for s in range(len(total)) for c in range(total.shape[1]) for i, v in enumerate([*total[s, c], cost[s] if c == 0 else 0.0])], columns=["s", "c", "i", "v"])
+
+    out = np.zeros((*centers.shape[:2], 2 + centers.shape[2]))
+    for r in points.select("features", "w").mapInPandas(run, "s int, c int, i int, v double").groupBy("s", "c", "i").agg(F.sum("v").alias("v")).collect():
+        out[r.s, r.c, r.i] = r.v
+    return out[..., :-1], out[:, 0, -1]
+
+
+# Ward
+
+
+def ward_merges(names: np.ndarray, x: np.ndarray, w: np.ndarray) -> list[tuple[float, int, int]]:
+    """(cost, a, b) of all merges by nearest-neighbour chains over centroids, each behind those it builds upon; a, the smaller name, stands for both. No table of distances is held."""
+    n = len(x)
+    center, size, alive = x.astype(float), w.astype(float), np.ones(n, bool)
     merges, chain = [], []
-    while alive.sum() > 1:
-        if not chain:
-            chain.append(int(np.flatnonzero(alive)[0]))
-        i = chain[-1]
-        d = ((center - center[i]) ** 2).sum(1) * size * size[i] / (size + size[i])
-        d[~alive] = np.inf
-        d[i] = np.inf
-        j = int(np.argmin(d))
-        if len(chain) > 1 and d[chain[-2]] <= d[j]:
-            j = chain[-2]
-        if len(chain) > 1 and j == chain[-2]:
-            a, b = min(i, j), max(i, j)
-            merges.append((float(d[j]), a, b))
-            center[a] = (center[a] * size[a] + center[b] * size[b]) / (size[a] + size[b])
-            size[a] += size[b]
-            alive[b] = False
-            chain = chain[:-2]
-        else:
+    for _ in range(n - 1):
+        while True:
+            if not chain:
+                chain.append(int(np.flatnonzero(alive)[0]))
+            i = chain[-1]
+            d = ((center - center[i]) ** 2).sum(1) * size * size[i] / (size + size[i])
+            d[~alive] = np.inf
+            d[i] = np.inf
+            j = int(np.argmin(d))
+            if len(chain) > 1 and d[chain[-2]] <= d[j]:
+                break
             chain.append(j)
-    root = np.arange(n)
-    for _, a, b in sorted(merges, key=lambda m: m[0])[: n - k]:
-        root[root == root[b]] = root[a]
-    return np.unique(root[own], return_inverse=True)[1]
-
-
-def ward(vectors: DataFrame, k: int) -> DataFrame:
-    rows = vectors.select("trace_id", "features").orderBy("trace_id").collect()
-    ids, x = [r.trace_id for r in rows], np.array([r.features for r in rows], float)
-    labels = ward_labels(x, k)
-    return vectors.sparkSession.createDataFrame([(i, str(int(g))) for i, g in zip(ids, labels, strict=True)], "trace_id long, group_id string")
-
-
-def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    """Mean Euclidean silhouette; 0 for a trace alone in its group."""
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0)) if len(x) <= 500 else np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
-    groups = np.unique(labels)
-    mean = np.stack([d[:, labels == g].sum(1) for g in groups], 1)
-    size = np.array([(labels == g).sum() for g in groups])
-    own = np.searchsorted(groups, labels)
-    at = np.arange(len(x))
-    a = mean[at, own] / np.maximum(size[own] - 1, 1)
-    other = mean / size
-    other[at, own] = np.inf
-    b = other.min(1)
-    s = np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0.0)
-    return float(s.mean())
+        a, b = sorted(chain[-2:])
+        merges.append((float(d[chain[-2]]), int(names[a]), int(names[b])))
+        center[a] = (center[a] * size[a] + center[b] * size[b]) / (size[a] + size[b])
+        size[a] += size[b]
+        alive[b] = False
+        chain = chain[:-2]
+    return merges
+
+
+def neighbours(clusters: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(pid, other, cost): the cheapest cluster to merge each with, of equals the pair of smallest names. Blocks of clusters meet in pairs, one pair a task."""
+    n = clusters.count()
+    blocks = max(1, -(-n // block))
+    mine = clusters.withColumn("own", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with")
+    sent = mine.select("pid", "features", "w", "own", others).select("pid", "features", "w", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+
+    def meet(key, pdf):
+        import pandas as pd
+
+        left, right = pdf[pdf["own"] == key[0]], pdf[pdf["own"] == key[1]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"pid": [], "lo": [], "hi": [], "cost": []})
+        left, right = left.sort_values("pid"), right.sort_values("pid")
+        x, y, p, q = np.stack(left["features"]), np.stack(right["features"]), left["pid"].to_numpy(), right["pid"].to_numpy()
+        v, w = left["w"].to_numpy(float), right["w"].to_numpy(float)
+        d = np.zeros((len(p), len(q)))
+        for c in range(x.shape[1]):  # differences, not products, so that equal distances come out equal in any block
+            d += (x[:, c, None] - y[None, :, c]) ** 2
+        d *= v[:, None] * w[None] / (v[:, None] + w[None])
+        d[p[:, None] == q[None]] = np.inf
+        rows = [pd.DataFrame({"pid": p, "other": q[d.argmin(1)], "cost": d.min(1)})]
+        if key[0] != key[1]:
+            rows.append(pd.DataFrame({"pid": q, "other": p[d.argmin(0)], "cost": d.min(0)}))
+        out = pd.concat(rows)
+        return pd.DataFrame({"pid": out["pid"], "lo": out[["pid", "other"]].min(axis=1), "hi": out[["pid", "other"]].max(axis=1), "cost": out["cost"]})
+
+    met = sent.groupBy("i", "j").applyInPandas(meet, "pid long, lo long, hi long, cost double")
+    best = met.where(F.col("cost") < float("inf")).groupBy("pid").agg(F.min(F.struct("cost", "lo", "hi")).alias("m"))
+    return best.select("pid", F.when(F.col("m.lo") == F.col("pid"), F.col("m.hi")).otherwise(F.col("m.lo")).alias("other"), F.col("m.cost").alias("cost"))
+
+
+def merge_round(clusters: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The merges (a, b, cost) of all pairs that are each other's neighbours, and the clusters after them. Among the pairs of least cost one always is, so each round merges some."""
+    near = written(neighbours(clusters, block), "neighbours")
+    back = near.select(F.col("pid").alias("b"), F.col("other").alias("a"))
+    pairs = written(near.where("pid < other").select(F.col("pid").alias("a"), F.col("other").alias("b"), "cost").join(back, ["a", "b"]), "merges")
+    gone = clusters.join(pairs.select(F.col("b").alias("pid"), "a"), "pid").select(F.col("a").alias("pid"), F.col("features").alias("f"), F.col("w").alias("v"))
+    rest = clusters.join(pairs.select(F.col("b").alias("pid")), "pid", "left_anti").join(gone, "pid", "left")
+    center = F.zip_with("features", "f", lambda x, y: (x * F.col("w") + y * F.col("v")) / (F.col("w") + F.col("v")))
+    after = rest.select("pid", F.when(F.col("f").isNull(), F.col("features")).otherwise(center).alias("features"), (F.col("w") + F.coalesce("v", F.lit(0))).alias("w"))
+    return pairs, written(after, "clusters")
+
+
+def ward(vectors: DataFrame, k: int, local: int = LOCAL, block: int = BLOCK) -> DataFrame:
+    """(trace_id, group_id) by Ward's agglomeration into k groups, or as many as there are different vectors.
+
+    Merging mutual nearest neighbours in any order gives the same tree. Of its merges the k - 1 most expensive are not made, of equals the last ones.
+    """
+    points = points_of(vectors)
+    spark, clusters, rounds = vectors.sparkSession, points.select("pid", "features", "w"), []
+    left = n = clusters.count()
+    k = max(1, min(k, n))
+    while left > local:
+        pairs, clusters = merge_round(clusters, block)
+        rounds.append(pairs)
+        left = clusters.count()
+    names, x, w = on_driver(clusters)
+    merges = [(cost, len(rounds), i, a, b) for i, (cost, a, b) in enumerate(ward_merges(names, x, w))]
+    dearest = [(r.cost, t, 0, r.a, r.b) for t, pairs in enumerate(rounds) for r in pairs.orderBy(F.desc("cost"), F.desc("a")).limit(k - 1).collect()]
+    undone = {(a, b) for *_, a, b in sorted(merges + dearest)[max(0, len(merges) + len(dearest) - (k - 1)) :]} if k > 1 else set()
+    root = {int(p): int(p) for p in names}
+    for *_, a, b in reversed(merges):  # from the last merge to the first: what was merged into a is where a is
+        root[b] = b if (a, b) in undone else root[a]
+    labels = spark.createDataFrame(list(root.items()), "pid long, label long")
+    split = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in sorted(undone)))
+    for pairs in reversed(rounds):
+        moved = pairs.join(labels, pairs["a"] == labels["pid"]).select(F.col("b").alias("pid"), (F.when(F.array_contains(split, F.struct("a", "b")), F.col("b")).otherwise(F.col("label")) if undone else F.col("label")).alias("label"))
+        labels = written(labels.union(moved), "labels")
+    return labelled(vectors, points, labels)
+
+
+# silhouette
+
+
+def silhouettes(points: DataFrame, labels: DataFrame, block: int = BLOCK) -> list[float]:
+    """The mean Euclidean silhouette of each of several groupings of weighted points; 0 for a vector alone in its group.
+
+    ``labels`` is (pid, labels), an array with a group's number, from 0, for each grouping. Blocks of points meet in pairs; a task returns, for each point of either block, the
+    weighted sum of its distances to the other's points by grouping and group, and these are added up.
+    """
+    known = written(points.join(labels, "pid").select("pid", "features", "w", "labels"), "labelled")
+    n = known.count()
+    if not n:
+        return []
+    sizes = {(r.t, r.g): r.w for r in known.select("w", F.posexplode("labels").alias("t", "g")).groupBy("t", "g").agg(F.sum("w").alias("w")).collect()}
+    groupings = 1 + max(t for t, _ in sizes)
+    groups = 1 + max(g for _, g in sizes)
+    blocks = max(1, -(-n // block))
+    mine = known.withColumn("own", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int"))
+    sent = mine.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with")).select("pid", "features", "w", "labels", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+
+    def meet(key, pdf):
+        import pandas as pd
+
+        left, right = pdf[pdf["own"] == key[0]], pdf[pdf["own"] == key[1]]
+        out = []
+        for one, other in ((left, right), (right, left)) if key[0] != key[1] else ((left, left),):
+            if len(one) and len(other):
+                d = np.zeros((len(one), len(other)))
+                x, y = np.stack(one["features"]), np.stack(other["features"])
+                for c in range(x.shape[1]):
+                    d += (x[:, c, None] - y[None, :, c]) ** 2
+                hot = np.zeros((len(other), groupings * groups))
+                for t, g in enumerate(np.stack(other["labels"]).T):
+                    hot[np.arange(len(other)), t * groups + g] = other["w"]
+                out.append(pd.DataFrame({"pid": one["pid"].to_numpy(), "sums": list(np.sqrt(d) @ hot)}))
+        return pd.concat(out) if out else pd.DataFrame({"pid": [], "sums": []})
+
+    sums = sent.groupBy("i", "j").applyInPandas(meet, "pid long, sums array<double>").select("pid", F.posexplode("sums").alias("slot", "x")).groupBy("pid", "slot").agg(F.sum("x").alias("x"))
+    size = F.create_map(*(F.lit(v) for (t, g), w in sizes.items() for v in (t * groups + g, float(w))))
+    cells = sums.join(known.select("pid", "w", "labels"), "pid").select("pid", "w", F.floor(F.col("slot") / groups).cast("int").alias("t"), (F.col("slot") % groups).cast("int").alias("g"), "x", size[F.col("slot")].alias("n"), "labels").where("n is not null")
+    own = F.col("g") == F.get("labels", F.col("t"))
+    ab_ = cells.groupBy("pid", "t").agg(F.first("w").alias("w"), F.max(F.when(own, F.col("x") / F.greatest(F.col("n") - 1, F.lit(1.0)))).alias("a"), F.max(F.when(own, F.col("n"))).alias("n"), F.min(F.when(~own, F.col("x") / F.col("n"))).alias("b"))
+    s = F.when((F.col("n") > 1) & F.col("b").isNotNull() & (F.greatest("a", "b") > 1e-12), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    means = {r.t: r.s for r in ab_.groupBy("t").agg((F.sum(s * F.col("w")) / F.sum("w")).alias("s")).collect()}
+    return [means[t] for t in range(groupings)]
 
 
 def pick_k(vectors: DataFrame, most: int = 8, seed: int = 0) -> int:
-    """The k from 2 to ``most`` with the best silhouette; the number of traces if there are under three."""
-    ids, x = _bounded(vectors)
-    if len(ids) < 3:
-        return max(1, len(ids))
-    best, found = -2.0, 2
-    for k in range(2, min(most, len(ids) - 1) + 1):
-        grouped = {r.trace_id: int(r.group_id) for r in kmeans(vectors, k, seed).collect()}
-        labels = np.array([grouped[i] for i in ids])
-        value = silhouette(x, labels) if len(set(labels)) > 1 else -1.0
-        if value > best + 1e-12:
-            best, found = value, k
-    return found
+    """The k from 2 to ``most`` with the best silhouette; the number of traces if there are under three. All are judged in one pass."""
+    n = vectors.count()
+    if n < 3:
+        return max(1, n)
+    points = points_of(vectors)
+    ks = list(range(2, min(most, n - 1) + 1))
+    named = points.join(vectors, points["pid"] == vectors["trace_id"]).select("pid")
+    for k in ks:
+        named = named.join(kmeans(vectors, k, seed).select(F.col("trace_id").alias("pid"), F.col("group_id").cast("int").alias(f"k{k}")), "pid")
+    values = silhouettes(points, named.select("pid", F.array(*(f"k{k}" for k in ks)).alias("labels")))
+    best = max(range(len(ks)), key=lambda i: (round(values[i], 9), -ks[i])) if values else 0
+    return ks[best]
 
 
 def control_flow(variants: DataFrame) -> DataFrame:
@@ -126,27 +295,20 @@ def enabled(variants: DataFrame) -> DataFrame:
     return standardised(enabled_tokens(variants), variants)
 
 
-def trace2vec(variants: DataFrame, seed: int = 0, rounds: int = 60, partitions: int = 1) -> DataFrame:
-    """Mean word vectors of a trace's activities and of its activities with enabled sets: an approximation of document vectors.
+def words_of_trace():
+    """A trace's activities, alone and with their enabled sets."""
+    return F.flatten(F.transform("trace", lambda e: F.array(e["a"], F.concat(e["a"], F.lit("|"), F.array_join(e["en"], "+")))))
 
-    Words are learned in ``rounds`` rounds over the variants, which partitions make in parallel at some loss of accuracy."""
-    words = F.flatten(F.transform("trace", lambda e: F.array(e["a"], F.concat(e["a"], F.lit("|"), F.array_join(e["en"], "+")))))
-    docs = variants.select("trace_id", words.alias("w")).cache()
-    size = min(32, max(4, docs.count()))
-    model = Word2Vec(vectorSize=size, minCount=1, numPartitions=partitions, maxIter=rounds, seed=seed, inputCol="w", outputCol="v").fit(docs)
-    return model.transform(docs).select("trace_id", vector_to_array("v").alias("features"))
+
+def trace2vec(variants: DataFrame, seed: int = 0) -> DataFrame:
+    """Paragraph vectors of traces, of 4 to 32 numbers, no more than there are traces."""
+    return paragraph_vectors(variants, words_of_trace(), min(32, max(4, variants.count())), seed)
 
 
 #: Feature sets by name; each takes variants and gives (trace_id, features).
 FEATURES = {"cf": control_flow, "ctx": context_vectors, "enabled": enabled, "trace2vec": trace2vec}
 
 
-# Recorded attributes by what they say about the hidden label.
-ATTRIBUTES = {"clean": ("department", "location", "seniority"), "noisy": ("ticket_channel", "client_tier", "weekday", "noise_score", "flag_a", "flag_b"), "oracle": ("role",)}
-ATTRIBUTES["all"] = ATTRIBUTES["clean"] + ATTRIBUTES["noisy"]
-NUMERIC = ("seniority", "noise_score")
-
-
 def by_vectors(vectors: DataFrame, k: int | None, method: str = "kmeans", seed: int = 0) -> DataFrame:
     """Groups of vectors; without ``k`` the number of groups with the best silhouette."""
     if k is None:
@@ -160,18 +322,10 @@ def cluster(variants: DataFrame, features: str, k: int | None = None, method: st
     return by_vectors(FEATURES[features](variants), k, method, seed)
 
 
-def cluster_by_attributes(traces: DataFrame, attributes: DataFrame, feature_set: str = "clean", k: int | None = None, method: str = "kmeans", seed: int = 0) -> DataFrame:
-    """(trace_id, group_id): distinct traces of (case_id, trace) by what their cases' attributes say: means of numbers, majorities of categories,
-    one-hot and standardised. "oracle" is the hidden label itself, an upper bound."""
-    if feature_set not in ATTRIBUTES:
-        raise ValueError(f"unknown feature set {feature_set!r}; one of {sorted(ATTRIBUTES)}")
-    names = ATTRIBUTES[feature_set]
-    numeric, categorical = [n for n in names if n in NUMERIC], [n for n in names if n not in NUMERIC]
+def cluster_by(traces: DataFrame, attributes: DataFrame, numeric: list[str], categorical: list[str], k: int | None = None, method: str = "kmeans", seed: int = 0) -> DataFrame:
+    """(trace_id, group_id): distinct traces of (case_id, trace) by what their cases' attributes say: means of the named numbers, majorities of the
+    named categories, one-hot and standardised."""
     keyed = traces.select("case_id", F.xxhash64("trace").alias("key"))
-    per_key = aggregate_attributes(keyed, attributes.select("case_id", *names), numeric, categorical)
+    per_key = aggregate_attributes(keyed, attributes.select("case_id", *numeric, *categorical), numeric, categorical)
     vectors = standardised(attribute_tokens(per_key, numeric, categorical), per_key.select(F.col("key").alias("trace_id")))
     return by_vectors(vectors, k, method, seed)
-
-
-#: Attribute clusterings by name; each takes traces and attributes.
-ATTRIBUTE_METHODS = {f"attr_{name}": partial(cluster_by_attributes, feature_set=name) for name in ATTRIBUTES}

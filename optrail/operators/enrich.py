@@ -122,6 +122,14 @@ def enrichment_report(sequences: DataFrame, enriched: DataFrame, group: str = ""
     return before.crossJoin(after).select(F.lit(group).alias("group_id"), "cases_in", "cases_kept", F.when(F.col("cases_in") > 0, F.round(F.col("cases_kept") / F.col("cases_in"), 6)).otherwise(0.0).alias("retention"))
 
 
+def reports(sequences: DataFrame, enriched: DataFrame) -> DataFrame:
+    """(group_id, cases_in, cases_kept, retention) of each group of (group_id, n_cases) and what was kept of it."""
+    before = sequences.groupBy("group_id").agg(F.sum("n_cases").alias("cases_in"))
+    after = enriched.groupBy("group_id").agg(F.sum("n_cases").alias("cases_kept"))
+    kept = F.coalesce("cases_kept", F.lit(0))
+    return before.join(after, "group_id", "left").select("group_id", "cases_in", kept.alias("cases_kept"), F.when(F.col("cases_in") > 0, F.round(kept / F.col("cases_in"), 6)).otherwise(0.0).alias("retention"))
+
+
 def split_and_enrich(grouped: DataFrame, nets: dict[str, PetriNet]) -> DataFrame:
     """(group_id, acts, n_cases, trace) of (group_id, acts, n_cases), each group replayed on its own net.
 

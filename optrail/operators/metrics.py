@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,31 @@ def recovery(cells: DataFrame) -> DataFrame:
     return one.select(F.round(nmi, 6).alias("nmi"), F.round(hom, 6).alias("homogeneity"), F.round(com, 6).alias("completeness"), F.round(v, 6).alias("v_measure"), "purity")
 
 
+def agreement(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ari, nmi, homogeneity, completeness, v_measure, purity, n_groups) of many contingencies (keys, t, p, n) at once; the same measures as those of one."""
+    size, pairs = F.sum("n"), F.sum(_choose2(F.col("n")))
+    own = [F.col(k) for k in keys]
+    t = cells.groupBy(*own, "t").agg(size.alias("n")).groupBy(*own).agg(pairs.alias("a"), entropy_of().alias("h_t"))
+    p = cells.groupBy(*own, "p").agg(size.alias("n"), F.max("n").alias("best")).groupBy(*own).agg(pairs.alias("b"), entropy_of().alias("h_p"), (F.sum("best") / size).alias("purity"), F.count(F.lit(1)).alias("n_groups"))
+    both = cells.groupBy(*own).agg(pairs.alias("idx"), entropy_of().alias("h_tp"), size.alias("n"))
+    one = both.join(t, keys).join(p, keys).withColumn("mi", F.greatest(F.lit(0.0), F.col("h_t") + F.col("h_p") - F.col("h_tp")))
+    expected, most, tiny = F.col("a") * F.col("b") / F.greatest(_choose2(F.col("n")), F.lit(1.0)), (F.col("a") + F.col("b")) / 2, 1e-12
+    ari = F.when((F.col("n") < 2) | (most == expected), 1.0).otherwise((F.col("idx") - expected) / (most - expected))
+    hom = F.when(F.col("h_t") > tiny, F.col("mi") / F.col("h_t")).otherwise(1.0)
+    com = F.when(F.col("h_p") > tiny, F.col("mi") / F.col("h_p")).otherwise(1.0)
+    nmi = F.when(F.col("h_t") + F.col("h_p") > tiny, 2 * F.col("mi") / (F.col("h_t") + F.col("h_p"))).otherwise(1.0)
+    v = F.when(hom + com > tiny, 2 * hom * com / (hom + com)).otherwise(0.0)
+    named = {"ari": ari, "nmi": nmi, "homogeneity": hom, "completeness": com, "v_measure": v, "purity": F.col("purity")}
+    return one.select(*own, *(F.round(c, 6).alias(n) for n, c in named.items()), "n_groups")
+
+
+def incoherence_by(grouped: DataFrame, keys: list[str]) -> DataFrame:
+    """``incoherence`` of many groupings (keys, group_id, trace, n_cases) at once."""
+    keyed = grouped.groupBy(*keys, "group_id", ab.variant_text(F.col("trace")).alias("variant"), ab.trace_text(F.col("trace")).alias("sig")).agg(F.sum("n_cases").alias("n"))
+    per = keyed.groupBy(*keys, "group_id", "variant").agg(F.count(F.lit(1)).alias("sigs"), F.sum("n").alias("n"), (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h"))
+    return per.groupBy(*keys).agg(F.round(F.avg("sigs"), 6).alias("mean_signatures"), F.max("sigs").alias("max_signatures"), F.round(F.sum(F.col("h") * F.col("n")) / F.sum("n"), 6).alias("entropy"))
+
+
 def incoherence(grouped: DataFrame) -> DataFrame:
     """One row over (group_id, trace, n_cases): mean and largest number of enabled signatures of a group's
     executed variant, and the mean entropy in bits of the signatures of such a variant, by cases."""
@@ -63,10 +90,47 @@ def incoherence(grouped: DataFrame) -> DataFrame:
     return per.agg(F.round(F.avg("sigs"), 6).alias("mean_signatures"), F.max("sigs").alias("max_signatures"), F.round(F.sum(F.col("h") * F.col("n")) / F.sum("n"), 6).alias("entropy"))
 
 
+#: Parts into which a range is cut to find what lies at a rank.
+PARTS = 256
+
+
+def quantiles(values: DataFrame, column: str, shares: tuple[float, ...]) -> list[float]:
+    """Exact quantiles with linear interpolation, as one would read them off the sorted values; none for no values. Null, NaN and infinite values do not count.
+
+    Every rank that is asked for has a range in which its value lies, at first that of all values. A pass counts the values of all ranges by equal parts; the part
+    that holds the rank, from its smallest to its largest value, is the range of the next pass, until both are one. A pass sends PARTS rows a range at most.
+    """
+    v = values.select(F.col(column).cast("double").alias("v")).where("abs(v) < double('infinity')")
+    whole = v.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not whole.n:
+        return []
+    places = [(whole.n - 1) * p for p in shares]
+    ranges = {int(r): (whole.lo, whole.hi, 0) for h in places for r in (math.floor(h), math.ceil(h))}  # from, to, values before
+    while True:
+        open_ = sorted({(lo, hi) for lo, hi, _ in ranges.values() if lo < hi})
+        if not open_:
+            break
+        found: dict[tuple[float, float], list] = {r: [] for r in open_}
+        share = lambda lo, hi: (F.col("v") - lo) / (hi - lo) if hi - lo < math.inf else (F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2)
+        part = lambda lo, hi: F.when(F.col("v").between(lo, hi), F.least(F.floor(share(lo, hi) * PARTS), F.lit(PARTS - 1)).cast("int"))
+        cells = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), part(lo, hi).alias("part")) for i, (lo, hi) in enumerate(open_))))
+        counted = v.select("v", cells.alias("c")).where("c.part is not null").groupBy("c.i", "c.part").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for r in sorted(counted.collect()):
+            found[open_[r.i]].append((r.lo, r.hi, r.n))
+        for rank, (lo, hi, before) in ranges.items():
+            for low, high, n in found.get((lo, hi), ()):
+                if rank < before + n:
+                    ranges[rank] = low, high, before
+                    break
+                before += n
+    at = lambda h: ranges[math.floor(h)][0] + (ranges[math.ceil(h)][0] - ranges[math.floor(h)][0]) * (h - math.floor(h))
+    return [at(h) for h in places]
+
+
 def quantile_bins(values: DataFrame, column: str) -> DataFrame:
     """``values`` with ``bin``: right-open intervals between the distinct 20, 40, 60 and 80 % quantiles."""
-    cuts = values.agg(F.percentile(column, F.array(*(F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)))).alias("cuts"))
-    return values.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter(F.array_distinct("cuts"), lambda c: F.col(column) >= c)).cast("string")).drop("cuts")
+    cuts = sorted(set(quantiles(values, column, (0.2, 0.4, 0.6, 0.8))))
+    return values.withColumn("bin", sum((F.when(F.col(column) >= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("string"))
 
 
 def attribute_informativeness(cases: DataFrame, attribute: str, label: str = "label") -> DataFrame:

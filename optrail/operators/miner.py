@@ -1,24 +1,19 @@
-"""Inductive miner over weighted variants.
+"""Inductive miner over weighted traces: graphs, cuts, splits, and the recursion over a log that is held in memory.
 
-The recursion works on weighted traces: variants, not cases, of which a log has few. A log of more than LOCAL variants
-is refused, not gathered; `mine_groups` mines views or other groups by workers instead.
+``levels`` runs the same decisions over tables, for logs of any size, and comes here with what is small.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from .model import TAU, Tree, leaf, node
 
-from .model import TAU, PetriNet, Tree, fold, follows, leaf, net_of, node, parse_identifier
-
-VARIANTS = ("im", "imto", "imts", "imtf")
-#: Most variants that the driver or one worker mines at a time.
-LOCAL = 200_000
-#: Deepest recursion; below it a flower stands.
+#: By directly-follows pairs, by enabled sets, one after the other, and tolerant of rare behaviour.
+VARIANTS = ("im", "imto", "imts", "imtf", "imf")
+#: Deepest recursion; below it a flower stands. Every cut takes activities away and every other split is followed by one, so a log of fewer than half as many activities does not get there.
 DEEPEST = 500
 
 Trace = tuple[tuple[str, frozenset[str]], ...]
@@ -75,15 +70,16 @@ def translucent_graph(log: Log, by_frequency: bool = False) -> Graph:
     return Graph(nodes, edges, dict.fromkeys(starts, 1), dict.fromkeys(ends, 1))
 
 
-def without_rare(g: Graph, threshold: float) -> Graph:
-    """Edges under a share of their source's strongest go; a node left without incoming edges gets its strongest back."""
+def without_rare(g: Graph, threshold: float, with_ends: bool = False) -> Graph:
+    """Edges under a share of their source's strongest go; a node left without incoming edges gets its strongest back. ``with_ends`` counts ending as an
+    edge, and starting as an incoming one."""
     if threshold <= 0:
         return g
-    top: dict[str, float] = {}
+    top: dict[str, float] = dict(g.ends) if with_ends else {}
     for (a, _), w in g.edges.items():
         top[a] = max(w, top.get(a, 0))
     kept = {p: w for p, w in g.edges.items() if w >= threshold * top[p[0]]}
-    fed = {b for _, b in kept}
+    fed = {b for _, b in kept} | (set(g.starts) if with_ends else set())
     for b in {b for _, b in g.edges} - fed:
         a = min((a for a, x in g.edges if x == b), key=lambda a: (-g.edges[a, b], a))
         kept[a, b] = g.edges[a, b]
@@ -91,16 +87,107 @@ def without_rare(g: Graph, threshold: float) -> Graph:
     return Graph(g.nodes, kept, cut(g.starts), cut(g.ends))
 
 
-def graphs(log: Log, variant: str, noise: float) -> list[Graph]:
+class Part:
+    """What decides how a part of a log is split; here from the part itself."""
+
+    def __init__(self, log: Log):
+        self.log = {t: n for t, n in log.items() if t}
+        self.empty, self.filled = log.get((), 0), sum(self.log.values())
+
+    @cached_property
+    def nodes(self) -> list[str]:
+        return alphabet(self.log)
+
+    @cached_property
+    def single(self) -> bool:
+        """Whether all traces with events have one."""
+        return all(len(t) == 1 for t in self.log)
+
+    @cached_property
+    def once(self) -> list[str]:
+        """Activities that occur exactly once in each trace with events."""
+        return [a for a in self.nodes if all(sum(x == a for x, _ in t) == 1 for t in self.log)]
+
+    @cached_property
+    def classical(self) -> Graph:
+        return classical_graph(self.log)
+
+    @cached_property
+    def translucent(self) -> Graph:
+        return translucent_graph(self.log)
+
+    @cached_property
+    def frequent(self) -> Graph:
+        return translucent_graph(self.log, True)
+
+
+def graphs(part: Part, variant: str, noise: float) -> list[Graph]:
     """The graphs to look for cuts in, in order."""
-    classical = lambda: without_rare(classical_graph(log), noise)
-    translucent = lambda: without_rare(translucent_graph(log, True), noise) if noise > 0 else translucent_graph(log)
-    makers = {"im": [classical], "imto": [translucent], "imts": [classical, translucent], "imtf": [translucent, classical]}
-    if variant not in makers:
-        raise ValueError(f"unknown variant {variant!r}; one of {VARIANTS}")
+    classical = lambda: without_rare(part.classical, noise)
+    translucent = lambda: without_rare(part.frequent, noise) if noise > 0 else part.translucent
+    tolerant = [lambda: part.classical, *([lambda: without_rare(part.classical, noise, True)] if noise > 0 else [])]
+    makers = {"im": [classical], "imto": [translucent], "imts": [classical, translucent], "imtf": [translucent, classical], "imf": tolerant}
     return [make() for make in makers[variant]]
 
 
+def known_variant(variant: str) -> str:
+    if variant.lower() not in VARIANTS:
+        raise ValueError(f"unknown variant {variant!r}; one of {VARIANTS}")
+    return variant.lower()
+
+
+@dataclass
+class Split:
+    """How a part is split: the operator above its children, leaves among them that are known already, and what goes into the others.
+
+    ``how`` is one of "xor", "project", "segments" (in their order, with least loss), "loop" (body and redo) and "restart" (before ``groups[0]``, behind
+    ``groups[1]`` if there is one). "project" takes traces with events alone if ``filled`` says so.
+    """
+
+    kind: str
+    how: str
+    groups: list[list[str]]
+    before: tuple[Tree, ...] = ()
+    after: tuple[Tree, ...] = ()
+    filled: bool = False
+
+    def children(self) -> int:
+        return {"loop": 2, "restart": 1}.get(self.how, len(self.groups))
+
+    def tree(self, children: list[Tree]) -> Tree:
+        parts = (*self.before, *children, *self.after)
+        return Tree("loop", None, parts) if self.kind == "loop" else node(self.kind, *parts)
+
+
+def decide(part: Part, variant: str, noise: float, depth: int) -> Tree | Split:
+    """The tree of a part, or how to split it."""
+    if not part.filled:
+        return leaf(TAU)
+    if depth >= DEEPEST:
+        return flower(part.nodes)
+    if part.empty:
+        if variant == "imf" and part.empty < noise * (part.empty + part.filled):  # so few empty traces that they are noise
+            return Split("seq", "project", [part.nodes], filled=True)
+        return Split("xor", "project", [part.nodes], before=(leaf(TAU),), filled=True)
+    if len(part.nodes) == 1 and part.single:
+        return leaf(part.nodes[0])
+    for g in graphs(part, variant, noise):
+        cut = find_cut(g)
+        if cut:
+            kind, groups = cut
+            if kind == "loop":
+                groups = [groups[0], sorted(set().union(*groups[1:]))]
+            how = {"xor": "xor", "loop": "loop", "seq": "segments" if variant == "imf" else "project"}.get(kind, "project")
+            return Split(kind, how, groups)
+    if len(part.nodes) > 1 and part.once:
+        return Split("and", "project", [[a for a in part.nodes if a != part.once[0]]], before=(leaf(part.once[0]),))
+    g = part.classical
+    for limits in (set(g.ends), None):
+        if any(y in g.starts and (limits is None or x in limits) for x, y in g.edges):
+            return Split("loop", "restart", [sorted(g.starts), *([sorted(limits)] if limits else [])], after=(leaf(TAU),))
+    return flower(part.nodes)
+
+
 def groups_of(nodes: list[str], linked) -> list[list[str]]:
     """Connected groups of nodes under a symmetric relation, by smallest member."""
     left, out = list(nodes), []
@@ -167,147 +254,60 @@ def loop_cut(g: Graph) -> tuple[str, list[list[str]]] | None:
     return ("loop", [sorted(body), *redo]) if redo else None
 
 
-def projected(log: Log, keep: set[str]) -> Log:
-    out: Log = Counter()
-    for trace, n in log.items():
-        out[tuple((a, en & keep) for a, en in trace if a in keep)] += n
-    return out
-
-
-def split_log(log: Log, kind: str, groups: list[list[str]]) -> list[Log]:
-    """One log for each group of a cut; a loop has two, body and all redo parts."""
-    sets = [set(x) for x in groups]
-    if kind == "xor":
-        out: list[Log] = [Counter() for _ in groups]
-        for trace, n in log.items():
-            counts = [sum(a in s for a, _ in trace) for s in sets]
-            k = counts.index(max(counts))
-            out[k][tuple((a, en & sets[k]) for a, en in trace if a in sets[k])] += n
-        return out
-    if kind != "loop":
-        return [projected(log, s) for s in sets]
-    body, redo = sets[0], set().union(*sets[1:])
-    do_log, redo_log = Counter(), Counter()
-    for trace, n in log.items():
-        part, doing = [], True
+def kept(trace: Trace, keep: set[str]) -> Trace:
+    return tuple((a, en & keep) for a, en in trace if a in keep)
+
+
+def segments(trace: Trace, sets: list[set[str]]) -> list[int]:
+    """The group of each event, never falling along the trace, so that the most events lie in their own; of equals the last in order."""
+    best: list[tuple[int, list[int]]] = [(0, [])] * len(sets)
+    for a, _ in trace:
+        best = [max((best[i][0] + (a in s), [*best[i][1], j]) for i in range(j + 1)) for j, s in enumerate(sets)]
+    return max(best)[1]
+
+
+def split_trace(trace: Trace, split: Split) -> list[tuple[int, Trace]]:
+    """(child, trace) of all that one trace gives."""
+    sets = [set(x) for x in split.groups]
+    if split.how == "xor":
+        counts = [sum(a in s for a, _ in trace) for s in sets]
+        k = counts.index(max(counts))
+        return [(k, kept(trace, sets[k]))]
+    if split.how == "segments":
+        path = segments(trace, sets)
+        return [(j, tuple((a, en & s) for (a, en), k in zip(trace, path, strict=True) if k == j and a in s)) for j, s in enumerate(sets)]
+    if split.how == "project":
+        return [(j, kept(trace, s)) for j, s in enumerate(sets)] if trace or not split.filled else []
+    out, part = [], []
+    if split.how == "restart":
         for a, en in trace:
-            if (a in body) != doing:
-                (do_log if doing else redo_log)[tuple(part)] += n
-                part, doing = [], not doing
-            part.append((a, en & (body if doing else redo)))
-        if doing:
-            do_log[tuple(part)] += n
-        else:
-            redo_log[tuple(part)] += n
-            do_log[()] += n
-    return [do_log, redo_log]
-
-
-def restarts(log: Log, starts: set[str], ends: set[str] | None) -> Log | None:
-    """Traces cut before every start activity (after an end activity, if ``ends`` are given); None if nothing is cut."""
-    out: Log = Counter()
-    for trace, n in log.items():
-        part: list = []
-        for a, en in trace:
-            if part and a in starts and (ends is None or part[-1][0] in ends):
-                out[tuple(part)] += n
+            if part and a in sets[0] and (len(sets) == 1 or part[-1][0] in sets[1]):
+                out.append((0, tuple(part)))
                 part = []
             part.append((a, en))
-        out[tuple(part)] += n
-    return out if sum(out.values()) > sum(log.values()) else None
+        return [*out, (0, tuple(part))]
+    doing = True
+    for a, en in trace:
+        if (a in sets[0]) != doing:
+            out.append((0 if doing else 1, tuple(part)))
+            part, doing = [], not doing
+        part.append((a, en & sets[0 if doing else 1]))
+    return [*out, (0, tuple(part))] if doing else [*out, (1, tuple(part)), (0, ())]
 
 
 def mine_tree(log: Log, variant: str = "imtf", noise: float = 0.0, depth: int = 0) -> Tree:
     """The process tree of a log of weighted traces."""
-    variant = variant.lower()
-    if variant not in VARIANTS:
-        raise ValueError(f"unknown variant {variant!r}; one of {VARIANTS}")
-    empty, filled = log.get((), 0), {t: n for t, n in log.items() if t}
-    if not filled:
-        return leaf(TAU)
-    again = lambda x: mine_tree(x, variant, noise, depth + 1)
-    names = alphabet(filled)
-    if depth >= DEEPEST:
-        return flower(names)
-    if empty:
-        return node("xor", leaf(TAU), again(filled))
-    if len(names) == 1 and all(len(t) == 1 for t in filled):
-        return leaf(names[0])
-    for g in graphs(filled, variant, noise):
-        cut = find_cut(g)
-        if cut:
-            kind, groups = cut
-            return node(kind, *map(again, split_log(filled, kind, groups)))
-    if len(names) > 1:
-        once = next((a for a in names if all(sum(x == a for x, _ in t) == 1 for t in filled)), None)
-        if once is not None:
-            return node("and", leaf(once), again(projected(filled, set(names) - {once})))
-    starts, ends = {t[0][0] for t in filled}, {t[-1][0] for t in filled}
-    for limits in (ends, None):
-        parts = restarts(filled, starts, limits)
-        if parts is not None:
-            return Tree("loop", None, (again(parts), leaf(TAU)))
-    return flower(names)
+    variant = known_variant(variant)
+    found = decide(Part(log), variant, noise, depth)
+    if isinstance(found, Tree):
+        return found
+    logs: list[Log] = [Counter() for _ in range(found.children())]
+    for trace, n in log.items():
+        for k, part in split_trace(trace, found):
+            logs[k][part] += n
+    return found.tree([mine_tree(x, variant, noise, depth + 1) for x in logs])
 
 
 def flower(names: list[str]) -> Tree:
     """Any activities in any order."""
     return Tree("loop", None, (leaf(TAU), *map(leaf, names)))
-
-
-def local_log(variants: DataFrame, most: int = LOCAL) -> Log:
-    """Variants as a weighted log on the driver; refuses more than ``most``."""
-    rows = variants.select("trace", "n_cases").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} variants: mine by view or filter the log first")
-    out: Log = Counter()
-    for r in rows:
-        out[tuple((e.a, frozenset(e.en)) for e in r.trace)] += r.n_cases
-    return out
-
-
-def discover_tree(variants: DataFrame, variant: str = "imtf", noise: float = 0.0) -> Tree:
-    return fold(mine_tree(local_log(variants), variant, noise))
-
-
-def discover_net(variants: DataFrame, variant: str = "imtf", noise: float = 0.0) -> PetriNet:
-    return net_of(discover_tree(variants, variant, noise))
-
-
-def view_tree(kappa: str, variants: DataFrame, mode: str = "identifier") -> Tree:
-    """A view's model: its identifier, or mined from its variants with or without enabled sets."""
-    if mode == "identifier":
-        return fold(parse_identifier(kappa))
-    if mode not in ("translucent_im", "classic_im"):
-        raise ValueError(f"unknown mode {mode!r}")
-    return discover_tree(variants, "imtf" if mode == "translucent_im" else "im")
-
-
-def mine_groups(grouped: DataFrame, variant: str = "imtf", noise: float = 0.0) -> DataFrame:
-    """(group_id, tree): one model for each group of (group_id, trace, n_cases), mined by workers.
-
-    Equal traces are counted together first. A group's variants are one worker's input, the miner's own bound.
-    """
-    return each_group(grouped, variant, noise, lambda tree: [(str(tree),)], "tree string")
-
-
-def mine_follows(grouped: DataFrame, variant: str = "imtf", noise: float = 0.0) -> DataFrame:
-    """(group_id, x, y): pairs that may follow each other directly in the runs of each group's model."""
-    return each_group(grouped, variant, noise, lambda tree: sorted(follows(tree)[2]), "x string, y string")
-
-
-def each_group(grouped: DataFrame, variant: str, noise: float, rows_of: Callable[[Tree], list[tuple]], ddl: str) -> DataFrame:
-    counted = grouped.groupBy("group_id", "trace").agg(F.sum("n_cases").alias("n_cases"))
-    names = [x.split()[0] for x in ddl.split(", ")]
-
-    def mine(pdf):
-        import pandas as pd
-
-        log: Log = Counter()
-        for trace, n in zip(pdf["trace"], pdf["n_cases"], strict=True):
-            log[tuple((e["a"], frozenset(e["en"])) for e in trace)] += int(n)
-        out = pd.DataFrame(rows_of(fold(mine_tree(log, variant, noise))), columns=names)
-        out.insert(0, "group_id", pdf["group_id"].iloc[0])
-        return out
-
-    return counted.groupBy("group_id").applyInPandas(mine, f"group_id string, {ddl}")

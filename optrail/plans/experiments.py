@@ -1,7 +1,4 @@
-"""Experiments: compositions of the operators over generated and derived logs, and the queries without a SQL oracle.
-
-Generated logs are small by their parameters and are cached, for many rows of a table are computed from each.
-"""
+"""Experiments: compositions of the operators over logs derived from the tables, and the queries without a SQL oracle."""
 
 from __future__ import annotations
 
@@ -11,17 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import abstraction as ab
+from ..functions.checkpoints import written
 from ..operators import clustering as cl
 from ..operators import enrich as en
 from ..operators import grouping as gr
+from ..operators import levels
 from ..operators import log as lg
 from ..operators import metrics as mt
 from ..operators import miner, model, quality
 from ..operators import relations as rel
 from ..operators import views as vw
 from ..sources import synth as sy
-from ..sources.logs import derived_traces
-from .registry import query, user_label
+from ..sources.logs import derived_traces, order_traces
+from .registry import conversation_traces, query, user_label
 
 T = "trace"
 
@@ -38,54 +37,44 @@ def labelled_variants(traces: DataFrame) -> DataFrame:
     return traces.groupBy("label", "trace").agg(F.count(F.lit(1)).alias("n_cases"), F.min("case_ord").alias("first_ord")).withColumn("trace_id", F.xxhash64("trace"))
 
 
-def recovery_row(traces: DataFrame, groups: DataFrame, log: str, method: str) -> DataFrame:
-    """One row of agreement between a grouping (trace_id, group_id) and the hidden labels, by cases."""
-    pairs = traces.withColumn("trace_id", F.xxhash64("trace")).join(groups, "trace_id").select(F.col("label").alias("t"), F.col("group_id").cast("string").alias("p"))
-    cells = mt.contingency(pairs)
-    size = cells.agg(F.count_distinct("p").alias("n_groups"))
-    return mt.adjusted_rand_index(cells).crossJoin(mt.recovery(cells)).crossJoin(size).select(F.lit(log).alias("log"), F.lit(method).alias("method"), "*")
+def recovery_rows(traces: DataFrame, groups: DataFrame, log: str) -> DataFrame:
+    """(log, method, agreement): how each grouping (method, trace_id, group_id) agrees with the hidden labels of (trace, label), by cases."""
+    pairs = traces.groupBy(F.xxhash64(T).alias("trace_id"), F.col("label").alias("t")).agg(F.count(F.lit(1)).alias("n")).join(groups, "trace_id")
+    cells = pairs.groupBy("method", "t", F.col("group_id").cast("string").alias("p")).agg(F.sum("n").alias("n"))
+    return mt.agreement(cells, ["method"]).select(F.lit(log).alias("log"), "*")
 
 
-def separation(spark: SparkSession, names: tuple[str, ...], seed: int = 0) -> DataFrame:
-    """Every partition method on every log: agreement, number of groups, coherence of enabled sets."""
-    rows = []
-    for name in names:
-        traces = sy.LOGS[name][0](spark, seed).cache()
-        v = lg.variants_of(traces).cache()
-        for method, group in gr.PARTITIONS.items():
-            groups = group(v)
-            rows.append(recovery_row(traces, groups, name, method).crossJoin(mt.incoherence(v.join(groups, "trace_id"))))
-    return union_all(rows)
+def separation(traces: DataFrame, log: str) -> DataFrame:
+    """Every partition method on a labelled log: agreement, number of groups, coherence of enabled sets."""
+    traces = written(traces.select("case_id", "case_ord", "label", T), "traces")
+    v = written(lg.variants_of(traces), "variants")
+    groups = written(union_all([group(v).select(F.lit(method).alias("method"), "trace_id", F.col("group_id").cast("string").alias("group_id")) for method, group in gr.PARTITIONS.items()]), "groups")
+    return recovery_rows(traces, groups, log).join(mt.incoherence_by(v.join(groups, "trace_id"), ["method"]), "method")
 
 
-def clustering_rows(spark: SparkSession, name: str, k: int, seed: int = 0) -> DataFrame:
-    traces = sy.LOGS[name][0](spark, seed).cache()
-    v = lg.variants_of(traces).cache()
-    return union_all([recovery_row(traces, cl.cluster(v, f, k, m, seed), name, f"{f}_{m}") for f, m in (("cf", "kmeans"), ("cf", "ward"), ("ctx", "kmeans"), ("enabled", "kmeans"))])
+def clustering_rows(traces: DataFrame, log: str, k: int | None, seed: int = 0, methods: tuple = (("cf", "kmeans"), ("cf", "ward"), ("ctx", "kmeans"), ("enabled", "kmeans"))) -> DataFrame:
+    traces = written(traces.select("case_id", "case_ord", "label", T), "traces")
+    v = written(lg.variants_of(traces), "variants")
+    groups = union_all([cl.cluster(v, f, k, m, seed).select(F.lit(f"{f}_{m}").alias("method"), "trace_id", "group_id") for f, m in methods])
+    return recovery_rows(traces, written(groups, "groups"), log)
 
 
-def noise_sweep(spark: SparkSession, levels: tuple[float, ...], modes: tuple[str, ...] = ("balanced", "realistic"), per_role: int = 60, seed: int = 0) -> DataFrame:
-    """The service desk under noise: agreement of views with and without support."""
-    clean, rows = sy.service_desk(spark, per_role, seed), []
-    for mode in modes:
-        for level in levels:
-            noisy = sy.perturb_enabled(clean, level, mode, seed).cache()
-            v = lg.variants_of(noisy).cache()
-            for method in ("kappa", "kappa_supported"):
-                rows.append(recovery_row(noisy, gr.PARTITIONS[method](v), "service_desk", method).withColumn("noise", F.lit(level)).withColumn("mode", F.lit(mode)))
-    return union_all(rows)
+def noise_sweep(clean: DataFrame, log: str, steps: tuple[float, ...], modes: tuple[str, ...] = ("balanced", "realistic"), seeds: tuple[int, ...] = (0,)) -> DataFrame:
+    """(log, noise, mode, seed, kept, ari, n_views): enabled sets under noise, the agreement of their views with those of the log without it and with the hidden labels."""
+    base, keys = written(clean.select("case_id", "label", T, ab.kappa(F.col(T)).alias("clean")), "clean"), ["noise", "mode", "seed"]
+    noisy = union_all([sy.perturb_enabled(base, x, mode, seed).select("label", "clean", ab.kappa(F.col(T)).alias("p"), F.lit(x).alias("noise"), F.lit(mode).alias("mode"), F.lit(seed).alias("seed")) for mode in modes for x in steps for seed in seeds])
+    counted = written(noisy.groupBy(*keys, "label", "clean", "p").agg(F.count(F.lit(1)).alias("n")), "noisy")
+    agree = lambda t: mt.agreement(counted.groupBy(*keys, F.col(t).alias("t"), "p").agg(F.sum("n").alias("n")), keys)
+    kept = agree("clean").select(*keys, F.col("ari").alias("kept"))
+    return kept.join(agree("label"), keys).select(F.lit(log).alias("log"), *keys, "kept", "ari", F.col("n_groups").alias("n_views"))
 
 
-def tie_breaks(spark: SparkSession, names: tuple[str, ...], seed: int = 0) -> DataFrame:
-    """Agreement of the other two decompositions with the leftmost one, and their views."""
-    rows = []
-    for name in names:
-        v = lg.variants_of(sy.LOGS[name][0](spark, seed))
-        for kind in ab.DECOMPOSITIONS:
-            pairs = v.select(ab.kappa(T).alias("t"), ab.kappa(T, kind).alias("p"), F.col("n_cases").alias("n"))
-            cells = mt.contingency(pairs)
-            rows.append(mt.adjusted_rand_index(cells).crossJoin(cells.agg(F.count_distinct("p").alias("n_views"))).select(F.lit(name).alias("log"), F.lit(kind).alias("decomposition"), "ari", "n_views"))
-    return union_all(rows)
+def tie_breaks(traces: DataFrame) -> DataFrame:
+    """(decomposition, ari, n_views): agreement of the decompositions with the leftmost one, by cases, and their views."""
+    v = lg.variants_of(traces).select("n_cases", *(ab.kappa(F.col(T), kind).alias(kind) for kind in ab.DECOMPOSITIONS))
+    each = v.select(F.col("leftmost").alias("t"), "n_cases", F.explode(F.array(*(F.struct(F.lit(kind).alias("decomposition"), F.col(kind).alias("p")) for kind in ab.DECOMPOSITIONS))).alias("x"))
+    cells = each.groupBy("t", "x.decomposition", "x.p").agg(F.sum("n_cases").alias("n"))
+    return mt.agreement(cells, ["decomposition"]).select("decomposition", "ari", F.col("n_groups").alias("n_views"))
 
 
 def learning_curve(variants: DataFrame, shares: tuple[float, ...] = (0.1, 0.3, 0.7)) -> DataFrame:
@@ -93,10 +82,10 @@ def learning_curve(variants: DataFrame, shares: tuple[float, ...] = (0.1, 0.3, 0
     return union_all([gr.held_out_coverage(variants, f, share=s).select(F.lit(name).alias("key"), F.lit(s).alias("share"), "coverage") for name, f in keys.items() for s in shares])
 
 
-def timed(spark: SparkSession, name: str, repeats: int = 3, seed: int = 0) -> DataFrame:
-    """Best wall-clock seconds of grouping a log that is already in memory."""
-    v = lg.variants_of(sy.LOGS[name][0](spark, seed)).cache()
-    n, rows = v.count(), []
+def timed(traces: DataFrame, name: str, repeats: int = 3) -> DataFrame:
+    """(log, method, n_traces, seconds): best wall-clock seconds of grouping a log whose variants are written."""
+    v = written(lg.variants_of(traces), "variants")
+    spark, n, rows = v.sparkSession, v.count(), []
     for method, group in gr.PARTITIONS.items():
         took = []
         for _ in range(repeats):
@@ -107,37 +96,64 @@ def timed(spark: SparkSession, name: str, repeats: int = 3, seed: int = 0) -> Da
     return spark.createDataFrame(rows, "log string, method string, n_traces long, seconds double")
 
 
+def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of `events` with its hidden label."""
+    return derived_traces(spark, sf_dir).withColumn("label", user_label())
+
+
+def labelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of `lineitem` with the priority of each order as its label."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("case_id"), F.col("o_orderpriority").alias("label"))
+    return order_traces(spark, sf_dir).join(o, "case_id")
+
+
+@query
+def separation_by_method(spark, sf_dir):
+    return separation(labelled_events(spark, sf_dir), "events").unionByName(separation(labelled_orders(spark, sf_dir), "orders"))
+
+
+@query
+def clustering_recovery(spark, sf_dir):
+    return clustering_rows(labelled_events(spark, sf_dir), "events", 4)
+
+
 @query
-def synth_separation(spark, sf_dir):
-    return separation(spark, ("hidden_context", "k_view_k3"))
+def noise_by_level(spark, sf_dir):
+    return noise_sweep(labelled_events(spark, sf_dir), "events", (0.05, 0.2))
 
 
 @query
-def synth_clustering(spark, sf_dir):
-    return clustering_rows(spark, "hidden_context", 3)
+def noise_over_seeds(spark, sf_dir):
+    """How views' agreement with those of the log without noise varies over seeds."""
+    rows = noise_sweep(labelled_events(spark, sf_dir), "events", (0.1,), ("balanced",), (0, 1, 2))
+    return mt.spread(rows, ["noise"], "kept", "seed")
 
 
 @query
-def synth_noise(spark, sf_dir):
-    return noise_sweep(spark, (0.05, 0.2), ("balanced",))
+def decompositions_compared(spark, sf_dir):
+    return tie_breaks(derived_traces(spark, sf_dir))
 
 
 @query
-def synth_tie_breaks(spark, sf_dir):
-    return tie_breaks(spark, ("hidden_context", "partial_parallel"))
+def log_overview(spark, sf_dir):
+    """Sizes of the logs that the tables give."""
+    logs = {"events": derived_traces(spark, sf_dir), "orders": order_traces(spark, sf_dir), "conversations": conversation_traces(spark, sf_dir)}
+    return union_all([lg.kpis(lg.variants_of(traces)).select(F.lit(name).alias("log"), "*") for name, traces in logs.items()])
 
 
 @query
-def synth_overview(spark, sf_dir):
-    """Sizes of every registered log."""
-    return union_all([lg.kpis(lg.variants_of(make(spark, 0))).select(F.lit(name).alias("log"), "*") for name, (make, _) in sy.LOGS.items()])
+def grouping_seconds(spark, sf_dir):
+    return timed(derived_traces(spark, sf_dir), "events", 1)
 
 
 @query
-def synth_attributes(spark, sf_dir):
-    df = sy.hidden_context(spark, 200)
-    cases = sy.case_attributes(df).join(df.select("case_id", "label"), "case_id")
-    return union_all([mt.attribute_informativeness(cases, a) for a in ("role", "department", "location", "seniority", "weekday", "noise_score")])
+def views_repeat(spark, sf_dir):
+    """Views of the log with its cases dealt in two ways: how many there are, and how many rows of either are not among the other's."""
+    traces = derived_traces(spark, sf_dir)
+    first, second = (vw.induce_views(lg.variants_of(traces.repartition(n, *key))) for n, key in ((3, ()), (17, ("case_id",))))
+    one, other = first.withColumn("side", F.lit(1)), second.withColumn("side", F.lit(-1))
+    rows = one.union(other).groupBy(*first.columns).agg(F.sum("side").alias("side"))
+    return rows.agg(F.count(F.lit(1)).alias("n_views"), F.coalesce(F.sum(F.abs("side")), F.lit(0)).alias("n_different"))
 
 
 @query
@@ -145,33 +161,33 @@ def coverage_curve(spark, sf_dir):
     return learning_curve(lg.variants_of(derived_traces(spark, sf_dir)))
 
 
-def attribute_rows(spark: SparkSession, name: str, k: int | None, seed: int = 0) -> DataFrame:
-    """Agreement of every attribute clustering with the hidden labels; without ``k`` by silhouette."""
-    traces = sy.LOGS[name][0](spark, seed).cache()
-    attributes = sy.case_attributes(traces, seed).cache()
-    return union_all([recovery_row(traces, f(traces, attributes, k=k, seed=seed), name, method) for method, f in cl.ATTRIBUTE_METHODS.items()])
+def attribute_rows(traces: DataFrame, attributes: DataFrame, log: str, sets: dict[str, tuple[list[str], list[str]]], k: int | None, seed: int = 0) -> DataFrame:
+    """Agreement of clusterings by named sets of attributes, (numbers, categories) each, with the hidden labels; without ``k`` by silhouette."""
+    groups = union_all([cl.cluster_by(traces, attributes, numeric, categorical, k, seed=seed).select(F.lit(name).alias("method"), "trace_id", "group_id") for name, (numeric, categorical) in sets.items()])
+    return recovery_rows(traces, groups, log)
 
 
-def quality_rows(spark: SparkSession, logs: dict[str, DataFrame], methods: tuple[str, ...]) -> DataFrame:
-    """(log, method, n_models, metrics): quality of one mined model for each group, weighted by cases."""
-    rows = []
-    for name, traces in logs.items():
-        v = lg.variants_of(traces).cache()
-        for method in methods:
-            grouped = v.join(gr.PARTITIONS[method](v), "trace_id").select("group_id", T, "n_cases").cache()
-            nets = {r.group_id: model.net_of(model.parse_identifier(r.tree)) for r in miner.mine_groups(grouped).collect()}
-            rows.append(quality.weighted_model_quality(grouped, nets).select(F.lit(name).alias("log"), F.lit(method).alias("method"), F.lit(len(nets)).alias("n_models"), "*"))
-    return union_all(rows)
+@query
+def attribute_clustering(spark, sf_dir):
+    """The log of orders, clustered by what is recorded of the orders."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("case_id"), F.col("o_totalprice").cast("double").alias("price"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    sets = {"attr_status": ([], ["status"]), "attr_price": (["price"], []), "attr_all": (["price"], ["status", "priority"])}
+    return attribute_rows(labelled_orders(spark, sf_dir), o, "orders", sets, 3)
 
 
-@query
-def synth_quality(spark, sf_dir):
-    return quality_rows(spark, {"running_example": sy.running_example(spark), "hidden_context": sy.hidden_context(spark, 30)}, ("global", "kappa", "classical_variants"))
+def quality_rows(traces: DataFrame, log: str, methods: tuple[str, ...]) -> DataFrame:
+    """(log, method, n_models, metrics): quality of one mined model for each group, weighted by cases."""
+    v, rows = written(lg.variants_of(traces), "variants"), []
+    for method in methods:
+        grouped = written(v.join(gr.PARTITIONS[method](v), "trace_id").select("group_id", T, "n_cases"), "grouped")
+        nets = {g: model.net_of(tree) for g, tree in levels.group_trees(grouped).items()}
+        rows.append(quality.weighted_model_quality(grouped, nets).select(F.lit(log).alias("log"), F.lit(method).alias("method"), F.lit(len(nets)).alias("n_models"), "*"))
+    return union_all(rows)
 
 
 @query
-def synth_attribute_clustering(spark, sf_dir):
-    return attribute_rows(spark, "hidden_context", 3)
+def quality_by_grouping(spark, sf_dir):
+    return quality_rows(derived_traces(spark, sf_dir), "events", ("global", "kappa_acts"))
 
 
 def semi_real(traces: DataFrame) -> DataFrame:
@@ -181,13 +197,14 @@ def semi_real(traces: DataFrame) -> DataFrame:
     (method, overlap, retention, n_views, ari): overlap is the share of cases whose sequence lies in several groups.
     """
     plain = traces.select(F.col("label").alias("group_id"), F.transform(T, lambda e: F.struct(e["a"].alias("a"), F.array(e["a"]).alias("en"))).alias(T))
-    counted = plain.groupBy("group_id", T).agg(F.count(F.lit(1)).alias("n_cases")).cache()
+    counted = plain.groupBy("group_id", T).agg(F.count(F.lit(1)).alias("n_cases"))
+    counted = written(counted, "counted")
     overlap = rel.variant_overlap(counted)
-    nets = {r.group_id: model.net_of(model.parse_identifier(r.tree)) for r in miner.mine_groups(counted, "im").collect()}
-    whole = miner.discover_net(counted.groupBy(T).agg(F.sum("n_cases").alias("n_cases")), "im")
+    nets = {g: model.net_of(tree) for g, tree in levels.group_trees(counted, "im").items()}
+    whole = levels.discover_net(counted.groupBy(T).agg(F.sum("n_cases").alias("n_cases")), "im")
     sequences, rows = counted.select("group_id", ab.executed(T).alias("acts"), "n_cases"), []
     for method, used in (("per_group", nets), ("global_model", dict.fromkeys(nets, whole))):
-        found = en.split_and_enrich(sequences, used).cache()
+        found = written(en.split_and_enrich(sequences, used), "enriched")
         cells = mt.contingency(found.select(F.col("group_id").alias("t"), ab.kappa(T).alias("p"), F.col("n_cases").alias("n")))
         kept = en.enrichment_report(sequences, found, method).select("retention")
         views = cells.agg(F.count_distinct("p").alias("n_views"))
@@ -197,36 +214,23 @@ def semi_real(traces: DataFrame) -> DataFrame:
 
 @query
 def semi_real_run(spark, sf_dir):
-    return semi_real(sy.hidden_context(spark, 60))
+    return semi_real(labelled_events(spark, sf_dir))
 
 
 @query
-def semi_real_guard(spark, sf_dir):
-    """How alike the footprints of a generated log's groups are."""
-    traces = sy.hidden_context(spark, 60)
-    return rel.footprint_jaccard(rel.footprints(traces.select(F.col("label").alias("group_id"), T)))
+def growing_log(spark, sf_dir):
+    """Agreement of views with the hidden labels as the log grows by ten days at a time, and its change by day."""
+    counted = labelled_events(spark, sf_dir).groupBy(F.substring(F.split("case_id", "-")[1], 7, 2).cast("int").alias("day"), F.col("label").alias("t"), T).agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.select("day", "t", ab.kappa(F.col(T)).alias("p"), "n")  # identifiers first: a generator beside their expression loses the names of its structs
+    each = counted.select("*", F.explode(F.array(*(F.lit(d) for d in (10, 20, 31)))).alias("days")).where("day <= days")
+    rows = mt.agreement(each.groupBy("days", "t", "p").agg(F.sum("n").alias("n")), ["days"])
+    return mt.spread(rows.withColumn("method", F.lit("kappa")), ["method"], "ari", "days")
 
 
 @query
-def size_sweep(spark, sf_dir):
-    """Agreement of views and of the best clustering as the log grows, over sizes: mean, deviation and slope."""
-    rows = []
-    for size in (10, 20, 40):
-        traces = sy.hidden_context(spark, size).cache()
-        v = lg.variants_of(traces).cache()
-        own = recovery_row(traces, gr.group_kappa(v), "hidden_context", "kappa")
-        best = union_all([recovery_row(traces, cl.cluster(v, f, 3), "hidden_context", "best_clustering") for f in ("cf", "enabled")])
-        best = best.orderBy(F.desc("ari")).limit(1)
-        rows += [own.select("method", "ari", F.lit(size).alias("size")), best.select("method", "ari", F.lit(size).alias("size"))]
-    return mt.spread(union_all(rows), ["method"], "ari", "size")
-
-
-@query
-def kmeans_by_silhouette(spark, sf_dir):
-    """Groups of a generated log whose number the silhouette finds."""
-    traces = sy.hidden_context(spark, 60)
-    v = lg.variants_of(traces)
-    return recovery_row(traces, cl.cluster(v, "enabled"), "hidden_context", "enabled_kmeans")
+def clusters_by_silhouette(spark, sf_dir):
+    """Groups of the log whose number the silhouette finds."""
+    return clustering_rows(labelled_events(spark, sf_dir), "events", None, methods=(("enabled", "kmeans"),))
 
 
 @query
@@ -246,24 +250,31 @@ def word2vec_traces(spark, sf_dir):
 
 @query
 def discover_trees(spark, sf_dir):
-    """The model of the log for every miner variant, with and without a noise threshold."""
-    v, rows = lg.variants_of(derived_traces(spark, sf_dir)).cache(), []
+    """The model of the log for every miner variant, with and without a noise threshold, level by level."""
+    v, rows = written(lg.variants_of(derived_traces(spark, sf_dir)), "variants"), []
     for variant in miner.VARIANTS:
         for noise in (0.0, 0.4):
-            rows.append((variant, noise, str(miner.discover_tree(v, variant, noise))))
+            rows.append((variant, noise, str(levels.discover_tree(v, variant, noise))))
     return spark.createDataFrame(rows, "variant string, noise double, tree string")
 
 
 @query
 def discover_group_trees(spark, sf_dir):
     grouped = derived_traces(spark, sf_dir).groupBy(user_label().alias("group_id"), "trace").agg(F.count(F.lit(1)).alias("n_cases"))
-    return miner.mine_groups(grouped)
+    return levels.mine_groups(grouped)
+
+
+@query
+def discover_order_trees(spark, sf_dir):
+    """Models of the orders of each priority that tolerate rare behaviour."""
+    grouped = labelled_orders(spark, sf_dir).groupBy(F.col("label").alias("group_id"), "trace").agg(F.count(F.lit(1)).alias("n_cases"))
+    return levels.mine_groups(grouped, "imf", 0.2)
 
 
 def _group_nets(spark, sf_dir):
-    plain = derived_traces(spark, sf_dir).select(user_label().alias("group_id"), F.transform("trace", lambda e: F.struct(e["a"].alias("a"), F.array(e["a"]).alias("en"))).alias("trace"))
-    counted = plain.groupBy("group_id", "trace").agg(F.count(F.lit(1)).alias("n_cases"))
-    nets = {g: model.net_of(miner.discover_tree(counted.where(F.col("group_id") == g), "im", 0.4)) for g in ("u0", "u1", "u2", "u3")}
+    plain = labelled_events(spark, sf_dir).select(F.col("label").alias("group_id"), F.transform("trace", lambda e: F.struct(e["a"].alias("a"), F.array(e["a"]).alias("en"))).alias("trace"))
+    counted = written(plain.groupBy("group_id", "trace").agg(F.count(F.lit(1)).alias("n_cases")), "counted")
+    nets = {g: model.net_of(tree) for g, tree in levels.group_trees(counted, "imf", 0.4).items()}
     return counted.select("group_id", ab.executed(T).alias("acts"), "n_cases"), nets
 
 
@@ -276,20 +287,22 @@ def replay_enrich(spark, sf_dir):
 
 @query
 def replay_report(spark, sf_dir):
+    """Cases of each hidden label and those that its model can replay."""
     sequences, nets = _group_nets(spark, sf_dir)
-    return union_all([en.enrichment_report(sequences.where(F.col("group_id") == g), en.enrich(sequences.where(F.col("group_id") == g), net), g) for g, net in nets.items()])
+    return en.reports(sequences, en.split_and_enrich(sequences, nets))
 
 
 @query
 def alignment_quality(spark, sf_dir):
-    """Quality of the mined model of the worked example."""
-    v = lg.variants_of(sy.running_example(spark))
-    return quality.model_quality(v, miner.discover_net(v))
+    """Quality of the mined model of the whole log, every trace aligned."""
+    v = written(lg.variants_of(derived_traces(spark, sf_dir)), "variants")
+    return quality.model_quality(v, levels.discover_net(v))
 
 
 @query
 def global_vs_views(spark, sf_dir):
-    v = lg.variants_of(sy.hidden_context(spark, 30)).cache()
-    views = vw.induce_views(v).cache()
-    nets = {r.label: model.net_of(miner.view_tree(r.kappa, v)) for r in views.select("label", "kappa").collect()}
-    return quality.global_vs_views(vw.assign_views(v, views), miner.discover_net(v), nets)
+    """Views of the conversations under the model of all and under their own."""
+    v = written(lg.variants_of(conversation_traces(spark, sf_dir)), "variants")
+    views = written(vw.induce_views(v), "views")
+    nets = {r.label: model.net_of(levels.view_tree(r.kappa, v)) for r in views.select("label", "kappa").collect()}
+    return quality.global_vs_views(vw.assign_views(v, views), levels.discover_net(v), nets)

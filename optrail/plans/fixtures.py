@@ -1,7 +1,4 @@
-"""Queries whose results are known beforehand: textbook logs and nets, what generated logs must keep, what a mined model must allow.
-
-They bring the miner, replay and the generators under oracles, which SQL cannot compute but can state.
-"""
+"""Queries over the tables whose results can be stated although SQL cannot compute them: models, replay and conformance."""
 
 from __future__ import annotations
 
@@ -11,49 +8,45 @@ from ..functions import abstraction as ab
 from ..operators import clustering as cl
 from ..operators import enrich as en
 from ..operators import grouping as gr
+from ..operators import levels, quality
 from ..operators import log as lg
 from ..operators import metrics as mt
-from ..operators import miner, quality
 from ..operators import views as vw
-from ..operators.model import PetriNet
-from ..sources import synth as sy
+from ..operators.model import net_of, parse_identifier
 from ..sources.logs import derived_traces, load_classical, sequences_of
 from .oracles import ORACLES, over_log, over_views
 from .registry import query, user_label
 
 T = "trace"
-# Textbook logs, as sequences with their numbers of cases.
-TEXTBOOK = {
-    "sequence": {"a b c d": 10},
-    "xor": {"a b d": 10, "a c d": 10},
-    "parallel": {"a b c d": 6, "a c b d": 6},
-    "loop": {"a b c": 6, "a b c b c": 6, "a b c b c b c": 3},
-    "optional": {"a b c": 10, "a c": 6},
-}
-#: Nets as (input place, label, output place).
-CHOICE = (("p0", "a", "p1"), ("p1", "b", "p2"), ("p1", "c", "p2"), ("p2", "d", "p3"))
-ONE_WAY = (("p0", "a", "p1"), ("p1", "b", "p2"), ("p2", "d", "p3"))
-SILENT = (("p0", "a", "p1"), ("p1", None, "p2"), ("p2", "b", "p3"), ("p2", "c", "p3"))
+#: A model of visits that may end in a purchase, and one of any clicks, purchases and views in any order.
+VISIT, FREE = "seq(loop(xor(click, view), tau), xor(purchase, tau))", "loop(tau, click, purchase, view)"
 
 
-def plain(sequence: str) -> list[tuple[str, list[str]]]:
-    return [(a, [a]) for a in sequence.split()]
+def sequences(spark, sf_dir):
+    """(group_id, acts, n_cases) of the log, by hidden label."""
+    acts = ab.executed(F.col(T))
+    return derived_traces(spark, sf_dir).groupBy(user_label().alias("group_id"), acts.alias("acts")).agg(F.count(F.lit(1)).alias("n_cases"))
 
 
-def net(arcs: tuple, end: str) -> PetriNet:
-    out = PetriNet(initial=(("p0", 1),), final=((end, 1),))
-    for i, (a, label, b) in enumerate(arcs):
-        out.add(f"t{i}", label, [a], [b])
-    return out
+@query
+def replay_visits(spark, sf_dir):
+    """The sequences that the model of visits can replay, with the sets that it enables."""
+    visit = net_of(parse_identifier(VISIT))
+    found = en.split_and_enrich(sequences(spark, sf_dir), {f"u{i}": visit for i in range(4)})
+    return found.select("group_id", ab.trace_text(F.col(T)).alias("trace"), "n_cases")
 
 
 @query
-def textbook_relations(spark, sf_dir):
-    """Pairs that may follow each other in the models of textbook logs, as sequences or as parallel."""
-    rows = [(name, plain(s), n) for name, log in TEXTBOOK.items() for s, n in log.items()]
-    pairs = miner.mine_follows(spark.createDataFrame(rows, f"group_id string, trace array<{sy.EVENT}>, n_cases long"), "im")
-    back = pairs.select("group_id", F.col("y").alias("x"), F.col("x").alias("y"), F.lit(True).alias("both"))
-    return pairs.join(back, ["group_id", "x", "y"], "left").select(F.col("group_id").alias("log"), "x", "y", F.when(F.col("both"), "parallel").otherwise("sequence").alias("relation"))
+def replay_visits_report(spark, sf_dir):
+    every = sequences(spark, sf_dir)
+    return en.reports(every, en.split_and_enrich(every, {f"u{i}": net_of(parse_identifier(VISIT)) for i in range(4)}))
+
+
+@query
+def conformance_free(spark, sf_dir):
+    """The log and the model of any clicks, purchases and views: each other event costs a log move."""
+    v = lg.variants_of(derived_traces(spark, sf_dir))
+    return quality.model_quality(v, net_of(parse_identifier(FREE))).select("fitness", "precision", "replayed_share")
 
 
 @query
@@ -63,70 +56,10 @@ def model_allows_log(spark, sf_dir):
     acts = ab.executed(F.col(T))
     rest = F.greatest(F.size(acts) - 1, F.lit(0))
     seen = grouped.select("group_id", F.explode(F.zip_with(F.slice(acts, 1, rest), F.slice(acts, 2, rest), lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("p")).select("group_id", "p.*").distinct()
-    allowed = miner.mine_follows(grouped, "im").withColumn("ok", F.lit(1))
+    allowed = levels.mine_follows(grouped, "im").withColumn("ok", F.lit(1))
     return seen.join(allowed, ["group_id", "x", "y"], "left").groupBy("group_id").agg(F.count(F.lit(1)).alias("n_pairs"), (F.count(F.lit(1)) - F.count("ok")).alias("n_missing"))
 
 
-@query
-def replay_known_nets(spark, sf_dir):
-    """Sequences replayed on known nets, with the sets that the markings enable; those that do not fit are missing."""
-    rows = [("wide", "a b d", 1), ("wide", "a c d", 1), ("wide", "a z d", 1), ("narrow", "a b d", 2), ("narrow", "a c d", 1), ("silent", "a c", 3), ("silent", "a", 1)]
-    sequences = spark.createDataFrame([(g, s.split(), n) for g, s, n in rows], "group_id string, acts array<string>, n_cases long")
-    found = en.split_and_enrich(sequences, {"wide": net(CHOICE, "p3"), "narrow": net(ONE_WAY, "p3"), "silent": net(SILENT, "p3")})
-    return found.select("group_id", ab.trace_text(F.col(T)).alias("trace"), "n_cases")
-
-
-@query
-def replay_retention(spark, sf_dir):
-    sequences = spark.createDataFrame([(["a", "b", "d"], 1), (["a", "z", "d"], 1)], "acts array<string>, n_cases long")
-    return en.enrichment_report(sequences, en.enrich(sequences, net(CHOICE, "p3")), "wide")
-
-
-@query
-def generated_logs(spark, sf_dir):
-    """What every generated log with hidden labels must keep: cases, labels, one view for each label, executed sequences in several views."""
-    out = None
-    for name, (make, labels) in sy.LOGS.items():
-        if not labels:
-            continue
-        traces = make(spark, 0).select("label", F.col(T), ab.kappa(F.col(T)).alias("kappa"), ab.variant_text(F.col(T)).alias("variant"))
-        cells = mt.contingency(traces.select(F.col("label").alias("t"), F.col("kappa").alias("p")))
-        sizes = traces.agg(F.count(F.lit(1)).alias("n_cases"), F.count_distinct("label").alias("n_labels"), F.count_distinct("kappa").alias("n_views"))
-        shared = traces.groupBy("variant").agg(F.count_distinct("kappa").alias("n")).agg((F.count_if(F.col("n") > 1) > 0).alias("shares_sequences"))
-        one = sizes.crossJoin(shared).crossJoin(mt.adjusted_rand_index(cells)).select(F.lit(name).alias("log"), "*")
-        out = one if out is None else out.union(one)
-    return out
-
-
-@query
-def attribute_bound(spark, sf_dir):
-    """Clustering by the hidden label itself finds it: the upper bound of attribute clusterings."""
-    traces = sy.hidden_context(spark, 60).cache()
-    groups = cl.cluster_by_attributes(traces, sy.case_attributes(traces), "oracle", 3)
-    pairs = traces.withColumn("trace_id", F.xxhash64(T)).join(groups, "trace_id").select(F.col("label").alias("t"), F.col("group_id").alias("p"))
-    return mt.adjusted_rand_index(mt.contingency(pairs))
-
-
-@query
-def quality_of_known_nets(spark, sf_dir):
-    """Conformance of sequences with nets that allow them, allow more, and do not allow them."""
-    rows = [("same", "a b d", 2), ("same", "a c d", 2), ("wider", "a b d", 4), ("other", "a z d", 1)]
-    logs = spark.createDataFrame([(g, plain(s), n) for g, s, n in rows], f"scope string, trace array<{sy.EVENT}>, n_cases long")
-    found = quality.qualities(logs, {g: {"known": net(CHOICE, "p3")} for g in ("same", "wider", "other")})
-    return found.select("scope", "n_cases", "fitness", "precision", "generalization", "simplicity", "replayed_share")
-
-
-@query
-def agreement_over_seeds(spark, sf_dir):
-    """Views agree with the hidden labels whatever the seed."""
-    out = None
-    for seed in range(3):
-        cells = mt.contingency(sy.service_desk(spark, 40, seed).select(F.col("label").alias("t"), ab.kappa(F.col(T)).alias("p")))
-        one = mt.adjusted_rand_index(cells).select(F.lit("kappa").alias("method"), "ari", F.lit(seed).alias("seed"))
-        out = one if out is None else out.union(one)
-    return mt.spread(out, ["method"], "ari", "seed")
-
-
 def _shipments(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return load_classical(items, "l_returnflag", ["A", "R"], "l_orderkey", "l_linestatus", "l_shipdate")
@@ -179,49 +112,29 @@ def standardised_features(spark, sf_dir):
     return cells.agg(F.count(F.lit(1)).alias("n_features"), F.round(F.sum(F.abs("s")), 4).alias("off_mean"), F.round(F.sum("q"), 4).alias("squares"))
 
 
-@query
-def worked_example_views(spark, sf_dir):
-    """The views of the worked example."""
-    return vw.induce_views(lg.variants_of(sy.running_example(spark))).select("label", "kappa", "n_cases", "n_traces", "n_variants")
-
-
-def _rows(*rows: str) -> str:
-    return ", ".join(f"({r})" for r in rows)
-
-
-_SPELLED = _rows(*(f"'{name}', '{s}'" for name, log in TEXTBOOK.items() for s in log))
-
-ORACLES["textbook_relations"] = f"""
-WITH spelled AS (SELECT log, string_split(s, ' ') AS w FROM (VALUES {_SPELLED}) v(log, s)),
-pairs AS (SELECT DISTINCT log, w[i] AS x, w[i + 1] AS y FROM (SELECT log, w, unnest(range(1, len(w))) AS i FROM spelled))
-SELECT p.log, p.x, p.y, CASE WHEN q.x IS NULL THEN 'sequence' ELSE 'parallel' END AS relation FROM pairs p LEFT JOIN pairs q ON q.log = p.log AND q.x = p.y AND q.y = p.x"""
-
 ORACLES["model_allows_log"] = """
 WITH ev AS (SELECT 'u' || (user_id % 4)::VARCHAR AS group_id, event_type AS x, lead(event_type) OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS y FROM events)
 SELECT group_id, count(DISTINCT x || '>' || y)::BIGINT AS n_pairs, 0::BIGINT AS n_missing FROM ev WHERE y IS NOT NULL GROUP BY group_id"""
 
-ORACLES["replay_known_nets"] = f"""SELECT group_id, trace, n_cases::BIGINT AS n_cases FROM (VALUES {_rows(
-    "'wide', 'a{a} b{b,c} d{d}', 1", "'wide', 'a{a} c{b,c} d{d}', 1", "'narrow', 'a{a} b{b} d{d}', 2", "'silent', 'a{a} c{b,c}', 3")}) v(group_id, trace, n_cases)"""
-
-ORACLES["replay_retention"] = "SELECT 'wide' AS group_id, 2::BIGINT AS cases_in, 1::BIGINT AS cases_kept, 0.5::DOUBLE AS retention"
-
-ORACLES["generated_logs"] = f"""SELECT log, n_cases::BIGINT AS n_cases, n_labels::BIGINT AS n_labels, n_labels::BIGINT AS n_views, shares_sequences, 1.0::DOUBLE AS ari FROM (VALUES {_rows(
-    "'k_view_k2', 800, 2, true", "'k_view_k3', 1200, 3, true", "'k_view_k4', 1600, 4, true", "'k_view_k5', 2000, 5, true", "'partial_parallel', 2000, 5, true", "'enterprise', 3000, 5, false",
-    "'enterprise_xl', 4000, 5, false", "'hidden_context', 1020, 3, true", "'task_mining_helpdesk', 200, 2, true", "'task_mining_servicedesk', 480, 4, true")}) v(log, n_cases, n_labels, shares_sequences)"""
+_SEQUENCES = """WITH ev AS (SELECT 'u' || (user_id % 4)::VARCHAR AS group_id, user_id, ts::DATE AS day, ts, event_id, event_type AS a FROM events),
+seqs AS (SELECT group_id, list(a ORDER BY ts, event_id) AS acts FROM ev GROUP BY group_id, user_id, day),
+fits AS (SELECT *, regexp_full_match(array_to_string(acts, ' '), '(click|view)( (click|view))*( purchase)?') AS fits FROM seqs)"""
 
-ORACLES["worked_example_views"] = f"""SELECT label, kappa, 2::BIGINT AS n_cases, 2::BIGINT AS n_traces, 2::BIGINT AS n_variants FROM (VALUES {_rows(
-    "'C1', 'seq(o, and(xor(b, c), xor(d, e)), f, xor(g, h))'", "'C2', 'seq(o, xor(b, c), xor(d, e), f, xor(g, h))'", "'C3', 'seq(o, b, d, f, xor(g, h))'")}) v(label, kappa)"""
+ORACLES["replay_visits"] = f"""{_SEQUENCES}
+SELECT group_id, array_to_string(list_transform(acts, lambda a, i: a || CASE WHEN i = 1 THEN '{{click,view}}' ELSE '{{click,purchase,view}}' END), ' ') AS trace, count(*)::BIGINT AS n_cases FROM fits WHERE fits GROUP BY group_id, acts"""
 
-ORACLES["attribute_bound"] = "SELECT 1.0::DOUBLE AS ari"
+ORACLES["replay_visits_report"] = f"""{_SEQUENCES}
+SELECT group_id, count(*)::BIGINT AS cases_in, sum(fits::INT)::BIGINT AS cases_kept, round(sum(fits::INT) / count(*), 6) AS retention FROM fits GROUP BY group_id"""
 
-# By definition. Worst costs: trace and shortest run, 3 + 3; "other" needs a log and a model move. Allowed over escaping: a prefix of two choices of which one or both
-# are taken; generalization over four transitions fired 4, 2, 2, 4 times, or 4, 4, 0, 4; every place and transition has two arcs at most but p1 and p2, of three.
-ORACLES["quality_of_known_nets"] = f"""
-WITH runs AS (SELECT * FROM (VALUES {_rows("'same', 4, 0, 12, 12, 2 / sqrt(4) + 2 / sqrt(2), 4", "'wider', 4, 0, 12, 16, 3 / sqrt(4), 3", "'other', 1, 2, 3, 4, 3.0, 3")}) v(scope, n_cases, cost, went, allowed, spread, used))
-SELECT scope, n_cases::BIGINT AS n_cases, round(1 - cost / 6.0, 6)::DOUBLE AS fitness, round(went / allowed, 6)::DOUBLE AS precision, round(1 - (spread + 4 - used) / 4, 6)::DOUBLE AS generalization,
-  round(1 / (1 + greatest(16.0 / 8 - 2, 0)), 6)::DOUBLE AS simplicity, 0.0::DOUBLE AS replayed_share FROM runs"""
+# The shortest run is empty, so the worst cost of a trace is its length. The model allows its three activities at every prefix of what is left of a trace without the others.
+ORACLES["conformance_free"] = """
+WITH ev AS (SELECT user_id, ts::DATE AS day, ts, event_id, event_type AS a, event_type IN ('click', 'purchase', 'view') AS own FROM events),
+own AS (SELECT list(a ORDER BY ts, event_id) AS acts FROM ev WHERE own GROUP BY user_id, day),
+visits AS (SELECT array_to_string(acts[:i - 1], ' ') AS prefix, acts[i] AS a FROM (SELECT acts, unnest(range(1, len(acts) + 1)) AS i FROM own)),
+prefixes AS (SELECT prefix, count(*) AS n, count(DISTINCT a) AS went FROM visits GROUP BY prefix)
+SELECT (SELECT round(1 - count(*) FILTER (NOT own) / count(*), 6) FROM ev) AS fitness, (SELECT round(1 - sum(n * (3 - went)) / sum(n * 3), 6) FROM prefixes) AS precision, 0.0::DOUBLE AS replayed_share"""
 
-ORACLES["agreement_over_seeds"] = "SELECT 'kappa' AS method, 1.0::DOUBLE AS mean, 0.0::DOUBLE AS std, 0.0::DOUBLE AS max_deviation, 0.0::DOUBLE AS slope"
+ORACLES["views_repeat"] = over_views("SELECT count(*)::BIGINT AS n_views, 0::BIGINT AS n_different FROM vw")
 
 _CASES = """WITH e AS (SELECT l_orderkey::VARCHAR AS case_id, l_shipdate AS ts, l_linestatus AS a, l_returnflag AS v FROM lineitem WHERE l_shipdate IS NOT NULL AND l_orderkey IS NOT NULL),
 c AS (SELECT case_id, string_agg(a, ' -> ' ORDER BY ts, a, v) AS variant, arg_min(v, {'t': ts, 'a': a, 'v': v}) AS value FROM e GROUP BY case_id HAVING value IN ('A', 'R'))"""

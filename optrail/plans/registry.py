@@ -414,10 +414,13 @@ def attr_aggregate(spark, sf_dir):
     return found.select("key", F.round("price", 7).alias("price"), "status")
 
 
-@query
-def conversation_views(spark, sf_dir):
-    """Views of the conversations: roles by turn, enabled the role and the next one."""
+def conversation_traces(spark, sf_dir):
+    """The log of the conversations: roles by turn, enabled the role and the next one."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("e"))
     event = lambda e, i: F.struct(e["role"].alias("a"), F.array_sort(F.array_distinct(F.array_compact(F.array(e["role"], F.try_element_at(V("e"), (i + 2).cast("int"))["role"])))).alias("en"))
-    traces = c.select(V("conv_id").cast("string").alias("case_id"), V("conv_id").alias("case_ord"), F.transform("e", event).alias("trace"))
-    return vw.induce_views(lg.variants_of(traces)).select("label", "kappa", "n_cases", "n_traces")
+    return c.select(V("conv_id").cast("string").alias("case_id"), V("conv_id").alias("case_ord"), F.transform("e", event).alias("trace"))
+
+
+@query
+def conversation_views(spark, sf_dir):
+    return vw.induce_views(lg.variants_of(conversation_traces(spark, sf_dir))).select("label", "kappa", "n_cases", "n_traces")

@@ -14,7 +14,7 @@ from optrail.operators import enrich as en
 from optrail.operators import grouping as gr
 from optrail.operators import log as lg
 from optrail.operators import metrics as mt
-from optrail.operators import miner, model, quality
+from optrail.operators import levels, miner, model, quality
 from optrail.operators import relations as rel
 from optrail.operators import views as vw
 from optrail.operators.align import Aligner
@@ -141,11 +141,13 @@ def simple(words):
 
 
 @pytest.mark.parametrize("words, tree", [
-    ({"abcd": 10}, "seq(a, b, c, d)"),
-    ({"abd": 10, "acd": 10}, "seq(a, xor(b, c), d)"),
-    ({"abcd": 6, "acbd": 6}, "seq(a, and(b, c), d)"),
-    ({"abc": 10, "ac": 6}, "seq(a, xor(b, tau), c)"),
-    ({"abc": 6, "abcbc": 6, "abcbcbc": 3}, "seq(a, loop(seq(b, c), tau))"),
+    ({"pqr": 4}, "seq(p, q, r)"),
+    ({"puq": 3, "pvq": 2, "pwq": 1}, "seq(p, xor(u, v, w), q)"),
+    ({"puvq": 1, "pvuq": 5}, "seq(p, and(u, v), q)"),
+    ({"pquv": 2, "puv": 7, "puvq": 1, "puqv": 1}, "seq(p, and(seq(u, v), xor(q, tau)))"),
+    ({"pq": 5, "pqupq": 2, "pqvpqupq": 1}, "loop(seq(p, q), xor(u, v))"),
+    ({"p": 1, "pp": 2}, "loop(p, tau)"),
+    ({"": 2, "p": 2}, "xor(p, tau)"),
     ({"": 3}, "tau"),
 ])
 def test_miner(words, tree):
@@ -157,9 +159,9 @@ def test_miner(words, tree):
 
 def test_miner_uses_enabled_sets(spark, example):
     both = lg.variants_of(traces(spark, ["a:a b:bc c:c d:d"] * 3))
-    assert "and(b, c)" in str(miner.discover_tree(both, "imto"))
-    assert str(miner.discover_tree(both, "im")) == "seq(a, b, c, d)"
-    trees = miner.mine_groups(vw.assign_views(example, vw.induce_views(example)).select(F.col("label").alias("group_id"), "trace", "n_cases"), "im").collect()
+    assert "and(b, c)" in str(levels.discover_tree(both, "imto"))
+    assert str(levels.discover_tree(both, "im")) == "seq(a, b, c, d)"
+    trees = levels.mine_groups(vw.assign_views(example, vw.induce_views(example)).select(F.col("label").alias("group_id"), "trace", "n_cases"), "im").collect()
     assert len(trees) == 3
 
 
@@ -289,7 +291,7 @@ def test_conformance_of_the_example(example):
     assert q.translucent_fitness < 1
     views = vw.induce_views(example)
     assigned = vw.assign_views(example, views)
-    nets = {r.label: model.net_of(miner.view_tree(r.kappa, example)) for r in views.collect()}
+    nets = {r.label: model.net_of(levels.view_tree(r.kappa, example)) for r in views.collect()}
     rows = quality.global_vs_views(assigned, good, nets)
     total = {r.model: r for r in rows.where("scope = 'AGGREGATE'").collect()}
     assert total["view"].translucent_fitness == 1.0 > total["global"].translucent_fitness
@@ -305,6 +307,17 @@ def test_alignment_costs():
     assert quality.shortest_run(plain) == 2
 
 
+def test_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    shares = (0.0, 0.2, 0.4, 0.5, 0.8, 1.0)
+    for x in ([5.0], [1.0, 2.0, 4.0, 8.0], [0.0] * 50 + [1.0], rng.normal(size=3000).tolist(), rng.integers(0, 9, 2000).tolist(), (10.0 ** rng.uniform(-300, 300, 700)).tolist(), [-1e308, 1e308, 0.0, 5e-324]):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double").repartition(3)
+        assert np.allclose(mt.quantiles(df, "v", shares), np.quantile(np.array(x, float), shares), rtol=1e-12)
+    assert mt.quantiles(df.where("false"), "v", shares) == []
+
+
 def test_agreement(spark):
     score = lambda rows: mt.adjusted_rand_index(mt.contingency(spark.createDataFrame(rows, "t string, p string"))).first().ari
     assert score([("a", "x"), ("a", "x"), ("b", "y")]) == 1.0 and score([("a", "x")]) == 1.0 and score([]) == 1.0
@@ -357,12 +370,6 @@ def test_attributes(spark):
 
 
 def test_clusterings(spark):
-    import numpy as np
-
-    x = np.concatenate([np.random.default_rng(1).normal(c, 0.1, (20, 3)) for c in (0, 3, 6)])
-    labels = cl.ward_labels(x, 3)
-    assert len(set(map(tuple, labels.reshape(3, 20)))) == 3 and all(len(set(part)) == 1 for part in labels.reshape(3, 20))
-    assert cl.silhouette(x, labels) > 0.9
     v = lg.variants_of(sy.k_views(spark, 3, 30)).cache()
     for features in ("cf", "ctx", "enabled"):
         got = cl.cluster(v, features, 3).collect()
@@ -394,7 +401,7 @@ def test_sql_surface_and_weighted_quality(spark, example):
     assert spark.sql("SELECT sum(w) AS n FROM ex_edges WHERE kind = 'start'").first().n == 6
     views = vw.induce_views(example)
     grouped = vw.assign_views(example, views).select(F.col("label").alias("group_id"), "trace", "n_cases")
-    nets = {r.label: model.net_of(miner.view_tree(r.kappa, example)) for r in views.where("label <> 'C3'").collect()}
+    nets = {r.label: model.net_of(levels.view_tree(r.kappa, example)) for r in views.where("label <> 'C3'").collect()}
     q = quality.weighted_model_quality(grouped, nets).first()
     assert q.fitness == 0.666667 and 0 < q.precision <= q.fitness
 
@@ -416,6 +423,7 @@ def test_registered_clusterings_and_replay_take_traces_that_occur_once(spark):
     sf = "/root/testdata/sf0.001"
     traces = derived_traces(spark, sf)
     assert ex.ward_cf(spark, sf).count() == traces.select("trace").distinct().count()
+    assert {r.retention for r in ex.replay_report(spark, sf).collect()} == {1.0}
     assert sum(r.cases_in for r in ex.replay_report(spark, sf).collect()) == traces.count()
 
 
