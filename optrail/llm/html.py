@@ -24,6 +24,12 @@ BLOCKS = frozenset("address article aside blockquote center details dialog dd di
 CLUES = ("nav menu breadcrumb pagination pager header masthead topbar footer copyright foot sidebar aside widget related recommend popular comment reply discussion disqus notice cookie consent banner "
          "alert gdpr ad ads advert sponsor promo form search login subscribe newsletter share social article content post entry body main story text byline author meta tag caption").split()
 
+# Words that headings of comments and the like, and footers, begin with or hold.
+TELLING = frozenset(
+    "comment comments reply replies respond response responses discussion kommentar kommentare commentaire commentaires comentario comentarios "
+    "copyright rights reserved rechte droits derechos privacy imprint impressum terms cookies advertisement sponsored related".split()
+)
+
 #: A tag ends at the first > outside of quotes; where a quote is never closed, at the first > there is.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -34,6 +40,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
 #: Clues and elements of an article's surroundings and of what is none; comments and the like may stand inside an article.
@@ -79,7 +86,9 @@ def clues_of(attributes: str) -> frozenset[str]:
     found = set()
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
+        if name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "").lower()):
+            found.add("unseen")
+        elif name == "aria-hidden" and value == "true":
             found.add("hidden")
         elif name not in ("style", "aria-hidden"):
             for part in _PART.findall(value):
@@ -89,7 +98,7 @@ def clues_of(attributes: str) -> frozenset[str]:
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """Leaf blocks of a page in order. Comments and elements that hold no text of the page are skipped; a
+    """Leaf blocks of a page in order. Comments, elements that hold no text of the page and such as are not shown are skipped; a
     paragraph ends where a block begins; an end tag closes its element and all inside; an unfinished
     tag at the page's end is dropped. Character references are decoded once."""
     page, out = page or "", []
@@ -103,7 +112,7 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-            if text:
+            if text and "unseen" not in stack[-1].clues:
                 out.append(Block(text, stack[-1], linked))
         parts.clear()
         linked = 0
@@ -173,8 +182,8 @@ SLOTS = 1 << 12
 
 def features(blocks: list[Block]) -> list[list[int]]:
     """Active slots of each block: tags and clues of its ancestors, whether the page marks its article and the block lies in it,
-    length, links, punctuation, place."""
-    out, n = [], len(blocks)
+    length, links, punctuation, place, and telling words at its beginning, in it if it is short, and in the heading above it."""
+    out, n, under = [], len(blocks), []
     marked = any(b.place.is_main() and not b.place.is_apart() for b in blocks)
     plain = [not b.place.is_apart() and (not b.links or 2 * b.links < len(b.text)) for b in blocks]
     for i, b in enumerate(blocks):
@@ -182,12 +191,29 @@ def features(blocks: list[Block]) -> list[list[int]]:
         state = f"{b.place.is_main()},{b.place.is_apart()},{marked}"
         names = [f"words={min(9, words.bit_length())}", f"links={int(10 * min(1, b.links / size)) if size else 0}", f"stop={b.text[-1] in '.!?…。'}", f"commas={min(3, b.text.count(','))}", f"first={i == 0}", f"last={i == n - 1}", f"sign={b.text[0] in '©®' or '©' in b.text}"]
         names += [f"state={state}", f"state={state},{plain[i]}", f"around={i > 0 and plain[i - 1]},{plain[i]},{i + 1 < n and plain[i + 1]},{marked}", "bias"]
+        short = telling_words(b.text[:80])
+        if b.place.tag in HEADINGS:
+            under = short
+        names += [f"says={w}" for w in short] + [f"under={w}" for w in under]
+        if short and size <= 80:
+            names.append("tells")
+        if under:
+            names.append(f"under,{b.place.tag in HEADINGS}")
         if b.place.slots is None:
             b.place.slots = [_slot(x) for x in b.place.names()]
         out.append([*b.place.slots, *(_slot(x) for x in names)])
     return out
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 legend".split())
+
+
+def telling_words(text: str) -> list[str]:
+    """Telling words among the first four of a text, or anywhere in it if it has no more than twelve."""
+    words = _WORDS.findall(text.lower())
+    return sorted(TELLING.intersection(words if len(words) <= 12 else words[:4]))
+
+
 @lru_cache(maxsize=1 << 16)
 def _slot(name: str) -> int:
     return crc32(name.encode()) % SLOTS
@@ -272,7 +298,7 @@ _SYLLABLES = "ba be bi bo da de di do fa fe ga go ha he ka ki la le li lo ma me
 _DULL = "c1 c2 x7 box row col-8 wrap u-12 a1 left container".split()
 
 
-def labelled_pages(count: int = 900, seed: int = 7) -> list[tuple[str, dict[str, int]]]:
+def labelled_pages(count: int = 1000, seed: int = 7) -> list[tuple[str, dict[str, int]]]:
     """Pages of many layouts with the label of each block's text: the labelled set that the field is trained on.
 
     Every layout puts an article among menus, headers, footers, sidebars, notices, adverts, forms and reader
@@ -328,6 +354,28 @@ def labelled_pages(count: int = 900, seed: int = 7) -> list[tuple[str, dict[str,
             each = lambda: rng.choice([f'<div class="comment"><p>{text(0, 4, 60)}</p></div>', f'<li class="comment"><b>{words(1, 2)}</b><p>{text(0, 4, 60)}</p></li>', f"<p>{text(0, 4, 60)}</p>", f'<article class="comment"><p>{text(0, 4, 60)}</p></article>'])
             return a + f"<h3>{text(0, 1, 3, False)}</h3>" * rng.randint(0, 1) + "".join(each() for _ in range(rng.randint(1, 4))) + b
 
+        def said(t: str) -> str:
+            labels[t] = 0
+            return t
+
+        def own(t: str) -> str:
+            labels[t] = 1
+            return t
+
+        def plain_comments() -> str:
+            """Comments that nothing but their heading tells."""
+            a, b = rng.choice([("<div>", "</div>"), (f"<div class={rng.choice(_DULL)}>", "</div>"), ("<section>", "</section>"), ("", "")])
+            heading = said(rng.choice(["Comments", f"Comments ({rng.randint(1, 99)})", f"{rng.randint(2, 99)} comments", f"{rng.randint(2, 99)} Responses", "Leave a reply", "Discussion", "Kommentare", "Commentaires", "Comentarios", "Reader comments"]))
+            h = rng.choice(["h2", "h3", "h4", "h3"])
+            each = lambda: rng.choice(["<p>{}</p>", "<div>{}</div>", "<li>{}</li>", "<p>{}</p>"]).format(text(0, 1, 40))
+            return f"{a}<{h}>{heading}</{h}>" + "".join(each() for _ in range(rng.randint(1, 5))) + b
+
+        def plain_footer() -> str:
+            """A footer that nothing but its wording tells."""
+            year, name = rng.randint(1998, 2024), words(1, 3).title()
+            t = rng.choice([f"Copyright {year} {name}", f"Copyright {year} {name}. All rights reserved.", f"{year} {name}. All rights reserved.", f"{name}. Alle Rechte vorbehalten.", f"{name}. Tous droits réservés.", f"Privacy policy. Terms of use. {name}"])
+            return rng.choice(["<div>{}</div>", f"<div class={rng.choice(_DULL)}>{{}}</div>", "<p>{}</p>", "<center>{}</center>", "<hr>{}"]).format(said(t))
+
         def header() -> str:
             a, b = rng.choice([tag("header"), tag("header", "site-header", "masthead"), tag("div", "header", "masthead", "topbar", "page-header")])
             return a + rng.choice([f"<p>{text(0, 1, 8)}</p>", f'<div class="logo"><a href="/">{text(0, 1, 3, False)}</a></div>', f"<h2>{text(0, 1, 5, False)}</h2>", f"<h1>{text(0, 1, 5, False)}</h1>"]) + (menu() if rng.random() < 0.4 else "") + b
@@ -357,9 +405,16 @@ def labelled_pages(count: int = 900, seed: int = 7) -> list[tuple[str, dict[str,
             inner = rng.choice([title, title, title, f"<header>{title}</header>" if a.startswith("<article") else title, ""])
             for _ in range(rng.randint(1, 9)):
                 inner += body_block()
+                if rng.random() < 0.05:  # telling words in what belongs to the article
+                    t = f"{rng.choice(['Comments', 'Copyright', 'Replies', 'Discussion', 'Terms', 'Related'])} {words(8, 30)}."
+                    inner += f"<p>{own(t)}</p>"
+                if rng.random() < 0.05:
+                    inner += f"<{rng.choice(['h2', 'h3'])}>{own(rng.choice(['Discussion', 'Related work', 'Terms', 'Responses of the body', 'Diskussion und Kommentar']))}</h3><p>{text(1, 5, 60)}</p><p>{text(1, 5, 60)}</p>"
                 k = rng.random()
                 inner += advert() if k < 0.05 else aside() if k < 0.07 else notice() if k < 0.085 else ""
             inner += (share() if rng.random() < 0.15 else "") + (comments() if rng.random() < 0.12 else "") + (footer() if rng.random() < 0.06 and a.startswith("<article") else "") + (form() if rng.random() < 0.05 else "")
+            if rng.random() < 0.06:
+                inner += f"<p>{own(rng.choice(['All rights reserved.', 'Alle Rechte vorbehalten.', 'Terms and privacy.', 'Copyright by the author.']))}</p>"
             return a + inner + b
 
         def plain_page() -> str:
@@ -369,22 +424,22 @@ def labelled_pages(count: int = 900, seed: int = 7) -> list[tuple[str, dict[str,
             if k < 0.1:  # text without any element, or a paragraph or two
                 return rng.choice([text(1, 2, 60), "".join(f"<p>{text(1, 1, 60)}</p>" for _ in range(rng.randint(1, 3)))])
             inner = rng.choice([f"<h1>{text(1, 1, 10, False)}</h1>", f"<h2>{text(1, 1, 10, False)}</h2>", ""]) + "".join(body_block() for _ in range(rng.randint(1, 8)))
-            a, b = rng.choice([(dull("div"), "</div>"), (dull("div") + dull("div"), "</div></div>"), ("<table><tr><td>", "</td></tr></table>"), (dull("section"), "</section>"), ("", ""), ("<center>", "</center>")])
+            a, b = rng.choice([(dull("div"), "</div>"), (dull("div") + dull("div"), "</div></div>"), ("<table><tr><td>", "</td></tr></table>"), (f"<table><tr><td>{' '.join(f'<a href=/x>{text(0, 1, 3, False)}</a>' for _ in range(rng.randint(1, 4)))}</td></tr><tr><td>", "</td></tr></table>"), (dull("section"), "</section>"), ("", ""), ("<center>", "</center>")])
             above = some(0.4, lambda: f"{dull('nav')}<ul>{links()}</ul></nav>") + some(0.3, lambda: f"<header><p>{text(0, 1, 6)}</p></header>") + some(0.25, lambda: f"{dull('div')}<ul>{links()}</ul></div>")
-            below = some(0.2, lambda: f"<aside><p>{text(0, 2, 30)}</p></aside>") + some(0.2, lambda: f"<form><label>{text(0, 1, 5, False)}</label> <input name=q></form>") + some(0.4, lambda: f"<footer>{rng.choice(['&copy; ', ''])}{text(0, 2, 12)}</footer>")
+            below = some(0.2, lambda: f"<aside><p>{text(0, 2, 30)}</p></aside>") + some(0.2, lambda: f"<form><label>{text(0, 1, 5, False)}</label> <input name=q></form>") + some(0.15, plain_comments) + some(0.5, lambda: rng.choice([f"<footer>{rng.choice(['&copy; ', ''])}{text(0, 2, 12)}</footer>", plain_footer()]))
             return rng.choice(["<html><body>{}</body></html>", "<!DOCTYPE html><body>{}", "{}"]).format((above + a + inner + b + below).replace("{", "").replace("}", ""))
 
         some = lambda p, f: f() if rng.random() < p else ""
         if rng.random() < 0.33:
             return plain_page(), labels
         before = [some(0.5, header), some(0.75, menu), some(0.35, notice), some(0.5, advert), some(0.2, form), some(0.15, aside)]
-        after = [some(0.3, aside), some(0.25, advert), some(0.15, share), some(0.35, comments), some(0.2, form), some(0.1, menu)]
+        after = [some(0.3, aside), some(0.25, advert), some(0.15, share), some(0.3, comments), some(0.15, plain_comments), some(0.2, form), some(0.1, menu)]
         rng.shuffle(after)
         inner = "".join(before) + article() + "".join(after)
         if rng.random() < 0.25:
             inner = f'<div class="{rng.choice(["wrapper", "page", "container", "site"])}">{inner}</div>'
         head = f"<head><title>{words(2, 6)}</title><style>p{{margin:0}}</style></head>" * (rng.random() < 0.8)
-        return f"<!DOCTYPE html><html>{head}<body>{inner}{some(0.8, footer)}</body></html>", labels
+        return f"<!DOCTYPE html><html>{head}<body>{inner}{some(0.85, rng.choice([footer, footer, footer, plain_footer]))}</body></html>", labels
 
     for _ in range(count):
         out.append(one_page())
@@ -392,7 +447,7 @@ def labelled_pages(count: int = 900, seed: int = 7) -> list[tuple[str, dict[str,
 
 
 @lru_cache(maxsize=2)
-def trained(count: int = 900, seed: int = 7) -> Crf:
+def trained(count: int = 1000, seed: int = 7) -> Crf:
     """The field trained on ``count`` labelled pages (the bound of what it learns from)."""
     pages = []
     for page, labels in labelled_pages(count, seed):

@@ -29,6 +29,15 @@ PLAIN = {
 }
 
 
+PLAIN |= {
+    "<body><h1>Big story</h1><p>First paragraph of it, long enough.</p><p>Second one here.</p><div><h3>Comments</h3><p>User1: nice work</p><p>User2: I agree, really.</p></div></body>": "Big story\nFirst paragraph of it, long enough.\nSecond one here.",
+    "<body><h1>Big story</h1><p>First paragraph of it, long enough.</p><p>Second one here.</p><div>Copyright 2020 Some Firm. All rights reserved.</div></body>": "Big story\nFirst paragraph of it, long enough.\nSecond one here.",
+    '<body><article><h1>Big story</h1><p>First paragraph of it.</p><div style="display:none">Words that are not shown.</div><p hidden>Nor these.</p><p>Second one here.</p></article></body>': "Big story\nFirst paragraph of it.\nSecond one here.",
+    '<body><h1>Big story</h1><p>First paragraph.</p><div style="display: none"><p>Words that are not shown.</p></div><p>Second one here.</p></body>': "Big story\nFirst paragraph.\nSecond one here.",
+    "<body><article><h1>On cells</h1><p>What it is about.</p><h2>Discussion</h2><p>We found that cells divide.</p><p>More on that.</p><p>All rights reserved.</p></article><footer>&copy; me</footer></body>": "On cells\nWhat it is about.\nDiscussion\nWe found that cells divide.\nMore on that.\nAll rights reserved.",
+}
+
+
 @pytest.mark.parametrize("page", sorted(PLAIN))
 def test_pages_without_telling_markup(page):
     assert main_text(page, trained()) == PLAIN[page]
