@@ -1,6 +1,6 @@
 """Clusterings of distinct traces on feature vectors (trace_id, features).
 
-Equal vectors are one weighted point. Up to LOCAL points are collected and worked on where they are, by the same rules as more of them are by
+Equal vectors are one weighted point. Few points are collected and worked on where they are, by the same rules as more of them are by
 Spark: k-means by passes that update all starts at once, Ward's agglomeration by rounds that merge all pairs of mutual nearest neighbours, and the silhouette
 by sums over pairs of blocks. So neither the number of traces nor that of points has a bound.
 """
@@ -15,8 +15,8 @@ from ..functions.checkpoints import written
 from .features import aggregate_attributes, attribute_tokens, context_vectors, control_flow_tokens, enabled_tokens, standardised
 from .paragraphs import paragraph_vectors
 
-#: Different vectors that are collected at most; points of a block, of which pairs meet in a task.
-LOCAL, BLOCK = 5000, 1000
+#: Different vectors that are collected at most, here and for Ward's agglomeration, whose work grows with their square; points of a block, of which pairs meet in a task.
+LOCAL, LOCAL_WARD, BLOCK = 20_000, 5000, 1000
 #: Starts of k-means, of which the best by cost is kept, and passes at most.
 STARTS, PASSES = 10, 50
 
@@ -69,16 +69,15 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 0, local: int = LOCAL) -> Dat
     k = max(1, min(k, n))
     if k < 2:
         return vectors.select("trace_id", F.lit("0").alias("group_id"))
-    draws = [points.select("pid", "features", F.xxhash64(F.lit(seed), F.lit(i), "pid").alias("h")).orderBy("h", "pid").limit(k).select(F.lit(i).alias("start"), "h", "features") for i in range(STARTS)]
-    first = draws[0]
-    for d in draws[1:]:
-        first = first.union(d)
-    rows = sorted(first.collect())
-    centers = np.array([[r.features for r in rows if r.start == i] for i in range(STARTS)], float)
+    draw = F.array(*(F.xxhash64(F.lit(seed), F.lit(i), "pid") for i in range(STARTS)))  # a start's centres are the points of smallest draw
     if n <= local:
-        pids, x, w = on_driver(points)
+        rows = points.select("pid", "features", "w", draw.alias("draw")).orderBy("pid").collect()
+        pids, x, w, draws = (np.array([r[i] for r in rows], t) for i, t in enumerate((np.int64, float, float, np.int64)))
+        centers = np.stack([x[np.lexsort((pids, draws[:, i]))[:k]] for i in range(STARTS)])
         gather = lambda c: gathered(x, w, c)
     else:
+        first = [points.select("pid", "features", F.get(draw, F.lit(i)).alias("h")).orderBy("h", "pid").limit(k).select("features").collect() for i in range(STARTS)]
+        centers = np.array([[r.features for r in rows] for rows in first], float)
         gather = lambda c: _gather(points, c)
     for _ in range(PASSES):
         sums, cost = gather(centers)
@@ -128,10 +127,11 @@ def _gather(points: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def ward_merges(names: np.ndarray, x: np.ndarray, w: np.ndarray) -> list[tuple[float, int, int]]:
     """(cost, a, b) of all merges by nearest-neighbour chains over centroids, each behind those it builds upon; a, the smaller name, stands for both. No table of distances is held."""
-    n = len(x)
-    center, size, alive = x.astype(float), w.astype(float), np.ones(n, bool)
+    names, center, size, alive = names.copy(), x.astype(float), w.astype(float), np.ones(len(x), bool)
     merges, chain = [], []
-    for _ in range(n - 1):
+    for left in range(len(x), 1, -1):
+        if not chain and 2 * left < len(names):  # those that are gone need not be looked at any more
+            names, center, size, alive = names[alive], center[alive], size[alive], np.ones(left, bool)
         while True:
             if not chain:
                 chain.append(int(np.flatnonzero(alive)[0]))
@@ -197,7 +197,7 @@ def merge_round(clusters: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Dat
     return pairs, written(after, "clusters")
 
 
-def ward(vectors: DataFrame, k: int, local: int = LOCAL, block: int = BLOCK) -> DataFrame:
+def ward(vectors: DataFrame, k: int, local: int = LOCAL_WARD, block: int = BLOCK) -> DataFrame:
     """(trace_id, group_id) by Ward's agglomeration into k groups, or as many as there are different vectors.
 
     Merging mutual nearest neighbours in any order gives the same tree. Of its merges the k - 1 most expensive are not made, of equals the last ones.
@@ -311,6 +311,7 @@ FEATURES = {"cf": control_flow, "ctx": context_vectors, "enabled": enabled, "tra
 
 def by_vectors(vectors: DataFrame, k: int | None, method: str = "kmeans", seed: int = 0) -> DataFrame:
     """Groups of vectors; without ``k`` the number of groups with the best silhouette."""
+    vectors = written(vectors, "vectors")
     if k is None:
         k = pick_k(vectors, seed=seed)
     return ward(vectors, k) if method == "ward" else kmeans(vectors, k, seed)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import abstraction as ab
+from ..functions.checkpoints import written
 
 
 def by_key(variants: DataFrame, key: Column) -> DataFrame:
@@ -45,12 +45,13 @@ def fold_small(variants: DataFrame, key: Callable[[Column], Column] = ab.kappa,
     profile of enabled activities has the highest cosine with its own (ties: smaller identifier), or, with
     ``fallback`` "solo", keeps its own key. If no group is large enough, the largest stays (ties: larger identifier).
 
-    Traces meet kept groups through shared activities; those are at most 1 / theta groups, so their profiles
-    have a size bound and are broadcast. The key is worked out once: traces with their keys are persisted (to memory, else disk).
+    Kept groups are at most 1 / theta, so their profiles have a size bound: they are one row, which is broadcast, and one expression over a trace finds its
+    group. The key is worked out once: traces with their keys are written to the shared folder.
     """
     if fallback not in ("nearest", "solo"):
         raise ValueError(f"unknown fallback {fallback!r}")
-    keyed = variants.select("trace_id", "trace", "n_cases", key(F.col("trace")).alias("key")).persist(StorageLevel.MEMORY_AND_DISK)
+    keyed = variants.select("trace_id", "trace", "n_cases", key(F.col("trace")).alias("key"))
+    keyed = written(keyed, "keyed")
     sizes = keyed.groupBy("key").agg(F.sum("n_cases").alias("n"))
     whole = sizes.agg(F.sum("n").alias("total"), F.max(F.struct("n", "key")).alias("top"))
     least = F.lit(theta) * F.col("total")
@@ -58,14 +59,14 @@ def fold_small(variants: DataFrame, key: Callable[[Column], Column] = ab.kappa,
     marked = keyed.join(F.broadcast(kept.withColumn("large", F.lit(True))), "key", "left")
     if fallback == "solo":
         return marked.select("trace_id", F.col("key").alias("group_id"))
-    groups = profiles(marked.where("large"), "key")
-    norms = groups.groupBy("key").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
-    base = groups.join(norms, "key").select(F.col("key").alias("group_id"), "a", F.col("n").alias("m"), "norm")
-    rest = marked.where("large is null")
-    dots = profiles(rest, "trace_id").join(F.broadcast(base), "a").groupBy("trace_id", "group_id").agg((F.sum(F.col("n") * F.col("m")) / F.first("norm")).alias("score"))
-    best = dots.groupBy("trace_id").agg(F.min(F.struct((-F.round("score", 9)).alias("score"), "group_id"))["group_id"].alias("best"))
-    lowest = kept.agg(F.min("key").alias("low"))
-    moved = rest.select("trace_id").join(best, "trace_id", "left").crossJoin(F.broadcast(lowest)).select("trace_id", F.coalesce("best", "low").alias("group_id"))
+    large = profiles(marked.where("large"), "key").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("a", "n"))).alias("times"), F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
+    known = large.agg(F.collect_list(F.struct("key", "times", "norm")).alias("known"))
+    acts = F.flatten(F.transform("trace", lambda e: e["en"]))
+    score = lambda g: F.round(F.aggregate(acts, F.lit(0).cast("long"), lambda s, a: s + F.coalesce(F.try_element_at(g["times"], a), F.lit(0))) / g["norm"], 9)
+    nearest = F.array_min(F.transform("known", lambda g: F.struct((-score(g)).alias("score"), g["key"].alias("key"))))["key"]
+    lowest = kept.agg(F.min("key").alias("low"))  # where no kept group enables anything
+    rest = marked.where("large is null").crossJoin(F.broadcast(known)).crossJoin(F.broadcast(lowest))
+    moved = rest.select("trace_id", F.coalesce(nearest, "low").alias("group_id"))
     return marked.where("large").select("trace_id", F.col("key").alias("group_id")).union(moved)
 
 

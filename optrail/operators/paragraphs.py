@@ -13,11 +13,19 @@ from pyspark.sql import functions as F
 from ..functions.checkpoints import written
 
 #: Documents of a part, about; rounds, and passes over the documents in each; words drawn for each that is there; first and last step.
-PART, ROUNDS, PASSES, DRAWN, STEPS = 20_000, 10, 6, 5, (0.05, 0.005)
+PART, ROUNDS, PASSES, DRAWN, STEPS = 20_000, 10, 6, 5, (0.2, 0.02)
 #: Most words and words' vectors' numbers that are sent to the workers.
 MOST_SENT = 20_000_000
 
 
+def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Add rows to those of ``to``, several to one where their places are equal."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    to[at[first]] += np.add.reduceat(rows[order], first)
+
+
 def trained(docs: list[np.ndarray], vectors: np.ndarray, words: np.ndarray, shares: np.ndarray, steps: np.ndarray, seed: list[int], batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of documents and words after a pass for each of ``steps``; ``docs`` are word numbers, ``shares`` the running sums of the chances to be drawn."""
     rng = np.random.default_rng(seed)
@@ -30,12 +38,14 @@ def trained(docs: list[np.ndarray], vectors: np.ndarray, words: np.ndarray, shar
             drawn = np.minimum(np.searchsorted(shares, rng.random((len(w), DRAWN))), len(words) - 1)
             targets = np.concatenate([w[:, None], drawn], 1)
             own, other = vectors[d], words[targets]
-            error = -1 / (1 + np.exp(-np.clip(np.einsum("bd,bnd->bn", own, other), -30, 30)))
+            error = -1 / (1 + np.exp(-np.clip(np.matmul(other, own[..., None])[..., 0], -30, 30)))
             error[:, 0] += 1
             error[:, 1:] *= drawn != w[:, None]  # a word that is drawn against itself says nothing
             often = np.sqrt(np.bincount(targets.ravel(), minlength=len(words)))[targets]
-            np.add.at(vectors, d, step * np.einsum("bn,bnd->bd", error, other))
-            np.add.at(words, targets, (step * error / often)[..., None] * own[:, None])
+            for_docs = step * np.matmul(error[:, None], other)[:, 0]
+            for_words = ((step * error / often)[..., None] * own[:, None]).reshape(-1, own.shape[1])
+            add_rows(vectors, d, for_docs)
+            add_rows(words, targets.ravel(), for_words)
     return vectors, words
 
 
@@ -52,9 +62,9 @@ def paragraph_vectors(docs: DataFrame, words: Column, size: int, seed: int = 0,
     number = {w: i for i, (w, _) in enumerate(counts)}
     chance = np.array([n for _, n in counts], float) ** 0.75
     shares = np.cumsum(chance) / max(chance.sum(), 1.0)
-    vectors = (np.random.default_rng([seed, 1]).random((len(counts), size)) - 0.5) / size
+    vectors = np.random.default_rng([seed, 1]).random((len(counts), size)) - 0.5
     parts = max(1, -(-table.count() // part))
-    start = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (F.pmod(F.xxhash64(F.lit(seed), "trace_id", i), F.lit(1 << 20)) / (1 << 20) - 0.5) / size)
+    start = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.pmod(F.xxhash64(F.lit(seed), "trace_id", i), F.lit(1 << 20)) / (1 << 20) - 0.5)
     state = table.select("trace_id", F.pmod(F.xxhash64("trace_id"), F.lit(parts)).cast("int").alias("part"), "words", start.alias("v"))
     steps = np.linspace(*STEPS, rounds * PASSES).reshape(rounds, PASSES)
     for i in range(rounds if counts else 0):

@@ -9,11 +9,11 @@ import hashlib
 import heapq
 from collections import Counter
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import abstraction as ab
+from ..functions.checkpoints import written
 from .align import Aligner, Event, Move
 from .enrich import MOST_STATES, Replayer, Unbounded
 from .metrics import harmonic
@@ -136,7 +136,8 @@ def qualities(rows: DataFrame, nets: dict[str, dict[str, PetriNet]], replay_loos
     by = ["scope", "model"]
     dealt = rows.select("scope", "trace", "n_cases").repartitionByRange("scope", ab.executed(F.col("trace")))
     facts = dealt.mapInPandas(run, f"scope string, model string, {FACTS}")
-    summed = facts.groupBy(*by, "kind", "key", "label").agg(F.sum("a").alias("a"), F.when(F.col("kind") == "visit", F.max("b")).otherwise(F.sum("b")).alias("b")).persist(StorageLevel.MEMORY_AND_DISK)
+    summed = facts.groupBy(*by, "kind", "key", "label").agg(F.sum("a").alias("a"), F.when(F.col("kind") == "visit", F.max("b")).otherwise(F.sum("b")).alias("b"))
+    summed = written(summed, "facts")
     total = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
     went = summed.where("kind = 'went'").groupBy(*by, "key").agg(F.count(F.lit(1)).alias("went"))
     etc = summed.where("kind = 'visit'").join(went, [*by, "key"]).groupBy(*by).agg((1 - F.sum(F.col("a") * (F.col("b") - F.least("went", "b"))) / F.sum(F.col("a") * F.col("b"))).alias("precision"))

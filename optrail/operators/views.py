@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions import abstraction as ab
+from ..functions.checkpoints import written
 from .log import activities
 
 
@@ -23,19 +23,19 @@ def with_kappa(variants: DataFrame, decomposition: str = "leftmost") -> DataFram
 def induce_views(variants: DataFrame, decomposition: str = "leftmost") -> DataFrame:
     """(label, kappa, n_cases, n_traces, n_variants, coverage): views by falling number of cases, then first appearance.
 
-    The grouping by identifier is a barrier: its rows, one for each view, are persisted (to memory, else disk), so that the fold
-    below it runs once. Views are numbered without bringing
-    them into one task: their counts by size and range of first appearance are, and a view's number is what stands before its
-    range plus its place there.
+    Views, of which there are far fewer than variants, are written to the shared folder, and with that the folds are done. Few views are large: numbers
+    of views by size are as few as there are sizes, and tell how many views stand before those of a size. Inside a size first appearance is cut into
+    ranges, so that the very many views of a few cases are numbered in as many tasks.
     """
     keyed = with_kappa(variants, decomposition).select("kappa", "n_cases", "first_ord", ab.variant_text(F.col("trace")).alias("variant"))
-    views = keyed.groupBy("kappa").agg(F.sum("n_cases").alias("n_cases"), F.count(F.lit(1)).alias("n_traces"), F.count_distinct("variant").alias("n_variants"), F.min("first_ord").alias("first_ord")).persist(StorageLevel.MEMORY_AND_DISK)
+    by_variant = keyed.groupBy("kappa", "variant").agg(F.sum("n_cases").alias("n_cases"), F.count(F.lit(1)).alias("n_traces"), F.min("first_ord").alias("first_ord"))
+    views = written(by_variant.groupBy("kappa").agg(F.sum("n_cases").alias("n_cases"), F.sum("n_traces").alias("n_traces"), F.count(F.lit(1)).alias("n_variants"), F.min("first_ord").alias("first_ord")), "views")
+    part = F.lit(0)
     if isinstance(views.schema["first_ord"].dataType, NumericType):
-        ends = views.agg(F.min("first_ord").cast("double").alias("low"), F.max("first_ord").cast("double").alias("high"))
-        part = F.floor((F.col("first_ord").cast("double") - F.col("low")) / (F.col("high") - F.col("low") + 1) * SLICES).cast("int")
-        views = views.crossJoin(F.broadcast(ends)).withColumn("part", part).drop("low", "high")
-    else:
-        views = views.withColumn("part", F.lit(0))
+        ends = views.agg(F.min("first_ord").cast("double").alias("low"), F.max("first_ord").cast("double").alias("high")).first()
+        if ends.low is not None:
+            part = F.floor((F.col("first_ord").cast("double") - ends.low) / (ends.high - ends.low + 1) * SLICES).cast("int")
+    views = views.withColumn("part", part)
     order = Window.orderBy(F.desc("size"), F.asc("part"))
     sizes = views.groupBy(F.col("n_cases").alias("size"), "part").agg(F.count(F.lit(1)).alias("here"))
     sizes = sizes.withColumn("before", F.coalesce(F.sum("here").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum(F.col("here") * F.col("size")).over(Window.partitionBy()))

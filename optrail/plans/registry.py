@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import abstraction as ab
+from ..functions.checkpoints import written
 from ..functions.sets import parse_set
 from ..operators import grouping as gr
 from ..operators import log as lg
@@ -36,8 +36,8 @@ def variants(spark, sf_dir):
 
 
 def assigned(spark, sf_dir):
-    """Variants with their views' labels; identifiers are worked out once and persisted."""
-    v = vw.with_kappa(variants(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    """Variants with their views' labels; identifiers are worked out once and written."""
+    v = written(vw.with_kappa(variants(spark, sf_dir)), "variants")
     return vw.assign_views(v, vw.induce_views(v))
 
 

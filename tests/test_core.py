@@ -466,8 +466,8 @@ def test_traces_without_a_name_get_their_index(spark, tmp_path):
 def test_rework_and_quick_logs(spark):
     traces = sy.helpdesk(spark, 40, rework=True)
     kappas = traces.select("label", ab.kappa(F.col("trace")).alias("k")).distinct().collect()
-    assert sorted(r.label for r in kappas) == ["agent", "supervisor"]
-    assert ["request_info" in r.k for r in sorted(kappas)] == [True, False]
+    assert sorted(r.label for r in kappas) == ["manager", "teller"]
+    assert ["ask_papers" in r.k for r in sorted(kappas)] == [False, True]
     assert set(sy.build_all(spark, quick=True)) == set(sy.QUICK) < set(sy.LOGS)
 
 
