@@ -59,7 +59,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     range-sorts what is taken.
 
     Null text has size 0 and is never taken; null sources form one source; repeated rows with one doc_id
-    are separate documents, ordered by size, text and source, and those alike in all of these are taken alike; an empty table gives
+    are separate documents, ordered by size, text and source, and of those alike in all of these any may come first, so where the budget ends one of them may be taken and another not; an empty table gives
     no rows. Columns of ``docs`` other than doc_id, text and source are ignored.
     """
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
