@@ -170,6 +170,24 @@ def model_quality(variants: DataFrame, net: PetriNet) -> DataFrame:
     return qualities(variants.select(F.lit("log").alias("scope"), "trace", "n_cases"), {"log": {"model": net}}).select(*METRICS)
 
 
+def translucent_conformance(variants: DataFrame, net: PetriNet) -> DataFrame:
+    """One row (translucent_fitness, translucent_precision): how far logged enabled sets are those of the model."""
+    return model_quality(variants, net).select("translucent_fitness", "translucent_precision")
+
+
+def translucent_fitness(variants: DataFrame, net: PetriNet) -> float:
+    return translucent_conformance(variants, net).first().translucent_fitness
+
+
+def translucent_precision(variants: DataFrame, net: PetriNet) -> float:
+    return translucent_conformance(variants, net).first().translucent_precision
+
+
+def available() -> bool:
+    """Whether the measures of enabled sets can be worked out; they need nothing that is not here."""
+    return True
+
+
 def weighted(name: str, total: Column) -> Column:
     """The mean of a metric by cases, a missing value counting as 0."""
     return F.sum(F.coalesce(F.nanvl(name, F.lit(0.0)), F.lit(0.0)) * F.col("n_cases")) / total

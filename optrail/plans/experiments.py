@@ -20,7 +20,7 @@ from ..operators import relations as rel
 from ..operators import views as vw
 from ..sources import synth as sy
 from ..sources.logs import derived_traces, order_traces
-from .registry import conversation_traces, query, user_label
+from .registry import QUERIES, conversation_traces, query, user_label
 
 T = "trace"
 
@@ -96,6 +96,21 @@ def timed(traces: DataFrame, name: str, repeats: int = 3) -> DataFrame:
     return spark.createDataFrame(rows, "log string, method string, n_traces long, seconds double")
 
 
+def write_results(spark: SparkSession, sf_dir: str, folder: str, names: tuple[str, ...]) -> list[str]:
+    """Write the results of registered queries as CSV, each to a folder of its name, and give the names of those that were not there yet.
+
+    A result that was written whole stays, so a run that was broken off goes on where it ended. Folders may lie in any store that Spark writes to.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fresh = []
+    for name in names:
+        done = hadoop.Path(f"{folder}/{name}/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            QUERIES[name](spark, sf_dir).write.mode("overwrite").csv(f"{folder}/{name}", header=True)
+            fresh.append(name)
+    return fresh
+
+
 def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of `events` with its hidden label."""
     return derived_traces(spark, sf_dir).withColumn("label", user_label())

@@ -37,7 +37,7 @@ def plain_ward(x, k):
 @pytest.mark.parametrize("k", [1, 3, 7])
 def test_ward(spark, points, k):
     df = frame(spark, points)
-    here, there = (parts_of(cl.ward(df, k, local, block=30).collect()) for local in (5000, 10))
+    here, there = (parts_of(cl.ward(df, k, local, block=70).collect()) for local in (5000, 60))
     ids = np.array([i * 7 % 1009 for i in range(len(points))])
     assert here == there == sorted(sorted(ids[g].tolist()) for g in plain_ward(points, k))
 

@@ -10,7 +10,7 @@ from optrail.operators import clustering as cl
 from optrail.operators import levels, quality
 from optrail.operators import log as lg
 from optrail.operators import metrics as mt
-from optrail.operators.model import PetriNet
+from optrail.operators.model import PetriNet, net_of, parse_identifier
 from optrail.plans import experiments as ex
 from optrail.sources import synth as sy
 
@@ -101,3 +101,18 @@ def test_agreement_of_many_contingencies_is_that_of_each(spark):
 def test_noise_takes_views_apart(spark):
     got = {r.noise: r for r in ex.noise_sweep(sy.service_desk(spark, 60), "desk", (0.0, 0.3), ("balanced",)).collect()}
     assert got[0.0].kept == got[0.0].ari == 1.0 and got[0.0].n_views == 4 and got[0.3].ari < 0.6
+
+
+def test_results_are_written_once(spark, tmp_path):
+    sf, out, names = "/root/testdata/sf0.001", f"file://{tmp_path}/out", ("log_kpis", "start_acts")
+    assert ex.write_results(spark, sf, out, names[:1]) == ["log_kpis"]
+    assert ex.write_results(spark, sf, out, names) == ["start_acts"]
+    assert spark.read.csv(f"{out}/start_acts", header=True).count() == 5 and spark.read.csv(f"{out}/log_kpis", header=True).first().n_activities == "5"
+
+
+def test_enabled_sets_of_the_model_itself_fit(spark):
+    tree = parse_identifier("seq(in, xor(look, skip), out)")
+    traces = [([("in", ["in"]), (x, ["look", "skip"]), ("out", ["out"])],) for x in ("look", "skip")]
+    v = spark.createDataFrame(traces, "trace array<struct<a:string,en:array<string>>>").withColumn("n_cases", F.lit(2))
+    assert quality.available() and quality.translucent_fitness(v, net_of(tree)) == quality.translucent_precision(v, net_of(tree)) == 1.0
+    assert quality.translucent_fitness(v.withColumn("trace", F.transform("trace", lambda e: F.struct(e["a"].alias("a"), F.array(e["a"]).alias("en")))), net_of(tree)) == round(1 - 0.5 / 6, 6)
