@@ -165,3 +165,11 @@ def test_texts_of_another_language_go(spark):
     rows = [(i, "x", " ".join(rng.choices(own, k=80))) for i in range(100)] + [(200 + i, "x", " ".join(rng.choices(other, k=80))) for i in range(3)] + [(300, "x", "a " * 90)]
     got = {r.doc_id: r.kept for r in judge(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert sum(got[i] for i in range(100)) >= 97 and not any(got[i] for i in (200, 201, 202, 300))
+
+
+def test_very_long_texts_and_words(spark):
+    rows = [(1, "x", "ab cd ef " * 300_000), (2, "x", "q" * 3_000_000), (3, "x", "é" * 500_000 + " ab " * 30), (4, None, "\n" * 1_000_000), (5, "x", " ".join(f"w{i}" for i in range(200_000)))]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i].n_words for i in (1, 2, 3, 4, 5)] == [900_000, 1, 31, 0, 200_000]
+    assert got[1].base_failed and got[1].n_repeat_words == 900_000 and got[2].word_chars == 3_000_000 and got[3].word_chars == 500_060 and not got[5].base_failed
+    assert got[4].level is None and not got[4].kept
