@@ -286,10 +286,10 @@ def discover_order_trees(spark, sf_dir):
     return levels.mine_groups(grouped, "imf", 0.2)
 
 
-def _group_nets(spark, sf_dir):
+def _group_nets(spark, sf_dir, variant="imf", noise=0.4):
     plain = labelled_events(spark, sf_dir).select(F.col("label").alias("group_id"), F.transform("trace", lambda e: F.struct(e["a"].alias("a"), F.array(e["a"]).alias("en"))).alias("trace"))
     counted = written(plain.groupBy("group_id", "trace").agg(F.count(F.lit(1)).alias("n_cases")), "counted")
-    nets = {g: model.net_of(tree) for g, tree in levels.group_trees(counted, "imf", 0.4).items()}
+    nets = {g: model.net_of(tree) for g, tree in levels.group_trees(counted, variant, noise).items()}
     return counted.select("group_id", ab.executed(T).alias("acts"), "n_cases"), nets
 
 
@@ -307,6 +307,21 @@ def replay_report(spark, sf_dir):
     return en.reports(sequences, en.split_and_enrich(sequences, nets))
 
 
+@query
+def replay_mined(spark, sf_dir):
+    """Cases of each hidden label under the model that was mined from them without a threshold, which allows them all."""
+    sequences, nets = _group_nets(spark, sf_dir, "im", 0.0)
+    return en.reports(sequences, en.split_and_enrich(sequences, nets))
+
+
+@query
+def conformance_mined(spark, sf_dir):
+    """Fitness and share of replayed cases of each hidden label under its own mined model: 1 and 0."""
+    v = labelled_variants(labelled_events(spark, sf_dir)).select(F.col("label").alias("group_id"), T, "n_cases")
+    nets = {g: model.net_of(tree) for g, tree in levels.group_trees(v, "im").items()}
+    return quality.qualities(v.withColumnRenamed("group_id", "scope"), {g: {"own": net} for g, net in nets.items()}).select("scope", "n_cases", "fitness", "replayed_share")
+
+
 @query
 def alignment_quality(spark, sf_dir):
     """Quality of the mined model of the whole log, every trace aligned."""

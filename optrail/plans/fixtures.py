@@ -126,6 +126,10 @@ SELECT group_id, array_to_string(list_transform(acts, lambda a, i: a || CASE WHE
 ORACLES["replay_visits_report"] = f"""{_SEQUENCES}
 SELECT group_id, count(*)::BIGINT AS cases_in, sum(fits::INT)::BIGINT AS cases_kept, round(sum(fits::INT) / count(*), 6) AS retention FROM fits GROUP BY group_id"""
 
+# A model that is mined without a threshold allows its log.
+ORACLES["replay_mined"] = f"{_SEQUENCES} SELECT group_id, count(*)::BIGINT AS cases_in, count(*)::BIGINT AS cases_kept, 1.0::DOUBLE AS retention FROM seqs GROUP BY group_id"
+ORACLES["conformance_mined"] = f"{_SEQUENCES} SELECT group_id AS scope, count(*)::BIGINT AS n_cases, 1.0::DOUBLE AS fitness, 0.0::DOUBLE AS replayed_share FROM seqs GROUP BY group_id"
+
 # The shortest run is empty, so the worst cost of a trace is its length. The model allows its three activities at every prefix of what is left of a trace without the others.
 ORACLES["conformance_free"] = """
 WITH ev AS (SELECT user_id, ts::DATE AS day, ts, event_id, event_type AS a, event_type IN ('click', 'purchase', 'view') AS own FROM events),
@@ -161,3 +165,27 @@ def _curve(name: str, key: str) -> str:
 
 
 ORACLES["coverage_curve"] = over_views(" UNION ALL ".join(_curve(n, k) for n, k in (("kappa", "kappa"), ("variant", "variant"), ("constant", "'all'"))))
+
+_KPIS = ORACLES["log_kpis"][ORACLES["log_kpis"].rindex("SELECT sum(n_cases)::BIGINT AS n_cases, sum(n_cases * len)") :]
+_OTHER = {name: ORACLES[query_].replace("SELECT label, kappa, n_cases, n_traces FROM vw", _KPIS) for name, query_ in (("orders", "order_views"), ("conversations", "conversation_views"))}
+ORACLES["log_overview"] = " UNION ALL ".join(f"SELECT '{name}' AS log, * FROM ({sql})" for name, sql in ({"events": ORACLES["log_kpis"]} | _OTHER).items())
+
+
+def _agreement(ctes: str, key: str) -> str:
+    """ari and n_views by a key of the common table cells(key, t, p, n)."""
+    return f"""{ctes},
+whole AS (SELECT {key}, sum(n * (n - 1) / 2) AS idx, sum(n) * (sum(n) - 1) / 2 AS pairs FROM cells GROUP BY {key}),
+of_t AS (SELECT {key}, sum(n * (n - 1) / 2) AS a FROM (SELECT {key}, t, sum(n) AS n FROM cells GROUP BY ALL) GROUP BY {key}),
+of_p AS (SELECT {key}, sum(n * (n - 1) / 2) AS b, count(*) AS n_views FROM (SELECT {key}, p, sum(n) AS n FROM cells GROUP BY ALL) GROUP BY {key}),
+agreed AS (SELECT {key}, CASE WHEN (a + b) / 2 = a * b / pairs THEN 1.0 ELSE round((idx - a * b / pairs) / ((a + b) / 2 - a * b / pairs), 6) END::DOUBLE AS ari, n_views FROM whole JOIN of_t USING ({key}) JOIN of_p USING ({key}))"""
+
+
+_KINDS = {kind: over_views("SELECT trace, kappa, n_cases FROM vk", kind) for kind in ("leftmost", "rightmost", "shortest")}
+_PAIRS = " UNION ALL ".join(f"SELECT '{kind}' AS decomposition, l.kappa AS t, o.kappa AS p, l.n_cases::DOUBLE AS n FROM ({_KINDS['leftmost']}) l JOIN ({sql}) o ON o.trace = l.trace" for kind, sql in _KINDS.items())
+ORACLES["decompositions_compared"] = _agreement(f"WITH cells AS (SELECT decomposition, t, p, sum(n) AS n FROM ({_PAIRS}) GROUP BY ALL)", "decomposition") + " SELECT decomposition, ari, n_views::BIGINT AS n_views FROM agreed"
+
+_DAYS = over_views("SELECT 'u' || (split_part(case_id, '-', 1)::BIGINT % 4)::VARCHAR AS t, vk.kappa AS p, right(case_id, 2)::INT AS day FROM tr JOIN vk ON vk.trace = tr.trace")
+ORACLES["growing_log"] = (
+    _agreement(f"WITH cases AS ({_DAYS}), cells AS (SELECT days, t, p, count(*)::DOUBLE AS n FROM cases, (VALUES (10), (20), (31)) v(days) WHERE day <= days GROUP BY ALL)", "days")
+    + " SELECT 'kappa' AS method, round(avg(ari), 6) AS mean, round(stddev_pop(ari), 6) AS std, round(max(abs(ari - m)), 6) AS max_deviation, round(regr_slope(ari, days), 6) AS slope FROM agreed, (SELECT avg(ari) AS m FROM agreed)"
+)
