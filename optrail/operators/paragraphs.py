@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.checkpoints import written
 
 #: Documents of a part, about; rounds, and passes over the documents in each; words drawn for each that is there; first and last step.
-PART, ROUNDS, PASSES, DRAWN, STEPS = 20_000, 10, 6, 5, (0.2, 0.02)
+PART, ROUNDS, PASSES, DRAWN, STEPS = 4000, 6, 10, 5, (0.2, 0.02)
 #: Most words and words' vectors' numbers that are sent to the workers.
 MOST_SENT = 20_000_000
 
