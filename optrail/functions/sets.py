@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 EVENT_TYPE = "struct<a:string,en:array<string>>"
 
-#: Names under which an event table may hold its enabled sets, in the order in which they are looked for.
+#: Fixed values. Names under which an event table may hold its enabled sets, in the order in which they are looked for.
 ENABLED_NAMES = ("enabled_activities", "enabled", "en", "translucent:enabled", "enabledActivities")
 
 
