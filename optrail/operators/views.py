@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -29,12 +29,16 @@ def induce_views(variants: DataFrame, decomposition: str = "leftmost") -> DataFr
     """
     keyed = with_kappa(variants, decomposition).select("kappa", "n_cases", "first_ord", ab.variant_text(F.col("trace")).alias("variant"))
     by_variant = keyed.groupBy("kappa", "variant").agg(F.sum("n_cases").alias("n_cases"), F.count(F.lit(1)).alias("n_traces"), F.min("first_ord").alias("first_ord"))
-    views = written(by_variant.groupBy("kappa").agg(F.sum("n_cases").alias("n_cases"), F.sum("n_traces").alias("n_traces"), F.count(F.lit(1)).alias("n_variants"), F.min("first_ord").alias("first_ord")), "views")
+    views = by_variant.groupBy("kappa").agg(F.sum("n_cases").alias("n_cases"), F.sum("n_traces").alias("n_traces"), F.count(F.lit(1)).alias("n_variants"), F.min("first_ord").alias("first_ord"))
     part = F.lit(0)
     if isinstance(views.schema["first_ord"].dataType, NumericType):
-        ends = views.agg(F.min("first_ord").cast("double").alias("low"), F.max("first_ord").cast("double").alias("high")).first()
-        if ends.low is not None:
-            part = F.floor((F.col("first_ord").cast("double") - ends.low) / (ends.high - ends.low + 1) * SLICES).cast("int")
+        first, ends = F.col("first_ord").cast("double"), Observation()  # the ends of first appearance come with the job that writes
+        views = written(views.observe(ends, F.min(first).alias("low"), F.max(first).alias("high")), "views")
+        low, high = ends.get["low"], ends.get["high"]
+        if low is not None:
+            part = F.floor((first - low) / (high - low + 1) * SLICES).cast("int")
+    else:
+        views = written(views, "views")
     views = views.withColumn("part", part)
     order = Window.orderBy(F.desc("size"), F.asc("part"))
     sizes = views.groupBy(F.col("n_cases").alias("size"), "part").agg(F.count(F.lit(1)).alias("here"))

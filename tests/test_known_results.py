@@ -116,3 +116,10 @@ def test_enabled_sets_of_the_model_itself_fit(spark):
     v = spark.createDataFrame(traces, "trace array<struct<a:string,en:array<string>>>").withColumn("n_cases", F.lit(2))
     assert quality.available() and quality.translucent_fitness(v, net_of(tree)) == quality.translucent_precision(v, net_of(tree)) == 1.0
     assert quality.translucent_fitness(v.withColumn("trace", F.transform("trace", lambda e: F.struct(e["a"].alias("a"), F.array(e["a"]).alias("en")))), net_of(tree)) == round(1 - 0.5 / 6, 6)
+
+
+def test_views_of_an_empty_log(spark):
+    from optrail.operators import views as vw
+
+    empty = lg.variants_of(sy.running_example(spark).where("false"))
+    assert vw.induce_views(empty).count() == 0 and vw.crosstab(vw.assign_views(empty, vw.induce_views(empty))).count() == 0
