@@ -85,10 +85,14 @@ def shortest(items: Column) -> Column:
 DECOMPOSITIONS: dict[str, Callable[[Column], Column]] = {"leftmost": leftmost, "rightmost": rightmost, "shortest": shortest}
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), where x is worked out a single time however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def compound(kind: str, parts: Column) -> Column:
     """kind(...) over sorted distinct parts; a single part stands for itself."""
-    sorted_parts = F.array_sort(F.array_distinct(parts))
-    return F.when(F.size(sorted_parts) == 1, F.element_at(sorted_parts, 1)).otherwise(F.concat(F.lit(f"{kind}("), F.array_join(sorted_parts, ", "), F.lit(")")))
+    return once(F.array_sort(F.array_distinct(parts)), lambda p: F.when(F.size(p) == 1, F.element_at(p, 1)).otherwise(F.concat(F.lit(f"{kind}("), F.array_join(p, ", "), F.lit(")"))))
 
 
 def block(c: Column) -> Column:
@@ -100,7 +104,7 @@ def interval_identifier(interval: Column) -> Column:
 
 
 def sequence(parts: Column) -> Column:
-    return F.when(F.size(parts) == 0, F.lit(EPSILON)).when(F.size(parts) == 1, F.element_at(parts, 1)).otherwise(F.concat(F.lit("seq("), F.array_join(parts, ", "), F.lit(")")))
+    return once(parts, lambda p: F.when(F.size(p) == 0, F.lit(EPSILON)).when(F.size(p) == 1, F.element_at(p, 1)).otherwise(F.concat(F.lit("seq("), F.array_join(p, ", "), F.lit(")"))))
 
 
 def decompose(trace: Column, decomposition: str = "leftmost") -> Column:

@@ -94,12 +94,25 @@ PARTITIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def held_out_draw(trace: Column, seed: int = 0) -> Column:
+    """A number from 0 to 1 by a digest of a trace's text; traces below a share are for training."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), ab.trace_text(trace)))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(1000)) / 1000
+
+
+def held_out_coverages(variants: DataFrame, keys: dict[str, Callable[[Column], Column]], shares: tuple[float, ...], seed: int = 0) -> DataFrame:
+    """(key, share, coverage) for every named key and share: share of held-out cases whose key occurs in training. Keys are worked out once a trace and counted in one pass."""
+    trace = F.col("trace")
+    named = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), f(trace).alias("key")) for i, f in enumerate(keys.values()))))
+    keyed = variants.select("n_cases", held_out_draw(trace, seed).alias("draw"), named.alias("k")).select("n_cases", "draw", "k.i", "k.key")
+    held = lambda s: F.sum(F.when(F.col("draw") >= s, F.col("n_cases")))
+    per = keyed.groupBy("i", "key").agg(*(F.max(F.col("draw") < s).alias(f"seen{j}") for j, s in enumerate(shares)), *(held(s).alias(f"n{j}") for j, s in enumerate(shares)))
+    of = lambda i, j, hit: F.coalesce(F.sum(F.when((F.col("i") == i) & (F.col("key").isNotNull() & F.col(f"seen{j}") if hit else F.lit(True)), F.col(f"n{j}"))), F.lit(0))
+    rows = [F.struct(F.lit(name).alias("key"), F.lit(s).alias("share"), of(i, j, True).alias("hit"), of(i, j, False).alias("n")) for i, name in enumerate(keys) for j, s in enumerate(shares)]
+    all_ = per.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r"))
+    return all_.select("r.key", "r.share", F.when(F.col("r.n") > 0, F.round(F.col("r.hit") / F.col("r.n"), 6)).otherwise(0.0).alias("coverage"))
+
+
 def held_out_coverage(variants: DataFrame, key: Callable[[Column], Column] = ab.kappa, share: float = 0.7, seed: int = 0) -> DataFrame:
     """One row: share of held-out cases whose key occurs in training, by a split of traces on a digest of their text."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), ab.trace_text(F.col("trace"))))
-    keyed = variants.select("n_cases", key(F.col("trace")).alias("key"), (F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(1000)) / 1000).alias("draw"))
-    draw = F.col("draw")
-    train = keyed.where(draw < share).select("key").distinct()
-    test = keyed.where(draw >= share)
-    hit = test.join(train, "key", "left_semi").agg(F.coalesce(F.sum("n_cases"), F.lit(0)).alias("hit"))
-    return test.agg(F.coalesce(F.sum("n_cases"), F.lit(0)).alias("n")).crossJoin(hit).select(F.when(F.col("n") > 0, F.round(F.col("hit") / F.col("n"), 6)).otherwise(0.0).alias("coverage"))
+    return held_out_coverages(variants, {"key": key}, (share,), seed).select("coverage")

@@ -79,7 +79,7 @@ def tie_breaks(traces: DataFrame) -> DataFrame:
 
 def learning_curve(variants: DataFrame, shares: tuple[float, ...] = (0.1, 0.3, 0.7)) -> DataFrame:
     keys = {"kappa": ab.kappa, "variant": ab.variant_text, "constant": lambda t: F.lit("all")}
-    return union_all([gr.held_out_coverage(variants, f, share=s).select(F.lit(name).alias("key"), F.lit(s).alias("share"), "coverage") for name, f in keys.items() for s in shares])
+    return gr.held_out_coverages(variants, keys, shares)
 
 
 def timed(traces: DataFrame, name: str, repeats: int = 3) -> DataFrame:
