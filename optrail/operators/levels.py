@@ -141,14 +141,23 @@ def pieces_of(trace: Column, how: Column, filled: Column, groups: Column) -> Col
     )
 
 
+Asked = tuple[str, float]
+
+
 def mine_parts(parts: DataFrame, roots: list[int], variant: str = "imtf", noise: float = 0.0, small: int = SMALL) -> dict[int, Tree]:
-    """The tree of each part of (part, trace, n_cases), parts numbered from 0; one without traces is silent.
+    """The tree of each part of (part, trace, n_cases), parts numbered from 0; one without traces is silent."""
+    return {p: tree for (p, _), tree in mine_each(parts, {p: [(variant, noise)] for p in roots}, small).items()}
+
+
+def mine_each(parts: DataFrame, roots: dict[int, list[Asked]], small: int = SMALL) -> dict[tuple[int, Asked], Tree]:
+    """The trees of parts of (part, trace, n_cases) by each miner variant and threshold that is asked for. What is known of a part does not depend on
+    these, and those that split it alike share its pieces, so there is one pass a level for all.
 
     The driver holds trees, and for each open part the sums of a pass. When at most ``small`` rows are left in all, they are collected
     and mined there, by the same decisions.
     """
-    variant = known_variant(variant)
-    spark, splits, trees, below, open_, depth = parts.sparkSession, {}, {}, {}, list(roots), 0
+    spark, splits, trees, below, depth = parts.sparkSession, {}, {}, {}, 0
+    open_ = {p: [(a, (known_variant(a[0]), a[1])) for a in asked] for p, asked in roots.items()}
     rows = written(parts.groupBy("part", "trace").agg(F.sum("n_cases").alias("n_cases")), "parts")
     following = max(roots, default=-1) + 1
     while open_:
@@ -156,34 +165,44 @@ def mine_parts(parts: DataFrame, roots: list[int], variant: str = "imtf", noise:
             logs: dict[int, Log] = {p: Counter() for p in open_}
             for r in rows.collect():
                 logs[r.part][tuple((e.a, frozenset(e.en)) for e in r.trace)] += r.n_cases
-            trees |= {p: mine_tree(log, variant, noise, depth) for p, log in logs.items()}
+            trees |= {(p, a): mine_tree(logs[p], *how, depth) for p, asked in open_.items() for a, how in asked}
             break
         sums: dict[int, Sums] = defaultdict(Sums)
         for r in sums_of(rows).collect():
             sums[r.part].of[r.kind][r.x, r.y] += r.n
-        fresh = []
-        for p in open_:
-            found = decide(sums[p].part(), variant, noise, depth)
-            if isinstance(found, Tree):
-                trees[p] = found
-                continue
-            splits[p] = found
-            below[p] = list(range(following, following + found.children()))
-            following += found.children()
-            fresh.append((p, found.how, found.filled, found.groups, below[p]))
-        open_, depth = [c for *_, children in fresh for c in children], depth + 1
+        fresh, children, after = [], {}, {}
+        for p, asked in open_.items():
+            for a, how in asked:
+                found = decide(sums[p].part(), *how, depth)
+                if isinstance(found, Tree):
+                    trees[p, a] = found
+                    continue
+                alike = (p, found.how, found.filled, tuple(map(tuple, found.groups)), found.children())
+                if alike not in children:
+                    children[alike] = list(range(following, following + found.children()))
+                    following += found.children()
+                    fresh.append((p, found.how, found.filled, found.groups, children[alike]))
+                splits[p, a], below[p, a] = found, children[alike]
+                for c in below[p, a]:
+                    after.setdefault(c, []).append((a, how))
+        open_, depth = after, depth + 1
         if open_:
             plan = spark.createDataFrame(fresh, "part int, how string, filled boolean, groups array<array<string>>, children array<int>")
-            cut = rows.join(plan, "part").select("children", "n_cases", F.explode(pieces_of(F.col("trace"), F.col("how"), F.col("filled"), F.col("groups"))).alias("x"))
+            cut = rows.join(F.broadcast(plan), "part").select("children", "n_cases", F.explode(pieces_of(F.col("trace"), F.col("how"), F.col("filled"), F.col("groups"))).alias("x"))
             moved = cut.select(F.get("children", F.col("x.child")).alias("part"), F.col("x.trace").alias("trace"), "n_cases")
             rows = written(moved.groupBy("part", "trace").agg(F.sum("n_cases").alias("n_cases")), "parts")
 
-    def whole(p: int) -> Tree:
-        if p not in trees:
-            trees[p] = splits[p].tree([whole(c) for c in below[p]])
-        return trees[p]
+    def whole(p: int, a: Asked) -> Tree:
+        if (p, a) not in trees:
+            trees[p, a] = splits[p, a].tree([whole(c, a) for c in below[p, a]])
+        return trees[p, a]
+
+    return {(p, a): fold(whole(p, a)) for p, asked in roots.items() for a in asked}
+
 
-    return {p: fold(whole(p)) for p in roots}
+def discover_each(variants: DataFrame, asked: list[Asked], small: int = SMALL) -> dict[Asked, Tree]:
+    """The models of a log of weighted variants by several miner variants and thresholds."""
+    return {a: tree for (_, a), tree in mine_each(variants.select(F.lit(0).alias("part"), "trace", "n_cases"), {0: asked}, small).items()}
 
 
 def discover_tree(variants: DataFrame, variant: str = "imtf", noise: float = 0.0, small: int = SMALL) -> Tree:

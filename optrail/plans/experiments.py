@@ -266,10 +266,9 @@ def word2vec_traces(spark, sf_dir):
 @query
 def discover_trees(spark, sf_dir):
     """The model of the log for every miner variant, with and without a noise threshold, level by level."""
-    v, rows = written(lg.variants_of(derived_traces(spark, sf_dir)), "variants"), []
-    for variant in miner.VARIANTS:
-        for noise in (0.0, 0.4):
-            rows.append((variant, noise, str(levels.discover_tree(v, variant, noise))))
+    asked = [(variant, noise) for variant in miner.VARIANTS for noise in (0.0, 0.4)]
+    trees = levels.discover_each(lg.variants_of(derived_traces(spark, sf_dir)), asked)
+    rows = [(variant, noise, str(trees[variant, noise])) for variant, noise in asked]
     return spark.createDataFrame(rows, "variant string, noise double, tree string")
 
 

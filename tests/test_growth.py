@@ -1,5 +1,6 @@
 """Work that is done once, however many results come from it."""
 
+from optrail.operators import levels, miner
 from optrail.operators import log as lg
 from optrail.plans import experiments as ex
 from optrail.sources.logs import derived_traces
@@ -19,3 +20,12 @@ def test_coverage_reads_the_log_once(spark):
     assert df._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
     v = lg.variants_of(derived_traces(spark, SF)).where("false")
     assert [r.coverage for r in ex.learning_curve(v).collect()] == [0.0] * 9
+
+
+def test_trees_of_all_miners_share_their_passes(spark, monkeypatch):
+    passes = counting(monkeypatch, levels, "written")
+    rows = ex.discover_trees(spark, SF).collect()
+    assert len(passes) == 1 and len(rows) == 2 * len(miner.VARIANTS)
+    v = lg.variants_of(derived_traces(spark, SF))
+    asked = [("im", 0.0), ("imtf", 0.4), ("imf", 0.4)]
+    assert levels.discover_each(v, asked, 40) == {a: levels.discover_tree(v, *a) for a in asked}
