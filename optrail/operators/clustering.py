@@ -15,15 +15,17 @@ from ..functions.checkpoints import written
 from .features import aggregate_attributes, attribute_tokens, context_vectors, control_flow_tokens, enabled_tokens, standardised
 from .paragraphs import paragraph_vectors
 
-#: Different vectors that are collected at most, here and for Ward's agglomeration, whose work grows with their square; points of a block, of which pairs meet in a task.
-LOCAL, LOCAL_WARD, BLOCK = 20_000, 5000, 1000
+#: Different vectors that are collected at most, here and for Ward's agglomeration, whose work grows with their square; points of a block, of which pairs meet in a task, and rows of it that do so at a time;
+#: blocks that many points are dealt to at least.
+LOCAL, LOCAL_WARD, BLOCK, TILE, LEAST_BLOCKS = 20_000, 5000, 5000, 500, 16
 #: Starts of k-means, of which the best by cost is kept, and passes at most.
 STARTS, PASSES = 10, 50
 
 
 def points_of(vectors: DataFrame) -> DataFrame:
     """(pid, features, w): the different vectors, named by their smallest trace, and how many traces have each."""
-    return written(vectors.groupBy("features").agg(F.min("trace_id").alias("pid"), F.count(F.lit(1)).alias("w")), "points")
+    points = vectors.groupBy("features").agg(F.min("trace_id").alias("pid"), F.count(F.lit(1)).alias("w"))
+    return written(points.repartition(vectors.sparkSession.sparkContext.defaultParallelism, "pid"), "points")  # passes over them keep all cores at work
 
 
 def labelled(vectors: DataFrame, points: DataFrame, labels: DataFrame) -> DataFrame:
@@ -45,9 +47,10 @@ def on_driver(points: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each vector the nearest centre, the first of equals, and the squared distance; centres are (starts, k, size)."""
-    d = (x * x).sum(1)[None, :, None] + (centers * centers).sum(2)[:, None] - 2 * np.einsum("nd,skd->snk", x, centers)
+    starts, k, size = centers.shape
+    d = (x * x).sum(1)[:, None, None] + (centers * centers).sum(2)[None] - 2 * (x @ centers.reshape(-1, size).T).reshape(-1, starts, k)
     at = d.argmin(2)
-    return at, np.maximum(np.take_along_axis(d, at[..., None], 2)[..., 0], 0)
+    return at.T, np.maximum(np.take_along_axis(d, at[..., None], 2)[..., 0], 0).T
 
 
 def gathered(x: np.ndarray, w: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,64 +65,104 @@ def gathered(x: np.ndarray, w: np.ndarray, centers: np.ndarray) -> tuple[np.ndar
     return out, (d * w).sum(1)
 
 
-def kmeans(vectors: DataFrame, k: int, seed: int = 0, local: int = LOCAL) -> DataFrame:
-    """(trace_id, group_id) by k-means from random points; k is cut to the number of different vectors. An empty group keeps its centre."""
-    points = points_of(vectors)
-    n = points.count()
-    k = max(1, min(k, n))
-    if k < 2:
-        return vectors.select("trace_id", F.lit("0").alias("group_id"))
+def best_centers(points: DataFrame, n: int, ks: list[int], seed: int = 0, local: int = LOCAL) -> list[np.ndarray]:
+    """For each number of groups, of which none is above the number ``n`` of points, the centres of the best start. All are updated in one pass, but
+    those that stand still: a start is left out from then on, a number of groups once all its starts do."""
     draw = F.array(*(F.xxhash64(F.lit(seed), F.lit(i), "pid") for i in range(STARTS)))  # a start's centres are the points of smallest draw
     if n <= local:
         rows = points.select("pid", "features", "w", draw.alias("draw")).orderBy("pid").collect()
         pids, x, w, draws = (np.array([r[i] for r in rows], t) for i, t in enumerate((np.int64, float, float, np.int64)))
-        centers = np.stack([x[np.lexsort((pids, draws[:, i]))[:k]] for i in range(STARTS)])
-        gather = lambda c: gathered(x, w, c)
+        first = [x[np.lexsort((pids, draws[:, i]))[: max(ks)]] for i in range(STARTS)]
+        gather = lambda asked: [gathered(x, w, c) for c in asked]
     else:
-        first = [points.select("pid", "features", F.get(draw, F.lit(i)).alias("h")).orderBy("h", "pid").limit(k).select("features").collect() for i in range(STARTS)]
-        centers = np.array([[r.features for r in rows] for rows in first], float)
-        gather = lambda c: _gather(points, c)
+        first = [np.array([r.features for r in rows], float) for rows in _first_points(points, draw, max(ks))]
+        gather = lambda asked: _gather(points, asked)
+    centers = [np.stack([f[:k] for f in first]) for k in ks]
+    cost, going = [np.full(STARTS, np.inf) for _ in ks], [np.ones(STARTS, bool) for _ in ks]
     for _ in range(PASSES):
-        sums, cost = gather(centers)
-        filled = sums[..., :1] > 0
-        moved = np.where(filled, sums[..., 1:] / np.where(filled, sums[..., :1], 1), centers)
-        still = np.abs(moved - centers).max() < 1e-9
-        centers = moved
-        if still:
+        open_ = [i for i in range(len(ks)) if going[i].any()]
+        if not open_:
             break
-    best = centers[int(np.argmin(cost))][None]
-    if n <= local:
-        labels = vectors.sparkSession.createDataFrame([(int(p), int(g)) for p, g in zip(pids, nearest(x, best)[0][0], strict=True)], "pid long, label long")
-    else:
-        labels = points.select("pid", "features").mapInPandas(lambda batches: _assign(batches, best), "pid long, label long")
-    return labelled(vectors, points, written(labels, "labels"))
+        for i, (sums, paid) in zip(open_, gather([centers[i][going[i]] for i in open_]), strict=True):
+            at, filled = np.flatnonzero(going[i]), sums[..., :1] > 0
+            moved = np.where(filled, sums[..., 1:] / np.where(filled, sums[..., :1], 1), centers[i][at])
+            going[i][at] = np.abs(moved - centers[i][at]).max((1, 2)) >= 1e-9
+            centers[i][at], cost[i][at] = moved, paid
+    return [c[int(np.argmin(paid))] for c, paid in zip(centers, cost, strict=True)]
 
 
-def _assign(batches, centers):
-    import pandas as pd
+def _first_points(points: DataFrame, draw, k: int) -> list[list]:
+    """Of each start the ``k`` points of smallest draw: few of each task, then few of all."""
+
+    def run(batches):
+        import pandas as pd
+
+        kept = None
+        for pdf in batches:
+            kept = pdf if kept is None else pd.concat([kept, pdf])
+            order = [np.lexsort((kept["pid"], [h[i] for h in kept["h"]]))[:k] for i in range(STARTS)]
+            kept = kept.iloc[np.unique(np.concatenate([*order, np.zeros(0, int)]))]
+        if kept is not None:
+            yield kept
 
-    for pdf in batches:
-        if len(pdf):
-            yield pd.DataFrame({"pid": pdf["pid"], "label": nearest(np.stack(pdf["features"]), centers)[0][0].astype(np.int64)})
+    rows = points.select("pid", "features", draw.alias("h")).mapInPandas(run, "pid long, features array<double>, h array<long>").collect()
+    return [sorted(rows, key=lambda r: (r.h[i], r.pid))[:k] for i in range(STARTS)]
 
 
-def _gather(points: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``gathered`` over all points in one pass; each task sends one row for each start and centre."""
+def with_labels(points: DataFrame, centers: list[np.ndarray]) -> DataFrame:
+    """``points`` with ``labels``, the nearest of each of several sets of centres."""
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
+
+        for batch in batches:
+            x = matrix(batch.column("features"))
+            labels = np.stack([nearest(x, c[None])[0][0] for c in centers], 1).astype(np.int32)
+            offsets = np.arange(len(x) + 1, dtype=np.int32) * len(centers)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, labels.ravel())], names=["pid", "features", "w", "labels"])
+
+    return written(points.select("pid", "features", "w").mapInArrow(run, "pid long, features array<double>, w long, labels array<int>"), "labels")
 
-        total, cost = np.zeros((*centers.shape[:2], 1 + centers.shape[2])), np.zeros(len(centers))
-        for pdf in batches:
-            if len(pdf):
-                sums, paid = gathered(np.stack(pdf["features"]), pdf["w"].to_numpy(float), centers)
-                total, cost = total + sums, cost + paid
-        yield pd.DataFrame([(s, c, i, v) for s in range(len(total)) for c in range(total.shape[1]) for i, v in enumerate([*total[s, c], cost[s] if c == 0 else 0.0])], columns=["s", "c", "i", "v"])
 
-    out = np.zeros((*centers.shape[:2], 2 + centers.shape[2]))
-    for r in points.select("features", "w").mapInPandas(run, "s int, c int, i int, v double").groupBy("s", "c", "i").agg(F.sum("v").alias("v")).collect():
-        out[r.s, r.c, r.i] = r.v
-    return out[..., :-1], out[:, 0, -1]
+def matrix(column) -> np.ndarray:
+    """The rows of an Arrow column of lists of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def kmeans(vectors: DataFrame, k: int, seed: int = 0, local: int = LOCAL) -> DataFrame:
+    """(trace_id, group_id) by k-means from random points; k is cut to the number of different vectors. An empty group keeps its centre."""
+    points = points_of(vectors)
+    n = points.count()
+    k = max(1, min(k, n))
+    if k < 2:
+        return vectors.select("trace_id", F.lit("0").alias("group_id"))
+    known = with_labels(points, best_centers(points, n, [k], seed, local))
+    return labelled(vectors, points, known.select("pid", F.get("labels", F.lit(0)).cast("long").alias("label")))
+
+
+def _gather(points: DataFrame, asked: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``gathered`` for several sets of centres over all points in one pass; each task sends one number for each start, centre and column."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = None
+        for batch in batches:
+            found = [gathered(matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(float), c) for c in asked]
+            flat = np.concatenate([part.ravel() for pair in found for part in pair])
+            total = flat if total is None else total + flat
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["slot", "v"])
+
+    sizes = [(c.shape[0] * c.shape[1] * (1 + c.shape[2]), len(c)) for c in asked]
+    flat = np.zeros(sum(map(sum, sizes)))
+    for r in points.select("features", "w").mapInArrow(run, "slot int, v double").groupBy("slot").agg(F.sum("v").alias("v")).collect():
+        flat[r.slot] = r.v
+    out, at = [], 0
+    for c, (many, starts) in zip(asked, sizes, strict=True):
+        out.append((flat[at : at + many].reshape(*c.shape[:2], 1 + c.shape[2]), flat[at + many : at + many + starts]))
+        at += many + starts
+    return out
 
 
 # Ward
@@ -152,31 +195,66 @@ def ward_merges(names: np.ndarray, x: np.ndarray, w: np.ndarray) -> list[tuple[f
     return merges
 
 
+def blocks_of(n: int, block: int) -> int:
+    """Into how many blocks points are dealt: a block holds ``block`` of them at most, about, and of many there are enough for their pairs to keep all cores at work."""
+    return max(1, -(-n // block), min(LEAST_BLOCKS, n // 1000))
+
+
+def in_pairs(points: DataFrame, blocks: int) -> DataFrame:
+    """Points with their own block and the pair (i, j) of blocks that they are sent to, pairs dealt to tasks of their own."""
+    mine = points.withColumn("own", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int"))
+    sent = mine.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with"))
+    return sent.select(*mine.columns, F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).repartition(blocks * (blocks + 1) // 2, "i", "j")
+
+
+def cheapest(x: np.ndarray, v: np.ndarray, y: np.ndarray, w: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of ``x`` the place in ``y`` that costs least to merge with, the first of equals, and the cost; ``same`` if both are one table, where none is its own.
+
+    Products tell which rows come into question, and only of these the costs are worked out, by differences, not products, so that equal distances come out
+    equal in any block.
+    """
+    at, cost = np.zeros(len(x), int), np.full(len(x), np.inf)
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    slack = 1e-11 * (xx.max() + yy.max())
+    for first in range(0, len(x), TILE):
+        u, mass = x[first : first + TILE], v[first : first + TILE]
+        share = mass[:, None] * w[None] / (mass[:, None] + w[None])
+        near = (xx[first : first + TILE, None] + yy[None] - 2 * (u @ y.T)) * share
+        if same:
+            near[np.arange(len(u)), first + np.arange(len(u))] = np.inf
+        least = near.min(1)
+        r, c = np.nonzero((near <= (least + 2 * slack * mass)[:, None]) & (near < np.inf))
+        if not len(r):
+            continue
+        d = np.zeros(len(r))
+        for i in range(x.shape[1]):
+            d += (u[r, i] - y[c, i]) ** 2
+        d *= share[r, c]
+        begin = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        best = np.repeat(np.minimum.reduceat(d, begin), np.diff(np.append(begin, len(r))))
+        hit = np.flatnonzero(d == best)
+        rows, place = np.unique(r[hit], return_index=True)
+        at[first + rows], cost[first + rows] = c[hit[place]], d[hit[place]]
+    return at, cost
+
+
 def neighbours(clusters: DataFrame, block: int = BLOCK) -> DataFrame:
     """(pid, other, cost): the cheapest cluster to merge each with, of equals the pair of smallest names. Blocks of clusters meet in pairs, one pair a task."""
-    n = clusters.count()
-    blocks = max(1, -(-n // block))
-    mine = clusters.withColumn("own", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with")
-    sent = mine.select("pid", "features", "w", "own", others).select("pid", "features", "w", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+    sent = in_pairs(clusters.select("pid", "features", "w"), blocks_of(clusters.count(), block))
 
     def meet(key, pdf):
         import pandas as pd
 
-        left, right = pdf[pdf["own"] == key[0]], pdf[pdf["own"] == key[1]]
+        left, right = (pdf[pdf["own"] == k].sort_values("pid") for k in key)
         if not len(left) or not len(right):
             return pd.DataFrame({"pid": [], "lo": [], "hi": [], "cost": []})
-        left, right = left.sort_values("pid"), right.sort_values("pid")
         x, y, p, q = np.stack(left["features"]), np.stack(right["features"]), left["pid"].to_numpy(), right["pid"].to_numpy()
         v, w = left["w"].to_numpy(float), right["w"].to_numpy(float)
-        d = np.zeros((len(p), len(q)))
-        for c in range(x.shape[1]):  # differences, not products, so that equal distances come out equal in any block
-            d += (x[:, c, None] - y[None, :, c]) ** 2
-        d *= v[:, None] * w[None] / (v[:, None] + w[None])
-        d[p[:, None] == q[None]] = np.inf
-        rows = [pd.DataFrame({"pid": p, "other": q[d.argmin(1)], "cost": d.min(1)})]
+        at, cost = cheapest(x, v, y, w, key[0] == key[1])
+        rows = [pd.DataFrame({"pid": p, "other": q[at], "cost": cost})]
         if key[0] != key[1]:
-            rows.append(pd.DataFrame({"pid": q, "other": p[d.argmin(0)], "cost": d.min(0)}))
+            at, cost = cheapest(y, w, x, v, False)
+            rows.append(pd.DataFrame({"pid": q, "other": p[at], "cost": cost}))
         out = pd.concat(rows)
         return pd.DataFrame({"pid": out["pid"], "lo": out[["pid", "other"]].min(axis=1), "hi": out[["pid", "other"]].max(axis=1), "cost": out["cost"]})
 
@@ -231,60 +309,76 @@ def ward(vectors: DataFrame, k: int, local: int = LOCAL_WARD, block: int = BLOCK
 def silhouettes(points: DataFrame, labels: DataFrame, block: int = BLOCK) -> list[float]:
     """The mean Euclidean silhouette of each of several groupings of weighted points; 0 for a vector alone in its group.
 
-    ``labels`` is (pid, labels), an array with a group's number, from 0, for each grouping. Blocks of points meet in pairs; a task returns, for each point of either block, the
-    weighted sum of its distances to the other's points by grouping and group, and these are added up.
+    ``labels`` is (pid, labels), an array with a group's number, from 0, for each grouping.
     """
-    known = written(points.join(labels, "pid").select("pid", "features", "w", "labels"), "labelled")
+    return silhouettes_of(written(points.join(labels, "pid").select("pid", "features", "w", "labels"), "labelled"), block)
+
+
+def silhouettes_of(known: DataFrame, block: int = BLOCK) -> list[float]:
+    """``silhouettes`` of (pid, features, w, labels). Blocks of points meet in pairs; a task works out each distance once and returns, for each point of either block, the
+    weighted sum of its distances to the other's points by grouping and group, and these are added up."""
     n = known.count()
     if not n:
         return []
-    sizes = {(r.t, r.g): r.w for r in known.select("w", F.posexplode("labels").alias("t", "g")).groupBy("t", "g").agg(F.sum("w").alias("w")).collect()}
-    groupings = 1 + max(t for t, _ in sizes)
-    groups = 1 + max(g for _, g in sizes)
-    blocks = max(1, -(-n // block))
-    mine = known.withColumn("own", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int"))
-    sent = mine.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with")).select("pid", "features", "w", "labels", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+    sizes = {(r.t, r.g): float(r.w) for r in known.select("w", F.posexplode("labels").alias("t", "g")).groupBy("t", "g").agg(F.sum("w").alias("w")).collect()}
+    groupings, groups = 1 + max(t for t, _ in sizes), 1 + max(g for _, g in sizes)
+    sent = in_pairs(known, blocks_of(n, block))
 
     def meet(key, pdf):
         import pandas as pd
 
-        left, right = pdf[pdf["own"] == key[0]], pdf[pdf["own"] == key[1]]
-        out = []
-        for one, other in ((left, right), (right, left)) if key[0] != key[1] else ((left, left),):
-            if len(one) and len(other):
-                d = np.zeros((len(one), len(other)))
-                x, y = np.stack(one["features"]), np.stack(other["features"])
-                for c in range(x.shape[1]):
-                    d += (x[:, c, None] - y[None, :, c]) ** 2
-                hot = np.zeros((len(other), groupings * groups))
-                for t, g in enumerate(np.stack(other["labels"]).T):
-                    hot[np.arange(len(other)), t * groups + g] = other["w"]
-                out.append(pd.DataFrame({"pid": one["pid"].to_numpy(), "sums": list(np.sqrt(d) @ hot)}))
-        return pd.concat(out) if out else pd.DataFrame({"pid": [], "sums": []})
-
-    sums = sent.groupBy("i", "j").applyInPandas(meet, "pid long, sums array<double>").select("pid", F.posexplode("sums").alias("slot", "x")).groupBy("pid", "slot").agg(F.sum("x").alias("x"))
-    size = F.create_map(*(F.lit(v) for (t, g), w in sizes.items() for v in (t * groups + g, float(w))))
-    cells = sums.join(known.select("pid", "w", "labels"), "pid").select("pid", "w", F.floor(F.col("slot") / groups).cast("int").alias("t"), (F.col("slot") % groups).cast("int").alias("g"), "x", size[F.col("slot")].alias("n"), "labels").where("n is not null")
-    own = F.col("g") == F.get("labels", F.col("t"))
-    ab_ = cells.groupBy("pid", "t").agg(F.first("w").alias("w"), F.max(F.when(own, F.col("x") / F.greatest(F.col("n") - 1, F.lit(1.0)))).alias("a"), F.max(F.when(own, F.col("n"))).alias("n"), F.min(F.when(~own, F.col("x") / F.col("n"))).alias("b"))
-    s = F.when((F.col("n") > 1) & F.col("b").isNotNull() & (F.greatest("a", "b") > 1e-12), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
-    means = {r.t: r.s for r in ab_.groupBy("t").agg((F.sum(s * F.col("w")) / F.sum("w")).alias("s")).collect()}
-    return [means[t] for t in range(groupings)]
+        one, other = (pdf[pdf["own"] == k] for k in key)
+        if not len(one) or not len(other):
+            return pd.DataFrame({"pid": [], "sums": []})
+        x, y, hots = np.stack(one["features"]), np.stack(other["features"]), []
+        for side in (one, other):
+            hot = np.zeros((len(side), groupings * groups))
+            for t, g in enumerate(np.stack(side["labels"]).T):
+                hot[np.arange(len(side)), t * groups + g] = side["w"]
+            hots.append(hot)
+        xx, yy, there, back = (x * x).sum(1), (y * y).sum(1), [], np.zeros_like(hots[1])
+        for at in range(0, len(x), TILE):
+            d = np.maximum(xx[at : at + TILE, None] + yy[None] - 2 * (x[at : at + TILE] @ y.T), 0)
+            if key[0] == key[1]:
+                d[np.arange(len(d)), at + np.arange(len(d))] = 0
+            np.sqrt(d, out=d)
+            there.append(d @ hots[1])
+            back += d.T @ hots[0][at : at + TILE]
+        out = [pd.DataFrame({"pid": one["pid"].to_numpy(), "sums": list(np.concatenate(there))})]
+        if key[0] != key[1]:
+            out.append(pd.DataFrame({"pid": other["pid"].to_numpy(), "sums": list(back)}))
+        return pd.concat(out)
 
+    met = sent.groupBy("i", "j").applyInPandas(meet, "pid long, sums array<double>")
+    sums = met.groupBy("pid").agg(F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(groupings * groups))).alias("sums"))
+    rows = known.select("pid", "w", "labels").join(sums, "pid")
 
-def pick_k(vectors: DataFrame, most: int = 8, seed: int = 0) -> int:
-    """The k from 2 to ``most`` with the best silhouette; the number of traces if there are under three. All are judged in one pass."""
-    n = vectors.count()
-    if n < 3:
-        return max(1, n)
+    def mean(t: int):
+        own = F.get("labels", F.lit(t))
+        size = F.element_at(F.create_map(*(F.lit(v) for (u, g), w in sizes.items() if u == t for v in (g, w))), own)
+        a = F.get("sums", own + t * groups) / F.greatest(size - 1, F.lit(1.0))
+        others = [F.when(own != g, F.get("sums", F.lit(t * groups + g)) / w) for (u, g), w in sorted(sizes.items()) if u == t]
+        b = F.array_min(F.array(*others))
+        s = F.when((size > 1) & b.isNotNull() & (F.greatest(a, b) > 1e-12), (b - a) / F.greatest(a, b)).otherwise(0.0)
+        return F.sum(s * F.col("w")) / F.sum("w")
+
+    return list(rows.agg(*(mean(t).alias(f"t{t}") for t in range(groupings))).first())
+
+
+def judged(vectors: DataFrame, most: int = 8, seed: int = 0) -> tuple[int, DataFrame, DataFrame]:
+    """The k from 2 to ``most`` with the best silhouette, the points, and their (pid, label) for it. All are found in the same passes and judged in one."""
     points = points_of(vectors)
-    ks = list(range(2, min(most, n - 1) + 1))
-    named = points.join(vectors, points["pid"] == vectors["trace_id"]).select("pid")
-    for k in ks:
-        named = named.join(kmeans(vectors, k, seed).select(F.col("trace_id").alias("pid"), F.col("group_id").cast("int").alias(f"k{k}")), "pid")
-    values = silhouettes(points, named.select("pid", F.array(*(f"k{k}" for k in ks)).alias("labels")))
+    n, ks = points.count(), list(range(2, min(most, vectors.count() - 1) + 1))
+    known = with_labels(points, best_centers(points, n, [max(1, min(k, n)) for k in ks], seed))
+    values = silhouettes_of(known)
     best = max(range(len(ks)), key=lambda i: (round(values[i], 9), -ks[i])) if values else 0
-    return ks[best]
+    return ks[best], points, known.select("pid", F.get("labels", F.lit(best)).cast("long").alias("label"))
+
+
+def pick_k(vectors: DataFrame, most: int = 8, seed: int = 0) -> int:
+    """The k from 2 to ``most`` with the best silhouette; the number of traces if there are under three."""
+    n = vectors.count()
+    return max(1, n) if n < 3 else judged(vectors, most, seed)[0]
 
 
 def control_flow(variants: DataFrame) -> DataFrame:
@@ -312,6 +406,9 @@ FEATURES = {"cf": control_flow, "ctx": context_vectors, "enabled": enabled, "tra
 def by_vectors(vectors: DataFrame, k: int | None, method: str = "kmeans", seed: int = 0) -> DataFrame:
     """Groups of vectors; without ``k`` the number of groups with the best silhouette."""
     vectors = written(vectors, "vectors")
+    if k is None and method == "kmeans" and vectors.count() > 2:
+        _, points, labels = judged(vectors, seed=seed)
+        return labelled(vectors, points, labels)
     if k is None:
         k = pick_k(vectors, seed=seed)
     return ward(vectors, k) if method == "ward" else kmeans(vectors, k, seed)
@@ -327,6 +424,11 @@ def cluster_by(traces: DataFrame, attributes: DataFrame, numeric: list[str], cat
     """(trace_id, group_id): distinct traces of (case_id, trace) by what their cases' attributes say: means of the named numbers, majorities of the
     named categories, one-hot and standardised."""
     keyed = traces.select("case_id", F.xxhash64("trace").alias("key"))
-    per_key = aggregate_attributes(keyed, attributes.select("case_id", *numeric, *categorical), numeric, categorical)
+    per_key = written(aggregate_attributes(keyed, attributes.select("case_id", *numeric, *categorical), numeric, categorical), "attributes")
+    return by_attributes(per_key, numeric, categorical, k, method, seed)
+
+
+def by_attributes(per_key: DataFrame, numeric: list[str], categorical: list[str], k: int | None = None, method: str = "kmeans", seed: int = 0) -> DataFrame:
+    """``cluster_by`` of attributes that are aggregated by key and written."""
     vectors = standardised(attribute_tokens(per_key, numeric, categorical), per_key.select(F.col("key").alias("trace_id")))
     return by_vectors(vectors, k, method, seed)

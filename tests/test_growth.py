@@ -1,5 +1,8 @@
 """Work that is done once, however many results come from it."""
 
+import numpy as np
+
+from optrail.operators import clustering as cl
 from optrail.operators import levels, miner
 from optrail.operators import log as lg
 from optrail.plans import experiments as ex
@@ -29,3 +32,11 @@ def test_trees_of_all_miners_share_their_passes(spark, monkeypatch):
     v = lg.variants_of(derived_traces(spark, SF))
     asked = [("im", 0.0), ("imtf", 0.4), ("imf", 0.4)]
     assert levels.discover_each(v, asked, 40) == {a: levels.discover_tree(v, *a) for a in asked}
+
+
+def test_numbers_of_groups_share_their_passes(spark, monkeypatch):
+    x = np.concatenate([np.random.default_rng(3).normal(c, 0.4, (30, 3)) for c in (0, 3, 6)])
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "trace_id long, features array<double>")
+    points, passes = counting(monkeypatch, cl, "points_of"), counting(monkeypatch, cl, "best_centers")
+    assert cl.by_vectors(df, None).select("group_id").distinct().count() == 3
+    assert len(points) == len(passes) == 1
