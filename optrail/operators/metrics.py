@@ -77,7 +77,12 @@ def agreement(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def incoherence_by(grouped: DataFrame, keys: list[str]) -> DataFrame:
     """``incoherence`` of many groupings (keys, group_id, trace, n_cases) at once."""
-    keyed = grouped.groupBy(*keys, "group_id", ab.variant_text(F.col("trace")).alias("variant"), ab.trace_text(F.col("trace")).alias("sig")).agg(F.sum("n_cases").alias("n"))
+    return incoherence_of(grouped.select(*keys, "group_id", "n_cases", ab.variant_text(F.col("trace")).alias("variant"), ab.trace_text(F.col("trace")).alias("sig")), keys)
+
+
+def incoherence_of(grouped: DataFrame, keys: list[str]) -> DataFrame:
+    """``incoherence_by`` of (keys, group_id, variant, sig, n_cases), the texts of traces."""
+    keyed = grouped.groupBy(*keys, "group_id", "variant", "sig").agg(F.sum("n_cases").alias("n"))
     per = keyed.groupBy(*keys, "group_id", "variant").agg(F.count(F.lit(1)).alias("sigs"), F.sum("n").alias("n"), (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h"))
     return per.groupBy(*keys).agg(F.round(F.avg("sigs"), 6).alias("mean_signatures"), F.max("sigs").alias("max_signatures"), F.round(F.sum(F.col("h") * F.col("n")) / F.sum("n"), 6).alias("entropy"))
 

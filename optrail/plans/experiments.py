@@ -39,24 +39,34 @@ def labelled_variants(traces: DataFrame) -> DataFrame:
 
 def recovery_rows(traces: DataFrame, groups: DataFrame, log: str) -> DataFrame:
     """(log, method, agreement): how each grouping (method, trace_id, group_id) agrees with the hidden labels of (trace, label), by cases."""
-    pairs = traces.groupBy(F.xxhash64(T).alias("trace_id"), F.col("label").alias("t")).agg(F.count(F.lit(1)).alias("n")).join(groups, "trace_id")
-    cells = pairs.groupBy("method", "t", F.col("group_id").cast("string").alias("p")).agg(F.sum("n").alias("n"))
+    return recovery_of(traces.groupBy(F.xxhash64(T).alias("trace_id"), "label").agg(F.count(F.lit(1)).alias("n_cases")), groups, log)
+
+
+def recovery_of(counted: DataFrame, groups: DataFrame, log: str) -> DataFrame:
+    """``recovery_rows`` of (trace_id, label, n_cases)."""
+    pairs = counted.select("trace_id", F.col("label").alias("t"), F.col("n_cases").alias("n")).join(groups, "trace_id")
+    cells = written(pairs.groupBy("method", "t", F.col("group_id").cast("string").alias("p")).agg(F.sum("n").alias("n")), "cells")
     return mt.agreement(cells, ["method"]).select(F.lit(log).alias("log"), "*")
 
 
+def counted_once(traces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labelled variants and variants of a log, which is read once: cases are counted before anything is written."""
+    counted = written(labelled_variants(traces), "labelled")
+    return counted, written(counted.groupBy(T).agg(F.sum("n_cases").alias("n_cases"), F.min("first_ord").alias("first_ord")).withColumn("trace_id", F.xxhash64(T)), "variants")
+
+
 def separation(traces: DataFrame, log: str) -> DataFrame:
     """Every partition method on a labelled log: agreement, number of groups, coherence of enabled sets."""
-    traces = written(traces.select("case_id", "case_ord", "label", T), "traces")
-    v = written(lg.variants_of(traces), "variants")
+    counted, v = counted_once(traces)
     groups = written(union_all([group(v).select(F.lit(method).alias("method"), "trace_id", F.col("group_id").cast("string").alias("group_id")) for method, group in gr.PARTITIONS.items()]), "groups")
-    return recovery_rows(traces, groups, log).join(mt.incoherence_by(v.join(groups, "trace_id"), ["method"]), "method")
+    texts = v.select("trace_id", "n_cases", ab.variant_text(F.col(T)).alias("variant"), ab.trace_text(F.col(T)).alias("sig"))
+    return recovery_of(counted, groups, log).join(mt.incoherence_of(texts.join(groups, "trace_id"), ["method"]), "method")
 
 
 def clustering_rows(traces: DataFrame, log: str, k: int | None, seed: int = 0, methods: tuple = (("cf", "kmeans"), ("cf", "ward"), ("ctx", "kmeans"), ("enabled", "kmeans"))) -> DataFrame:
-    traces = written(traces.select("case_id", "case_ord", "label", T), "traces")
-    v = written(lg.variants_of(traces), "variants")
+    counted, v = counted_once(traces)
     groups = union_all([cl.cluster(v, f, k, m, seed).select(F.lit(f"{f}_{m}").alias("method"), "trace_id", "group_id") for f, m in methods])
-    return recovery_rows(traces, written(groups, "groups"), log)
+    return recovery_of(counted, written(groups, "groups"), log)
 
 
 def noise_sweep(clean: DataFrame, log: str, steps: tuple[float, ...], modes: tuple[str, ...] = ("balanced", "realistic"), seeds: tuple[int, ...] = (0,)) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 
 from optrail.operators import clustering as cl
+from optrail.operators import grouping as gr
 from optrail.operators import levels, miner
 from optrail.operators import log as lg
 from optrail.plans import experiments as ex
@@ -40,3 +41,9 @@ def test_numbers_of_groups_share_their_passes(spark, monkeypatch):
     points, passes = counting(monkeypatch, cl, "points_of"), counting(monkeypatch, cl, "best_centers")
     assert cl.by_vectors(df, None).select("group_id").distinct().count() == 3
     assert len(points) == len(passes) == 1
+
+
+def test_cases_are_counted_before_they_are_written(spark, monkeypatch):
+    calls = counting(monkeypatch, ex, "written")
+    rows = ex.separation(ex.labelled_events(spark, SF), "events").collect()
+    assert len(rows) == len(gr.PARTITIONS) and "traces" not in [name for _, name in calls]
