@@ -18,6 +18,7 @@ from ..operators import metrics as mt
 from ..operators import miner, model, quality
 from ..operators import relations as rel
 from ..operators import views as vw
+from ..operators.features import aggregate_attributes
 from ..sources import synth as sy
 from ..sources.logs import derived_traces, order_traces
 from .registry import QUERIES, conversation_traces, query, user_label
@@ -188,8 +189,11 @@ def coverage_curve(spark, sf_dir):
 
 def attribute_rows(traces: DataFrame, attributes: DataFrame, log: str, sets: dict[str, tuple[list[str], list[str]]], k: int | None, seed: int = 0) -> DataFrame:
     """Agreement of clusterings by named sets of attributes, (numbers, categories) each, with the hidden labels; without ``k`` by silhouette."""
-    groups = union_all([cl.cluster_by(traces, attributes, numeric, categorical, k, seed=seed).select(F.lit(name).alias("method"), "trace_id", "group_id") for name, (numeric, categorical) in sets.items()])
-    return recovery_rows(traces, groups, log)
+    traces = written(traces.select("case_id", "label", F.xxhash64(T).alias("key")), "traces")
+    numbers, names = (sorted({c for own in sets.values() for c in own[i]}) for i in (0, 1))
+    per_key = written(aggregate_attributes(traces.select("case_id", "key"), attributes.select("case_id", *numbers, *names), numbers, names), "attributes")
+    groups = union_all([cl.by_attributes(per_key, numeric, categorical, k, seed=seed).select(F.lit(name).alias("method"), "trace_id", "group_id") for name, (numeric, categorical) in sets.items()])
+    return recovery_of(traces.groupBy(F.col("key").alias("trace_id"), "label").agg(F.count(F.lit(1)).alias("n_cases")), groups, log)
 
 
 @query

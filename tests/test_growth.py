@@ -47,3 +47,9 @@ def test_cases_are_counted_before_they_are_written(spark, monkeypatch):
     calls = counting(monkeypatch, ex, "written")
     rows = ex.separation(ex.labelled_events(spark, SF), "events").collect()
     assert len(rows) == len(gr.PARTITIONS) and "traces" not in [name for _, name in calls]
+
+
+def test_attributes_are_aggregated_once(spark, monkeypatch):
+    calls = [*map(lambda m: counting(monkeypatch, m, "aggregate_attributes"), (cl, ex))]
+    assert ex.attribute_clustering(spark, SF).count() == 3
+    assert sum(map(len, calls)) == 1
