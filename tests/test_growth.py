@@ -1,6 +1,7 @@
 """Work that is done once, however many results come from it."""
 
 import numpy as np
+import pytest
 
 from optrail.operators import clustering as cl
 from optrail.operators import grouping as gr
@@ -53,3 +54,18 @@ def test_attributes_are_aggregated_once(spark, monkeypatch):
     calls = [*map(lambda m: counting(monkeypatch, m, "aggregate_attributes"), (cl, ex))]
     assert ex.attribute_clustering(spark, SF).count() == 3
     assert sum(map(len, calls)) == 1
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_cheapest(same):
+    rng = np.random.default_rng(4)
+    x, y = (rng.integers(0, 3, (n, 3)).astype(float) for n in (700, 40))  # very many ties
+    y = x if same else y
+    v, w = rng.integers(1, 4, len(x)).astype(float), rng.integers(1, 4, len(y)).astype(float)
+    w = v if same else w
+    d = ((x[:, None] - y[None]) ** 2).sum(2) * (v[:, None] * w[None] / (v[:, None] + w[None]))
+    if same:
+        np.fill_diagonal(d, np.inf)
+    at, cost = cl.cheapest(x, v, y, w, same)
+    assert np.array_equal(at, d.argmin(1)) and np.array_equal(cost, d.min(1))
+    assert cl.blocks_of(100_000, cl.BLOCK) == 20 and cl.blocks_of(30, 5) == 6
