@@ -68,7 +68,8 @@ def paragraph_vectors(docs: DataFrame, words: Column, size: int, seed: int = 0,
     state = table.select("trace_id", F.pmod(F.xxhash64("trace_id"), F.lit(parts)).cast("int").alias("part"), "words", start.alias("v"))
     steps = np.linspace(*STEPS, rounds * PASSES).reshape(rounds, PASSES)
     for i in range(rounds if counts else 0):
-        state = written(state.groupBy("part").applyInPandas(_round(i, seed, number, vectors, shares, steps[i]), "trace_id long, part int, words array<string>, v array<double>, word int, n double"), "round")
+        dealt = state.repartition(parts, "part")  # not fewer tasks by size: a part's work is long, its rows are few
+        state = written(dealt.groupBy("part").applyInPandas(_round(i, seed, number, vectors, shares, steps[i]), "trace_id long, part int, words array<string>, v array<double>, word int, n double"), "round")
         summed = state.where("word is not null").select("word", "n", F.posexplode("v").alias("i", "x")).groupBy("word", "i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
         for r in summed.collect():
             vectors[r.word, r.i] = r.x
