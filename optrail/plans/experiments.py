@@ -330,7 +330,7 @@ def replay_mined(spark, sf_dir):
 @query
 def conformance_mined(spark, sf_dir):
     """Fitness and share of replayed cases of each hidden label under its own mined model: 1 and 0."""
-    v = labelled_variants(labelled_events(spark, sf_dir)).select(F.col("label").alias("group_id"), T, "n_cases")
+    v = written(labelled_variants(labelled_events(spark, sf_dir)).select(F.col("label").alias("group_id"), T, "n_cases"), "variants")
     nets = {g: model.net_of(tree) for g, tree in levels.group_trees(v, "im").items()}
     return quality.qualities(v.withColumnRenamed("group_id", "scope"), {g: {"own": net} for g, net in nets.items()}).select("scope", "n_cases", "fitness", "replayed_share")
 
