@@ -52,8 +52,8 @@ def prefix_name(before: str, label: str) -> str:
     return hashlib.blake2b(f"{before}\t{label}".encode(), digest_size=16).hexdigest()
 
 
-def trace_facts(net: PetriNet, aligner: Aligner, moves: list[Move], trace: list[Event], n: int) -> list[tuple[str, str, str, float, float]]:
-    """Counters of one aligned trace: executions, visited prefixes with what the model allowed there, and enabled sets by marking."""
+def trace_facts(net: PetriNet, aligner: Aligner, moves: list[Move], traces: list[list[Event]], n: int) -> list[tuple[str, str, str, float, float]]:
+    """Counters of traces of the same activities, aligned alike: executions, visited prefixes with what the model allowed there, and enabled sets by marking."""
     out = []
     prefix = ""
     for kind, name, marking, i in moves:
@@ -68,18 +68,23 @@ def trace_facts(net: PetriNet, aligner: Aligner, moves: list[Move], trace: list[
         out.append(("went", prefix, label, 1.0, 0.0))
         if kind == "sync":
             state = "|".join(f"{p}:{c}" for p, c in marking)
-            out += [("able", state, a, 1.0, 0.0) for a in allowed] + [("logged", state, a, 1.0, 0.0) for a in trace[i][1]] + [("state", state, "", float(n), 0.0)]
+            logged = set().union(*(trace[i][1] for trace in traces))
+            out += [("able", state, a, 1.0, 0.0) for a in allowed] + [("logged", state, a, 1.0, 0.0) for a in logged] + [("state", state, "", float(n), 0.0)]
         prefix = prefix_name(prefix, label)
     return out
 
 
 def aligned_facts(net: PetriNet, aligner: Aligner, traces: list[list[Event]], counts: list[int], least: int) -> list[tuple[str, str, str, float, float]]:
-    """Counters of traces: costs without and with enabled sets, against the worst costs, and those of each alignment."""
-    out = []
-    for trace, n, (cost, moves), (by_sets, _) in zip(traces, counts, aligner.align(traces), aligner.align(traces, by_sets=True), strict=True):
-        worst = float(n * (len(trace) + least))
-        out += [("aligned", "", "", float(n), 0.0), ("fit", "", "", n * float(round(cost)), worst), ("fit_sets", "", "", n * by_sets, worst)]
-        out += trace_facts(net, aligner, moves, trace, n)
+    """Counters of traces: costs without and with enabled sets, against the worst costs, and those of each alignment. Sets aside, traces of the same
+    activities have one alignment."""
+    out, alike = [], {}
+    for trace, n, by_sets in zip(traces, counts, aligner.costs(traces), strict=True):
+        out.append(("fit_sets", "", "", n * by_sets, float(n * (len(trace) + least))))
+        alike.setdefault(tuple(a for a, _ in trace), []).append((trace, n))
+    for (acts, own), (cost, moves) in zip(alike.items(), aligner.align([own[0][0] for own in alike.values()]), strict=True):
+        n = sum(n for _, n in own)
+        out += [("aligned", "", "", float(n), 0.0), ("fit", "", "", n * float(round(cost)), float(n * (len(acts) + least)))]
+        out += trace_facts(net, aligner, moves, [trace for trace, _ in own], n)
     return out
 
 
@@ -110,7 +115,7 @@ def qualities(rows: DataFrame, nets: dict[str, dict[str, PetriNet]], replay_loos
     aligned, unless ``replay_loose`` asks for nets beyond LOOSE to be replayed: their fitness is the share of cases that fit, replayed_share 1.
 
     All models travel to the workers. Traces are dealt by ranges of their activities, so that those which begin alike meet in one task and share the
-    search for their beginning. One pass makes the counters of all scopes, and one grouping each metric, however many scopes there are.
+    search for their beginning; into ranges by the cores there are, for the traces are few bytes and much work. One pass makes the counters of all scopes, and one grouping each metric, however many scopes there are.
     """
     least = {(s, m): shortest_run(net) for s, own in nets.items() for m, net in own.items()}
 
@@ -134,7 +139,7 @@ def qualities(rows: DataFrame, nets: dict[str, dict[str, PetriNet]], replay_loos
             yield pd.DataFrame([(*names, *v) for names, v in facts.items()], columns=["scope", "model", "kind", "key", "label", "a", "b"])
 
     by = ["scope", "model"]
-    dealt = rows.select("scope", "trace", "n_cases").repartitionByRange("scope", ab.executed(F.col("trace")))
+    dealt = rows.select("scope", "trace", "n_cases").repartitionByRange(3 * rows.sparkSession.sparkContext.defaultParallelism, "scope", ab.executed(F.col("trace")))
     facts = dealt.mapInPandas(run, f"scope string, model string, {FACTS}")
     summed = facts.groupBy(*by, "kind", "key", "label").agg(F.sum("a").alias("a"), F.when(F.col("kind") == "visit", F.max("b")).otherwise(F.sum("b")).alias("b"))
     summed = written(summed, "facts")

@@ -5,8 +5,9 @@ import pytest
 
 from optrail.operators import clustering as cl
 from optrail.operators import grouping as gr
-from optrail.operators import levels, miner
+from optrail.operators import levels, miner, model, quality
 from optrail.operators import log as lg
+from optrail.operators.align import Aligner, Prefixes
 from optrail.plans import experiments as ex
 from optrail.sources.logs import derived_traces
 
@@ -69,3 +70,24 @@ def test_cheapest(same):
     at, cost = cl.cheapest(x, v, y, w, same)
     assert np.array_equal(at, d.argmin(1)) and np.array_equal(cost, d.min(1))
     assert cl.blocks_of(100_000, cl.BLOCK) == 20 and cl.blocks_of(30, 5) == 6
+
+
+def test_alignments_are_worked_out_once_for_traces_of_the_same_activities(monkeypatch):
+    """Costs by sets are those of whole alignments, from fewer vectors than there are beginnings of traces; sets aside, a sequence of activities is aligned once."""
+    net = model.net_of(model.parse_identifier("and(xor(loop(a, tau), tau), xor(loop(b, tau), tau), c)"))
+    rng = np.random.default_rng(5)
+    words = ["", "a", "c", "abc", "cab", "abcab", "aabbcc", "abzcab", "bbbcaaa"]
+    traces = [[(x, frozenset({x, *rng.choice(list("abcd"), rng.integers(0, 3))})) for x in word] for word in words for _ in range(40)]
+    slow = Aligner(net)
+    whole = slow.align(traces, by_sets=True)
+    assert np.allclose(slow.costs(traces), [cost for cost, _ in whole], atol=1e-12)
+    assert np.allclose(slow.costs(traces[::-1]), [cost for cost, _ in whole[::-1]], atol=1e-12)  # endings are known by now
+    assert np.allclose(Aligner(net, few=0).costs(traces[:80]), [cost for cost, _ in whole[:80]], atol=1e-3)
+    back, vectors = counting(monkeypatch, Aligner, "_moves_back"), []
+    real = Aligner._closed
+    monkeypatch.setattr(Aligner, "_closed", staticmethod(lambda *args: vectors.append(args) or real(*args)))
+    facts = quality.aligned_facts(net, Aligner(net), traces, [2] * len(traces), 1)
+    assert len(back) == len(words) and 0 < 3 * len(vectors) < 2 * len(Prefixes(traces, True).parent)
+    total = lambda kind, i: sum(f[i] for f in facts if f[0] == kind)
+    assert total("aligned", 3) == 2 * len(traces) and abs(total("fit_sets", 3) - 2 * sum(cost for cost, _ in whole)) < 1e-9
+    assert total("fit", 4) == total("fit_sets", 4) == sum(2 * (len(t) + 1) for t in traces)
