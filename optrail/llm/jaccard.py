@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters."""
+"""N-gram Jaccard join: rare-first prefix filtering with length, positional, bitmap and suffix filters."""
 
 from __future__ import annotations
 
@@ -22,6 +22,10 @@ PARTS = 64
 WANTED_BITS = 27
 #: Runs of one prefix shingle up to this length are searched for pairs that pass the filters.
 LONG_RUN = 2000
+#: Members of a run up to this number are compared by bitmaps all at once, those of a longer one in turn.
+SHORT_RUN = 64
+#: 64-bit words of bitmaps that are compared at a time, roughly.
+COMPARED_WORDS = 1 << 20
 #: Sets of a cluster that one block holds at most, roughly; a task joins two blocks.
 BLOCK_SETS = 4000
 #: Clusters of several blocks are first joined within blocks, dealt anew each time; the last round joins every
@@ -29,9 +33,9 @@ BLOCK_SETS = 4000
 ROUNDS = 4
 GROUP_BYTES = 8 << 20
 
-FACTS = (("kind", "int"), ("k", "long"), ("n", "int"), ("set_id", "long"), ("part", "int"), ("counts", "binary"))
+FACTS = (("kind", "int"), ("k", "long"), ("n", "int"), ("set_id", "long"), ("part", "int"), ("counts", "binary"), ("bits", "binary"))
 PACKED = (("bucket", "int"), ("tokens", "binary"), ("sets", "binary"), ("sizes", "binary"), ("places", "binary"))
-RUNS = (("token", "long"), ("set_id", "long"), ("n", "int"), ("place", "int"))
+RUNS = (("token", "long"), ("set_id", "long"), ("n", "int"))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -49,8 +53,20 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity of the members in each of about as many classes as there are members, a power of two.
+
+    A member that only one of two sets has changes one bit, so bits that differ are no more than members that differ.
+    The halves' exclusive or is the bitmap over half as many classes, so bitmaps of two lengths can be compared.
+    """
+    size = 64
+    while 4 * size < 3 * len(s):
+        size *= 2
+    return np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
 def facts(docs: DataFrame, width: int) -> DataFrame:
-    """Kind 0: a row for each document with its set's size and digest; kind 1: parts of the count table."""
+    """Kind 0: a row for each document with its set's size, digest and bitmap; kind 1: parts of the count table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.uint32)
@@ -58,11 +74,11 @@ def facts(docs: DataFrame, width: int) -> DataFrame:
             for part in slices([batch]):
                 sets, rows = shingle_sets(part.column(1).to_pylist(), width), []
                 for k, s in zip(part.column(0).to_pylist(), sets, strict=True):
-                    rows.append((0, k, len(s), set_id(s), None, None))
+                    rows.append((0, k, len(s), set_id(s), None, None, bitmap(s)))
                 together = np.concatenate(sets)
                 counts += np.bincount(together >> np.uint64(64 - COUNT_BITS), minlength=len(counts)).astype(np.uint32)
                 yield batch_of(rows, FACTS)
-        yield batch_of([(1, None, None, None, i, x.tobytes()) for i, x in enumerate(np.split(counts, PARTS)) if x.any()], FACTS)
+        yield batch_of([(1, None, None, None, i, x.tobytes(), None) for i, x in enumerate(np.split(counts, PARTS)) if x.any()], FACTS)
 
     return materialize(docs.mapInArrow(lean(run), ", ".join(f"`{n}` {t}" for n, t in FACTS)), "facts")
 
@@ -84,7 +100,7 @@ def rare_first(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def shared_prefixes(docs: DataFrame, classes: Broadcast, width: int, percent: int, expected: int) -> DataFrame:
-    """(token, set_id, n, place) of every prefix shingle that two different sets share."""
+    """(token, set_id, n) of every prefix shingle that two different sets share; shingles that the same sets share are one token."""
     buckets = max(64, expected * 24 // GROUP_BYTES)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +136,23 @@ def shared_prefixes(docs: DataFrame, classes: Broadcast, width: int, percent: in
         fresh = np.concatenate([[True], ~(same & (owner[1:] == owner[:-1]))])  # a set found in two batches
         token, owner, size, place = token[fresh], owner[fresh], size[fresh], place[fresh]
         many = with_partner(token, size.astype(np.int64), place.astype(np.int64), percent)
-        return pa.table({"token": pa.array(token[many].view(np.int64)), "set_id": pa.array(owner[many]), "n": pa.array(size[many].astype(np.int32)), "place": pa.array(place[many].astype(np.int32))})
+        token, owner, size = token[many], owner[many], size[many]
+        starts = starts_of(token)
+        if len(token):
+            alike = mix(np.add.reduceat(mix(owner.view(np.uint64)), starts))  # the same for the same sets
+            token = np.repeat(alike, np.diff(np.append(starts, len(token))))
+            once = np.lexsort((owner, token))
+            once = once[np.concatenate([[True], (token[once][1:] != token[once][:-1]) | (owner[once][1:] != owner[once][:-1])])]
+            token, owner, size = token[once], owner[once], size[once]
+        return pa.table({"token": pa.array(token.view(np.int64)), "set_id": pa.array(owner), "n": pa.array(size.astype(np.int32))})
+
+    found = docs.mapInArrow(lean(pack), ", ".join(f"{n} {t}" for n, t in PACKED)).groupBy("bucket").applyInArrow(lean_group(unite), ", ".join(f"{n} {t}" for n, t in RUNS))
+    return materialize(found.distinct(), "runs")
 
-    return materialize(docs.mapInArrow(lean(pack), ", ".join(f"{n} {t}" for n, t in PACKED)).groupBy("bucket").applyInArrow(lean_group(unite), ", ".join(f"{n} {t}" for n, t in RUNS)), "runs")
+
+def starts_of(token: np.ndarray) -> np.ndarray:
+    """Where the runs of equal tokens begin."""
+    return np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
 
 
 def with_partner(token: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
@@ -131,7 +161,7 @@ def with_partner(token: np.ndarray, size: np.ndarray, place: np.ndarray, percent
     A linked pair passes at its first common shingle, so what is left still holds every linked pair. Runs too
     long to be looked at pair by pair are kept whole.
     """
-    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    starts = starts_of(token)
     lengths = np.diff(np.append(starts, len(token)))
     good = np.zeros(len(token), bool)
     for n in np.unique(lengths[(lengths > 1) & (lengths <= 8)]):
@@ -156,15 +186,91 @@ def may_link(n, p, m, q, percent: int):
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(n - p, m - q) >= needed(n, m, percent))
 
 
-def clustered(runs: DataFrame, members: DataFrame | None, seed: int) -> DataFrame:
-    """(set_id, c, cluster, block, blocks): sets of runs that hold more than one component ``c``.
-
-    What is linked already leaves nothing here. Clusters are components joined by such runs; a large one
-    is dealt at random to blocks of bounded size.
+class Bitmaps:
+    """Bitmaps of rows, each in its own length and in those shorter ones in which rows that pass the length filter may have theirs."""
+
+    def __init__(self, bits: list[bytes], size: np.ndarray, percent: int):
+        self.size, self.percent, self.length = size, percent, np.array([len(b) for b in bits], np.int64)
+        self.at, self.words = {}, {}
+        for n in np.unique(self.length).tolist():
+            rows = np.flatnonzero((self.length >= n) & (percent * self.length <= 200 * n))
+            self.at[n] = np.zeros(len(bits), np.int64)
+            self.at[n][rows] = np.arange(len(rows))
+            self.words[n] = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[i], np.uint64).reshape(-1, n // 8), axis=0) for i in rows.tolist()])
+
+    def alike(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether rows ``x`` and ``y`` pass the length filter and differ in so few bits that they may be linked."""
+        good, (n, m) = np.zeros(len(x), bool), (self.size[x], self.size[y])
+        near = np.flatnonzero(100 * np.minimum(n, m) >= self.percent * np.maximum(n, m))
+        level, most = np.minimum(self.length[x[near]], self.length[y[near]]), (n + m - 2 * needed(n, m, self.percent))[near]
+        for short in np.unique(level).tolist():
+            words, at, step = self.words[short], self.at[short], max(1, COMPARED_WORDS * 8 // short)
+            pairs, bound = near[level == short], most[level == short]
+            for a in range(0, len(pairs), step):
+                p = pairs[a : a + step]
+                good[p] = np.bitwise_count(words[at[x[p]]] ^ words[at[y[p]]]).sum(1, dtype=np.int64) <= bound[a : a + step]
+        return good
+
+
+def meetings(token: np.ndarray, c: np.ndarray, bitmaps: Bitmaps) -> np.ndarray:
+    """For rows sorted by token, the first of the rows to which pairs lead that have one token, differ in ``c`` and may be linked."""
+    label, starts = np.arange(len(token)), starts_of(token)
+    lengths = np.diff(np.append(starts, len(token)))
+    for n in np.unique(lengths[(lengths > 1) & (lengths <= SHORT_RUN)]).tolist():
+        i, j = np.triu_indices(n, 1)
+        own, step = starts[lengths == n], max(1, COMPARED_WORDS // 8 // len(i))
+        for a in range(0, len(own), step):
+            x, y = ((own[a : a + step, None] + k).ravel() for k in (i, j))
+            other = c[x] != c[y]
+            x, y = x[other], y[other]
+            good = bitmaps.alike(x, y)
+            unite_labels(label, x[good], y[good])
+    for s, n in zip(starts[lengths > SHORT_RUN].tolist(), lengths[lengths > SHORT_RUN].tolist(), strict=True):
+        own = label[s : s + n]
+        for i in range(1, n):
+            for a, b in ((0, min(i, SHORT_RUN)), (SHORT_RUN, i)):  # what the first ones lead to is not compared again
+                before = s + a + np.flatnonzero((own[a:b] != own[i]) & (c[s + a : s + b] != c[s + i]))
+                for hit in np.unique(label[before[bitmaps.alike(before, np.full(len(before), s + i))]]).tolist():
+                    low, high = min(hit, int(own[i])), max(hit, int(own[i]))
+                    own[: i + 1][own[: i + 1] == high] = low
+    return label
+
+
+def unite_labels(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Give all that pairs lead to one label, the smallest; labels are places, and those of ``x`` and ``y`` are their own before."""
+    while (differ := label[x] != label[y]).any():
+        low, high = np.minimum(label[x], label[y])[differ], np.maximum(label[x], label[y])[differ]
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def clustered(runs: DataFrame, members: DataFrame | None, own: DataFrame, percent: int, seed: int) -> DataFrame:
+    """(set_id, c, cluster, block, blocks): sets of runs that may be linked with a set of another component ``c``.
+
+    Sets of a run are compared by bitmaps, so that those which share no more than a shingle do not meet, and what is
+    linked already leaves nothing here. Clusters are components joined by such pairs; a large one is dealt at random to
+    blocks of bounded size.
     """
-    rows = runs.select("token", "set_id", F.col("set_id").alias("c")) if members is None else runs.join(members, "set_id", "left").select("token", "set_id", F.coalesce("component", "set_id").alias("c"))
-    mixed = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token", "low")
-    left = materialize(rows.join(mixed, "token").select("set_id", "c", "low").distinct(), "unsettled")
+    rows = runs.withColumn("c", F.col("set_id"))
+    if members is not None:
+        rows = runs.join(members, "set_id", "left").select("token", "set_id", "n", F.coalesce("component", "set_id").alias("c"))
+        rows = rows.join(rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token"), "token", "left_semi")
+    rows = materialize(rows, "mixed") if members is not None else rows
+    buckets = max(64, int(rows.select(F.sum(32 + F.col("n") / 5)).first()[0] or 0) // GROUP_BYTES)
+    bits = own.join(rows.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.first("bits").alias("bits"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.lexsort((table.column("n").to_numpy(), table.column("token").to_numpy()))))
+        token, ids, c, size = (table.column(name).to_numpy() for name in ("token", "set_id", "c", "n"))
+        label = meetings(token, c, Bitmaps(table.column("bits").to_pylist(), size.astype(np.int64), percent))
+        low = np.full(len(label), np.iinfo(np.int64).max)
+        np.minimum.at(low, label, c)
+        many = np.bincount(label, minlength=len(label))[label] > 1
+        return pa.table({"set_id": pa.array(ids[many]), "c": pa.array(c[many]), "low": pa.array(low[label][many])})
+
+    met = rows.join(bits, "set_id").withColumn("bucket", F.pmod("token", F.lit(buckets))).groupBy("bucket").applyInArrow(lean_group(run), "set_id long, c long, low long")
+    left = materialize(met.distinct(), "unsettled")
     clusters = connected_components(left.where("c <> low").select("c", "low").distinct(), "c", "low")
     sets = left.select("set_id", "c").distinct().join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c")
     sizes = sets.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
@@ -283,7 +389,7 @@ def join_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
     A text's words, A-Z in lower case, make the set of its distinct shingles of ``width`` words; fewer
     words make one shingle of all. Texts link if 100 * intersection >= ``percent`` * union. Equal sets are
     one set; sets meet on the rarest shingles of each, of which a linked pair must share one where it passes the
-    length and positional filters. Sets that meet form clusters; a task joins a cluster, or two blocks of a large
+    length and positional filters, if bitmaps of the whole sets do not differ too much for a link. Sets that meet form clusters; a task joins a cluster, or two blocks of a large
     one, over an index of prefixes, comparing a pair once and none within a component.
 
     Null and empty texts have no shingles, link with nothing and keep their own key as component; a null
@@ -293,7 +399,7 @@ def join_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
     spark = docs.sparkSession
     usable = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     seen = facts(usable, width)
-    own = seen.where("kind = 0").select("k", "n", "set_id")
+    own = seen.where("kind = 0").select("k", "n", "set_id", "bits")
     classes = spark.sparkContext.broadcast(frequency_classes(seen).tobytes())
     expected = own.select(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     with_key = usable.where("k is not null and t is not null")
@@ -301,7 +407,7 @@ def join_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
     members = links = None
     for nth in range(ROUNDS):
         last = nth == ROUNDS - 1
-        sets = clustered(runs, members, nth)
+        sets = clustered(runs, members, own, percent, nth)
         new = join_blocks(sets, wanted_texts(with_key, sets, width), classes, width, percent, every=last)
         links = materialize(new if links is None else links.union(new), "links")
         members = connected_components(links, "x", "y").select(F.col("node").alias("set_id"), "component")

@@ -81,3 +81,48 @@ def test_links_among_joins_all_linked_sets():
 def test_prefix_size_by_pigeonhole():
     for n in range(1, 200):
         assert n - prefix_size(n, 80) + 1 == -(-80 * n // 100)
+
+
+def test_bits_that_differ_are_no_more_than_members_that_differ():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 60, 90, 400, 3000):
+        s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        sets = [s, s[: max(1, len(s) * 9 // 10)], s[len(s) // 2 :], np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))]
+        size = np.array([len(x) for x in sets])
+        bitmaps = jaccard.Bitmaps([jaccard.bitmap(x) for x in sets], size, 80)
+        for i, j in ((0, 0), (0, 1), (0, 2), (0, 3), (1, 0)):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            able = bool(bitmaps.alike(np.array([i]), np.array([j]))[0])
+            assert able or 100 * both < 80 * (size[i] + size[j] - both)
+            assert not (able and j == 3 and n >= 60)
+
+
+@pytest.mark.parametrize("short", [64, 3])
+def test_meetings_join_all_linked_sets(monkeypatch, short):
+    monkeypatch.setattr(jaccard, "SHORT_RUN", short)
+    monkeypatch.setattr(jaccard, "COMPARED_WORDS", 256)
+    rng = np.random.default_rng(6)
+    sets = [s for s in shingle_sets([t for _, t in make_rows(6) if t]) if len(s)]
+    token = np.sort(rng.integers(0, 12, len(sets)))
+    c = rng.integers(0, 40, len(sets))
+    label = jaccard.meetings(token, c, jaccard.Bitmaps([jaccard.bitmap(s) for s in sets], np.array([len(s) for s in sets]), 80))
+    linked = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if token[i] == token[j] and c[i] != c[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                linked += 1
+                assert label[i] == label[j]
+    assert linked > 100 and (token[label] == token).all()
+
+
+def test_sets_that_share_a_rare_shingle_alone_do_not_meet(spark, monkeypatch):
+    """A chain of texts, each with a rare passage of the next one, made one cluster of all of them."""
+    met, plain = [], jaccard.wanted_texts
+    monkeypatch.setattr(jaccard, "wanted_texts", lambda docs, named, width: met.append(named.count()) or plain(docs, named, width))
+    passage = lambda name, n: [f"{name}w{j}" for j in range(n)]
+    chain = [(i, " ".join(passage(f"link{i}", 5) + passage(f"a{i % 14}", 60) + passage(f"b{i % 15}", 60) + passage(f"link{i + 1}", 5))) for i in range(200)]
+    near = [(1000 + i, chain[i][1] + " more") for i in range(3)]
+    got = {r.doc_id: r.component_id for r in join_near(spark.createDataFrame(chain + near, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: i for i, _ in chain} | {1000 + i: i for i in range(3)}
+    assert met == [6]
