@@ -10,6 +10,7 @@ import tiktoken
 from test_jaccard import sets_of
 
 import corpus_pipeline
+from optrail.llm import jaccard
 from optrail.llm.bpe import ranks_of
 
 DATA = "/root/testdata/sf0.01"
@@ -127,3 +128,15 @@ def test_run_equals_the_stages(spark, folder, stages):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_whole_table(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 500
+
+
+def test_near_copies_alone_bring_their_texts_together(spark, monkeypatch):
+    """Texts that lead to one another by chance made one cluster, whose texts were all sent."""
+    met, plain = [], jaccard.wanted_texts
+    monkeypatch.setattr(jaccard, "wanted_texts", lambda docs, named, width: met.append(named.count()) or plain(docs, named, width))
+    passage = lambda name, n: [f"{name}w{j}" for j in range(n)]
+    texts = [" ".join(passage(f"link{i}", 5) + passage(f"a{i % 14}", 60) + passage(f"b{i % 15}", 60) + passage(f"link{i + 1}", 5)) for i in range(200)]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate([*texts, texts[7] + " more"])]
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), DATA)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(200))
+    assert met == [2]
